@@ -6,12 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, secrets, simhash
-from quire.llm.common import documents
+from quire.llm import bpe, decontaminate, langid, licenses, secrets, simhash, toxicity
+from quire.llm.common import documents, held_out
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    stats = langid.train(docs.where(~held_out(F.col("doc_id"), 4)))
+    found = langid.identify(docs, stats)
+    return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places in documents where a benchmark passage occurs."""
+    return decontaminate.contaminated_spans(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"), 4))
+    found = toxicity.toxicity(docs, toxicity.train(docs, labels))
+    return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score", "predicted")
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places in documents where a license notice occurs."""
+    return licenses.license_spans(documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
@@ -30,5 +54,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_bpe, op7_secrets, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op4_toxicity, op5_licenses, op6_bpe, op7_secrets, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {}
