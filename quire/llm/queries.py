@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, langid, licenses, secrets, simhash, toxicity
+from quire.llm import bpe, decontaminate, hmm, langid, licenses, secrets, simhash, toxicity, vectors
 from quire.llm.common import documents, held_out
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -49,10 +49,21 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(r.kind) for r in secrets.BASE_RULES], F.sha2(line(base), 256).alias("base_sha256"), line(spans).alias("spans"))
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = hmm.train(docs.where(~held_out(F.col("doc_id"), 7)))
+    found = hmm.score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicate_groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op4_toxicity, op5_licenses, op6_bpe, op7_secrets, op9_simhash)}
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op4_toxicity, op5_licenses, op6_bpe, op7_secrets, op8_hmm, op9_simhash, op10_vectors)}
 ORACLE_SQL: dict[str, str] = {}
