@@ -1,25 +1,58 @@
-"""The corpus pipeline: stages of training-data operators, each written and read again."""
+"""The corpus pipeline: stages of training-data operators, each written and read again.
+
+Each stage takes (spark, docs, sf_dir), where docs has the columns of documents, and returns its kept rows
+in the same columns; the last returns the token digests of each kept document.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe
-from quire.llm.common import Scratch, documents
+from quire.llm import bpe, decontaminate, langid, linededup, simhash
+from quire.llm.common import Scratch, documents, held_out, without
 from quire.llm.queries import RANK_FILE
 
+#: Bits a byte above which a text is like none of the languages; a learned language takes about 2.
+MOST_BITS = 6.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, and those that no learned language codes in MOST_BITS a byte."""
+    stats = langid.train(docs.where(~held_out(F.col("doc_id"), 4)))
+    found = langid.identify(docs, stats).where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("bits_per_byte") > MOST_BITS))
+    return without(docs, found.select("doc_id"), Scratch(spark), "rejected")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes duplicate lines out; every document stays, n_chars follows its text."""
+    return linededup.dedup_lines(docs).select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    found = simhash.near_duplicate_groups(docs).where("doc_id <> component_id")
+    return without(docs, found.select("doc_id"), Scratch(spark), "copies")
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a benchmark passage occurs."""
+    found = decontaminate.contaminated_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, found.select("doc_id"), Scratch(spark), "leaks")
+
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each kept document, encoded and decoded again."""
     return bpe.bpe_round_trip(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("language ID", language), ("line dedup", lines), ("near-dedup", near_duplicates), ("decontamination", benchmark_leaks), ("encoding", encoding)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = documents(spark, sf_dir), Scratch(spark)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name.replace(' ', '_')}")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs

@@ -49,6 +49,17 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids up to which a table of them is broadcast; a larger one is joined by a shuffle.
+SMALL = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in the one column of ids. Rows with a null id stay."""
+    gone = scratch.save(ids.toDF("__gone").distinct(), name)
+    gone = F.broadcast(gone) if gone.count() <= SMALL else gone
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `limit` text bytes each; a longer text comes alone."""
     for batch in batches:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, hmm, langid, licenses, secrets, simhash, toxicity, vectors
+from quire.llm import bpe, decontaminate, hmm, langid, licenses, linededup, secrets, simhash, toxicity, vectors
 from quire.llm.common import documents, held_out
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_spans(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without its duplicate lines."""
+    return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"), 4))
@@ -65,5 +70,5 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op4_toxicity, op5_licenses, op6_bpe, op7_secrets, op8_hmm, op9_simhash, op10_vectors)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_lines, op4_toxicity, op5_licenses, op6_bpe, op7_secrets, op8_hmm, op9_simhash, op10_vectors)}
 ORACLE_SQL: dict[str, str] = {}
