@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _registered():
-    from quire.plans import geometry, intake, records, spans, trees  # noqa: F401  (importing them registers their queries)
+    from quire.plans import geometry, intake, records, regions, spans, trees  # noqa: F401  (importing them registers their queries)
 
     return intake
 
