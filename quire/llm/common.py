@@ -60,6 +60,21 @@ def without(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str, id_col
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
 
+def most_frequent(counts: DataFrame, column: str, limit: int) -> DataFrame:
+    """The rows of counts with the largest values of column, at most `limit` of them.
+
+    The least value taken is read off a histogram of a few hundred bins, so no task or driver sorts the
+    table; rows of the bin that would pass the limit are all left out.
+    """
+    bins = counts.groupBy(F.floor(F.log2(column) * 16).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
+    total, least = 0, None
+    for bin_, n in sorted(((r["bin"], r["n"]) for r in bins), reverse=True):
+        if total + n > limit:
+            break
+        total, least = total + n, bin_
+    return counts.where(F.lit(False)) if least is None else counts.where(F.floor(F.log2(column) * 16).cast("int") >= least)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `limit` text bytes each; a longer text comes alone."""
     for batch in batches:

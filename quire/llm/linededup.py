@@ -1,16 +1,14 @@
 """Line dedup: fuzzy lines by MinHash, exact verification, one line kept in each component.
 
 Equal lines collapse by a 128-bit hash before anything is compared. Distinct lines get a MinHash signature
-of their character shingles. Lines that share a band meet; each is tried with the smallest line of its
-bucket, and those that end in another component than that line are tried with the whole bucket, so no
-similar pair that meets is lost although pairs within a component are never listed. Whatever passes a
-sketch is verified by the exact Jaccard similarity of the shingle sets. Components are found by joins.
+of their character shingles; lines that share a band share a bucket. Buckets with the same lines are
+verified once. A bucket is dealt into groups of bounded size, and a group verifies all its pairs by one
+product of its line-by-shingle matrix: that gives the exact Jaccard similarities, of which only a spanning
+forest of the links is returned, never the pairs. Components are found by joins.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,23 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quire.llm.common import Scratch, connected_components, text_batches
+from quire.llm.common import SMALL, Scratch, connected_components, local_roots, text_batches
 from quire.llm.textmatch import gram_hashes
 
 #: Bands and rows: of pairs of similarity 0.8 a share of 0.995 meets, of 0.9 all but 3 in a million.
 BANDS, ROWS = 8, 3
 SLOTS = BANDS * ROWS
-#: Two-bit fields of a sketch that must agree. 20.4 of 24 do on average at similarity 0.8.
-AGREE = 14
-_FIELDS = np.uint64(int("01" * SLOTS, 2))
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 1 << 32, SLOTS, dtype=np.uint32) | np.uint32(1)
 #: Shingles that are hashed at once.
 STEP = 1 << 17
-#: Rows up to which a table of lines is broadcast; a larger one is joined by a shuffle.
-SMALL = 1_000_000
+#: Lines that a group may hold from each of its two blocks, about.
 TILE = 1024
+#: Shingles that are multiplied at once.
+COLUMNS = 4096
 
 
 def normal(line: str) -> str:
@@ -69,23 +65,8 @@ def signatures(lines: list[str], q: int) -> np.ndarray:
     return out
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """Two bits of each MinHash value."""
-    total = np.zeros(len(signature), dtype=np.uint64)
-    for s in range(SLOTS):
-        total |= (signature[:, s].astype(np.uint64) >> np.uint64(7) & np.uint64(3)) << np.uint64(2 * s)
-    return total
-
-
-def plausible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether enough fields of two sketches agree for a similarity of 0.8."""
-    differ = a ^ b
-    fields = (differ | differ >> np.uint64(1)) & _FIELDS
-    return SLOTS - np.bitwise_count(fields).astype(np.int64) >= AGREE
-
-
 def occurrences(docs: DataFrame, q: int) -> DataFrame:
-    """(nid, twin, doc, line, sketch, sig) for each line with other characters than white space.
+    """(nid, twin, doc, line, sig) for each line with other characters than white space.
 
     nid and twin are the two halves of the line's hash; sig is null where the step has it already.
     """
@@ -110,82 +91,98 @@ def occurrences(docs: DataFrame, q: int) -> DataFrame:
                         lines.append(line)
             halves = np.frombuffer(b"".join(keys), dtype=">i8").astype(np.int64).reshape(-1, 2)
             signature = signatures(lines, q)
-            sketch = sketches(signature).view(np.int64)
-            raw, at = signature.astype("<u4").tobytes(), np.array(fresh, dtype=np.int64)
+            raw = signature.astype("<u4").tobytes()
             sig = [None if f < 0 else raw[f * 4 * SLOTS : (f + 1) * 4 * SLOTS] for f in fresh]
-            mark = pa.array(np.where(at < 0, 0, sketch[at]) if len(lines) else np.empty(0, dtype=np.int64), mask=at < 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), mark, pa.array(sig, pa.binary())],
-                ["nid", "twin", "doc", "line", "sketch", "sig"],
+                [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(sig, pa.binary())],
+                ["nid", "twin", "doc", "line", "sig"],
             )
 
     kind = docs.dtypes[0][1]
-    return docs.mapInArrow(run, f"nid bigint, twin bigint, doc {kind}, line int, sketch bigint, sig binary")
+    return docs.mapInArrow(run, f"nid bigint, twin bigint, doc {kind}, line int, sig binary")
 
 
-def stars(lines: DataFrame) -> DataFrame:
-    """(key, hub, nid, sketch, near) for the lines of each bucket of two or more; hub is its smallest nid.
+def bucket_members(lines: DataFrame) -> DataFrame:
+    """(key, nid) for the lines of each bucket of two or more.
 
-    A bucket's rows pass by in order, so only its hub is held, however large it is.
+    A bucket's rows pass by in order, so only its last row is held, however large it is.
     """
     keys = [F.xxhash64(F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS), F.lit(b)) for b in range(BANDS)]
-    rows = lines.select(F.explode(F.array(*keys)).alias("key"), "nid", "sketch")
+    rows = lines.select(F.explode(F.array(*keys)).alias("key"), "nid")
 
     def run(batches):
-        tail = None  # the last row so far, and its hub: (key, nid, sketch, hub, hub's sketch, hub is written)
+        last, shown = None, False  # the row before this batch, and whether it has been returned
         for batch in batches:
-            key, nid, sketch = (batch.column(c).to_numpy() for c in range(3))
-            n = len(key)
-            if not n:
+            key, nid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
                 continue
-            head = np.append(True, key[1:] != key[:-1])
-            group = np.cumsum(head) - 1
-            at = np.flatnonzero(head)
-            hub, hub_sketch = nid[at][group], sketch[at][group]
-            size = np.bincount(group)
-            shown = size[group] > 1
-            if tail is not None and tail[0] == key[0]:
-                joined = group == 0
-                hub[joined], hub_sketch[joined] = tail[3], tail[4]
-                shown[joined] = True
-                if not tail[5]:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (tail[0], tail[3], tail[3], tail[4])] + [pa.array([True])], ["key", "hub", "nid", "sketch", "near"])
-            tail = (key[-1], nid[-1], sketch[-1], hub[-1], hub_sketch[-1], bool(shown[-1]))
-            near = plausible(sketch.view(np.uint64), hub_sketch.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(x[shown]) for x in (key, hub, nid, sketch, near)], ["key", "hub", "nid", "sketch", "near"])
-
-    dealt = rows.repartition("key").sortWithinPartitions("key", "nid")
-    return dealt.mapInArrow(run, "key bigint, hub bigint, nid bigint, sketch bigint, near boolean")
-
-
-def cross_pairs(star: DataFrame, joined: DataFrame) -> DataFrame:
-    """(a, b): plausible pairs of one bucket that are in different components.
-
-    Only buckets where some line isn't in its hub's component take part. A large bucket is dealt into
-    blocks of about TILE lines, each pair of blocks being a group of its own.
+            same = key[1:] == key[:-1]
+            keep = np.append(False, same) | np.append(same, False)
+            if last is not None and last[0] == key[0]:
+                keep[0] = True
+                if not shown:
+                    key, nid, keep = np.append(last[0], key), np.append(last[1], nid), np.append(True, keep)
+            last, shown = (key[-1], nid[-1]), bool(keep[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(nid[keep])], ["key", "nid"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, nid bigint")
+
+
+def distinct_buckets(members: DataFrame) -> DataFrame:
+    """(key, n): one of all buckets that hold the same lines (by count and two sums of hashes)."""
+    total = lambda seed: F.sum(F.xxhash64("nid", F.lit(seed)).cast("decimal(20,0)"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), total(1).alias("h1"), total(2).alias("h2"))
+    return buckets.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
+
+
+def similar_rows(lines: list[str], q: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (i < j) whose shingle sets have a Jaccard similarity of threshold or more."""
+    sizes = np.maximum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)), q)
+    codes = np.frombuffer("".join(x.ljust(q, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    h, owner = gram_hashes(codes, q), np.repeat(np.arange(len(lines)), sizes)[: len(codes) - q + 1]
+    real = np.ones(len(h), dtype=bool)
+    ends = np.cumsum(sizes)[:-1]
+    for k in range(1, q):
+        real[ends - k] = False
+    distinct, gram = np.unique(h[real], return_inverse=True)
+    owner = owner[real]
+    shared = np.zeros((len(lines), len(lines)), dtype=np.float32)
+    if len(distinct) > COLUMNS:
+        order = np.argsort(gram, kind="stable")
+        gram, owner = gram[order], owner[order]
+    for begin in range(0, len(distinct), COLUMNS):
+        part = slice(*np.searchsorted(gram, [begin, begin + COLUMNS])) if len(distinct) > COLUMNS else slice(None)
+        matrix = np.zeros((len(lines), min(COLUMNS, len(distinct) - begin)), dtype=np.float32)
+        matrix[owner[part], gram[part] - begin] = 1
+        shared += matrix @ matrix.T
+    own = shared.diagonal()
+    return np.nonzero(np.triu(shared >= threshold * (own[:, None] + own[None, :] - shared) - 1e-3, 1))
+
+
+def verified_links(members: DataFrame, texts: DataFrame, q: int, threshold: float) -> DataFrame:
+    """(a, b): links that connect the lines of each bucket wherever similar ones do.
+
+    A bucket of more than TILE lines is dealt into blocks, each pair of blocks being a group of its own.
     """
-    own = joined.select(F.col("node").alias("nid"), "component")
-    rows = star.join(own, "nid", "left").select("key", "hub", "nid", "sketch", F.coalesce("component", "nid").alias("c"))
-    mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high")
-    rows = rows.join(mixed.select("key", F.ceil(F.col("n") / TILE).alias("blocks")), "key")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "sketch", "c")
-
-    def pairs(table: pa.Table):
-        k, i, j, nid, sketch, c = (table.column(x).to_numpy() for x in range(6))
-        group = np.cumsum(np.append(True, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        sketch, at, step = sketch.view(np.uint64), np.arange(len(k)), 1
-        while True:
-            at = at[at < len(k) - step]
-            at = at[group[at] == group[at + step]]
-            if not len(at):
-                return
-            good = at[(c[at] != c[at + step]) & (nid[at] != nid[at + step])]
-            good = good[plausible(sketch[good], sketch[good + step])]
-            if len(good):
-                a, b = nid[good], nid[good + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            step += 1
+    rows = members.join(distinct_buckets(members).select("key", F.ceil(F.col("n") / TILE).alias("blocks")), "key")
+    rows = rows.join(texts.select("nid", "content"), "nid").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "content")
+
+    def links(table: pa.Table):
+        k, i, j, nid = (table.column(x).to_numpy() for x in range(4))
+        content = table.column(4).to_pylist()
+        heads = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        first, second = [], []
+        for low, high in zip(heads.tolist(), [*heads[1:].tolist(), len(k)]):
+            a, b = similar_rows(content[low:high], q, threshold)
+            if len(a):
+                root = local_roots(high - low, a, b)
+                moved = np.flatnonzero(root != np.arange(high - low))
+                first.append(nid[low + moved])
+                second.append(nid[low + root[moved]])
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["a", "b"])
 
     def run(batches):
         held: pa.Table | None = None
@@ -197,10 +194,10 @@ def cross_pairs(star: DataFrame, joined: DataFrame) -> DataFrame:
                 same &= held.column(x).to_numpy() == held.column(x)[-1].as_py()
             cut = int(np.argmax(same))
             if cut:
-                yield from pairs(held.slice(0, cut))
+                yield from links(held.slice(0, cut))
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield from pairs(held)
+            yield from links(held)
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -229,34 +226,6 @@ def _texts(docs: DataFrame, occ: DataFrame, wanted: DataFrame, scratch: Scratch,
     return scratch.save(rows.dropDuplicates(["nid"]), f"{name}-texts")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, q: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of threshold or more."""
-    left = texts.select(F.col("nid").alias("a"), F.col("content").alias("x"))
-    right = texts.select(F.col("nid").alias("b"), F.col("content").alias("y"))
-
-    def run(batches):
-        held: OrderedDict[int, set[str]] = OrderedDict()
-
-        def of(nid: int, line: str) -> set[str]:
-            if nid not in held:
-                if len(held) > 2000:
-                    held.popitem(last=False)
-                held[nid] = shingles(line, q)
-            return held[nid]
-
-        for batch in batches:
-            a, b, x, y = (batch.column(c).to_pylist() for c in range(4))
-            keep = []
-            for row in zip(a, b, x, y):
-                s, t = of(row[0], row[2]), of(row[1], row[3])
-                both = len(s & t)
-                keep.append(both >= threshold * (len(s) + len(t) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a bigint, b bigint")
-
-
 def duplicate_lines(docs: DataFrame, q: int = 8, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc, lines array<int>): for each document that loses lines, their numbers from 0 on.
 
@@ -269,22 +238,10 @@ def duplicate_lines(docs: DataFrame, q: int = 8, threshold: float = 0.8, id_col:
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     occ = scratch.save(occurrences(rows, q), "occurrences")
-    marked = occ.where("sig is not null").groupBy("nid").agg(F.first("sketch").alias("sketch"), F.first("sig").alias("sig"))
-    star = scratch.save(stars(marked), "stars")
-    near = star.where("near and nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct()
-    edges, joined, texts = None, None, None
-    for turn in ("hubs", "rest"):
-        pairs = scratch.save(near if turn == "hubs" else cross_pairs(star, joined), f"{turn}-pairs")
-        if turn == "rest" and pairs.isEmpty():
-            break
-        wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
-        if texts is not None:
-            wanted = wanted.join(texts, "nid", "left_anti")
-        more = _texts(rows, occ, wanted, scratch, turn)
-        texts = more if texts is None else texts.unionByName(more)
-        found = scratch.save(verified(pairs, texts, q, threshold), f"{turn}-links")
-        edges = found if edges is None else edges.unionByName(found)
-        joined = scratch.save(connected_components(edges, scratch, turn), f"{turn}-joined")
+    marked = occ.where("sig is not null").groupBy("nid").agg(F.first("sig").alias("sig"))
+    members = scratch.save(bucket_members(marked), "members")
+    texts = _texts(rows, occ, members.select("nid").distinct(), scratch, "lines")
+    joined = scratch.save(connected_components(verified_links(members, texts, q, threshold), scratch, "links"), "joined")
     plain = occ.groupBy("nid", "twin").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("n"))
     member = joined.join(texts.select(F.col("nid").alias("node"), "twin"), "node").select(F.col("node").alias("nid"), "twin", "component")
     several = plain.join(member, ["nid", "twin"], "left").where("n > 1 or component is not null")
