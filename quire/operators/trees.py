@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.scratch import Scratch
+
 
 def ancestors(tree: DataFrame, most: int = 64) -> DataFrame:
     """(node, ancestor, depth), the node itself at depth 0. A cycle ends where it closes; `most` bounds the
-    number of rounds, each of which is one join of the frontier with the edges."""
+    number of rounds, each of which is one join of the frontier with the edges, written so that the next
+    round starts from a table."""
+    scratch = Scratch(tree.sparkSession)
+    tree = scratch.save(tree.select("node", "parent"), "tree")
     edges = tree.where("parent is not null").select(F.col("node").alias("child"), "parent")
     step = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"), F.array("node").alias("seen"))
     out = step
     for depth in range(1, most + 1):
         step = step.join(edges, F.col("ancestor") == F.col("child")).where(~F.expr("array_contains(seen, parent)"))
-        step = step.select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("seen", F.array("parent")).alias("seen")).persist()
+        step = step.select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("seen", F.array("parent")).alias("seen"))
+        step = scratch.save(step, f"depth-{depth}")
         if step.isEmpty():
             break
         out = out.unionByName(step)
@@ -52,6 +58,8 @@ def resolve_aliases(aliases: DataFrame, targets: DataFrame, most: int = 64) -> D
 def prune_tree(tree: DataFrame, most: int = 64) -> DataFrame:
     """H4: the nodes that stay: those that are, or have below them, a childless node that isn't deleted (`gone`)
     and has no deleted ancestor."""
+    scratch = Scratch(tree.sparkSession)
+    tree = scratch.save(tree, "tree")
     up = ancestors(tree, most)
     dead = up.join(tree.where("gone").select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node").distinct()
     leaves = tree.select("node").join(tree.select(F.col("parent").alias("node")), "node", "left_anti").join(dead, "node", "left_anti")
