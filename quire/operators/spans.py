@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 KEYS = ["doc_id", "line_no"]
@@ -81,7 +82,7 @@ def restyle_spans(edits: DataFrame, runs: DataFrame, value: Column, keys: list[s
     return style_runs(rows.select(*keys, text.alias("text"), "p.*"), keys, style, "begin")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

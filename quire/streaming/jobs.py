@@ -31,18 +31,14 @@ def monotonic_dedupe(requests: DataFrame) -> DataFrame:
     """Requests whose id is above all ids seen before in the session; the state is that one number."""
 
     def run(key: tuple, batches, state: GroupState):
-        highest = state.get[0] if state.exists else None
-        for batch in batches:
-            batch = batch.sort_values(["ts", "event_id"])
-            before = batch["request_id"].cummax().shift(1)
-            if highest is not None:
-                before = before.fillna(highest).clip(lower=highest)
-            fresh = batch[before.isna() | (batch["request_id"] > before)]
-            if len(batch):
-                highest = int(max(batch["request_id"].max(), highest if highest is not None else batch["request_id"].max()))
-            yield pd.DataFrame({"session": fresh["session"], "request_id": fresh["request_id"], "event_id": fresh["event_id"]})
-        if highest is not None:
-            state.update((highest,))
+        rows = pd.concat(batches).sort_values(["ts", "event_id"])  # one session's requests of one trigger
+        before = rows["request_id"].cummax().shift(1)
+        if state.exists:
+            before = before.fillna(state.get[0]).clip(lower=state.get[0])
+        fresh = rows[before.isna() | (rows["request_id"] > before)]
+        highest = int(rows["request_id"].max())
+        state.update((max(highest, state.get[0]) if state.exists else highest,))
+        yield fresh[["session", "request_id", "event_id"]]
 
     rows = requests.select("session", "request_id", "event_id", "ts").groupBy("session")
     return rows.applyInPandasWithState(run, "session bigint, request_id bigint, event_id bigint", "highest bigint", "append", GroupStateTimeout.NoTimeout)
