@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_features
         return Model(float(np.log(ones / (total - ones))))
     counts = sample.mapInArrow(count, "feature string, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p = (F.col("n0") + F.col("n1")) / (n0 + n1)
-    z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
+    z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n0 + 1 / n1))
     kept = counts.where("n0 + n1 >= 5").select("feature", F.abs(z).alias("z")).where(F.col("z") >= least_z)
     names = [r[0] for r in kept.orderBy(F.desc("z"), "feature").limit(max_features).collect()]
     terms = {f for group in groups for term in group for f in features_of(term)}
