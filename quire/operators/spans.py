@@ -111,13 +111,27 @@ def grapheme_counts(docs: DataFrame, keys: list[str] = KEYS, text_col: str = "te
     return docs.select(*keys, F.size(graphemes(F.col(text_col))).cast("bigint").alias("n"))
 
 
+def snapped(text: Column, begin: Column, stop: Column) -> Column:
+    """struct(begin, stop): [begin, stop) widened to grapheme edges, in one pass over the graphemes; an empty
+    span snaps left."""
+    low, high = F.greatest(F.lit(0), F.least(begin, F.length(text))).cast("int"), F.least(F.greatest(begin, stop), F.length(text)).cast("int")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("left"), F.when(high <= 0, 0).cast("int").alias("right"))
+
+    def step(acc: Column, g: Column) -> Column:
+        at = acc["at"] + F.length(g)
+        return F.struct(at.alias("at"), F.when(at <= low, at).otherwise(acc["left"]).alias("left"), F.coalesce(acc["right"], F.when(at >= high, at)).alias("right"))
+
+    def finish(acc: Column) -> Column:
+        right = F.when(low == high, acc["left"]).otherwise(F.coalesce(acc["right"], F.length(text)))
+        return F.struct(acc["left"].cast("bigint").alias("begin"), right.cast("bigint").alias("stop"))
+
+    return F.aggregate(graphemes(text), start, step, finish)
+
+
 def snap_spans(spans: DataFrame, texts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, begin, stop): [cut_begin, cut_stop) widened to grapheme edges; an empty span snaps left."""
-    edges = F.aggregate(graphemes(F.col("text")), F.array(F.lit(0)), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(g))))
-    rows = spans.join(texts, keys).withColumn("edges", edges)
-    begin = F.array_max(F.filter("edges", lambda x: x <= F.col("cut_begin")))
-    stop = F.coalesce(F.array_min(F.filter("edges", lambda x: x >= F.col("cut_stop"))), F.length("text"))
-    return rows.withColumn("begin", begin.cast("bigint")).select(*keys, "begin", F.when(F.col("cut_begin") == F.col("cut_stop"), F.col("begin")).otherwise(stop.cast("bigint")).alias("stop"))
+    rows = spans.join(texts, keys)
+    return rows.select(*keys, snapped(F.col("text"), F.col("cut_begin"), F.col("cut_stop")).alias("s")).select(*keys, "s.begin", "s.stop")
 
 
 def normalize_runs(runs: DataFrame, keys: list[str] = KEYS, style: str = "bold") -> DataFrame:
@@ -138,15 +152,33 @@ def replace_refs(runs: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
 
 
 def edit_delta(versions: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, order, prefix, removed, inserted): what changed since the version before, by the longest
-    common beginning and then the longest common end. The first version of a key has no row."""
+    """(key, order, begin, removed, inserted): what an input replaced since the version before.
+
+    versions: (key, order, text, sel_begin, sel_stop, input_type), the selection being that in the text
+    before. It snaps to graphemes; an empty one that deletes backward reaches left, forward right, by the
+    length lost. If the new text keeps what stands before and after it, the selection is what was replaced;
+    else the longest common beginning (not past the selection's start) and end (not past its end) bound
+    it. The first version of a key has no row.
+    """
     before = F.lag("text").over(Window.partitionBy(key).orderBy(order))
     rows = versions.withColumn("old", before).where("old is not null")
-    most = F.least(F.length("old"), F.length("text"))
-    rows = rows.withColumn("prefix", common_prefix(F.col("old"), F.col("text"), most))
-    rows = rows.withColumn("suffix", common_prefix(F.reverse("old"), F.reverse("text"), most - F.col("prefix")))
-    cut = lambda c: F.substring(c, F.col("prefix") + 1, F.length(c) - F.col("prefix") - F.col("suffix"))
-    return rows.select(key, order, F.col("prefix").cast("bigint").alias("prefix"), cut("old").alias("removed"), cut("text").alias("inserted"))
+    size, lost = F.length("old"), F.greatest(F.lit(0), F.length("old") - F.length("text"))
+    rows = rows.withColumn("s", snapped(F.col("old"), F.col("sel_begin"), F.col("sel_stop")))
+    empty = (F.col("s.begin") == F.col("s.stop")) & F.col("input_type").startswith("delete")
+    back = F.col("input_type").contains("Backward")
+    rows = rows.withColumn("a", F.when(empty & back, F.greatest(F.lit(0), F.col("s.begin") - lost)).otherwise(F.col("s.begin")))
+    rows = rows.withColumn("b", F.when(empty & ~back, F.least(size, F.col("s.stop") + lost)).otherwise(F.col("s.stop")))
+    rows = rows.withColumn("s", F.when(empty, snapped(F.col("old"), F.col("a"), F.col("b"))).otherwise(F.col("s"))).withColumn("a", F.col("s.begin").cast("int")).withColumn("b", F.col("s.stop").cast("int"))
+    head, tail = F.expr("substring(old, 1, a)"), F.expr("substring(old, b + 1)")
+    kept = F.col("text").startswith(head) & F.col("text").endswith(tail) & (F.length("text") >= F.col("a") + size - F.col("b"))
+    left = common_prefix(F.col("old"), F.col("text"), F.least("a", F.length("text")))
+    rows = rows.withColumn("kept", kept).withColumn("left", left)
+    right = common_prefix(F.reverse("old"), F.reverse("text"), F.least(size - F.col("b"), F.length("text") - F.col("left")))
+    wide = snapped(F.col("old"), F.col("left"), size - right)
+    rows = rows.withColumn("s", F.when(F.col("kept"), F.struct(F.col("a").cast("bigint").alias("begin"), F.col("b").cast("bigint").alias("stop"))).otherwise(wide))
+    removed = F.expr("substring(old, int(s.begin) + 1, int(s.stop - s.begin))")
+    inserted = F.expr("substring(text, int(s.begin) + 1, int(greatest(0, length(text) - (length(old) - s.stop) - s.begin)))")
+    return rows.select(key, order, F.col("s.begin").alias("begin"), removed.alias("removed"), inserted.alias("inserted"))
 
 
 def common_prefix(a: Column, b: Column, most: Column) -> Column:

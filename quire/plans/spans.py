@@ -94,7 +94,9 @@ def t7_replace_font_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def w11_edit_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.edit_delta(R.versions(spark, sf_dir), "conv_id", "turn")
+    """Turns of a conversation as versions of one text; the selection is a place that moves with the turn."""
+    v = R.versions(spark, sf_dir).withColumns({"sel_begin": F.expr("turn * 3"), "sel_stop": F.expr("turn * 3 + conv_id % 9"), "input_type": F.expr("element_at(array('insertText', 'deleteContentBackward', 'deleteContentForward'), int(turn % 3) + 1)")})
+    return op.edit_delta(v, "conv_id", "turn")
 
 
 @query("SELECT doc_id, line_no, CASE WHEN ok THEN text ELSE replace(text, ' ', '') END AS text, ok AS accepted FROM (SELECT doc_id, line_no, text, doc_id % 6 <> 0 OR position('e' IN text) = 0 AS ok FROM r_lines WHERE length(replace(text, ' ', '')) > 0)")

@@ -45,22 +45,34 @@ def test_normalisation_is_idempotent(spark):
     assert not spans.normalize_corpus(once.drop("changed")).where("changed").count()
 
 
+def delta(spark, old, new, begin, stop, kind="insertText"):
+    schema = "k long, t long, text string, sel_begin long, sel_stop long, input_type string"
+    v = spark.createDataFrame([(1, 1, old, 0, 0, ""), (1, 2, new, begin, stop, kind)], schema)
+    r = spans.edit_delta(v, "k", "t").first()
+    return r.begin, r.removed, r.inserted
+
+
 def test_edit_delta(spark):
-    v = spark.createDataFrame([(1, 1, "hello world"), (1, 2, "hello brave world"), (1, 3, "hello world"), (1, 4, "aaa"), (1, 5, "aa")], "k long, t long, text string")
-    got = {r.t: (r.prefix, r.removed, r.inserted) for r in spans.edit_delta(v, "k", "t").collect()}
-    assert got[2] == (6, "", "brave ") and got[3] == (6, "brave ", "") and got[5] == (2, "a", "")
+    assert delta(spark, "hello world", "hello brave world", 6, 6) == (6, "", "brave ")
+    assert delta(spark, "aaa", "aa", 2, 2, "deleteContentBackward") == (1, "a", "")  # not the last or first a
+    assert delta(spark, "aaa", "aa", 1, 1, "deleteContentForward") == (1, "a", "")
+    assert delta(spark, "abc", "aXc", 1, 2) == (1, "b", "X")
+    assert delta(spark, "teh cat", "the cat", 3, 3) == (1, "eh", "he")  # a correction reaches beyond the selection
+    assert delta(spark, "aa", "aaa", 1, 1) == (1, "", "a")
+    assert delta(spark, "x👨‍👩‍👧y", "xy", 6, 6, "deleteContentBackward") == (1, "👨‍👩‍👧", "")
 
 
 def test_edit_delta_rebuilds_every_version(spark, sf):
+    from quire.plans import all_queries
+
     rows = R.versions(spark, sf).collect()
-    text = {(r.conv_id, r.turn): r.text for r in rows}
-    order = {}
+    text, order = {(r.conv_id, r.turn): r.text for r in rows}, {}
     for r in sorted(rows, key=lambda r: (r.conv_id, r.turn)):
         order.setdefault(r.conv_id, []).append(r.turn)
-    for r in spans.edit_delta(R.versions(spark, sf), "conv_id", "turn").collect():
+    for r in all_queries()["w11_edit_delta"](spark, sf).collect():
         turns = order[r.conv_id]
         old = text[(r.conv_id, turns[turns.index(r.turn) - 1])]
-        assert old[: r.prefix] + r.inserted + old[r.prefix + len(r.removed) :] == text[(r.conv_id, r.turn)]
+        assert old[: r.begin] + r.inserted + old[r.begin + len(r.removed) :] == text[(r.conv_id, r.turn)]
 
 
 def test_rows_are_anchored_at_their_first_item(spark):
