@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quire.llm.common import ragged_take, text_batches
+from quire.llm.common import kept, ragged_take, text_batches
 
 NONE = np.int32(2**31 - 1)
 
@@ -191,15 +191,9 @@ def _table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), dtype=np.uint8), np.cumsum(length) - length, length
 
 
-_loaded: dict[int, Vocabulary] = {}
-
-
 def _vocabulary(data: bytes, pattern: str) -> Vocabulary:
-    key = hash((data, pattern))
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Vocabulary.load(data, pattern)
-    return _loaded[key]
+    key = hashlib.sha256(data + pattern.encode()).hexdigest()
+    return kept(key, lambda: Vocabulary.load(data, pattern))
 
 
 def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +228,7 @@ def bpe_decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "
     return encoded.select(id_col, ids_col).mapInArrow(run, f"id {kind}, content binary").withColumnRenamed("id", id_col)
 
 
-def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", step_bytes: int = 16 << 20) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", step_bytes: int = 8 << 20) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) for each row: encodes, decodes the ids, digests both.
 
     ids_sha256 is over the decimal ids joined by commas, decoded_sha256 over the decoded bytes. Null and

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.scratch import Scratch
+
 #: Text bytes that one step of a task handles at once.
 CHUNK_BYTES = 8 << 20
 
@@ -25,28 +26,25 @@ def held_out(key: Column, modulus: int, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-class Scratch:
-    """Parquet tables under spark.checkpoint.dir, which all executors share.
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, build: Callable[[], object]):
+    """What build() gives, made once in each Python worker; a worker keeps one such thing at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
 
-    The setting is read from the session. Only where it is unset, as in tests, a temporary folder of
-    this machine is used.
-    """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
-        self.base = f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back, which cuts its lineage."""
-        path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def settle() -> None:
+    """Gives the memory that a step has freed back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 #: Ids up to which a table of them is broadcast; a larger one is joined by a shuffle.
@@ -84,6 +82,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int =
             done = ends[begin - 1] if begin else 0
             stop = max(begin + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(begin, stop - begin)
+            settle()
             begin = stop
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import text_batches
+from quire.llm.common import Scratch, kept, most_frequent, text_batches
 
 ORDER = 3
 #: What stands before the first byte of a text.
@@ -76,7 +76,8 @@ class Statistics:
 def train(docs: DataFrame, max_grams: int = 1_000_000, lang_col: str = "lang", text_col: str = "text") -> Statistics:
     """Counts over all rows of docs with a language and a text; of them the max_grams most frequent are
     kept as the model, whose size is so bounded however much text and however many languages there are."""
-    rows = gram_counts(docs, lang_col, text_col).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
+    counts = Scratch(docs.sparkSession).save(gram_counts(docs, lang_col, text_col), "grams")
+    rows = most_frequent(counts, "n", max_grams).toPandas().sort_values(["lang", "gram"])
     langs = sorted(rows["lang"].unique())
     return Statistics(langs, rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64), rows["gram"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.float64))
 
@@ -173,9 +174,6 @@ class ContextTrees:
         return out
 
 
-_built: dict[str, ContextTrees] = {}
-
-
 def identify(docs: DataFrame, stats: Statistics, max_contexts: int = 8192, id_col: Column | str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, bits_per_byte) for each row of docs.
 
@@ -193,10 +191,7 @@ def identify(docs: DataFrame, stats: Statistics, max_contexts: int = 8192, id_co
             letters = np.array([bool(x) for x in batch.column(2).to_pylist()])
             pred, score, rate = np.full(len(letters), UNKNOWN, dtype=object), np.zeros(len(letters)), np.full(len(letters), np.nan)
             if shared is not None and letters.any():
-                if key not in _built:
-                    _built.clear()
-                    _built[key] = ContextTrees(shared.value, max_contexts)
-                trees, at = _built[key], np.flatnonzero(letters)
+                trees, at = kept(key, lambda: ContextTrees(shared.value, max_contexts)), np.flatnonzero(letters)
                 texts = [t for t, ok in zip(batch.column(1).cast(pa.binary()).to_pylist(), letters) if ok]
                 bits = trees.bits(texts)
                 best = bits.argmin(axis=1)
