@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, text_batches
+from quire.llm.common import Scratch, kept, most_frequent, text_batches
 
 SEGMENT = 512
 #: Distinct words that a task counts before it hands them on.
@@ -50,9 +50,10 @@ class Segments:
         self.following = np.where(self.last, -1, place[np.minimum(order + 1, len(doc) - 1)])
         #: rows of the n-th segments that have a next one
         self.chain = [place[np.flatnonzero((number == n) & (number < np.repeat(parts, parts) - 1))] for n in range(int(parts.max()) - 1)]
-
-    def active(self, t: int, rows: int) -> int:
-        return int(np.searchsorted(-self.length[:rows], -t, side="left"))
+        steps = np.arange(int(self.length[0]) + 1)
+        #: rows that are still going at each step, and their symbols there
+        self.alive = np.searchsorted(-self.length, -steps, side="left").tolist()
+        self.symbols = self.flat[np.minimum(self.start[None, :] + steps[:-1, None], len(self.flat) - 1)].astype(np.int32)
 
 
 @dataclass
@@ -69,14 +70,18 @@ class Hmm:
         move = np.full((states, states), 0.5 / states) + 0.5 * np.eye(states)
         return cls(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
+    def single(self) -> Hmm:
+        """In single precision, which is enough for expected counts."""
+        return Hmm(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
+
     def _transfers(self, seg: Segments) -> np.ndarray:
         """For each segment with a next one (those are the longest) its matrix, up to a factor."""
         rows = int((seg.length == SEGMENT).sum()) if seg.chain else 0
         s = len(self.start)
-        x = np.broadcast_to(np.eye(s), (rows, s, s)).copy()
+        x = np.broadcast_to(np.eye(s, dtype=self.move.dtype), (rows, s, s)).copy()
         if rows:
             for t in range(SEGMENT):
-                x *= self.emit[seg.flat[seg.start[:rows] + t]][:, None, :]
+                x *= self.emit[seg.symbols[t, :rows]][:, None, :]
                 x = (x.reshape(-1, s) @ self.move).reshape(rows, s, s)
                 if t % 8 == 7:
                     x /= x.max(axis=(1, 2), keepdims=True)
@@ -92,17 +97,16 @@ class Hmm:
 
     def forward(self, seg: Segments, transfer: np.ndarray, keep: list | None = None) -> np.ndarray:
         """log10 likelihood of each segment given what stands before it."""
-        state, total = self._entries(seg, transfer), np.zeros(len(seg.doc))
-        for t in range(int(seg.length[0])):
-            n = seg.active(t, len(state))
-            a = state[:n] * self.emit[seg.flat[seg.start[:n] + t]]
-            c = a.sum(axis=1)
+        state, scale = self._entries(seg, transfer), np.ones(seg.symbols.shape, dtype=self.move.dtype)
+        for t, symbols in enumerate(seg.symbols):
+            n = seg.alive[t]
+            a = state[:n] * self.emit[symbols[:n]]
+            c = scale[t, :n] = a.sum(axis=1)
             a /= c[:, None]
-            total[:n] += np.log10(c)
             if keep is not None:
                 keep.append(a)
             state = a @ self.move
-        return total
+        return np.log10(scale, dtype=np.float64).sum(axis=0)
 
     def log10_likelihood(self, sequences: list[np.ndarray]) -> np.ndarray:
         seg = Segments(sequences)
@@ -114,52 +118,55 @@ class Hmm:
         seg, s = Segments(sequences), len(self.start)
         transfer, alphas = self._transfers(seg), []
         likelihood = self.forward(seg, transfer, alphas).sum()
-        after = np.ones((len(seg.doc), s))  # value of each state before the next segment's first symbol
-
-        def back(rows: np.ndarray, gather: bool) -> np.ndarray:
-            """Backward pass over some segments; the value of each state before their first symbol."""
-            length = seg.length[rows]
-            value = np.empty((len(rows), s))
-            symbols, shares = [], []
-            for t in range(int(length[0]) - 1, -1, -1):
-                n = int(np.searchsorted(-length, -t, side="left"))
-                ended = int(np.searchsorted(-length, -t - 1, side="left"))  # rows before it go on after t
-                value[ended:n] = after[rows[ended:n]]
-                follow = value[:n]
-                post = follow @ self.move.T
-                final = np.zeros(n, dtype=bool)
-                final[ended:] = seg.last[rows[ended:n]]
-                post[final] = 1.0
-                sym = seg.flat[seg.start[rows[:n]] + t]
-                if gather:
-                    a = alphas[t][rows[:n]]
-                    joint = a * post
+        after = np.ones((len(seg.doc), s), dtype=self.move.dtype)  # value of each state before the next segment's first symbol
+
+        def back(rows: np.ndarray | None) -> np.ndarray:
+            """Backward pass; the value of each state before the first symbol of each segment. Over all
+            segments (rows None) it also adds up the counts."""
+            length = seg.length if rows is None else seg.length[rows]
+            steps = np.arange(int(length[0]) + 1)
+            alive = seg.alive if rows is None else np.searchsorted(-length, -steps, side="left").tolist()
+            value = np.empty((len(length), s), dtype=self.move.dtype)
+            last, entry = (seg.last, after) if rows is None else (seg.last[rows], after[rows])
+            shares = np.empty((int(length.sum()), s), dtype=self.move.dtype)
+            seen, at, turn = np.empty(len(shares), dtype=np.int32), 0, self.move.T.copy()
+            for t in range(len(steps) - 2, -1, -1):
+                n, ended = alive[t], alive[t + 1]  # rows from ended on have their last symbol here
+                value[ended:n] = entry[ended:n]
+                post = value[:n] @ turn
+                final = ended + np.flatnonzero(last[ended:n]) if ended < n else None
+                if final is not None:
+                    post[final] = 1
+                symbols = seg.symbols[t, :n] if rows is None else seg.symbols[t, rows[:n]]
+                if rows is None:
+                    joint = alphas[t] * post
                     norm = joint.sum(axis=1, keepdims=True)
-                    go = ~final
-                    moves_here = (a[go] / norm[go]).T @ follow[go]
-                    moves[...] += self.move * moves_here
                     joint /= norm
-                    symbols.append(sym)
-                    shares.append(joint)
+                    before = alphas[t] / norm
+                    if final is not None:
+                        before[final] = 0
+                    moves[...] += self.move * (before.T @ value[:n])
+                    seen[at : at + n], shares[at : at + n] = symbols, joint
+                    at += n
                     if t == 0:
-                        starts[...] += joint[seg.first[rows[:n]]].sum(axis=0)
-                u = post * self.emit[sym]
-                value[:n] = u / u.sum(axis=1, keepdims=True)
-            if gather:
-                sym, joint = np.concatenate(symbols), np.concatenate(shares)
+                        starts[...] += joint[seg.first[:n]].sum(axis=0)
+                post *= self.emit[symbols]
+                post /= post.sum(axis=1, keepdims=True)
+                value[:n] = post
+            if rows is None:
                 for k in range(s):
-                    emissions[:, k] += np.bincount(sym, weights=joint[:, k], minlength=len(emissions))
+                    emissions[:, k] += np.bincount(seen, weights=shares[:, k], minlength=len(emissions))
             return value
 
         if seg.chain:
             ends = np.flatnonzero(seg.last)
-            value = np.ones((len(seg.doc), s))
-            value[ends] = back(ends, gather=False)
+            value = np.ones((len(seg.doc), s), dtype=self.move.dtype)
+            value[ends] = back(ends)
             for rows in reversed(seg.chain):
                 after[rows] = value[seg.following[rows]]
                 out = np.einsum("nij,nj->ni", transfer[rows], after[rows])
                 value[rows] = out / out.sum(axis=1, keepdims=True)
-        back(np.arange(len(seg.doc)), gather=True)
+        back(None)
         return float(likelihood)
 
 
@@ -222,16 +229,10 @@ class Lexicon:
         return np.append(np.where((index < 0) | (index >= self.symbols), self.rare, index), self.end)
 
 
-_lexicons: dict[str, Lexicon] = {}
-
-
 def _lexicon(shared) -> Lexicon:
-    """The lexicon of a broadcast (key, fields), built once in each worker."""
+    """The lexicon of a broadcast (key, fields)."""
     key, fields = shared.value
-    if key not in _lexicons:
-        _lexicons.clear()
-        _lexicons[key] = Lexicon(*fields)
-    return _lexicons[key]
+    return kept(key, lambda: Lexicon(*fields))
 
 
 class Model:
@@ -241,7 +242,7 @@ class Model:
         self.key, self.fields, self.hmm, self.counts, self.scratch = key, lexicon, hmm, counts, scratch
 
 
-def train(docs: DataFrame, states: int = 6, symbols: int = 1 << 15, cached: int = 1 << 18, rounds: int = 3, prior: float = 0.5, text_col: str = "text") -> Model:
+def train(docs: DataFrame, states: int = 4, symbols: int = 1 << 15, cached: int = 1 << 17, rounds: int = 2, prior: float = 0.5, text_col: str = "text") -> Model:
     """Baum-Welch over every row of docs; a null text counts as empty.
 
     Word counts of the whole corpus stay a table. The `cached` most frequent words go to the tasks, the
@@ -254,16 +255,18 @@ def train(docs: DataFrame, states: int = 6, symbols: int = 1 << 15, cached: int
     counts = scratch.save(word_counts(docs, text_col), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     texts = docs.count()
-    top = counts.orderBy(F.desc("c"), "word").limit(cached).collect()
-    words = [r[0].encode() for r in top]
-    fields = (words, np.array([r[1] for r in top], dtype=np.int64), min(symbols, len(words)), total + texts, distinct + bool(texts), texts)
+    top = most_frequent(counts, "c", cached).toArrow()
+    words, sizes = top.column("word").cast(pa.binary()).to_pylist(), top.column("c").to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (-sizes[i], words[i]))
+    words, sizes = [words[i] for i in order], sizes[order].astype(np.int64) if order else np.empty(0, dtype=np.int64)
+    fields = (words, sizes, min(symbols, len(words)), total + texts, distinct + bool(texts), texts)
     lexicon = Lexicon(*fields)
     hmm = Hmm.initial(lexicon.share(), states)
     key = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast((key, fields))
     names = [f"s{k}" for k in range(states)]
     for _ in range(rounds if texts else 0):
-        now = spark.sparkContext.broadcast(hmm)
+        now = spark.sparkContext.broadcast(hmm.single())
 
         def run(batches, now=now):
             lex, model = _lexicon(shared), now.value
@@ -302,7 +305,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         known_log, rare_log = np.log10(lex.counts + 1.0), np.log10(lex.rare_total + lex.rare_distinct + 1.0)
         all_log, end_log = np.log10(lex.total + lex.distinct + 1.0), np.log10(lex.texts + 1.0)
         for batch in text_batches(batches, limit=4 << 20):
-            sequences, out = [], []
+            sequences, out, rarer, times, ends = [], [], [], [], [0]
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = tokens(text or b"")
                 index = lex.encode(words)
@@ -312,11 +315,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 n_rare = int((listed >= lex.symbols).sum()) + len(words) - len(listed)
                 base = known_log[listed].sum() + end_log - (len(words) + 1) * all_log
                 rare = known_log[listed[listed >= lex.symbols]].sum() - n_rare * rare_log
-                out.append((len(words) + 1, len(listed) + (lex.texts > 0), float(base), float(rare), [{"word": w.decode(), "n": n} for w, n in others.items()]))
-            scores = hmm.value.log10_likelihood(sequences)
-            columns = [pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))))]
-            columns[3] = pa.array(scores + np.array([o[3] for o in out]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_tokens", "n_known", "base_score", "score", "others"])
+                out.append((len(words) + 1, len(listed) + (lex.texts > 0), float(base), float(rare)))
+                rarer += others
+                times += others.values()
+                ends.append(len(rarer))
+            total = hmm.value.log10_likelihood(sequences) + np.array([o[3] for o in out])
+            pairs = pa.StructArray.from_arrays([pa.array(rarer, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["word", "n"])
+            columns = [pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(total), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["id", "n_tokens", "n_known", "base_score", "score", "others"])
 
     schema = f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, others array<struct<word string, n bigint>>"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
