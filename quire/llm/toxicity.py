@@ -97,12 +97,12 @@ def fit(rows: list[tuple[int, list[int], list[int] | None]], size: int, prior: f
     return b, w
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_features: int = 5000, least_z: float = 4.0, penalty: float = 1.0, groups=IDENTITIES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_features: int = 5000, least_z: float = 4.0, least_lift: float = 2.0, penalty: float = 1.0, groups=IDENTITIES) -> Model:
     """A model from the documents of `labels` (doc_id, toxic).
 
     At most max_rows documents of each class are used, those with the smallest hash of their id; the share
     of the classes in all given labels sets the prior. Features are counted on the executors; those whose
-    class shares differ by least_z standard errors are kept, the max_features largest differences. Only
+    class shares differ by least_z standard errors and the factor least_lift are kept, the max_features largest differences. Only
     counts, kept features and index lists of the bounded sample reach the driver. A document labelled
     twice counts as toxic if any label says so; labels other than 0 and 1 are ignored. Without both
     classes the model is a constant.
@@ -132,7 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_features
     counts = sample.mapInArrow(count, "feature string, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n0 + 1 / n1))
-    kept = counts.where("n0 + n1 >= 5").select("feature", F.abs(z).alias("z")).where(F.col("z") >= least_z)
+    share0, share1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
+    lift = F.greatest(share1 / share0, share0 / share1)
+    kept = counts.where("n0 + n1 >= 5").where(lift >= least_lift).select("feature", F.abs(z).alias("z")).where(F.col("z") >= least_z)
     names = [r[0] for r in kept.orderBy(F.desc("z"), "feature").limit(max_features).collect()]
     terms = {f for group in groups for term in group for f in features_of(term)}
     index = {f: i for i, f in enumerate([*names, *sorted(terms - set(names))])}
