@@ -112,20 +112,18 @@ def grapheme_counts(docs: DataFrame, keys: list[str] = KEYS, text_col: str = "te
 
 
 def snapped(text: Column, begin: Column, stop: Column) -> Column:
-    """struct(begin, stop): [begin, stop) widened to grapheme edges, in one pass over the graphemes; an empty
-    span snaps left."""
-    low, high = F.greatest(F.lit(0), F.least(begin, F.length(text))).cast("int"), F.least(F.greatest(begin, stop), F.length(text)).cast("int")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("left"), F.when(high <= 0, 0).cast("int").alias("right"))
+    """struct(begin, stop): [begin, stop) widened to grapheme edges; an empty span snaps left.
 
-    def step(acc: Column, g: Column) -> Column:
-        at = acc["at"] + F.length(g)
-        return F.struct(at.alias("at"), F.when(at <= low, at).otherwise(acc["left"]).alias("left"), F.coalesce(acc["right"], F.when(at >= high, at)).alias("right"))
-
-    def finish(acc: Column) -> Column:
-        right = F.when(low == high, acc["left"]).otherwise(F.coalesce(acc["right"], F.length(text)))
-        return F.struct(acc["left"].cast("bigint").alias("begin"), right.cast("bigint").alias("stop"))
-
-    return F.aggregate(graphemes(text), start, step, finish)
+    Where a text is cut, only the last grapheme before the cut can be another than in the whole text. So if
+    n graphemes stand before the cut, the edges around it are those after n - 1 and n graphemes.
+    """
+    low = F.greatest(F.lit(0), F.least(begin, F.length(text))).cast("int")
+    high = F.least(F.greatest(low, stop), F.length(text)).cast("int")
+    count = lambda at: F.size(graphemes(F.substring(text, F.lit(1), at)))
+    edge = lambda n: F.length(F.array_join(F.slice(graphemes(text), F.lit(1), n), ""))
+    left = F.when(edge(count(low)) == low, low).otherwise(edge(F.greatest(F.lit(0), count(low) - 1)))
+    right = F.when(low == high, left).otherwise(edge(count(high)))
+    return F.struct(left.cast("bigint").alias("begin"), right.cast("bigint").alias("stop"))
 
 
 def snap_spans(spans: DataFrame, texts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
