@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontaminate, langid, linededup, simhash
-from quire.llm.common import Scratch, documents, held_out, without
+from quire.llm.common import Scratch, documents, held_out, small_batches, without
 from quire.llm.queries import RANK_FILE
 
 #: Bits a byte above which a text is like none of the languages; a learned language takes about 2.
@@ -47,7 +47,18 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
+def bounded(stage):
+    """The stage, with small batches for Python workers."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [("language ID", language), ("line dedup", lines), ("near-dedup", near_duplicates), ("decontamination", benchmark_leaks), ("encoding", encoding)]
+STAGES = [(name, bounded(stage)) for name, stage in STAGES]
 ORACLE_SQL = None
 
 

@@ -94,9 +94,9 @@ class Vocabulary:
         n = len(symbol)
         if not n:
             return symbol, sizes
-        owner = np.repeat(np.arange(len(pieces)), sizes)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         # position n is a sentinel that stands for "no neighbour"
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         ends = np.cumsum(sizes)
         after[ends[sizes > 0] - 1] = n
         before[(ends - sizes)[sizes > 0]] = n
@@ -228,7 +228,7 @@ def bpe_decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "
     return encoded.select(id_col, ids_col).mapInArrow(run, f"id {kind}, content binary").withColumnRenamed("id", id_col)
 
 
-def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", step_bytes: int = 8 << 20) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", step_bytes: int = 4 << 20) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) for each row: encodes, decodes the ids, digests both.
 
     ids_sha256 is over the decimal ids joined by commas, decoded_sha256 over the decoded bytes. Null and

@@ -17,7 +17,15 @@ from quire.functions.scratch import Scratch
 CHUNK_BYTES = 8 << 20
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lets Spark hand at most so many rows at once to Python workers, as a row may be a long text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
