@@ -247,7 +247,7 @@ def duplicate_lines(docs: DataFrame, q: int = 8, threshold: float = 0.8, id_col:
     several = plain.join(member, ["nid", "twin"], "left").where("n > 1 or component is not null")
     several = scratch.save(several.select("nid", "twin", "at", "component"), "several")
     stays = several.where("component is not null").groupBy("component").agg(F.min("at").alias("stay"))
-    several = several.join(stays, "component", "left").select("nid", "twin", F.coalesce("stay", "at").alias("stay"))
+    several = several.join(scratch.save(stays, "stays"), "component", "left").select("nid", "twin", F.coalesce("stay", "at").alias("stay"))
     gone = occ.select("nid", "twin", "doc", "line").join(several, ["nid", "twin"]).where("struct(doc, line) <> stay")
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
