@@ -242,7 +242,7 @@ class Model:
         self.key, self.fields, self.hmm, self.counts, self.scratch = key, lexicon, hmm, counts, scratch
 
 
-def train(docs: DataFrame, states: int = 4, symbols: int = 1 << 15, cached: int = 1 << 17, rounds: int = 2, prior: float = 0.5, text_col: str = "text") -> Model:
+def train(docs: DataFrame, states: int = 6, symbols: int = 1 << 15, cached: int = 1 << 17, rounds: int = 3, prior: float = 0.5, text_col: str = "text") -> Model:
     """Baum-Welch over every row of docs; a null text counts as empty.
 
     Word counts of the whole corpus stay a table. The `cached` most frequent words go to the tasks, the

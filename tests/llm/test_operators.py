@@ -399,6 +399,22 @@ def test_hmm_is_a_distribution(spark):
     assert 0.5 < got <= 1.0
 
 
+def test_hmm_trains_three_rounds_of_six_states(spark):
+    rows = [(i, t) for i, t in enumerate(["the cat sat", "a dog ran far", "the dog sat", "", "a cat ran"] * 4)]
+    model = hmm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    lexicon = hmm.Lexicon(*model.fields)
+    sequences = [lexicon.sequence(lexicon.encode(hmm.tokens(t.encode()))) for _, t in rows]
+    plain = hmm.Hmm.initial(lexicon.share(), 6)
+    for _ in range(3):
+        start, move, emit = sums = np.zeros(6), np.zeros((6, 6)), np.zeros((lexicon.end + 1, 6))
+        plain.expect(sequences, sums)
+        start, move, emit = start + 0.5, move + 0.5, emit + 0.5 * 6 * lexicon.share()[:, None]
+        plain = hmm.Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    assert model.hmm.emit.shape == plain.emit.shape
+    for got, want in ((model.hmm.start, plain.start), (model.hmm.move, plain.move), (model.hmm.emit, plain.emit)):
+        assert np.allclose(got, want, atol=1e-4)
+
+
 def test_hmm_edges(edge, empty):
     for train in (edge, empty):
         got = hmm.score(edge, hmm.train(train)).collect()
