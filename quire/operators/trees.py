@@ -8,29 +8,28 @@ from pyspark.sql import functions as F
 from quire.functions.scratch import Scratch
 
 
-def ancestors(tree: DataFrame, most: int = 64) -> DataFrame:
-    """(node, ancestor, depth), the node itself at depth 0. A cycle ends where it closes; `most` bounds the
-    number of rounds, each of which is one join of the frontier with the edges, written so that the next
-    round starts from a table."""
+def ancestors(tree: DataFrame) -> DataFrame:
+    """(node, ancestor, depth), the node itself at depth 0, however deep the tree is. A cycle ends where it closes,
+    so the frontier runs empty in the end. A round is one join of the frontier with the edges, written so that the
+    next round starts from a table; all rounds lie in one folder, read as one table."""
     scratch = Scratch(tree.sparkSession)
     tree = scratch.save(tree.select("node", "parent"), "tree")
     edges = tree.where("parent is not null").select(F.col("node").alias("child"), "parent")
     step = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"), F.array("node").alias("seen"))
-    out = step
-    for depth in range(1, most + 1):
+    schema, depth = step.schema, 0
+    step = scratch.save(step, "up/0")
+    while not step.isEmpty():
+        depth += 1
         step = step.join(edges, F.col("ancestor") == F.col("child")).where(~F.expr("array_contains(seen, parent)"))
         step = step.select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("seen", F.array("parent")).alias("seen"))
-        step = scratch.save(step, f"depth-{depth}")
-        if step.isEmpty():
-            break
-        out = out.unionByName(step)
-    return out.select("node", "ancestor", "depth")
+        step = scratch.save(step, f"up/{depth}")
+    return tree.sparkSession.read.schema(schema).parquet(f"{scratch.base}/up/*").select("node", "ancestor", "depth")
 
 
-def inherit_attribute(tree: DataFrame, most: int = 64) -> DataFrame:
+def inherit_attribute(tree: DataFrame) -> DataFrame:
     """H1: (node, value): the nearest value that isn't null on the way to the root, the node's own first."""
     values = tree.where("value is not null").select(F.col("node").alias("ancestor"), "value")
-    found = ancestors(tree, most).join(values, "ancestor").groupBy("node").agg(F.min_by("value", "depth").alias("value"))
+    found = ancestors(tree).join(values, "ancestor").groupBy("node").agg(F.min_by("value", "depth").alias("value"))
     return tree.select("node").join(found, "node", "left")
 
 
@@ -43,11 +42,11 @@ def duplicate_capability(pages: DataFrame, widgets: DataFrame, fields: DataFrame
     return rows.select("doc_id", "page_no", (~F.coalesce("xfa", F.lit(False)) & F.col("signed").isNull()).alias("may_copy"))
 
 
-def resolve_aliases(aliases: DataFrame, targets: DataFrame, most: int = 64) -> DataFrame:
+def resolve_aliases(aliases: DataFrame, targets: DataFrame) -> DataFrame:
     """H3: (name, target, status): names followed to a concrete target: ok, cycle, or missing (keeps its alias)."""
     tree = aliases.select(F.col("name").alias("node"), F.col("to").alias("parent"))
     nodes = tree.unionByName(tree.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")).join(tree.select("node"), "node", "left_anti").distinct())
-    chain = ancestors(nodes, most).join(targets.select(F.col("name").alias("ancestor"), F.col("target")), "ancestor", "left")
+    chain = ancestors(nodes).join(targets.select(F.col("name").alias("ancestor"), F.col("target")), "ancestor", "left")
     ends = nodes.where("parent is null").select(F.col("node").alias("ancestor"), F.lit(True).alias("end"))
     g = chain.join(ends, "ancestor", "left").groupBy("node").agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("depth"))).alias("target"), F.max("end").alias("end"))
     g = aliases.select(F.col("name").alias("node"), "to").join(g, "node")
@@ -55,12 +54,12 @@ def resolve_aliases(aliases: DataFrame, targets: DataFrame, most: int = 64) -> D
     return g.select(F.col("node").alias("name"), F.coalesce("target", "to").alias("target"), status.alias("status"))
 
 
-def prune_tree(tree: DataFrame, most: int = 64) -> DataFrame:
+def prune_tree(tree: DataFrame) -> DataFrame:
     """H4: the nodes that stay: those that are, or have below them, a childless node that isn't deleted (`gone`)
     and has no deleted ancestor."""
     scratch = Scratch(tree.sparkSession)
     tree = scratch.save(tree, "tree")
-    up = ancestors(tree, most)
+    up = ancestors(tree)
     dead = up.join(tree.where("gone").select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node").distinct()
     leaves = tree.select("node").join(tree.select(F.col("parent").alias("node")), "node", "left_anti").join(dead, "node", "left_anti")
     alive = up.join(leaves, "node", "left_semi").select(F.col("ancestor").alias("node")).distinct()
@@ -86,10 +85,10 @@ def tree_consistency(edges: DataFrame, pointers: DataFrame, widgets: DataFrame,
     return twice.unionByName(wrong).unionByName(two).unionByName(gone).unionByName(outside).distinct()
 
 
-def clone_subtree(tree: DataFrame, roots: DataFrame, copy: str, most: int = 64) -> DataFrame:
+def clone_subtree(tree: DataFrame, roots: DataFrame, copy: str) -> DataFrame:
     """H7: the tree and, for each root (node), a copy of its subtree under new ids: references inside go to the
     copies, the root's own parent stays shared. New ids are a hash of the copy's name and the old id."""
-    inside = ancestors(tree, most).join(roots.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node").distinct()
+    inside = ancestors(tree).join(roots.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node").distinct()
     ids = inside.select("node", F.concat(F.lit(f"{copy}-"), F.substring(F.sha2(F.concat_ws("/", F.lit(copy), "node"), 256), 1, 16)).alias("new"))
     rows = tree.join(ids, "node").join(ids.select(F.col("node").alias("parent"), F.col("new").alias("new_parent")), "parent", "left")
     copies = rows.withColumn("node", F.col("new")).withColumn("parent", F.coalesce("new_parent", "parent")).select(*tree.columns)

@@ -137,6 +137,15 @@ def test_cycles_end(spark):
     assert {r.node: r.value for r in trees.inherit_attribute(tree).collect()} == {"a": "C", "b": "C", "c": "C", "d": "D"}
 
 
+def test_a_chain_deeper_than_64_is_followed_to_its_root(spark):
+    names = [f"n{i:02}" for i in range(70)]
+    tree = spark.createDataFrame([(n, p, None if p else "top") for n, p in zip(names, [None, *names])], "node string, parent string, value string")
+    assert {r.node: r.value for r in trees.inherit_attribute(tree).collect()} == dict.fromkeys(names, "top")
+    aliases = spark.createDataFrame(list(zip(names[1:], names)), "name string, to string")
+    got = trees.resolve_aliases(aliases, spark.createDataFrame([(names[0], "page")], "name string, target string"))
+    assert {(r.name, r.target, r.status) for r in got.collect()} == {(n, "page", "ok") for n in names[1:]}
+
+
 def test_ambiguous_glyph_is_missing(spark):
     seen = spark.createDataFrame([(1, 65, 7), (1, 65, 8), (1, 66, 9)], "font long, cp long, gid long")
     used = spark.createDataFrame([(1, 65), (1, 66), (1, 67)], "font long, cp long")
