@@ -4,8 +4,8 @@ For each language a variable-order byte context tree gives each byte a code leng
 seen the byte, -log2(n / (N + d)); where it hasn't, the escape -log2(d / (N + d)) and the code length in
 the next shorter context, with the bytes of the longer one excluded (d distinct bytes in N). Below the
 empty context all bytes not yet seen are equally likely. Statistics are frozen after training, so the code
-length of a byte is a function of its context and can be tabulated; a text is scored by one table look-up
-for each of its bytes. The language with the fewest bits wins.
+length of a byte is a function of its context: it is worked out once for each distinct gram of a window of
+text, from sorted tables of all grams and contexts seen. The language with the fewest bits wins.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, kept, most_frequent, text_batches
+from quire.llm.common import Scratch, kept, text_batches
 
 ORDER = 3
 #: What stands before the first byte of a text.
@@ -73,95 +73,115 @@ class Statistics:
     n: np.ndarray
 
 
-def train(docs: DataFrame, max_grams: int = 1_000_000, lang_col: str = "lang", text_col: str = "text") -> Statistics:
-    """Counts over all rows of docs with a language and a text; of them the max_grams most frequent are
-    kept as the model, whose size is so bounded however much text and however many languages there are."""
-    counts = Scratch(docs.sparkSession).save(gram_counts(docs, lang_col, text_col), "grams")
-    rows = most_frequent(counts, "n", max_grams).toPandas().sort_values(["lang", "gram"])
-    langs = sorted(rows["lang"].unique())
-    return Statistics(langs, rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64), rows["gram"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.float64))
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Statistics:
+    """Counts over all rows of docs with a language and a text. All of them are the model, so every language
+    learned can be predicted; its size is the number of distinct grams of each language."""
+    rows = Scratch(docs.sparkSession).save(gram_counts(docs, lang_col, text_col), "grams").toArrow()
+    names = rows.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    place = np.array([langs.index(x) for x in names.dictionary.to_pylist()], dtype=np.int64)
+    lang, gram = place[names.indices.to_numpy()], rows.column("gram").to_numpy()
+    order = np.lexsort((gram, lang))
+    return Statistics(langs, lang[order], gram[order], rows.column("n").to_numpy()[order].astype(np.float64))
+
+
+@dataclass
+class Level:
+    """All grams and contexts of one order, sorted; the language stands above the bytes in each key."""
+
+    grams: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
+    total: np.ndarray
+    distinct: np.ndarray
+    #: log2 of counts, and for each context of total + distinct; cost of its escape
+    log: np.ndarray
+    norm: np.ndarray
+    escape: np.ndarray
+    #: the same of the next shorter context without what this one has seen
+    rest_norm: np.ndarray
+    rest_escape: np.ndarray
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key in the sorted keys, and whether it is there."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted
+
+
+def _suffix(keys: np.ndarray, size: int) -> np.ndarray:
+    """Keys of `size` bytes without their first byte."""
+    return keys >> 8 * size << 8 * (size - 1) | keys & (1 << 8 * (size - 1)) - 1
 
 
 class ContextTrees:
-    """Code-length tables of all languages over shared context nodes.
+    """Code lengths in all languages, with every context seen as a node.
 
-    max_contexts: the most frequent contexts of each order that get a node; text in another context is
-    coded from its longest suffix that has one.
+    tabulated: of so many of the most frequent grams the code lengths are kept at hand; those of others are
+    worked out when they occur, with the same result.
     """
 
-    def __init__(self, stats: Statistics, max_contexts: int = 8192):
-        size = len(stats.langs)
-        grams = np.stack([stats.gram >> s & 255 for s in (24, 16, 8, 0)], axis=1)
-        used = np.unique(np.append(grams, 10))
-        self.symbol = np.zeros(256, dtype=np.int32)  # 0: a byte that no training text has
-        self.symbol[used] = np.arange(1, len(used) + 1)
-        a = self.alphabet = len(used) + 1
-        grams = self.symbol[grams].astype(np.int64)
-        # order 0 has one node, order 1 all bytes, orders 2 and 3 the most frequent contexts
-        code = np.zeros(len(grams), dtype=np.int64)
-        nodes, where = [np.zeros(1, dtype=np.int64)], [code]
-        node_of = np.zeros(1, dtype=np.int32)  # context code to row, over the contexts of one order
-        tables: list[np.ndarray] = []
-        counts = np.zeros((1, a, size))
-        np.add.at(counts[0], (grams[:, 3], stats.lang), stats.n)
-        seen = counts > 0
-        distinct, total = seen.sum(axis=1), counts.sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            below = np.broadcast_to(np.log2(np.maximum(a - distinct, 1.0))[:, None, :], counts.shape)
-            tables.append(self._coded(counts, seen, total, distinct, below))
-            base = 0
-            for order in range(1, ORDER + 1):
-                code = code + grams[:, 3 - order] * a ** (order - 1)
-                weight = np.bincount(code, weights=stats.n) if order < 3 else None
-                if order < 3:
-                    kept = np.flatnonzero(weight)
-                    kept = kept[np.argsort(-weight[kept], kind="stable")][: max(max_contexts, a)]
-                else:
-                    values, inverse = np.unique(code, return_inverse=True)
-                    weight = np.bincount(inverse, weights=stats.n)
-                    kept = values[np.argsort(-weight, kind="stable")][:max_contexts]
-                parent_row = node_of[kept % a ** (order - 1)] - base  # rows of the order below, if it has them
-                kept, parent_row = kept[parent_row >= 0], parent_row[parent_row >= 0]
-                lookup = np.full(a**order, -1, dtype=np.int32)
-                lookup[kept] = np.arange(len(kept))
-                row = lookup[code]
-                new = np.zeros((len(kept), a, size))
-                np.add.at(new, (row[row >= 0], grams[row >= 0, 3], stats.lang[row >= 0]), stats.n[row >= 0])
-                new_seen = new > 0
-                new_distinct, new_total = new_seen.sum(axis=1), new.sum(axis=1)
-                # coding by the parent, without what this node has seen
-                left = (total[parent_row] - (counts[parent_row] * new_seen).sum(axis=1))[:, None, :]
-                fresh = (distinct[parent_row] - new_distinct)[:, None, :]
-                hit = -np.log2(counts[parent_row] / (left + fresh))
-                escape = np.where(fresh > 0, -np.log2(fresh / (left + fresh)), 0.0)
-                below = np.where(seen[parent_row], hit, escape + below[parent_row]).astype(np.float32)
-                tables.append(self._coded(new, new_seen, new_total, new_distinct, below))
-                # contexts without a node use that of their longest suffix
-                next_base = base + len(tables[-2])
-                shorter = np.arange(a**order) % a ** (order - 1)
-                node_of = np.where(lookup >= 0, lookup + next_base, node_of[shorter]).astype(np.int32)
-                base, counts, seen, distinct, total = next_base, new, new_seen, new_distinct, new_total
-        self.node_of = node_of
-        self.cost = np.concatenate(tables).astype(np.float32).reshape(-1, size)
+    def __init__(self, stats: Statistics, tabulated: int = 1 << 18):
         self.langs = stats.langs
+        self.alphabet = len(np.unique(np.append([stats.gram >> s & 255 for s in (24, 16, 8, 0)], 10))) + 1
+        self.levels: list[Level] = []
+        for order in range(ORDER + 1):
+            size = order + 1
+            grams, counts = _merge(stats.lang.astype(np.int64) << 8 * size | stats.gram & (1 << 8 * size) - 1, stats.n)
+            contexts, first = np.unique(grams >> 8, return_index=True)
+            total, distinct = np.add.reduceat(counts, first), np.diff(np.append(first, len(grams)))
+            norm = np.log2(total + distinct)
+            rest_norm = rest_escape = np.zeros(len(contexts))
+            if order:
+                up = self.levels[-1]
+                at, _ = _find(up.contexts, _suffix(contexts, order))
+                left = up.total[at] - np.add.reduceat(up.counts[_find(up.grams, _suffix(grams, size))[0]], first)
+                fresh = up.distinct[at] - distinct
+                rest_norm = np.log2(np.maximum(left + fresh, 1))
+                rest_escape = np.where(fresh > 0, rest_norm - np.log2(np.maximum(fresh, 1)), 0.0)
+            self.levels.append(Level(grams, counts, contexts, total, distinct, np.log2(counts), norm, norm - np.log2(distinct), rest_norm, rest_escape))
+        known, weight = _merge(stats.gram, stats.n)
+        if len(known) > tabulated:
+            known = np.sort(known[np.argpartition(-weight, tabulated)[:tabulated]])
+        self.known, self.cost = known, self.codes(known)
+
+    def codes(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each gram after the bytes before it, in each language."""
+        out = np.empty((len(grams), len(self.langs)), dtype=np.float32)
+        for lang in range(len(self.langs)):
+            before = cost = below = None
+            for order, level in enumerate(self.levels):
+                key = lang << 8 * (order + 1) | grams & (1 << 8 * (order + 1)) - 1
+                at, hit = _find(level.grams, key)
+                node, there = _find(level.contexts, key >> 8)
+                log = level.log[at]
+                if order:
+                    below = np.where(before[1], level.rest_norm[node] - before[0], level.rest_escape[node] + below)
+                else:
+                    below = cost = np.log2(np.maximum(self.alphabet - np.where(there, level.distinct[node], 0), 1.0))
+                # a context not seen in the language codes as its suffix does
+                cost = np.where(there, np.where(hit, level.norm[node] - log, level.escape[node] + below), cost)
+                before = log, hit
+            out[:, lang] = cost
+        return out
 
-    @staticmethod
-    def _coded(counts, seen, total, distinct, below):
-        hit = -np.log2(counts / (total + distinct)[:, None, :])
-        escape = np.where(distinct > 0, -np.log2(distinct / (total + distinct)), 0.0)[:, None, :]
-        return np.where(seen, hit, escape + below).astype(np.float32)
+    def _costs(self, grams: np.ndarray) -> np.ndarray:
+        at, hit = _find(self.known, grams)
+        out = self.cost[at]
+        out[~hit] = self.codes(grams[~hit])
+        return out
 
     def bits(self, texts: list[bytes], window: int = 1 << 19) -> np.ndarray:
         """Code length of each text in each language."""
         out = np.zeros((len(texts), len(self.langs)))
-        data = self.symbol[np.frombuffer(LEAD + LEAD.join(texts), dtype=np.uint8)]
+        data = np.frombuffer(LEAD + LEAD.join(texts), dtype=np.uint8).astype(np.uint32)
         ends = np.cumsum([len(t) + ORDER for t in texts])
         owner_starts = ends - np.array([len(t) for t in texts])
-        a = self.alphabet
         for begin in range(ORDER, len(data), window):
             s = data[begin - ORDER : begin + window]
-            context = (s[:-3] * np.int32(a) + s[1:-2]) * np.int32(a) + s[2:-1]
-            cost = self.cost[self.node_of[context].astype(np.int64) * a + s[3:]]
+            grams, which = np.unique(s[:-3] << 24 | s[1:-2] << 16 | s[2:-1] << 8 | s[3:], return_inverse=True)
+            cost = self._costs(grams.astype(np.int64))[which]
             stop = begin + len(cost)
             first, last = np.searchsorted(ends, begin, side="right"), np.searchsorted(owner_starts, stop, side="left")
             low = np.clip(owner_starts[first:last], begin, stop) - begin
@@ -174,7 +194,7 @@ class ContextTrees:
         return out
 
 
-def identify(docs: DataFrame, stats: Statistics, max_contexts: int = 8192, id_col: Column | str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, stats: Statistics, id_col: Column | str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, bits_per_byte) for each row of docs.
 
     score is the posterior probability of the language that codes the text in the fewest bits, all
@@ -191,7 +211,7 @@ def identify(docs: DataFrame, stats: Statistics, max_contexts: int = 8192, id_co
             letters = np.array([bool(x) for x in batch.column(2).to_pylist()])
             pred, score, rate = np.full(len(letters), UNKNOWN, dtype=object), np.zeros(len(letters)), np.full(len(letters), np.nan)
             if shared is not None and letters.any():
-                trees, at = kept(key, lambda: ContextTrees(shared.value, max_contexts)), np.flatnonzero(letters)
+                trees, at = kept(key, lambda: ContextTrees(shared.value)), np.flatnonzero(letters)
                 texts = [t for t, ok in zip(batch.column(1).cast(pa.binary()).to_pylist(), letters) if ok]
                 bits = trees.bits(texts)
                 best = bits.argmin(axis=1)

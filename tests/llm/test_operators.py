@@ -115,6 +115,24 @@ def test_language_codes_are_exact(texts):
         assert np.allclose(got[1], [cost("a", text), cost("b", text)], atol=1e-3) and not got[2].any()
 
 
+def test_language_nodes_of_all_contexts():
+    rng = np.random.default_rng(3)
+    grams = np.unique(rng.integers(97, 123, size=(60_000, 4)) @ (1 << np.array([24, 16, 8, 0])))
+    lang = np.repeat([0, 1], len(grams))
+    stats = langid.Statistics(["a", "b"], lang, np.tile(grams, 2), rng.integers(1, 9, size=len(lang)).astype(float))
+    assert len(np.unique(grams >> 8)) > 8192
+    some = [bytes(rng.integers(96, 124, size=500).astype(np.uint8)) for _ in range(20)]
+    want = langid.ContextTrees(stats, 10**9).bits(some)
+    for trees in (langid.ContextTrees(stats), langid.ContextTrees(stats, 1)):
+        assert np.allclose(trees.bits(some), want)
+
+
+def test_small_language_stays_beside_a_large_one(spark):
+    noise = bytes(np.random.default_rng(4).integers(48, 112, size=1_300_000).astype(np.uint8)).decode()
+    stats = langid.train(spark.createDataFrame([("large", noise), ("small", "tvrtko zna put")], "lang string, text string"))
+    assert stats.langs == ["large", "small"] and (stats.lang == 0).sum() > 1_000_000 and (stats.lang == 1).sum() == 14
+
+
 def test_language_held_out_accuracy(docs):
     stats = langid.train(docs.where(~held_out(F.col("doc_id"), 4)))
     got = docs.where(held_out(F.col("doc_id"), 4)).select("doc_id", "lang", "text")
