@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,9 +120,31 @@ def range_overlap(parts: DataFrame) -> DataFrame:
 
 
 def fingerprint_partitions(files: DataFrame, version: str) -> DataFrame:
-    """(source, fingerprint): hash of the job version and the sorted listing of path, size and time."""
-    row = F.concat_ws("|", "path", "size", "modified")
-    return files.groupBy("source").agg(F.sha2(F.concat(F.lit(version + "\n"), F.array_join(F.array_sort(F.collect_list(row)), "\n")), 256).alias("fingerprint"))
+    """(source, fingerprint): hash of the job version and the sorted listing of path, size and time. The sorted
+    rows of a source pass one running hash, so its listing is never held."""
+    rows = files.select("source", F.concat_ws("|", "path", "size", "modified").alias("row"))
+    kind = rows.schema["source"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest, sources = None, None, None
+        for batch in batches:
+            done, sources = [], batch.schema.field("source").type
+            for source, row in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                if digest is None or source != at:
+                    if digest is not None:
+                        done.append((at, digest.hexdigest()))
+                    at, digest = source, hashlib.sha256(f"{version}\n".encode() + row)
+                else:
+                    digest.update(b"\n" + row)
+            if done:
+                yield stamped(done, sources)
+        if digest is not None:
+            yield stamped([(at, digest.hexdigest())], sources)
+
+    def stamped(done: list[tuple], sources: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], sources), pa.array([d[1] for d in done], pa.string())], ["source", "fingerprint"])
+
+    return rows.repartition("source").sortWithinPartitions("source", "row").mapInArrow(run, f"source {kind}, fingerprint string")
 
 
 def stale_sources(now: DataFrame, stamps: DataFrame) -> DataFrame:

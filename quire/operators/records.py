@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 FORMATS = ("docx", "hwp", "hwpx", "pptx")
@@ -121,20 +124,40 @@ def fold_upserts(store: DataFrame, incoming: DataFrame) -> DataFrame:
     """M1 for several incoming rows of one id: they are tried in order of arrival (`ord`), a refused row never
     becoming the base of the next try. (id, sequence, revision, modified, applied), one row for each id.
 
-    The fold runs inside an aggregate over each id's sorted array, so an id's rows must fit one row.
+    The log is sorted by Spark and passes by in batches, so an id's rows are never held together; what is held is
+    one state. A comparison with a null refuses the row.
     """
     fields = ("sequence", "revision", "modified", "format", "source_hash", "source_name")
     rows = store.select("id", F.lit(-1).cast("bigint").alias("ord"), *fields).unionByName(incoming.select("id", "ord", *fields))
-    log = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("log"))
-    start = F.struct(*[F.col("log")[0][f].alias(f) for f in fields], F.lit(0).cast("bigint").alias("applied"))
-
-    def step(acc: Column, x: Column) -> Column:
-        same = reduce(lambda a, b: a & b, [acc[c].eqNullSafe(x[c]) for c in ("format", "source_hash", "source_name")])
-        ok = same & (x["sequence"] > acc["sequence"]) & (x["revision"] >= acc["revision"]) & (~acc["modified"] | x["modified"])
-        return F.struct(*[F.when(ok, x[f]).otherwise(acc[f]).alias(f) for f in fields], (acc["applied"] + ok.cast("bigint")).alias("applied"))
-
-    done = log.select("id", F.aggregate(F.slice("log", 2, F.greatest(F.size("log") - 1, F.lit(0))), start, step).alias("r"))
-    return done.select("id", *[F.col(f"r.{f}").alias(f) for f in ("sequence", "revision", "modified", "applied")])
+    rows = rows.repartition("id").sortWithinPartitions("id", "ord", *fields)
+
+    def accepts(old: tuple, new: tuple) -> bool:
+        if old[3:] != new[3:] or None in (*old[:2], *new[:2]):
+            return False
+        return new[0] > old[0] and new[1] >= old[1] and (old[2] is False or new[2] is True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, applied, kinds = None, None, 0, None
+        for batch in batches:
+            done, kinds = [], [batch.schema.field(n).type for n in ("id", "sequence", "revision", "modified")]
+            for key, _, *new in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or key != at:
+                    if state is not None:
+                        done.append((at, *state[:3], applied))
+                    at, state, applied = key, tuple(new), 0
+                elif accepts(state, tuple(new)):
+                    state, applied = tuple(new), applied + 1
+            if done:
+                yield folded(done, kinds)
+        if state is not None:
+            yield folded([(at, *state[:3], applied)], kinds)
+
+    def folded(done: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*done), [*kinds, pa.int64()])]
+        return pa.RecordBatch.from_arrays(columns, ["id", "sequence", "revision", "modified", "applied"])
+
+    schema = rows.select("id", "sequence", "revision", "modified", F.lit(0).cast("bigint").alias("applied")).schema
+    return rows.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in schema]))
 
 
 def quarantine_route(records: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:

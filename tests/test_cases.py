@@ -1,5 +1,6 @@
 """Small authored cases and invariants for operators, beside the comparison with SQL."""
 
+import hashlib
 import random
 
 import pytest
@@ -125,6 +126,35 @@ def test_a_refused_update_is_no_base_for_the_next(spark):
     assert (got.sequence, got.revision, got.modified, got.applied) == (7, 4, True, 1)
 
 
+def test_long_groups_pass_in_batches(spark):
+    """Groups longer than a batch, without one row that holds a group."""
+    rng, fields = random.Random(6), "sequence long, revision long, modified boolean, format string, source_hash string, source_name string"
+    stored = {i: (5, 3, False, "docx", None, "s") for i in (0, 1, None)}
+    log = [(rng.choice([0, 0, 0, 1, 2, None]), n, rng.choice([n, n // 2, None]), rng.randint(0, 9), rng.random() < 0.9, "docx", rng.choice([None, None, "h"]), "s") for n in range(300)]
+    want = {}
+    for i in {None, 0, 1, 2}:
+        rows = [r[2:] for r in log if r[0] == i]
+        state, applied = (stored[i], 0) if i in stored else (rows.pop(0), 0)
+        for r in rows:
+            if r[3:] == state[3:] and None not in (r[0], state[0]) and r[0] > state[0] and r[1] >= state[1] and (r[2] or not state[2]):
+                state, applied = r, applied + 1
+        want[i] = (*state[:3], applied)
+    files = [(f"s{n % 7 % 2}", f"p{n * 37 % 301:03}é", n, n % 5) for n in range(301)]
+    listing = {s: "\n".join(["v1", *sorted(f"{p}|{z}|{m}" for k, p, z, m in files if k == s)]) for s in ("s0", "s1")}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 7)
+    try:
+        folded = records.fold_upserts(spark.createDataFrame([(i, *r) for i, r in stored.items()], f"id long, {fields}"), spark.createDataFrame(log, f"id long, ord long, {fields}"))
+        stamps = intake.fingerprint_partitions(spark.createDataFrame(files, "source string, path string, size long, modified long"), "v1")
+        assert {r.id: (r.sequence, r.revision, r.modified, r.applied) for r in folded.collect()} == want
+        assert {r.source: r.fingerprint for r in stamps.collect()} == {s: hashlib.sha256(t.encode()).hexdigest() for s, t in listing.items()}
+    finally:
+        spark.conf.set(key, before)
+    for df in (folded, stamps):
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_every_record_goes_one_way(spark, sf):
     from quire.plans.records import full
 
