@@ -55,36 +55,59 @@ def settle() -> None:
         _TRIM(0)
 
 
-#: Ids up to which a table of them is broadcast; a larger one is joined by a shuffle.
+#: Rows up to which a table of ids is broadcast unless a caller says otherwise; a larger one is joined by a shuffle.
 SMALL = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str, id_col: str = "doc_id") -> DataFrame:
+def side(table: DataFrame, rows: int, limit: int) -> DataFrame:
+    """The smaller side of a join: broadcast if it has at most `limit` rows, as counted, else left to a shuffle."""
+    return F.broadcast(table) if rows <= limit else table
+
+
+def without(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str, id_col: str = "doc_id", broadcast_rows: int = SMALL) -> DataFrame:
     """docs without the rows whose id is in the one column of ids. Rows with a null id stay."""
     gone = scratch.save(ids.toDF("__gone").distinct(), name)
-    gone = F.broadcast(gone) if gone.count() <= SMALL else gone
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return docs.join(side(gone, gone.count(), broadcast_rows), docs[id_col] == gone["__gone"], "left_anti")
+
+
+#: Hash slots among which equal values of most_frequent are dealt.
+SLOTS = 256
 
 
-def most_frequent(counts: DataFrame, column: str, limit: int) -> DataFrame:
+def most_frequent(counts: DataFrame, key: str, column: str, limit: int) -> DataFrame:
     """The rows of counts with the largest values of column, at most `limit` of them.
 
     The least value taken is read off a histogram of a few hundred bins, so no task or driver sorts the
-    table; rows of the bin that would pass the limit are all left out.
+    table. The bin that would pass the limit is filled value by value; of the value that would pass it, rows
+    are taken by slots of a hash of key, so ties fill the limit up to one slot of SLOTS.
     """
-    bins = counts.groupBy(F.floor(F.log2(column) * 16).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
-    total, least = 0, None
-    for bin_, n in sorted(((r["bin"], r["n"]) for r in bins), reverse=True):
+    value, slot = F.col(column), F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    bin_ = F.floor(F.log2(value) * 16).cast("int")
+    total, last = 0, None
+    for at, n in sorted(((r[0], r[1]) for r in counts.groupBy(bin_).count().collect()), reverse=True):
         if total + n > limit:
+            last = at
             break
-        total, least = total + n, bin_
-    return counts.where(F.lit(False)) if least is None else counts.where(F.floor(F.log2(column) * 16).cast("int") >= least)
+        total += n
+    if last is None:
+        return counts
+    taken = bin_ > last
+    inside = counts.where(bin_ == last).groupBy(value.alias("value"), slot.alias("slot")).count().collect()
+    for at, s, n in sorted(((r["value"], r["slot"], r["count"]) for r in inside), key=lambda r: (-r[0], r[1])):
+        if total + n > limit:
+            taken = taken | ((bin_ == last) & ((value > at) | ((value == at) & (slot < s))))
+            break
+        total += n
+    return counts.where(taken)
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `limit` text bytes each; a longer text comes alone."""
+    """Slices of the batches with about `limit` text bytes each; a longer text comes alone. A list of numbers
+    counts as a text of six bytes for each."""
     for batch in batches:
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
+        column = batch.column(text)
+        sizes = pc.multiply(pc.list_value_length(column), 6) if pa.types.is_list(column.type) else pc.binary_length(column)
+        sizes = np.asarray(pc.fill_null(sizes, 0), dtype=np.int64)
         ends, begin = np.cumsum(sizes), 0
         while begin < batch.num_rows:
             done = ends[begin - 1] if begin else 0
@@ -122,10 +145,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
     Alternating large and small stars: each round links every node's larger neighbours to its smallest
-    one, then its smaller neighbours likewise, until nothing changes. A round is a group-by with map-side
-    partial minima and joins that Spark may split where a hub is hot. Edges never reach the driver; only
-    a count and a checksum do. Loops and null ends are ignored; an empty input gives no rows.
+    one, then its smaller neighbours likewise, until nothing changes. The smallest neighbours come from a
+    group-by with map-side minima and are written as tables before the edges are joined to them, so both
+    sides of a join are plain shuffles, which Spark splits where a hub is hot. Edges never reach the driver;
+    only a count and a checksum do. Loops and null ends are ignored; an empty input gives no rows.
     """
+
+    def least(table: DataFrame, at: str) -> DataFrame:
+        return scratch.save(table.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "u"), at)
+
     e = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     e = scratch.save(e.where("hi <> lo and hi is not null and lo is not null").distinct(), f"{name}-0")
     state, done = None, 0
@@ -136,10 +164,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
                 e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
             )
         state, done = now, done + 1
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.explode(F.array(F.struct("hi", "m"), F.struct(F.col("lo").alias("hi"), "m"))).alias("x")).select("x.hi", F.col("x.m").alias("lo"))
+        # the smallest neighbour of a node that is the larger end of no edge is the node itself
+        large = e.join(least(e, f"{name}-least"), F.col("lo") == F.col("u"), "left").select("hi", F.coalesce("m", "lo").alias("lo"))
+        large = scratch.save(large.distinct(), f"{name}-large")
+        small = large.join(least(large, f"{name}-lower"), F.col("hi") == F.col("u"))
+        small = small.select(F.explode(F.array(F.struct("hi", "m"), F.struct(F.col("lo").alias("hi"), "m"))).alias("x")).select("x.hi", F.col("x.m").alias("lo"))
         e = scratch.save(small.where("hi <> lo").distinct(), f"{name}-{done}")
         scratch.drop(f"{name}-{done - 1}")

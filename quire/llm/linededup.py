@@ -2,9 +2,11 @@
 
 Equal lines collapse by a 128-bit hash before anything is compared. Distinct lines get a MinHash signature
 of their character shingles; lines that share a band share a bucket. Buckets with the same lines are
-verified once. A bucket is dealt into groups of bounded size, and a group verifies all its pairs by one
-product of its line-by-shingle matrix: that gives the exact Jaccard similarities, of which only a spanning
-forest of the links is returned, never the pairs. Components are found by joins.
+verified once. A bucket is dealt into groups bounded in lines and characters, and a group verifies all its
+pairs by one product of its line-by-shingle matrix: that gives the exact Jaccard similarities, of which only
+a spanning forest of the links is returned, never the pairs. In a bucket too large for one group, lines
+similar to one pivot line are connected by it, so pairs among those are left out. Components are found by
+joins.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quire.llm.common import SMALL, Scratch, connected_components, local_roots, text_batches
+from quire.llm.common import SMALL, Scratch, connected_components, local_roots, side, text_batches
 from quire.llm.textmatch import gram_hashes
 
 #: Bands and rows: of pairs of similarity 0.8 a share of 0.995 meets, of 0.9 all but 3 in a million.
@@ -27,10 +29,12 @@ _XOR = _RNG.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 1 << 32, SLOTS, dtype=np.uint32) | np.uint32(1)
 #: Shingles that are hashed at once.
 STEP = 1 << 17
-#: Lines that a group may hold from each of its two blocks, about.
-TILE = 1024
+#: Lines and characters that a group may hold from each of its two blocks, about.
+TILE, TILE_CHARS = 1024, 1 << 20
 #: Shingles that are multiplied at once.
 COLUMNS = 4096
+#: Key slots that are counted to find hot buckets, and rows that a hot bucket has at least.
+KEY_SLOTS, HOT = 1 << 14, 4096
 
 
 def normal(line: str) -> str:
@@ -42,6 +46,22 @@ def shingles(line: str, q: int) -> set[str]:
     return {line[i : i + q] for i in range(len(line) - q + 1)} or {line}
 
 
+def _mixed(codes: np.ndarray, q: int) -> np.ndarray:
+    h = gram_hashes(codes, q)
+    h ^= h >> np.uint64(32)
+    return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
+
+
+def _long_signature(line: str, q: int) -> np.ndarray:
+    """MinHash values of one line, STEP shingles at a time."""
+    low = np.full(SLOTS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for begin in range(0, len(line) - q + 1, STEP):
+        x = _mixed(np.frombuffer(line[begin : begin + STEP + q - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32), q)
+        for s in range(SLOTS):
+            low[s] = min(low[s], ((x ^ _XOR[s]) * _ODD[s]).min())
+    return low
+
+
 def signatures(lines: list[str], q: int) -> np.ndarray:
     """MinHash values, one row of SLOTS for each line; a line under q characters is one shingle."""
     out = np.empty((len(lines), SLOTS), dtype=np.uint32)
@@ -50,14 +70,16 @@ def signatures(lines: list[str], q: int) -> np.ndarray:
     begin = 0
     while begin < len(lines):
         stop = max(begin + 1, int(np.searchsorted(grams, (grams[begin - 1] if begin else 0) + STEP, side="right")))
+        if stop == begin + 1 and sizes[begin] > STEP:
+            out[begin] = _long_signature(lines[begin], q)
+            begin = stop
+            continue
         codes = np.frombuffer("".join(x.ljust(q, "\0") for x in lines[begin:stop]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         ends = np.cumsum(sizes[begin:stop])
         real = np.ones(len(codes) - q + 1, dtype=bool)
         for k in range(1, q):
             real[ends[:-1] - k] = False
-        h = gram_hashes(codes, q)[real]
-        h ^= h >> np.uint64(32)
-        x = (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
+        x = _mixed(codes, q)[real]
         starts = np.cumsum(sizes[begin:stop] - q + 1) - (sizes[begin:stop] - q + 1)
         for s in range(SLOTS):
             out[begin:stop, s] = np.minimum.reduceat((x ^ _XOR[s]) * _ODD[s], starts)
@@ -65,24 +87,30 @@ def signatures(lines: list[str], q: int) -> np.ndarray:
     return out
 
 
-def occurrences(docs: DataFrame, q: int) -> DataFrame:
-    """(nid, twin, doc, line, sig) for each line with other characters than white space.
+def _line_key(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+
 
-    nid and twin are the two halves of the line's hash; sig is null where the step has it already.
+def occurrences(rows: DataFrame, q: int) -> DataFrame:
+    """(nid, twin, doc, version, line, size, sig) for each line with other characters than white space.
+
+    rows: (doc, version, text). nid and twin are the two halves of the line's hash; sig is null where the
+    step has it already.
     """
 
     def run(batches):
-        for batch in text_batches(batches, limit=4 << 20):
+        for batch in text_batches(batches, text=2, limit=4 << 20):
             first: dict[bytes, int] = {}
-            keys, owner, number, fresh, lines = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            keys, owner, number, fresh, lines, sizes = [], [], [], [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 for k, line in enumerate(text.split("\n")):
                     if not (line := normal(line)):
                         continue
-                    key = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+                    key = _line_key(line)
                     keys.append(key)
                     owner.append(i)
                     number.append(k)
+                    sizes.append(len(line))
                     if key in first:
                         fresh.append(-1)
                     else:
@@ -90,84 +118,148 @@ def occurrences(docs: DataFrame, q: int) -> DataFrame:
                         fresh.append(len(lines))
                         lines.append(line)
             halves = np.frombuffer(b"".join(keys), dtype=">i8").astype(np.int64).reshape(-1, 2)
-            signature = signatures(lines, q)
-            raw = signature.astype("<u4").tobytes()
+            raw = signatures(lines, q).astype("<u4").tobytes()
             sig = [None if f < 0 else raw[f * 4 * SLOTS : (f + 1) * 4 * SLOTS] for f in fresh]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(sig, pa.binary())],
-                ["nid", "twin", "doc", "line", "sig"],
-            )
+            at = pa.array(owner, pa.int64())
+            columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(sizes, pa.int32()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["nid", "twin", "doc", "version", "line", "size", "sig"])
+
+    kind = rows.dtypes[0][1]
+    return rows.mapInArrow(run, f"nid bigint, twin bigint, doc {kind}, version bigint, line int, size int, sig binary")
+
 
-    kind = docs.dtypes[0][1]
-    return docs.mapInArrow(run, f"nid bigint, twin bigint, doc {kind}, line int, sig binary")
+def hot_keys(rows: DataFrame) -> list[int]:
+    """The keys that hold many of the rows (key, nid), of which there are few: at least HOT of them and over a
+    2048th of all. Rows are counted by slots of their keys first, so that only rows of hot slots are counted
+    by key."""
+    slot = F.pmod("key", F.lit(KEY_SLOTS))
+    slots = rows.groupBy(slot.alias("slot")).count()
+    total = slots.agg(F.sum("count")).first()[0] or 0
+    least = max(HOT, total // 2048)
+    hot = [r[0] for r in slots.where(F.col("count") >= least).select("slot").collect()]
+    if not hot:
+        return []
+    return [r[0] for r in rows.where(slot.isin(hot)).groupBy("key").count().where(F.col("count") >= least).select("key").collect()]
 
 
 def bucket_members(lines: DataFrame) -> DataFrame:
-    """(key, nid) for the lines of each bucket of two or more.
+    """(key, nid, size) for the lines (nid, size, sig) of each bucket of two or more.
 
-    A bucket's rows pass by in order, so only its last row is held, however large it is.
+    A bucket's rows pass by in order, so only its last row is held. Rows of hot buckets need no such pass,
+    as they have fellows for certain; so no bucket makes one task large.
     """
     keys = [F.xxhash64(F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS), F.lit(b)) for b in range(BANDS)]
-    rows = lines.select(F.explode(F.array(*keys)).alias("key"), "nid")
+    rows = lines.select(F.explode(F.array(*keys)).alias("key"), "nid", "size")
 
     def run(batches):
         last, shown = None, False  # the row before this batch, and whether it has been returned
         for batch in batches:
-            key, nid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            key, *others = (c.to_numpy() for c in batch.columns)
             if not len(key):
                 continue
             same = key[1:] == key[:-1]
             keep = np.append(False, same) | np.append(same, False)
+            columns = [key, *others]
             if last is not None and last[0] == key[0]:
                 keep[0] = True
                 if not shown:
-                    key, nid, keep = np.append(last[0], key), np.append(last[1], nid), np.append(True, keep)
-            last, shown = (key[-1], nid[-1]), bool(keep[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(nid[keep])], ["key", "nid"])
+                    columns = [np.append(np.asarray(x, dtype=c.dtype), c) for x, c in zip(last, columns)]
+                    keep = np.append(True, keep)
+            last, shown = [c[-1] for c in columns], bool(keep[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["key", "nid", "size"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, nid bigint")
+    hot = hot_keys(rows)
+    cold = rows.where(~F.col("key").isin(hot)) if hot else rows
+    found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, nid bigint, size int")
+    return found.unionByName(rows.where(F.col("key").isin(hot))) if hot else found
 
 
 def distinct_buckets(members: DataFrame) -> DataFrame:
-    """(key, n): one of all buckets that hold the same lines (by count and two sums of hashes)."""
+    """(key, blocks, pivot): one of all buckets that hold the same lines (by count and two sums of hashes),
+    the blocks that it is dealt into, and its smallest line."""
     total = lambda seed: F.sum(F.xxhash64("nid", F.lit(seed)).cast("decimal(20,0)"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), total(1).alias("h1"), total(2).alias("h2"))
-    return buckets.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), total(1).alias("h1"), total(2).alias("h2"), F.sum("size").alias("chars"), F.min("nid").alias("pivot"))
+    one = buckets.groupBy("n", "h1", "h2").agg(F.min(F.struct("key", "chars", "pivot")).alias("b")).select("n", "b.*")
+    return one.select("key", _blocks(F.col("n"), F.col("chars")).alias("blocks"), "pivot")
+
+
+def _blocks(n, chars):
+    return F.greatest(F.ceil(n / TILE), F.ceil(chars / TILE_CHARS)).cast("bigint")
 
 
 def similar_rows(lines: list[str], q: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows (i < j) whose shingle sets have a Jaccard similarity of threshold or more."""
     sizes = np.maximum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)), q)
     codes = np.frombuffer("".join(x.ljust(q, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    h, owner = gram_hashes(codes, q), np.repeat(np.arange(len(lines)), sizes)[: len(codes) - q + 1]
+    h, owner = gram_hashes(codes, q), np.repeat(np.arange(len(lines), dtype=np.int32), sizes)[: len(codes) - q + 1]
     real = np.ones(len(h), dtype=bool)
     ends = np.cumsum(sizes)[:-1]
     for k in range(1, q):
         real[ends - k] = False
-    distinct, gram = np.unique(h[real], return_inverse=True)
+    _, gram, times = np.unique(h[real], return_inverse=True, return_counts=True)
     owner = owner[real]
+    # shingles that occur once are in no two lines: they only count in the size of their line's set
+    several = times > 1
+    alone = ~several[gram]
+    own = np.bincount(owner[alone], minlength=len(lines)).astype(np.float32)
+    gram, owner = (np.cumsum(several) - 1)[gram[~alone]], owner[~alone]
+    distinct = int(several.sum())
     shared = np.zeros((len(lines), len(lines)), dtype=np.float32)
-    if len(distinct) > COLUMNS:
+    if distinct > COLUMNS:
         order = np.argsort(gram, kind="stable")
         gram, owner = gram[order], owner[order]
-    for begin in range(0, len(distinct), COLUMNS):
-        part = slice(*np.searchsorted(gram, [begin, begin + COLUMNS])) if len(distinct) > COLUMNS else slice(None)
-        matrix = np.zeros((len(lines), min(COLUMNS, len(distinct) - begin)), dtype=np.float32)
+    for begin in range(0, distinct, COLUMNS):
+        part = slice(*np.searchsorted(gram, [begin, begin + COLUMNS])) if distinct > COLUMNS else slice(None)
+        matrix = np.zeros((len(lines), min(COLUMNS, distinct - begin)), dtype=np.float32)
         matrix[owner[part], gram[part] - begin] = 1
         shared += matrix @ matrix.T
-    own = shared.diagonal()
+    own += shared.diagonal()
     return np.nonzero(np.triu(shared >= threshold * (own[:, None] + own[None, :] - shared) - 1e-3, 1))
 
 
-def verified_links(members: DataFrame, texts: DataFrame, q: int, threshold: float) -> DataFrame:
+def _near_pivot(rows: DataFrame, q: int, threshold: float) -> DataFrame:
+    """rows (key, pivot, blocks, nid, size, content, against) with `near`: whether the line is similar to the
+    pivot's content `against`, which is dropped."""
+
+    def run(batches):
+        for batch in batches:
+            memo, near = {}, []
+            for line, pivot in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist()):
+                if pivot not in memo:
+                    memo = {pivot: shingles(pivot, q)}
+                a, b = shingles(line, q), memo[pivot]
+                both = len(a & b)
+                near.append(both >= threshold * (len(a) + len(b) - both) - 1e-3)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(near, pa.bool_())], [*batch.schema.names[:6], "near"])
+
+    return rows.mapInArrow(run, "key bigint, pivot bigint, blocks bigint, nid bigint, size int, content string, near boolean")
+
+
+def verified_links(members: DataFrame, texts: DataFrame, q: int, threshold: float, scratch: Scratch) -> DataFrame:
     """(a, b): links that connect the lines of each bucket wherever similar ones do.
 
-    A bucket of more than TILE lines is dealt into blocks, each pair of blocks being a group of its own.
+    A bucket that is too large for one group is dealt into blocks. Its lines are compared with a pivot first:
+    those near it are connected already, so their blocks meet only the blocks of the others; each such pair
+    of blocks is a group of its own.
     """
-    rows = members.join(distinct_buckets(members).select("key", F.ceil(F.col("n") / TILE).alias("blocks")), "key")
-    rows = rows.join(texts.select("nid", "content"), "nid").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "content")
+    buckets = scratch.save(distinct_buckets(members), "buckets")
+    large = buckets.where("blocks > 1")
+    rows = members.join(buckets, "key").join(texts.select("nid", "content"), "nid").select("key", "pivot", "blocks", "nid", "size", "content")
+    zero, through = F.lit(0).cast("bigint"), lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    groups = rows.where("blocks = 1").select("key", zero.alias("i"), zero.alias("j"), "nid", "content")
+    near = None
+    if not large.isEmpty():
+        pivots = scratch.save(large.select("key", F.col("pivot").alias("nid")).join(texts.select("nid", F.col("content").alias("against")), "nid").select("key", "against"), "pivots")
+        judged = scratch.save(_near_pivot(rows.where("blocks > 1").join(pivots, "key").select(*rows.columns, "against"), q, threshold), "judged")
+        near = judged.where("near and nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
+        far = judged.where("not near").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).select("key", _blocks(F.col("n"), F.col("chars")).alias("far"))
+        dealt = judged.join(scratch.save(far, "far"), "key")
+        own = dealt.withColumn("i", F.pmod(F.xxhash64("nid"), F.when(F.col("near"), F.col("blocks")).otherwise(F.col("far"))))
+        meets = own.withColumn("j", F.explode(F.when(F.col("near"), through(F.col("far"))).otherwise(through(F.col("far") + F.col("blocks")))))
+        # blocks of far lines count from 0, those of near ones from `far` on; groups are pairs (i <= j) with a far one
+        i = F.when(F.col("near"), F.col("i") + F.col("far")).otherwise(F.col("i"))
+        meets = meets.withColumn("i", i).select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "nid", "content")
+        groups = groups.unionByName(meets)
 
     def links(table: pa.Table):
         k, i, j, nid = (table.column(x).to_numpy() for x in range(4))
@@ -186,30 +278,31 @@ def verified_links(members: DataFrame, texts: DataFrame, q: int, threshold: floa
 
     def run(batches):
         held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            same = np.ones(held.num_rows, dtype=bool)
-            for x in range(3):
-                same &= held.column(x).to_numpy() == held.column(x)[-1].as_py()
-            cut = int(np.argmax(same))
-            if cut:
-                yield from links(held.slice(0, cut))
-                held = held.slice(cut)
+        for whole in batches:
+            for batch in text_batches(iter([whole]), text=4):
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+                same = np.ones(held.num_rows, dtype=bool)
+                for x in range(3):
+                    same &= held.column(x).to_numpy() == held.column(x)[-1].as_py()
+                cut = int(np.argmax(same))
+                if cut:
+                    yield from links(held.slice(0, cut))
+                    held = held.slice(cut)
         if held is not None and held.num_rows:
             yield from links(held)
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+    found = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
+    return (found if near is None else found.unionByName(near)).distinct()
 
 
-def _texts(docs: DataFrame, occ: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(nid, twin, content): the normal form of the wanted lines, cut from one document each."""
-    found = occ.where("sig is not null").select("nid", "twin", "doc", "line").join(wanted, "nid")
-    found = found.groupBy("nid").agg(F.min(F.struct("doc", "line", "twin")).alias("at")).select("nid", "at.*")
-    places = scratch.save(found, f"{name}-places")
-    cut = places.groupBy("doc").agg(F.collect_list(F.struct("line", "nid", "twin")).alias("lines"))
-    if places.count() <= SMALL:
-        cut = F.broadcast(cut)
+def _texts(rows: DataFrame, occ: DataFrame, wanted: DataFrame, scratch: Scratch, broadcast_rows: int) -> DataFrame:
+    """(nid, twin, content): the normal form of the wanted lines, each cut from one row."""
+    found = occ.where("sig is not null").select("nid", "twin", "doc", "version", "line").join(wanted, "nid")
+    found = found.groupBy("nid").agg(F.min(F.struct("doc", "version", "line", "twin")).alias("at")).select("nid", "at.*")
+    places = scratch.save(found, "places")
+    cut = places.groupBy("doc", "version").agg(F.collect_list(F.struct("line", "nid", "twin")).alias("lines"))
+    cut = side(cut, places.count(), broadcast_rows)
 
     def run(batches):
         for batch in text_batches(batches):
@@ -217,51 +310,70 @@ def _texts(docs: DataFrame, occ: DataFrame, wanted: DataFrame, scratch: Scratch,
             for text, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 parts = text.split("\n")
                 for row in lines:
-                    if row["line"] < len(parts) and (line := normal(parts[row["line"]])):
+                    line = normal(parts[row["line"]]) if row["line"] < len(parts) else ""
+                    key = _line_key(line)
+                    if (int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True)) == (row["nid"], row["twin"]):
                         for held, value in zip(out, (row["nid"], row["twin"], line)):
                             held.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string()))], ["nid", "twin", "content"])
 
-    rows = docs.join(cut, "doc").select("doc", "text", "lines").mapInArrow(run, "nid bigint, twin bigint, content string")
-    return scratch.save(rows.dropDuplicates(["nid"]), f"{name}-texts")
+    cuts = rows.join(cut, ["doc", "version"]).select("doc", "text", "lines").mapInArrow(run, "nid bigint, twin bigint, content string")
+    return scratch.save(cuts.dropDuplicates(["nid"]), "texts")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, version, text): version tells texts of one id apart."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    return rows.where("doc is not null and text is not null")
 
 
-def duplicate_lines(docs: DataFrame, q: int = 8, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """(doc, lines array<int>): for each document that loses lines, their numbers from 0 on.
+def duplicate_lines(docs: DataFrame, q: int = 8, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, broadcast_rows: int = SMALL) -> DataFrame:
+    """(doc, version, lines array<int>): for each document that loses lines, their numbers from 0 on; version is
+    the xxhash64 of its text.
 
     Lines are what stands between line feeds; those of white space alone are never removed. Two lines link
     if their normal forms (lower case, white space collapsed) are equal, or if the Jaccard similarity of
     their q-character shingle sets reaches the threshold and MinHash makes them meet. Of each component the
-    line with the smallest (id, number) stays. Rows that share an id count as one document; rows with a
-    null id or text take no part.
+    line with the smallest (id, version, number) stays. Rows with one id and different texts are documents of
+    their own; rows equal in both are one document. Rows with a null id or text take no part.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
+    rows = _rows(docs, id_col, text_col)
     occ = scratch.save(occurrences(rows, q), "occurrences")
-    marked = occ.where("sig is not null").groupBy("nid").agg(F.first("sig").alias("sig"))
+    marked = occ.where("sig is not null").groupBy("nid").agg(F.first("sig").alias("sig"), F.first("size").alias("size"))
     members = scratch.save(bucket_members(marked), "members")
-    texts = _texts(rows, occ, members.select("nid").distinct(), scratch, "lines")
-    joined = scratch.save(connected_components(verified_links(members, texts, q, threshold), scratch, "links"), "joined")
-    plain = occ.groupBy("nid", "twin").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("n"))
+    texts = _texts(rows, occ, members.select("nid").distinct(), scratch, broadcast_rows)
+    joined = scratch.save(connected_components(verified_links(members, texts, q, threshold, scratch), scratch, "links"), "joined")
+    at = F.struct("doc", "version", "line")
+    plain = occ.groupBy("nid", "twin").agg(F.min(at).alias("at"), F.count("*").alias("n"))
     member = joined.join(texts.select(F.col("nid").alias("node"), "twin"), "node").select(F.col("node").alias("nid"), "twin", "component")
     several = plain.join(member, ["nid", "twin"], "left").where("n > 1 or component is not null")
     several = scratch.save(several.select("nid", "twin", "at", "component"), "several")
     stays = several.where("component is not null").groupBy("component").agg(F.min("at").alias("stay"))
     several = several.join(scratch.save(stays, "stays"), "component", "left").select("nid", "twin", F.coalesce("stay", "at").alias("stay"))
-    gone = occ.select("nid", "twin", "doc", "line").join(several, ["nid", "twin"]).where("struct(doc, line) <> stay")
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    gone = occ.select("nid", "twin", "doc", "version", "line").join(several, ["nid", "twin"]).where(at != F.col("stay"))
+    return gone.groupBy("doc", "version").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+
+
+#: Tables that nothing reads once the lines to remove are known.
+DONE = ("occurrences", "members", "places", "texts", "buckets", "pivots", "judged", "far", "joined", "several", "stays")
 
 
-def dedup_lines(docs: DataFrame, q: int = 8, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, q: int = 8, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = SMALL) -> DataFrame:
     """docs with the duplicate lines taken out of text_col, and the column n_removed (a column of that name
-    in docs is replaced). Every row stays, if with an empty text; null texts stay null. See duplicate_lines
-    for what counts as a duplicate."""
+    in docs is replaced). Every row stays, if with an empty text; null texts stay null, rows with a null id
+    keep their text. See duplicate_lines for what counts as a duplicate. A table of at most broadcast_rows
+    removed lines is broadcast; a larger one meets the texts by a shuffle, with the same result."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.drop("n_removed")
-    gone = scratch.save(duplicate_lines(docs, q, threshold, id_col, text_col, scratch), "gone").select(F.col("doc").alias("__doc"), F.col("lines").alias("__lines"))
-    small = (gone.agg(F.sum(F.size("__lines"))).first()[0] or 0) <= SMALL
-    joined = docs.join(F.broadcast(gone) if small else gone, docs[id_col] == gone["__doc"], "left").drop("__doc")
-    names, place = docs.columns, docs.columns.index(text_col)
+    fields, place = docs.schema.fields, docs.columns.index(text_col)
+    gone = scratch.save(duplicate_lines(docs, q, threshold, id_col, text_col, scratch, broadcast_rows), "gone")
+    scratch.drop(*DONE)
+    lost = gone.agg(F.sum(F.size("lines"))).first()[0] or 0
+    plain = docs.toDF(*[f"c{i}" for i in range(len(fields))])  # so that no column clashes with those of `gone`
+    same = (plain[f"c{docs.columns.index(id_col)}"] == gone["doc"]) & (F.xxhash64(plain[f"c{place}"]) == gone["version"])
+    joined = plain.join(side(gone, lost, broadcast_rows), same, "left").drop("doc", "version")
+    names = docs.columns
 
     def run(batches):
         for batch in text_batches(batches, text=place):
@@ -278,4 +390,4 @@ def dedup_lines(docs: DataFrame, q: int = 8, threshold: float = 0.8, id_col: str
             columns[place] = pa.array(texts, batch.column(place).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], [*names, "n_removed"])
 
-    return joined.mapInArrow(run, StructType([*docs.schema.fields, StructField("n_removed", IntegerType())]))
+    return joined.mapInArrow(run, StructType([*fields, StructField("n_removed", IntegerType())]))
