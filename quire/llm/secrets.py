@@ -3,12 +3,15 @@
 Each rule is a regular expression. From its syntax tree a Boolean trigram query is derived: what every
 match must contain. The texts of a step are indexed by exactly the trigrams that the queries name; the
 postings are intersected and united as the queries say, and only the candidates are matched. A rule whose
-query is empty (no mandatory trigram) scans every text in full.
+query is empty (no mandatory trigram) scans every text in full. Rules whose expression would scan one run of
+characters again from each of its positions name an anchor instead: they are matched outward from it.
 """
 
 from __future__ import annotations
 
 import re
+import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 from re import _constants as C
 from re import _parser as parser
@@ -20,6 +23,21 @@ from pyspark.sql import DataFrame
 from quire.llm.common import text_batches
 
 
+@dataclass(frozen=True)
+class Anchor:
+    """How to match a rule outward from each place of `literal`: back over a run of the characters `run` to its
+    first match of `head` in it, at least `least` characters before the literal; then `tail` from the literal on.
+
+    Runs hold no literal, and no run is looked at twice, so the work follows the length of the text.
+    """
+
+    literal: str
+    run: str
+    head: str
+    tail: str
+    least: int = 0
+
+
 @dataclass(frozen=True)
 class Rule:
     """kind: its name. group, least: a match counts if that group has `least` characters or more."""
@@ -29,26 +47,50 @@ class Rule:
     group: int = 0
     least: int = 0
     ignore_case: bool = False
+    anchor: Anchor | None = None
 
     @property
     def regex(self) -> re.Pattern:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
 
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """The counted matches: the leftmost that don't overlap, less those that are too short."""
+        if self.anchor is None:
+            for m in self.regex.finditer(text):
+                if m.end(self.group) - m.start(self.group) >= self.least:
+                    yield m.start(), m.end()
+            return
+        head, tail, literal = re.compile(self.anchor.head), re.compile(self.anchor.tail, re.ASCII), self.anchor.literal
+        done, at = 0, text.find(literal)
+        while at >= 0:
+            low = at
+            while low > done and text[low - 1] in self.anchor.run:
+                low -= 1
+            start = head.search(text, low, at)
+            end = tail.match(text, at) if start and at - start.start() >= self.anchor.least else None
+            if end:
+                yield start.start(), end.end()
+                done = end.end()
+            else:
+                done = max(done, at)
+            at = text.find(literal, max(at + 1, done))
+
 
 BASE_RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+_WORD = string.ascii_letters + string.digits
 #: Further well-known credential formats.
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", anchor=Anchor(".eyJ", _WORD + "_-", "eyJ", r"\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 11)),
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@[^\s/]+"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@[^\s/]+", anchor=Anchor("://", string.ascii_lowercase + string.digits + "+.-", "[a-z]", r"://[^\s:/@]+:[^\s:/@]+@[^\s/]+")),
 )
 
 #: A query: None (anything may match), or a set of alternatives, each a set of trigrams all needed.
@@ -175,7 +217,6 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     those that are too short go. Null and empty texts have none; repeated rows repeat. One pass, no
     shuffle; the index of a step holds the texts of that step only.
     """
-    regexes = [rule.regex for rule in rules]
     queries = [trigram_query(rule) for rule in rules]
     wanted = set().union(*(part for query in queries if query for part in query))
 
@@ -185,11 +226,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
             texts = [t or "" for t in batch.column(1).to_pylist()]
             postings = index.postings([t.encode() for t in texts])
             spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-            for k, (rule, regex, query) in enumerate(zip(rules, regexes, queries)):
+            for k, (rule, query) in enumerate(zip(rules, queries)):
                 for i in candidates(query, index, postings, len(texts)):
-                    for m in regex.finditer(texts[i]):
-                        if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                            spans[i].append((m.start(), k, m.end()))
+                    spans[i] += [(start, k, end) for start, end in rule.spans(texts[i])]
             for found in spans:
                 found.sort()
             yield pa.RecordBatch.from_arrays(
@@ -199,5 +238,3 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
 
     kind = docs.select(id_col).dtypes[0][1]
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, kinds array<string>, starts array<int>, ends array<int>").withColumnRenamed("id", id_col)
-
-
