@@ -2,7 +2,9 @@
 
 A passage of m characters that occurs with at most k edits shares at least m - q + 1 - k*q of its q-grams
 with that place, on at most k + 1 neighbouring diagonals. Shared q-grams are counted in overlapping bands
-of diagonals, bands that reach the bound are kept, and each is verified by banded alignment.
+of diagonals, bands that reach the bound are kept, and each is verified by banded alignment. A q-gram that
+many passages have is not counted for a passage as long as the bound allows it: the bound falls by one for
+each q-gram left out, so no occurrence is lost.
 """
 
 from __future__ import annotations
@@ -13,20 +15,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import text_batches
-from quire.llm.textmatch import Patterns, band_counts, fit, normalize, normalize_pattern, pad, windows
+from quire.llm.textmatch import Patterns, fit, full_bands, gram_hashes, normalize, normalize_pattern, pad, windows
 
 OUT = "item_id bigint, start int, stop int, edits int, similarity double"
-#: Candidates that are aligned at once.
-ALIGN = 512
+#: Cells of text windows that are aligned at once.
+CELLS = 1 << 20
+#: Postings above which a q-gram counts as common.
+COMMON = 32
 
 
 class Passages:
     def __init__(self, texts: list[str], q: int, rate: float):
-        self.index = Patterns([normalize_pattern(t) for t in texts], q)
-        m = self.index.lengths
+        codes = [normalize_pattern(t) for t in texts]
+        m = np.array([len(c) for c in codes], dtype=np.int64)
         # a short passage gets the largest budget for which the bound is at least one shared q-gram
         self.budget = np.maximum(0, np.minimum((rate * m).astype(np.int64), (m - q) // q))
-        self.bound = np.maximum(1, m - q + 1 - self.budget * q)
+        bound = np.maximum(1, m - q + 1 - self.budget * q)
+        hashes = [gram_hashes(c, q) for c in codes]
+        known, times = np.unique(np.concatenate([*hashes, np.empty(0, dtype=np.uint64)]), return_counts=True)
+        chosen = []
+        for i, h in enumerate(hashes):
+            times_here = times[np.searchsorted(known, h)]
+            spare = min(int((times_here > COMMON).sum()), int(bound[i] - max(1, bound[i] // 4)))
+            chosen.append(np.sort(np.argsort(times_here, kind="stable")[: len(h) - spare]))
+            bound[i] -= spare
+        self.bound, self.index = bound, Patterns(codes, q, chosen)
         self.short = [(i, c) for i, c in enumerate(self.index.codes) if 0 < len(c) < q]
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
@@ -37,11 +50,15 @@ class Passages:
         codes = np.concatenate([c for c, _ in parts]) if parts else np.empty(0, dtype=np.uint32)
         index = self.index
         found = self._short(parts)
-        text, item, band, hits = band_counts(*index.probe(codes, starts, lengths), self.budget + 1, index.lengths, len(index.codes))
-        keep = hits >= self.bound[item]
-        text, item, band = text[keep], item[keep], band[keep]
-        for i in range(0, len(text), ALIGN):
-            found += self._verify(codes, starts, lengths, text[i : i + ALIGN], item[i : i + ALIGN], band[i : i + ALIGN])
+        hits = index.probe(codes, starts, lengths)
+        text, item, band = full_bands(hits, self.budget + 1, index.lengths, self.bound, int(lengths.max(initial=0)))
+        order = np.argsort(index.lengths[item], kind="stable")  # passages of like length are aligned together
+        text, item, band = text[order], item[order], band[order]
+        cells, begin = np.cumsum(index.lengths[item] + 2 * (self.budget[item] + 1)), 0
+        while begin < len(text):
+            stop = max(begin + 1, int(np.searchsorted(cells, (cells[begin - 1] if begin else 0) + CELLS, side="right")))
+            found += self._verify(codes, starts, lengths, text[begin:stop], item[begin:stop], band[begin:stop])
+            begin = stop
         out, ends = [], {}
         for t, p, a, b, e in sorted(found, key=lambda x: (x[0], x[1], x[4], x[2])):
             held = ends.setdefault((t, p), [])
@@ -105,19 +122,19 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate:
     below one shared q-gram (passages under about q / (1 - rate * q) characters; under q they must occur
     exactly). Case and runs of white space don't count. start and stop are code points of the original
     text. Of overlapping places for one passage the one with the fewest edits stays. Null and empty texts
-    and passages match nothing. Repeated rows repeat.
+    and passages match nothing. Repeated rows of docs repeat; of equal passages with one item_id one counts.
 
     Documents are never shuffled. The passages, a stated query set, go to the tasks in blocks of at most
     block_chars characters (a longer passage alone); more of them means more passes, not more memory.
     """
     spark = docs.sparkSession
     kind = docs.select(id_col).dtypes[0][1]
-    items = benchmark.where("item_id is not null and length(trim(text)) > 0").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    items = benchmark.where("item_id is not null and length(trim(text)) > 0").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
     out = None
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
 
         def run(batches, shared=shared):

@@ -6,6 +6,7 @@ case with each run of white space as one space; offsets are mapped back to the o
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,8 @@ _SPACE = np.zeros(SPACES[-1] + 2, dtype=bool)
 _SPACE[list(SPACES)] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FAR = np.int32(1 << 28)
+#: Shared q-grams that are looked at at once; one text position with more postings than that comes alone.
+HITS = 1 << 21
 
 
 def normalize(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -88,42 +91,60 @@ class Patterns:
     def _slot(h: np.ndarray) -> np.ndarray:
         return (h ^ (h >> np.uint64(29))) >> np.uint64(44)
 
-    def probe(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, offset in it, pattern, offset in it) of all shared q-grams; texts are laid end to end."""
+    def probe(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, offset in it, pattern, offset in it) of all shared q-grams, in parts of about HITS in the order
+        of the texts, which are laid end to end."""
         h = gram_hashes(codes, self.q)
         at = np.flatnonzero(self.seen[self._slot(h)])
         if not len(self.keys) or not len(at):
-            return (np.empty(0, dtype=np.int64),) * 4
+            return
         where = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         real = self.keys[where] == h[at]
         at, where = at[real], where[real]
         text = np.searchsorted(starts, at, side="right") - 1
         inside = at + self.q <= starts[text] + lengths[text]
         at, where, text = at[inside], where[inside], text[inside]
-        times = self.count[where]
-        posting = ragged_take(np.arange(len(self.owner)), self.first, self.count, where)
-        text, offset = np.repeat(text, times), np.repeat(at - starts[text], times)
-        return text, offset, self.owner[posting], self.place[posting]
-
-
-def band_counts(text, offset, pattern, place, width, lengths, n_patterns: int):
-    """(text, pattern, band, hits): band b of a pattern holds the diagonals [b, b + 2) * width - its length.
-
-    Bands overlap by half, so any width consecutive diagonals lie in one of them.
+        sums, begin = np.cumsum(self.count[where]), 0
+        while begin < len(at):
+            stop = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + HITS, side="right")))
+            part = slice(begin, stop)
+            times = self.count[where[part]]
+            posting = ragged_take(np.arange(len(self.owner)), self.first, self.count, where[part])
+            yield np.repeat(text[part], times), np.repeat(at[part] - starts[text[part]], times), self.owner[posting], self.place[posting]
+            begin = stop
+
+
+def full_bands(hits: Iterable[tuple[np.ndarray, ...]], width: np.ndarray, lengths: np.ndarray, need: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, pattern, band) with at least need[pattern] hits: band b of a pattern holds the diagonals
+    [b, b + 2) * width - its length.
+
+    Bands overlap by half, so any width consecutive diagonals lie in one of them. longest: of the texts. A
+    band that lies before the last hit is closed, so what is held follows the patterns that are open there,
+    not the hits.
     """
-    b = (offset - place + lengths[pattern]) // width[pattern]
-    base = text * n_patterns + pattern
-    span = int(b.max()) + 2 if len(b) else 1
-    keys = np.concatenate([base * span + b, (base * span + b - 1)[b > 0]])
-    keys, hits = np.unique(keys, return_counts=True)
-    base, b = keys // span, keys % span
-    return base // n_patterns, base % n_patterns, b, hits
+    n = len(lengths)
+    span = (longest + int(lengths.max(initial=0))) // int(width.min(initial=1)) + 3
+    keys, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    full = [np.empty(0, dtype=np.int64)]
+    for text, offset, pattern, place in hits:
+        b = (offset - place + lengths[pattern]) // width[pattern]
+        base = (text * n + pattern) * span
+        new, times = np.unique(np.concatenate([base + b, (base + b - 1)[b > 0]]), return_counts=True)
+        keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(inverse, weights=np.concatenate([counts, times]), minlength=len(keys)).astype(np.int64)
+        which = keys // span
+        closed = (which // n < text[-1]) | ((keys % span + 2) * width[which % n] <= offset[-1])
+        full.append(keys[closed & (counts >= need[which % n])])
+        keys, counts = keys[~closed], counts[~closed]
+    full.append(keys[counts >= need[keys // span % n]] if n else keys)
+    found = np.sort(np.concatenate(full))
+    return found // span // max(n, 1), found // span % max(n, 1), found % span
 
 
 def windows(codes: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
     """Rows of `size` code points from begin on; what lies outside [low, high) is a code that equals nothing."""
     at = begin[:, None] + np.arange(size)[None, :]
-    out = codes[np.clip(at, 0, max(len(codes) - 1, 0))].astype(np.int64)
+    out = codes[np.clip(at, 0, max(len(codes) - 1, 0))].astype(np.int32)
     out[(at < low[:, None]) | (at >= high[:, None])] = -1
     return out
 
@@ -154,7 +175,7 @@ def fit(patterns: np.ndarray, lengths: np.ndarray, texts: np.ndarray, bands: np.
 
 
 def pad(rows: list[np.ndarray], size: int) -> np.ndarray:
-    out = np.full((len(rows), size), -2, dtype=np.int64)
+    out = np.full((len(rows), size), -2, dtype=np.int32)
     for i, row in enumerate(rows):
         out[i, : len(row)] = row
     return out
