@@ -7,31 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm.common import text_batches
-from quire.llm.textmatch import Patterns, band_counts, gram_hashes, normalize, normalize_pattern, pad, windows
-
-#: Notices as their stewards publish them, by SPDX name.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
-    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("Proprietary", "All rights reserved."),
-)
+from quire.llm.license_texts import TEMPLATES
+from quire.llm.textmatch import Patterns, full_bands, gram_hashes, normalize, normalize_pattern, pad, windows
+
+#: Cells of text windows that are aligned at once.
+CELLS = 1 << 20
 OUT = "license string, template int, start int, stop int, template_start int, template_stop int, coverage double, score int"
 
 
@@ -43,54 +23,69 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(view)) + window - 1 - view[:, ::-1].argmin(axis=1))
 
 
-def local(patterns: np.ndarray, texts: np.ndarray, bands: np.ndarray, anchored: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def local(patterns: np.ndarray, texts: np.ndarray, bands: np.ndarray, anchor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Banded local alignment, match 1, edit -1: (score, pattern characters, diagonal of the best end).
 
-    Of equal scores the first row, then the first diagonal. Anchored alignments begin at the first
-    characters of both, on the middle diagonal.
+    Of equal scores the first row, then the first diagonal. With anchor, alignments begin at the first
+    character of the pattern and on that diagonal.
     """
     n, m, d = len(patterns), patterns.shape[1], int(bands.max())
-    step = np.arange(d, dtype=np.int32)
+    kind = np.int16 if m + 2 * d < 1 << 13 else np.int32
+    step = np.arange(d, dtype=kind)
     outside = step[None, :] >= bands[:, None]
-    none = np.int32(-(1 << 28))
-    middle = (bands // 2).astype(np.int64)
-    score = np.where(step[None, :] >= middle[:, None], middle[:, None] - step, none).astype(np.int32) if anchored else np.zeros((n, d), dtype=np.int32)
+    none = kind(-(1 << 13 if kind is np.int16 else 1 << 28))
+    score = np.zeros((n, d), dtype=kind) if anchor is None else np.where(step[None, :] >= anchor[:, None], anchor[:, None] - step, none).astype(kind)
     score[outside] = none
-    best, row, diagonal, rows = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64), middle.copy(), np.arange(n)
+    best, row, diagonal, rows = np.zeros(n, dtype=kind), np.zeros(n, dtype=np.int64), (bands // 2 if anchor is None else anchor).astype(np.int64), np.arange(n)
     for i in range(m):
-        new = np.where(texts[:, i : i + d] == patterns[:, i : i + 1], score + 1, score - 1)
-        np.maximum(new[:, :-1], score[:, 1:] - 1, out=new[:, :-1])
-        if not anchored:
-            np.maximum(new, 0, out=new)
+        new = (texts[:, i : i + d] == patterns[:, i : i + 1]).astype(kind)
+        new += new
+        new += score
+        new -= kind(1)
+        np.maximum(new[:, :-1], score[:, 1:] - kind(1), out=new[:, :-1])
+        if anchor is None:
+            np.maximum(new, kind(0), out=new)
+        new[outside] = none
+        new += step
+        np.maximum.accumulate(new, axis=1, out=new)
+        new -= step
         new[outside] = none
-        score = np.maximum.accumulate(new + step, axis=1) - step
-        score[outside] = none
+        np.maximum(new, none, out=new)
+        score = new
         at = score.argmax(axis=1)
         top = score[rows, at]
         better = (top > best) & (patterns[:, i] != -2)
-        best, row, diagonal = np.where(better, top, best), np.where(better, i + 1, row), np.where(better, at, diagonal)
-    return best, row, diagonal
+        if better.any():
+            best, row, diagonal = np.where(better, top, best), np.where(better, i + 1, row), np.where(better, at, diagonal)
+    return best.astype(np.int64), row, diagonal
 
 
 class Licenses:
-    def __init__(self, templates, q: int, window: int, slack: int, least: float):
+    """slack: diagonals of a band, for each template; least: share of a template, or `piece` characters of it, that
+    must be aligned."""
+
+    def __init__(self, templates, q: int, window: int, drift: float, least: float, piece: int):
         codes = [normalize_pattern(t) for _, t in templates]
-        self.names, self.slack, self.least = [n for n, _ in templates], slack, least
+        self.names, self.least = [n for n, _ in templates], least
         self.index = Patterns(codes, q, [winnow(gram_hashes(c, q), window) for c in codes])
+        self.slack = np.maximum(16, np.ceil(drift * self.index.lengths)).astype(np.int64)
+        self.floor = np.minimum(least * self.index.lengths, piece)
         posted = np.bincount(self.index.owner, minlength=len(codes))
-        self.need = np.where(posted < 4, 1, np.clip(posted // 3, 2, 6))
+        self.need = np.where(posted < 4, 1, np.clip(posted // 3, 2, 12))
 
     def find(self, texts: list[str]) -> list[tuple]:
         parts = [normalize(t) for t in texts]
         lengths = np.array([len(c) for c, _ in parts], dtype=np.int64)
         starts = np.cumsum(lengths) - lengths
         codes = np.concatenate([c for c, _ in parts])
-        width = np.full(len(self.names), self.slack, dtype=np.int64)
-        text, item, band, hits = band_counts(*self.index.probe(codes, starts, lengths), width, self.index.lengths, len(self.names))
-        keep = hits >= self.need[item]
-        found = []
-        for i in range(0, int(keep.sum()), 512):
-            found += self._align(codes, starts, lengths, *(x[keep][i : i + 512] for x in (text, item, band)))
+        text, item, band = full_bands(self.index.probe(codes, starts, lengths), self.slack, self.index.lengths, self.need, int(lengths.max(initial=0)))
+        order = np.argsort(self.index.lengths[item], kind="stable")  # templates of like length are aligned together
+        text, item, band = text[order], item[order], band[order]
+        cells, found, begin = np.cumsum(self.index.lengths[item] + 2 * self.slack[item]), [], 0
+        while begin < len(text):
+            stop = max(begin + 1, int(np.searchsorted(cells, (cells[begin - 1] if begin else 0) + CELLS, side="right")))
+            found += self._align(codes, starts, lengths, text[begin:stop], item[begin:stop], band[begin:stop])
+            begin = stop
         out, held = [], {}
         for t, k, a, b, ta, tb, s in sorted(set(found), key=lambda x: (x[0], -x[6], x[2], x[1])):
             if all(b <= x or a >= y for x, y in held.setdefault(t, [])):
@@ -101,44 +96,45 @@ class Licenses:
 
     def _align(self, codes, starts, lengths, text, item, band):
         m, low, high = self.index.lengths[item], starts[text], starts[text] + lengths[text]
-        diagonal, bands = band * self.slack - m, np.full(len(item), 2 * self.slack)
+        slack = self.slack[item]
+        diagonal, bands, most = band * slack - m, 2 * slack, int(slack.max())
         rows, size = [self.index.codes[i] for i in item.tolist()], int(m.max())
-        score, stop_t, end = local(pad(rows, size), windows(codes, low + diagonal, low, high, size + 2 * self.slack), bands)
-        good = np.flatnonzero(score >= self.least * m / 2)
+        score, stop_t, end = local(pad(rows, size), windows(codes, low + diagonal, low, high, size + 2 * most), bands)
+        good = np.flatnonzero(score >= self.floor[item] / 2)
         if not len(good):
             return []
-        text, item, score, stop_t = text[good], item[good], score[good], stop_t[good]
-        stop = diagonal[good] + stop_t + end[good]
-        last = starts[text] + stop
+        text, item, score, stop_t, end = text[good], item[good], score[good], stop_t[good], end[good]
+        stop = diagonal[good] + stop_t + end
         back_rows = [rows[g][: int(s)][::-1] for g, s in zip(good, stop_t)]
-        size, wide = max(map(len, back_rows)), 4 * self.slack + 1
-        # one diagonal step to either side of the anchor for each edit that a good alignment can hold
-        back = windows(codes, last - size - 2 * self.slack - 1, starts[text], last, size + 2 * self.slack + 1)[:, ::-1]
-        back = np.concatenate([np.full((len(back), 2 * self.slack), -1), back], axis=1)
-        back = np.pad(back, ((0, 0), (0, wide)), constant_values=-1)
-        _, used_t, end = local(pad(back_rows, size), back, np.full(len(good), wide), anchored=True)
-        used = used_t + end - 2 * self.slack
+        # the same band backwards from the end that was found
+        anchor, size = bands[good] - 1 - end, max(map(len, back_rows)) + 2 * most
+        last = starts[text] + stop
+        back = windows(codes, last - size + anchor, starts[text], last, size)[:, ::-1]
+        _, used_t, end = local(pad(back_rows, size - 2 * most), back, bands[good], anchor)
+        used = used_t + end - anchor
         found = []
         for t, k, b, n, tb, tn, s in zip(text.tolist(), item.tolist(), stop.tolist(), used.tolist(), stop_t.tolist(), used_t.tolist(), score.tolist()):
-            if tn and n and tn / int(self.index.lengths[k]) >= self.least and s >= 0.7 * tn:
+            if tn and n and tn >= self.floor[k] and s >= 0.7 * tn:
                 found.append((t, k, b - n, b, tb - tn, tb, s))
         return found
 
 
-def license_spans(docs: DataFrame, templates=TEMPLATES, q: int = 6, window: int = 5, slack: int = 16, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_spans(docs: DataFrame, templates=TEMPLATES, q: int = 6, window: int = 5, drift: float = 0.1, least: float = 0.6, piece: int = 150, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, license, template, start, stop, template_start, template_stop, coverage, score) for each place.
 
     Templates are winnowed over q-grams, so any q + window - 1 characters in common meet. Places with
-    enough fingerprints in a band of 2 * slack diagonals are aligned locally (match 1, edit -1). coverage
-    is the aligned part of the template; places below `least`, or with a score under 0.7 of that part, are
-    dropped; of overlapping places the best score stays, then the first template. Case and runs of white
-    space don't count; start and stop are code points of the original text. Null and empty texts have
-    none; repeated rows repeat. The templates are a fixed, small list. No shuffle.
+    enough fingerprints in a band of diagonals are aligned locally (match 1, edit -1); the band is wide
+    enough for drift * length characters more or fewer (16 at least). coverage is the aligned part of the
+    template; places below the share `least` of it and below `piece` characters, or with a score under 0.7
+    of the aligned part, are dropped; of overlapping places the best score stays, then the first place, then
+    the first template. Case and runs of white space don't count; start and stop are code points of the
+    original text. Null and empty texts have none; repeated rows repeat. The templates are a fixed, small
+    list. No shuffle.
     """
     kind = docs.select(id_col).dtypes[0][1]
 
     def run(batches):
-        scan = Licenses(templates, q, window, slack, least)
+        scan = Licenses(templates, q, window, drift, least, piece)
         for batch in text_batches(batches, limit=2 << 20):
             found = scan.find([t or "" for t in batch.column(1).to_pylist()])
             types = (pa.string(), *[pa.int32()] * 5, pa.float64(), pa.int32())
