@@ -1,7 +1,8 @@
 """Hidden Markov language model: Baum-Welch across partitions, scaled forward recursion for scoring.
 
-Symbols are the most frequent words, one class for all rarer words, and the end of the text. A word of the
-rare class is weighted by its own smoothed share of that class, so the model is a distribution over texts.
+Symbols are the most frequent words, classes of rarer words by a hash, and the end of the text. Every word
+has so emissions that depend on the state; one of a class is weighted by its own smoothed share of the
+class, so the model is a distribution over texts.
 
 Texts are cut into segments that run side by side. The transfer matrices of a long text's segments give
 the exact state distribution at each cut, forwards and backwards, so cutting changes no result.
@@ -10,6 +11,7 @@ the exact state distribution at each cut, forwards and backwards, so cutting cha
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -194,7 +196,8 @@ def _counted(held: Counter) -> pa.RecordBatch:
 @dataclass
 class Lexicon:
     """words: the most frequent, most frequent first, with their counts. The first `symbols` of them are
-    symbols of the model; the counts of the others are kept only to spare the join."""
+    symbols of the model; the counts of the others are kept only to spare the join. class_total and
+    class_distinct: tokens and words of each class of words that are no symbols."""
 
     words: list[bytes]
     counts: np.ndarray
@@ -202,31 +205,39 @@ class Lexicon:
     total: int  # tokens, ends included
     distinct: int  # end included
     texts: int
+    class_total: np.ndarray
+    class_distinct: np.ndarray
 
     def __post_init__(self):
         self.index = {w: i for i, w in enumerate(self.words)}
-        known = int(self.counts[: self.symbols].sum())
-        self.rare_total, self.rare_distinct = self.total - self.texts - known, self.distinct - bool(self.texts) - self.symbols
+        self.listed_class = np.array([word_class(w, self.classes) for w in self.words[self.symbols :]], dtype=np.int64)
 
     @property
-    def rare(self) -> int:
-        return self.symbols
+    def classes(self) -> int:
+        return len(self.class_total)
 
     @property
     def end(self) -> int:
-        return self.symbols + 1
+        return self.symbols + self.classes
 
     def share(self) -> np.ndarray:
-        seen = np.append(self.counts[: self.symbols], [self.rare_total, self.texts]) + 1.0
+        seen = np.concatenate([self.counts[: self.symbols], self.class_total, [self.texts]]) + 1.0
         return seen / seen.sum()
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        """Index of each word, -1 for those not listed."""
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(index of each word, -1 for those not listed; the symbols of the words and of the end)."""
         get = self.index.get
-        return np.array([get(w, -1) for w in words], dtype=np.int64)
+        index = np.array([get(w, -1) for w in words], dtype=np.int64)
+        out = np.append(index, self.end)
+        listed = np.flatnonzero(index >= self.symbols)
+        out[listed] = self.symbols + self.listed_class[index[listed] - self.symbols]
+        for i in np.flatnonzero(index < 0).tolist():
+            out[i] = self.symbols + word_class(words[i], self.classes)
+        return index, out
 
-    def sequence(self, index: np.ndarray) -> np.ndarray:
-        return np.append(np.where((index < 0) | (index >= self.symbols), self.rare, index), self.end)
+
+def word_class(word: bytes, classes: int) -> int:
+    return zlib.crc32(word) % classes
 
 
 def _lexicon(shared) -> Lexicon:
@@ -236,56 +247,88 @@ def _lexicon(shared) -> Lexicon:
 
 
 class Model:
-    """A trained model: lexicon, parameters, and the table of all word counts for rarer words."""
+    """A trained model: lexicon, parameters, the table of all word counts for rarer words, and the log10
+    likelihood of the training texts before each round."""
+
+    def __init__(self, key: str, lexicon: tuple, hmm: Hmm, counts: DataFrame, scratch: Scratch, likelihoods: list[float]):
+        self.key, self.fields, self.hmm, self.counts, self.scratch, self.likelihoods = key, lexicon, hmm, counts, scratch, likelihoods
 
-    def __init__(self, key: str, lexicon: tuple, hmm: Hmm, counts: DataFrame, scratch: Scratch):
-        self.key, self.fields, self.hmm, self.counts, self.scratch = key, lexicon, hmm, counts, scratch
+
+def learn_lexicon(counts: DataFrame, texts: int, symbols: int, cached: int, classes: int) -> tuple:
+    """The fields of the Lexicon from all word counts. Only the `cached` most frequent words and the sums of the
+    classes reach the driver."""
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    top = most_frequent(counts, "word", "c", cached).toArrow()
+    words, sizes = top.column("word").cast(pa.binary()).to_pylist(), top.column("c").to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (-sizes[i], words[i]))
+    words, sizes = [words[i] for i in order], sizes[order].astype(np.int64) if order else np.empty(0, dtype=np.int64)
+    symbols = min(symbols, len(words))
+    class_total, class_distinct = np.zeros(classes, dtype=np.int64), np.zeros(classes, dtype=np.int64)
+    for r in counts.groupBy((F.crc32(F.col("word").cast("binary")) % classes).alias("class")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        class_total[r["class"]], class_distinct[r["class"]] = r["c"], r["n"]
+    own = np.array([word_class(w, classes) for w in words[:symbols]], dtype=np.int64)
+    np.subtract.at(class_total, own, sizes[:symbols])
+    np.subtract.at(class_distinct, own, 1)
+    return words, sizes, symbols, total + texts, distinct + bool(texts), texts, class_total, class_distinct
 
 
-def train(docs: DataFrame, states: int = 6, symbols: int = 1 << 15, cached: int = 1 << 17, rounds: int = 3, prior: float = 0.5, text_col: str = "text") -> Model:
+def train(docs: DataFrame, states: int = 6, symbols: int = 1 << 15, cached: int = 1 << 17, classes: int = 1 << 12, rounds: int = 3, least_gain: float = 1e-4, prior: float = 0.5, text_col: str = "text") -> Model:
     """Baum-Welch over every row of docs; a null text counts as empty.
 
     Word counts of the whole corpus stay a table. The `cached` most frequent words go to the tasks, the
-    first `symbols` of them as symbols of the model, so model and broadcast don't grow with the corpus. In
-    each round every task sums its expected counts; they are added up by a group-by over symbols, and only
-    the sums (symbols x states) reach the driver. prior: weight of a symbol's share, in counts.
+    first `symbols` of them as symbols of the model; all other words, however many, fall into `classes`
+    classes by their hash. So every word takes part in training, and model and broadcast don't grow with the
+    corpus. Texts are encoded once, into a table. In each round every task sums its expected counts; they are
+    added up by a group-by over symbols, and only the sums (symbols x states) reach the driver. Training ends
+    after `rounds`, or before if the last round raised the log10 likelihood of all training texts by less
+    than least_gain for each token. prior: weight of a symbol's share, in counts.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     counts = scratch.save(word_counts(docs, text_col), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     texts = docs.count()
-    top = most_frequent(counts, "c", cached).toArrow()
-    words, sizes = top.column("word").cast(pa.binary()).to_pylist(), top.column("c").to_numpy()
-    order = sorted(range(len(words)), key=lambda i: (-sizes[i], words[i]))
-    words, sizes = [words[i] for i in order], sizes[order].astype(np.int64) if order else np.empty(0, dtype=np.int64)
-    fields = (words, sizes, min(symbols, len(words)), total + texts, distinct + bool(texts), texts)
+    fields = learn_lexicon(counts, texts, symbols, cached, classes)
     lexicon = Lexicon(*fields)
     hmm = Hmm.initial(lexicon.share(), states)
     key = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast((key, fields))
-    names = [f"s{k}" for k in range(states)]
+    names, size = [f"s{k}" for k in range(states)], lexicon.end + 1
+
+    def encode(batches):
+        lex = _lexicon(shared)
+        for batch in text_batches(batches, text=0, limit=4 << 20):
+            found = [lex.encode(tokens(t or b""))[1].astype(np.int32) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))], ["symbols"])
+
+    encoded = scratch.save(docs.select(text_col).mapInArrow(encode, "symbols array<int>"), "encoded")
+    likelihoods: list[float] = []
     for _ in range(rounds if texts else 0):
         now = spark.sparkContext.broadcast(hmm.single())
 
         def run(batches, now=now):
-            lex, model = _lexicon(shared), now.value
-            sums = np.zeros(states), np.zeros((states, states)), np.zeros((lex.end + 1, states))
+            model, likelihood = now.value, 0.0
+            sums = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
             for batch in text_batches(batches, text=0, limit=4 << 20):
-                model.expect([lex.sequence(lex.encode(tokens(t or b""))) for t in batch.column(0).cast(pa.binary()).to_pylist()], sums)
-            # rows below the symbols hold starts and moves
-            rows = np.concatenate([sums[2], sums[0][None], sums[1]])
+                column = batch.column(0)
+                values, ends = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_numpy()])
+                likelihood += model.expect([values[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())], sums)
+            # rows below the symbols hold starts, moves and the likelihood
+            rows = np.concatenate([sums[2], sums[0][None], sums[1], np.full((1, states), likelihood)])
             at = np.flatnonzero(rows.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(rows[at, k]) for k in range(states))], ["row", *names])
 
-        parts = docs.select(text_col).mapInArrow(run, "row bigint, " + ", ".join(f"{n} double" for n in names))
+        parts = encoded.mapInArrow(run, "row bigint, " + ", ".join(f"{n} double" for n in names))
         found = parts.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-        rows = np.zeros((lexicon.end + 2 + states, states))
+        rows = np.zeros((size + 2 + states, states))
         rows[found["row"].to_numpy()] = found[names].to_numpy()
-        emit = rows[: lexicon.end + 1] + prior * states * lexicon.share()[:, None]
-        start, move = rows[lexicon.end + 1] + prior, rows[lexicon.end + 2 :] + prior
+        emit = rows[:size] + prior * states * lexicon.share()[:, None]
+        start, move = rows[size] + prior, rows[size + 1 : -1] + prior
         hmm = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-    return Model(key, fields, hmm, counts, scratch)
+        likelihoods.append(float(rows[-1, 0]))
+        if len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < least_gain * lexicon.total:
+            break
+    return Model(key, fields, hmm, counts, scratch, likelihoods)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,19 +345,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         lex = _lexicon(shared)
-        known_log, rare_log = np.log10(lex.counts + 1.0), np.log10(lex.rare_total + lex.rare_distinct + 1.0)
+        known_log, class_log = np.log10(lex.counts + 1.0), np.log10(lex.class_total + lex.class_distinct + 1.0)
         all_log, end_log = np.log10(lex.total + lex.distinct + 1.0), np.log10(lex.texts + 1.0)
         for batch in text_batches(batches, limit=4 << 20):
             sequences, out, rarer, times, ends = [], [], [], [], [0]
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = tokens(text or b"")
-                index = lex.encode(words)
+                index, symbols = lex.encode(words)
                 listed = index[index >= 0]
                 others = Counter(words[i] for i in np.flatnonzero(index < 0).tolist())
-                sequences.append(lex.sequence(index))
-                n_rare = int((listed >= lex.symbols).sum()) + len(words) - len(listed)
+                sequences.append(symbols)
+                in_class = symbols[:-1][symbols[:-1] >= lex.symbols] - lex.symbols
                 base = known_log[listed].sum() + end_log - (len(words) + 1) * all_log
-                rare = known_log[listed[listed >= lex.symbols]].sum() - n_rare * rare_log
+                rare = known_log[listed[listed >= lex.symbols]].sum() - class_log[in_class].sum()
                 out.append((len(words) + 1, len(listed) + (lex.texts > 0), float(base), float(rare)))
                 rarer += others
                 times += others.values()
