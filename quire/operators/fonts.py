@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.spans import nfc
+from quire.operators.spans import nfc_rows
 
 
 def embedding_allowed(fs_type: Column) -> Column:
@@ -18,19 +18,33 @@ def postscript_name(name: Column) -> Column:
     return F.regexp_replace(name, r"^[A-Z]{6}\+", "")
 
 
-def font_key(name: Column) -> Column:
-    """Lower case without spaces, underscores and hyphens; NFC where it isn't ASCII."""
-    plain = F.when(F.octet_length(name) == F.length(name), name).otherwise(nfc(name))
-    return F.regexp_replace(F.lower(plain), r"[\s_\-]", "")
+def with_font_key(rows: DataFrame, column: str) -> DataFrame:
+    """Rows with the name in column in NFC, lower case, without white space, underscores and hyphens."""
+    return nfc_rows(rows, column).withColumn(column, F.regexp_replace(F.lower(column), r"[\s_\-]", ""))
 
 
-def reconcile_fonts(declared: DataFrame) -> DataFrame:
-    """(page_no, face, n, conflict, usable): declarations of a page by normalised name. They conflict if they
-    differ in weight, style or embedding; a face is usable if every declaration is embedded and none conflict."""
-    g = declared.groupBy("page_no", postscript_name(F.col("name")).alias("face")).agg(
-        F.count("*").alias("n"), F.count_distinct("weight").alias("w"), F.count_distinct("style").alias("s"), F.count_distinct("embedded").alias("e"), F.bool_and("embedded").alias("all_embedded"))
-    conflict = (F.col("w") > 1) | (F.col("s") > 1) | (F.col("e") > 1)
-    return g.select("page_no", "face", "n", conflict.alias("conflict"), (F.col("all_embedded") & ~conflict).alias("usable"))
+#: What declarations of one name must agree in.
+DECLARED = ("embedded", "program", "type3", "builtin", "weight", "style", "legacy")
+
+
+def reconcile_fonts(declared: DataFrame, incomplete: DataFrame) -> DataFrame:
+    """(page_no, face, n, conflict, several, embedded, usable): declarations of a page by normalised name.
+
+    declared (page_no, font, name, and the columns DECLARED, which may be null), incomplete (page_no): pages
+    whose fonts could not all be read. A name is in conflict if its declarations differ in any column, a
+    missing value differing from a known one, or if a font that isn't embedded has several names. On an
+    incomplete page, and in conflict, embedded is `unknown` and nothing is usable; else a face is usable if it
+    is embedded, type 3 or built in. several: some font of that name has other names too, so no catalogue
+    face is offered for it.
+    """
+    rows = declared.withColumn("face", postscript_name(F.col("name")))
+    names = rows.groupBy("page_no", "font").agg((F.count_distinct("face") > 1).alias("several"))
+    g = rows.join(names, ["page_no", "font"]).groupBy("page_no", "face").agg(
+        F.count("*").alias("n"), F.count_distinct(F.struct(*DECLARED)).alias("kinds"), F.bool_or("several").alias("several"),
+        F.bool_or(F.col("several") & ~F.col("embedded")).alias("loose"), F.bool_and("embedded").alias("embedded"), F.bool_and(F.col("embedded") | F.col("type3") | F.col("builtin")).alias("has"))
+    g = g.withColumn("conflict", (F.col("kinds") > 1) | F.col("loose")).join(incomplete.select("page_no", F.lit(True).alias("partial")).distinct(), "page_no", "left")
+    unknown = F.col("conflict") | F.col("partial").isNotNull()
+    return g.select("page_no", "face", "n", "conflict", "several", F.when(unknown, "unknown").otherwise(F.col("embedded").cast("string")).alias("embedded"), (F.col("has") & ~unknown).alias("usable"))
 
 
 def catalog_face(declared: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -51,15 +65,14 @@ def match_font_file(declared: DataFrame, files: DataFrame) -> DataFrame:
     `Family,Style`, family equal, bold iff weight >= 600, italic iff the style says so; else full name equal,
     or family equal with the declared weight (400 if none) and slant (upright if none).
     """
-    d = declared.withColumn("base", font_key(F.regexp_extract("name", r"^([^,]*)", 1))).withColumn("style", F.lower(F.regexp_extract("name", r",(.*)$", 1)))
-    f = files.withColumn("fam", font_key(F.col("family"))).withColumn("full", font_key(F.col("full_name")))
-    f = f.select("file_id", F.col("weight").alias("fw"), F.col("italic").alias("fi"), "fam", "full", F.explode(F.array_distinct(F.array("fam", "full"))).alias("base"))
-    rows = d.join(f, "base")
-    styled = F.col("style") != ""
+    d = declared.withColumn("base", F.regexp_extract("name", r"^([^,]*)", 1)).withColumn("style", F.lower(F.regexp_extract("name", r",(.*)$", 1)))
+    names = F.array(F.struct(F.lit(True).alias("family"), F.col("family").alias("base")), F.struct(F.lit(False).alias("family"), F.col("full_name").alias("base")))
+    f = files.select("file_id", F.col("weight").alias("fw"), F.col("italic").alias("fi"), F.explode(names).alias("x")).select("file_id", "fw", "fi", "x.*")
+    rows = with_font_key(d, "base").join(with_font_key(f, "base"), "base")
     slant = F.col("italic").isNull() | (F.col("italic") == F.col("fi"))
-    by_style = (F.col("fam") == F.col("base")) & (F.col("style").contains("bold") == (F.col("fw") >= 600)) & (F.col("style").rlike("italic|oblique") == F.col("fi"))
-    by_name = (F.col("full") == F.col("base")) | ((F.col("fam") == F.col("base")) & (F.col("fw") == F.coalesce("weight", F.lit(400))) & (F.col("fi") == F.coalesce("italic", F.lit(False))))
-    return rows.where(slant & F.when(styled, by_style).otherwise(by_name)).select("font_id", "file_id").distinct()
+    by_style = F.col("family") & (F.col("style").contains("bold") == (F.col("fw") >= 600)) & (F.col("style").rlike("italic|oblique") == F.col("fi"))
+    by_name = ~F.col("family") | ((F.col("fw") == F.coalesce("weight", F.lit(400))) & (F.col("fi") == F.coalesce("italic", F.lit(False))))
+    return rows.where(slant & F.when(F.col("style") != "", by_style).otherwise(by_name)).select("font_id", "file_id").distinct()
 
 
 def glyph_coverage(observed: DataFrame) -> DataFrame:
@@ -73,9 +86,9 @@ def missing_glyphs(used: DataFrame, coverage: DataFrame) -> DataFrame:
 
 
 def font_action(reconciled: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(page_no, face, action) of each unusable face: download (in the catalogue), own_file (known but not
-    embedded), substitute (in conflict)."""
+    """(page_no, face, action) of each unusable face: substitute (unknown), download (in the catalogue, and no
+    font of that name has others), own_file (known but not embedded)."""
     known = catalog.select(F.col("name").alias("face"), F.lit(True).alias("listed")).distinct()
     rows = reconciled.where("not usable").join(known, "face", "left")
-    action = F.when(F.col("conflict"), "substitute").when(F.col("listed"), "download").otherwise("own_file")
+    action = F.when(F.col("embedded") == "unknown", "substitute").when(F.col("listed") & ~F.col("several"), "download").otherwise("own_file")
     return rows.select("page_no", "face", action.alias("action"))

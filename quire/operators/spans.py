@@ -29,21 +29,29 @@ def mixed_value(rows: DataFrame, key: str, column: str, default: str | None = No
     return g.withColumn("kind", kind).select(key, "kind", F.when(F.col("kind") == "uniform", F.col("low")).alias("value"))
 
 
-def style_runs(runs: DataFrame, keys: list[str] = KEYS, style: str = "bold", order: str = "run_no") -> DataFrame:
-    """Neighbouring runs of equal style as one: (keys, run_no, begin, stop, text, style); empty runs go."""
-    at = Window.partitionBy(*keys).orderBy(order)
-    rows = runs.where(F.length("text") > 0).withColumn("change", (~F.col(style).eqNullSafe(F.lag(style).over(at)) | (F.row_number().over(at) == 1)).cast("int"))
+def style_runs(runs: DataFrame, keys: list[str] = KEYS, style: str = "bold", order: str = "run_no", fallback: Column | None = None) -> DataFrame:
+    """Neighbouring runs of equal style as one: (keys, run_no, begin, stop, text, style). Empty runs go, but a
+    text of nothing else keeps one empty run, with the fallback style, or its first run's where none is given."""
+    at, whole = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
+    rows = runs.withColumn("void", F.sum(F.length("text")).over(whole) == 0).withColumn("nth", F.row_number().over(at))
+    rows = rows.where("length(text) > 0 or (void and nth = 1)")
+    if fallback is not None:
+        rows = rows.withColumn(style, F.when(F.col("void"), fallback).otherwise(F.col(style)))
+    rows = rows.withColumn("change", (~F.col(style).eqNullSafe(F.lag(style).over(at)) | (F.row_number().over(at) == 1)).cast("int"))
     rows = rows.withColumn("island", F.sum("change").over(at))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "")
     return rows.groupBy(*keys, "island", style).agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"), text.alias("text")).withColumn("run_no", F.col("island").cast("bigint") - 1).drop("island")
 
 
 def style_at(offsets: DataFrame, runs: DataFrame, keys: list[str] = KEYS, style: str = "bold") -> DataFrame:
-    """(keys, offset, style): of the run that covers the offset; past the end that of the last run, null
-    without runs. An equi-join on the text, then one group-by: no text is joined to another's runs."""
-    reach = offsets.join(runs.select(*keys, "begin", "stop", style), keys, "left")
-    inside = (F.col("begin") <= F.col("offset")) & (F.col("offset") < F.col("stop"))
-    return reach.groupBy(*keys, "offset").agg(F.coalesce(F.max(F.when(inside, F.col(style))), F.max_by(style, "stop")).alias(style))
+    """(keys, offset, style), one row for each offset: the style of the run that covers it; past the end that of
+    the last run, null without runs. Runs and offsets of a text pass in one order and the last run so far is
+    carried along, so no offset meets another run."""
+    marks = runs.select(*keys, F.col("begin").alias("offset"), F.col("stop").alias("to"), F.struct(style).alias("run"))
+    asked = offsets.select(*keys, F.col("offset").cast("bigint").alias("offset"), F.lit(None).cast("bigint").alias("to"), F.lit(None).cast(marks.schema["run"].dataType).alias("run"))
+    at = Window.partitionBy(*keys).orderBy("offset", F.col("run").isNull(), "to").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marks.unionByName(asked).withColumn("last", F.last("run", ignorenulls=True).over(at)).where("run is null")
+    return rows.select(*keys, "offset", F.col(f"last.{style}").alias(style))
 
 
 def slice_spans(cuts: DataFrame, runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -87,19 +95,21 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def nfc_rows(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the column in NFC. Rows whose value is ASCII, where it is so already, don't reach Python."""
+    plain = F.coalesce(F.octet_length(column) == F.length(column), F.lit(True))
+    return rows.where(plain).unionByName(rows.where(~plain).withColumn(column, nfc(column)))
+
+
 def normal_text(text: Column) -> Column:
-    """Line feeds for CRLF and CR, four spaces for a tab, NFC. Text in ASCII never reaches Python's NFC."""
-    plain = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\t", "    ")
-    return plain
+    """T1 without NFC: line feeds for CRLF and CR, four spaces for a tab."""
+    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\t", "    ")
 
 
 def normalize_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, changed). Only rows with non-ASCII text go through the NFC function."""
-    rows = docs.select(id_col, F.col(text_col).alias("old"), normal_text(F.col(text_col)).alias("text"))
-    ascii_only = F.octet_length("text") == F.length("text")
-    same = rows.where(F.coalesce(ascii_only, F.lit(True)))
-    other = rows.where(~ascii_only).withColumn("text", nfc("text"))
-    return same.unionByName(other).select(id_col, "text", F.coalesce(F.col("text") != F.col("old"), F.lit(False)).alias("changed"))
+    """(id, text, changed): line feeds for CRLF and CR, four spaces for a tab, NFC."""
+    rows = nfc_rows(docs.select(id_col, F.col(text_col).alias("old"), normal_text(F.col(text_col)).alias("text")), "text")
+    return rows.select(id_col, "text", F.coalesce(F.col("text") != F.col("old"), F.lit(False)).alias("changed"))
 
 
 def graphemes(text: Column) -> Column:
@@ -133,15 +143,25 @@ def snap_spans(spans: DataFrame, texts: DataFrame, keys: list[str] = KEYS) -> Da
 
 
 def normalize_runs(runs: DataFrame, keys: list[str] = KEYS, style: str = "bold") -> DataFrame:
-    """Runs after every grapheme is normalised, each keeping the style at its first character."""
-    text = plain_text(runs, keys)
-    parts = text.select(*keys, F.posexplode(graphemes(F.col("text"))).alias("g_no", "g"))
-    at = Window.partitionBy(*keys).orderBy("g_no")
-    parts = parts.withColumn("offset", F.coalesce(F.sum(F.length("g")).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    bounds = runs.select(*keys, F.col("begin").alias("b"), F.col("stop").alias("e"), style)
-    parts = parts.join(bounds, keys).where("b <= offset and offset < e").withColumn("text", nfc(normal_text(F.col("g"))))
-    parts = parts.withColumn("stop", F.sum(F.length("text")).over(at.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("stop") - F.length("text"))
-    return style_runs(parts.select(*keys, "begin", "stop", "text", style), keys, style, "begin")
+    """Runs after every grapheme is normalised, each keeping the style at its first character.
+
+    Only texts with graphemes of several characters are cut into graphemes, which take their style in one
+    ordered pass (see style_at); neighbours of one style join again before they are normalised. In other texts
+    a run's edges are grapheme edges already.
+    """
+    text = plain_text(runs, keys).withColumn("wide", F.size(graphemes(F.col("text"))) < F.length("text"))
+    order = [*keys, F.col("begin").alias("offset"), "text", style]
+    whole = runs.join(text.where("not wide").select(*keys), keys, "left_semi").select(*order)
+    at = Window.partitionBy(*keys).orderBy("g_no").rowsBetween(Window.unboundedPreceding, -1)
+    parts = text.where("wide").select(*keys, F.posexplode(graphemes(F.col("text"))).alias("g_no", "text"))
+    parts = parts.withColumn("offset", F.coalesce(F.sum(F.length("text")).over(at), F.lit(0)).cast("bigint"))
+    styled = style_at(parts, runs.join(text.where("wide").select(*keys), keys, "left_semi"), keys, style)
+    parts = parts.join(styled, [*keys, "offset"]).withColumn("begin", F.col("offset")).withColumn("stop", F.col("offset") + F.length("text"))
+    joined = style_runs(parts, keys, style, "offset").select(*order)
+    pieces = nfc_rows(whole.unionByName(joined).withColumn("text", normal_text(F.col("text"))), "text")
+    up_to = Window.partitionBy(*keys).orderBy("offset", F.length("text")).rowsBetween(Window.unboundedPreceding, 0)
+    pieces = pieces.withColumn("stop", F.sum(F.length("text")).over(up_to)).withColumn("begin", F.col("stop") - F.length("text"))
+    return style_runs(pieces.withColumnRenamed("offset", "piece"), keys, style, "piece")
 
 
 def replace_refs(runs: DataFrame, mapping: DataFrame, column: str) -> DataFrame:

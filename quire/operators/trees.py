@@ -1,57 +1,89 @@
-"""Hierarchies as edge tables (node, parent), a null parent for roots. All jobs are recursive joins."""
+"""Hierarchies as edge tables (node, parent), a null parent for roots.
+
+Jobs climb by doubling: after k rounds every node knows what its 2**k nearest ancestors tell it, and its 2**k-th
+ancestor. A tree of any depth takes log2(depth) rounds, each a join of two tables as large as the tree.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.functions.scratch import Scratch
 
 
-def ancestors(tree: DataFrame) -> DataFrame:
-    """(node, ancestor, depth), the node itself at depth 0, however deep the tree is. A cycle ends where it closes,
-    so the frontier runs empty in the end. A round is one join of the frontier with the edges, written so that the
-    next round starts from a table; all rounds lie in one folder, read as one table."""
-    scratch = Scratch(tree.sparkSession)
-    tree = scratch.save(tree.select("node", "parent"), "tree")
-    edges = tree.where("parent is not null").select(F.col("node").alias("child"), "parent")
-    step = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"), F.array("node").alias("seen"))
-    schema, depth = step.schema, 0
-    step = scratch.save(step, "up/0")
-    while not step.isEmpty():
-        depth += 1
-        step = step.join(edges, F.col("ancestor") == F.col("child")).where(~F.expr("array_contains(seen, parent)"))
-        step = step.select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("seen", F.array("parent")).alias("seen"))
-        step = scratch.save(step, f"up/{depth}")
-    return tree.sparkSession.read.schema(schema).parquet(f"{scratch.base}/up/*").select("node", "ancestor", "depth")
+def _rounds(scratch: Scratch, name: str, state: DataFrame, step) -> Iterator[DataFrame]:
+    """state, then step(state) of each table before, all written, while an open node (`up` not null) has ancestors
+    left to ask: nodes still open after log2 of all nodes lead into a cycle."""
+    state = scratch.save(state, f"{name}-0")
+    left, k = state.count().bit_length() + 1, 0
+    yield state
+    while left and not state.where("up is not null").isEmpty():
+        left, k = left - 1, k + 1
+        state = scratch.save(step(state), f"{name}-{k}")
+        yield state
+
+
+def climb(nodes: DataFrame, scratch: Scratch, name: str = "climb") -> DataFrame:
+    """(node, value, up) for nodes (node, parent, value), one row for each node: the nearest value that isn't null
+    on the way up, the node's own first. Where there is none, value is null, and up is null if the way ends, or
+    a node on the cycle that it leads into. A parent that is no node ends the way."""
+
+    def step(state: DataFrame) -> DataFrame:
+        above = state.select(F.col("node").alias("at"), F.col("value").alias("v"), F.col("up").alias("u"))
+        rows = state.join(above, F.col("up") == F.col("at"), "left")
+        value = F.coalesce("value", "v")
+        return rows.select("node", value.alias("value"), F.when(value.isNull(), F.col("u")).alias("up"))
+
+    start = nodes.select("node", "value", F.when(F.col("value").isNull(), F.col("parent")).alias("up"))
+    for state in _rounds(scratch, name, start, step):
+        pass
+    return state
+
+
+def marked_above(nodes: DataFrame, scratch: Scratch, name: str = "marked") -> DataFrame:
+    """(node, mark) for nodes (node, parent, mark): whether the node or any below it is marked."""
+
+    def step(state: DataFrame) -> DataFrame:
+        hit = state.where("mark and up is not null").select(F.col("up").alias("hit")).distinct()
+        above = state.select(F.col("node").alias("at"), F.col("up").alias("u"))
+        rows = state.join(above, F.col("up") == F.col("at"), "left").join(hit, F.col("node") == F.col("hit"), "left")
+        return rows.select("node", (F.col("mark") | F.col("hit").isNotNull()).alias("mark"), F.col("u").alias("up"))
+
+    for state in _rounds(scratch, name, nodes.select("node", "mark", F.col("parent").alias("up")), step):
+        pass
+    return state.select("node", "mark")
 
 
 def inherit_attribute(tree: DataFrame) -> DataFrame:
     """H1: (node, value): the nearest value that isn't null on the way to the root, the node's own first."""
-    values = tree.where("value is not null").select(F.col("node").alias("ancestor"), "value")
-    found = ancestors(tree).join(values, "ancestor").groupBy("node").agg(F.min_by("value", "depth").alias("value"))
-    return tree.select("node").join(found, "node", "left")
+    return climb(tree.select("node", "parent", "value"), Scratch(tree.sparkSession)).select("node", "value")
 
 
 def duplicate_capability(pages: DataFrame, widgets: DataFrame, fields: DataFrame, documents: DataFrame) -> DataFrame:
-    """H2: (doc_id, page_no, may_copy): not if the document has XFA or the page has a signature widget, whose
-    type is inherited. widgets (doc_id, page_no, node), fields: a tree with value = type, documents (doc_id, xfa)."""
+    """H2: (doc_id, page_no, may_copy, doc_signed): a page may not be copied if the document has XFA or the page has
+    a signature widget, whose type is inherited; doc_signed: any page of the document has one. widgets (doc_id,
+    page_no, node), fields: a tree with value = type, documents (doc_id, xfa)."""
     kinds = inherit_attribute(fields).where("value = 'Sig'").select("node")
     signed = widgets.join(kinds, "node", "left_semi").select("doc_id", "page_no").distinct().withColumn("signed", F.lit(True))
-    rows = pages.join(documents, "doc_id", "left").join(signed, ["doc_id", "page_no"], "left")
-    return rows.select("doc_id", "page_no", (~F.coalesce("xfa", F.lit(False)) & F.col("signed").isNull()).alias("may_copy"))
+    whole = signed.select("doc_id", F.lit(True).alias("doc_signed")).distinct()
+    rows = pages.join(documents, "doc_id", "left").join(signed, ["doc_id", "page_no"], "left").join(whole, "doc_id", "left")
+    return rows.select("doc_id", "page_no", (~F.coalesce("xfa", F.lit(False)) & F.col("signed").isNull()).alias("may_copy"), F.coalesce("doc_signed", F.lit(False)).alias("doc_signed"))
 
 
 def resolve_aliases(aliases: DataFrame, targets: DataFrame) -> DataFrame:
-    """H3: (name, target, status): names followed to a concrete target: ok, cycle, or missing (keeps its alias)."""
-    tree = aliases.select(F.col("name").alias("node"), F.col("to").alias("parent"))
-    nodes = tree.unionByName(tree.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")).join(tree.select("node"), "node", "left_anti").distinct())
-    chain = ancestors(nodes).join(targets.select(F.col("name").alias("ancestor"), F.col("target")), "ancestor", "left")
-    ends = nodes.where("parent is null").select(F.col("node").alias("ancestor"), F.lit(True).alias("end"))
-    g = chain.join(ends, "ancestor", "left").groupBy("node").agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("depth"))).alias("target"), F.max("end").alias("end"))
-    g = aliases.select(F.col("name").alias("node"), "to").join(g, "node")
-    status = F.when(F.col("target").isNotNull(), "ok").when(F.col("end"), "missing").otherwise("cycle")
-    return g.select(F.col("node").alias("name"), F.coalesce("target", "to").alias("target"), status.alias("status"))
+    """H3: (name, target, status): names followed to a concrete target: ok, cycle, or missing (keeps its alias).
+    One alias and one target for each name."""
+    own = targets.select(F.col("name").alias("t_name"), F.col("target").alias("value"))
+    nodes = aliases.select(F.col("name").alias("node"), F.col("to").alias("parent"))
+    ends = nodes.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")).distinct().join(nodes.select("node"), "node", "left_anti")
+    nodes = nodes.unionByName(ends).join(own, F.col("node") == F.col("t_name"), "left").select("node", "parent", "value")
+    found = aliases.join(climb(nodes, Scratch(aliases.sparkSession)), F.col("name") == F.col("node"))
+    status = F.when(F.col("value").isNotNull(), "ok").when(F.col("up").isNull(), "missing").otherwise("cycle")
+    return found.select("name", F.coalesce("value", "to").alias("target"), status.alias("status"))
 
 
 def prune_tree(tree: DataFrame) -> DataFrame:
@@ -59,11 +91,18 @@ def prune_tree(tree: DataFrame) -> DataFrame:
     and has no deleted ancestor."""
     scratch = Scratch(tree.sparkSession)
     tree = scratch.save(tree, "tree")
-    up = ancestors(tree)
-    dead = up.join(tree.where("gone").select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node").distinct()
-    leaves = tree.select("node").join(tree.select(F.col("parent").alias("node")), "node", "left_anti").join(dead, "node", "left_anti")
-    alive = up.join(leaves, "node", "left_semi").select(F.col("ancestor").alias("node")).distinct()
-    return tree.join(alive, "node", "left_semi")
+    dead = climb(tree.select("node", "parent", F.when(F.col("gone"), True).alias("value")), scratch, "dead").where("value").select("node", F.lit(True).alias("dead"))
+    inner = tree.where("parent is not null").select(F.col("parent").alias("node"), F.lit(True).alias("inner")).distinct()
+    rows = tree.select("node", "parent").join(dead, "node", "left").join(inner, "node", "left")
+    alive = marked_above(rows.select("node", "parent", (F.col("dead").isNull() & F.col("inner").isNull()).alias("mark")), scratch)
+    return tree.join(alive.where("mark").select("node"), "node", "left_semi")
+
+
+def prune_references(lists: DataFrame, kept: DataFrame) -> DataFrame:
+    """H4, ordered reference lists: (list_id, ord, node) without nodes that are not kept, numbered anew from 0."""
+    rows = lists.join(kept.select("node"), "node", "left_semi")
+    at = Window.partitionBy("list_id").orderBy("ord", "node")
+    return rows.select("list_id", (F.row_number().over(at) - 1).cast("bigint").alias("ord"), "node")
 
 
 def drop_dangling(references: DataFrame, kept_pages: DataFrame, aliases: DataFrame, targets: DataFrame) -> DataFrame:
@@ -75,21 +114,34 @@ def drop_dangling(references: DataFrame, kept_pages: DataFrame, aliases: DataFra
 
 
 def tree_consistency(edges: DataFrame, pointers: DataFrame, widgets: DataFrame, kept_pages: DataFrame) -> DataFrame:
-    """H6: (node, violation), one row for each: reached twice, parent pointer other than the edge, widget on two
-    pages, widget on a removed page, widget outside the tree."""
-    twice = edges.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.lit("reached twice").alias("violation"))
-    wrong = edges.join(pointers.select("node", F.col("parent").alias("p")), "node").where("not (p <=> parent)").select("node", F.lit("parent pointer").alias("violation"))
+    """H6: (node, violation), one row for each: reached twice, on a cycle, parent pointer other than an edge, widget
+    on two pages, widget on a removed page, widget outside the tree.
+
+    edges and pointers (node, parent), widgets (node, page). A cycle through a node of several parents shows
+    as that node reached twice; one whose nodes have one parent each is reported with all its nodes.
+    """
+    scratch = Scratch(edges.sparkSession)
+    parents = edges.groupBy("node").agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
+    twice = parents.where("n > 1").select("node", F.lit("reached twice").alias("violation"))
+    single = parents.where("n = 1").select("node", "parent", F.lit(None).cast("boolean").alias("value"))
+    cycle = climb(single, scratch).where("up is not null").select(F.col("up").alias("node"), F.lit("cycle").alias("violation"))
+    wrong = pointers.select("node", F.col("parent").alias("p")).join(edges, "node", "left").where("not (p <=> parent)").select("node", F.lit("parent pointer").alias("violation"))
     two = widgets.groupBy("node").agg(F.count_distinct("page").alias("n")).where("n > 1").select("node", F.lit("on two pages").alias("violation"))
     gone = widgets.join(kept_pages, "page", "left_anti").select("node", F.lit("on removed page").alias("violation"))
     outside = widgets.join(edges.select("node"), "node", "left_anti").select("node", F.lit("not in tree").alias("violation"))
-    return twice.unionByName(wrong).unionByName(two).unionByName(gone).unionByName(outside).distinct()
+    return twice.unionByName(cycle).unionByName(wrong).unionByName(two).unionByName(gone).unionByName(outside).distinct()
 
 
 def clone_subtree(tree: DataFrame, roots: DataFrame, copy: str) -> DataFrame:
     """H7: the tree and, for each root (node), a copy of its subtree under new ids: references inside go to the
-    copies, the root's own parent stays shared. New ids are a hash of the copy's name and the old id."""
-    inside = ancestors(tree).join(roots.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node").distinct()
+    copies, the root's own parent stays shared. New ids are a hash of the copy's name and the old id. Where the
+    tree has a column `name`, that of a copied root begins with the copy's name."""
+    tops = roots.select("node", F.lit(True).alias("top")).distinct()
+    marked = tree.select("node", "parent").join(tops, "node", "left").withColumnRenamed("top", "value")
+    inside = climb(marked, Scratch(tree.sparkSession)).where("value").select("node")
     ids = inside.select("node", F.concat(F.lit(f"{copy}-"), F.substring(F.sha2(F.concat_ws("/", F.lit(copy), "node"), 256), 1, 16)).alias("new"))
-    rows = tree.join(ids, "node").join(ids.select(F.col("node").alias("parent"), F.col("new").alias("new_parent")), "parent", "left")
+    rows = tree.join(ids, "node").join(ids.select(F.col("node").alias("parent"), F.col("new").alias("new_parent")), "parent", "left").join(tops, "node", "left")
+    if "name" in tree.columns:
+        rows = rows.withColumn("name", F.when(F.col("top"), F.concat(F.lit(f"{copy}_"), "name")).otherwise(F.col("name")))
     copies = rows.withColumn("node", F.col("new")).withColumn("parent", F.coalesce("new_parent", "parent")).select(*tree.columns)
     return tree.unionByName(copies)

@@ -63,26 +63,36 @@ def t5_restyle_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("doc_id", "line_no").agg(F.sum(F.when(F.col("bold"), F.col("stop") - F.col("begin")).otherwise(0)).alias("bold_chars"))
 
 
-@query("SELECT doc_id, nfc_normalize(replace(replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(9), '    '), chr(13), chr(10))) AS text, false AS changed FROM documents")
+def _normal(text: str) -> str:
+    return f"nfc_normalize(replace(replace(replace({text}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(9), '    '))"
+
+
+@query(f"SELECT doc_id, {_normal('text')} AS text, {_normal('text')} <> text AS changed FROM r_marked_docs")
 def t1_normalize_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.normalize_corpus(R.table(spark, sf_dir, "documents"))
+    return op.normalize_corpus(R.marked_documents(spark, sf_dir))
 
 
-@query("SELECT doc_id, line_no, length_grapheme(text) AS n FROM r_lines")
+@query("SELECT doc_id, line_no, length_grapheme(replace(text, chr(13) || chr(10), chr(10))) AS n FROM r_marked")
 def t2_grapheme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.grapheme_counts(R.lines(spark, sf_dir))
+    return op.grapheme_counts(R.marked_lines(spark, sf_dir))
+
+
+_INSIDE = "substring(text, {0} + 1, 1) = chr(769) OR ({0} > 0 AND substring(text, {0}, 2) = chr(13) || chr(10))"
 
 
-@query("SELECT doc_id, line_no, a AS begin, CASE WHEN a = b THEN a ELSE b END AS stop FROM (SELECT doc_id, line_no, least(line_no % 30, length(text)) AS a, least(line_no % 30 + doc_id % 25, length(text)) AS b FROM r_lines)")
+@query(f"""SELECT doc_id, line_no, CASE WHEN {_INSIDE.format('a')} THEN a - 1 ELSE a END AS begin, CASE WHEN a = b THEN CASE WHEN {_INSIDE.format('a')} THEN a - 1 ELSE a END WHEN {_INSIDE.format('b')} THEN b + 1 ELSE b END AS stop
+FROM (SELECT doc_id, line_no, text, least(line_no % 30, length(text)) AS a, least(line_no % 30 + doc_id % 25, length(text)) AS b FROM r_marked)""")
 def t3_snap_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = R.lines(spark, sf_dir)
+    texts = R.marked_lines(spark, sf_dir)
     spans = texts.select("doc_id", "line_no", F.expr("least(line_no % 30, length(text))").alias("cut_begin"), F.expr("least(line_no % 30 + doc_id % 25, length(text))").alias("cut_stop"))
     return op.snap_spans(spans, texts)
 
 
-@query("SELECT doc_id, line_no, bold, begin, stop FROM r_islands")
+@query(f"""WITH w AS (SELECT doc_id, line_no, run_no, bold, {_normal('text')} AS text FROM r_marked_words), p AS (SELECT *, CAST(sum(length(text)) OVER (PARTITION BY doc_id, line_no ORDER BY run_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM w)
+SELECT doc_id, line_no, bold, min(stop - length(text)) AS begin, max(stop) AS stop FROM (SELECT *, sum(c) OVER (PARTITION BY doc_id, line_no ORDER BY run_no) AS island FROM (SELECT *, CASE WHEN lag(bold) OVER (PARTITION BY doc_id, line_no ORDER BY run_no) IS NOT DISTINCT FROM bold THEN 0 ELSE 1 END AS c FROM p))
+GROUP BY doc_id, line_no, bold, island""")
 def t6_normalize_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.normalize_runs(R.words(spark, sf_dir)).select("doc_id", "line_no", "bold", "begin", "stop")
+    return op.normalize_runs(R.words(spark, sf_dir, R.marked_lines)).select("doc_id", "line_no", "bold", "begin", "stop")
 
 
 @query("SELECT doc_id, line_no, run_no, CASE WHEN length(text) = 8 THEN 'asset-8' ELSE 'f' || length(text) END AS font FROM r_words")

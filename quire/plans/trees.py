@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire import relations as R
 from quire.operators import fonts, trees
@@ -16,12 +17,19 @@ def p8_embedding_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.font_declarations(spark, sf_dir).select("font_id", fonts.embedding_allowed(F.col("weight") * 53).alias("allowed"))
 
 
-R.RELATIONS["r_faces"] = """SELECT page_no, regexp_replace(name, '^[A-Z]{6}\\+', '') AS face, count(*) AS n, count(DISTINCT weight) > 1 OR count(DISTINCT style) > 1 OR count(DISTINCT embedded) > 1 AS conflict, bool_and(embedded) AS emb FROM r_fonts GROUP BY ALL"""
+R.RELATIONS["r_faces"] = """SELECT f.page_no, face, count(*) AS n, count(DISTINCT (weight, style, embedded, program, type3, builtin, legacy)) > 1 OR bool_or(several AND NOT embedded) AS conflict, bool_or(several) AS several, bool_and(embedded) AS emb, bool_and(embedded OR type3 OR builtin) AS has, f.page_no % 9 = 4 AS partial
+FROM (SELECT *, regexp_replace(name, '^[A-Z]{6}\\+', '') AS face FROM r_fonts) f JOIN (SELECT page_no, font, count(DISTINCT regexp_replace(name, '^[A-Z]{6}\\+', '')) > 1 AS several FROM r_fonts GROUP BY ALL) s ON f.page_no = s.page_no AND f.font = s.font GROUP BY f.page_no, face"""
 
 
-@query("SELECT page_no, face, n, conflict, emb AND NOT conflict AS usable FROM r_faces")
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ninth page could not be read in full."""
+    declared = R.font_declarations(spark, sf_dir)
+    return fonts.reconcile_fonts(declared, declared.where("page_no % 9 = 4").select("page_no"))
+
+
+@query("SELECT page_no, face, n, conflict, several, CASE WHEN conflict OR partial THEN 'unknown' ELSE emb::VARCHAR END AS embedded, has AND NOT conflict AND NOT partial AS usable FROM r_faces")
 def a9_reconcile_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fonts.reconcile_fonts(R.font_declarations(spark, sf_dir))
+    return reconciled(spark, sf_dir)
 
 
 R.RELATIONS["r_catalog"] = "SELECT p_brand AS name, 'face-' || p_brand AS face_id, min(p_size)::BIGINT AS weight, bool_or(p_size % 2 = 0 AND p_partkey % 40 = 0) AS italic FROM part WHERE right(p_brand, 1) IN ('1', '3', '5') GROUP BY ALL"
@@ -69,9 +77,9 @@ def j19_missing_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fonts.missing_glyphs(g.withColumn("font", F.expr("(font + 1) % 20")), fonts.glyph_coverage(g))
 
 
-@query("SELECT page_no, face, CASE WHEN conflict THEN 'substitute' WHEN face IN (SELECT name FROM r_catalog) THEN 'download' ELSE 'own_file' END AS action FROM r_faces WHERE NOT (emb AND NOT conflict)")
+@query("SELECT page_no, face, CASE WHEN conflict OR partial THEN 'substitute' WHEN face IN (SELECT name FROM r_catalog) AND NOT several THEN 'download' ELSE 'own_file' END AS action FROM r_faces WHERE conflict OR partial OR NOT has")
 def t8_font_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fonts.font_action(fonts.reconcile_fonts(R.font_declarations(spark, sf_dir)), catalog(spark, sf_dir))
+    return fonts.font_action(reconciled(spark, sf_dir), catalog(spark, sf_dir))
 
 
 R.RELATIONS["r_up"] = """SELECT node, node AS anc, 0 AS depth FROM r_tree UNION ALL SELECT node, parent, 1 FROM r_tree WHERE parent IS NOT NULL UNION ALL SELECT a.node, b.parent, 2 FROM r_tree a JOIN r_tree b ON a.parent = b.node WHERE b.parent IS NOT NULL
@@ -83,8 +91,8 @@ def h1_inherit_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.inherit_attribute(R.tree(spark, sf_dir))
 
 
-@query("""SELECT d.doc_id, d.page_no, NOT (d.doc_id % 17 = 0) AND NOT coalesce(s.sig, false) AS may_copy FROM (SELECT o_custkey AS doc_id, o_orderkey % 4 AS page_no FROM orders GROUP BY ALL) d
-LEFT JOIN (SELECT o_custkey AS doc_id, o_orderkey % 4 AS page_no, bool_or(o_orderkey % 7 = 0 OR (o_custkey % 5 <> 0 AND c_nationkey % 3 <> 0 AND false)) AS sig FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) s ON d.doc_id = s.doc_id AND d.page_no = s.page_no""")
+@query("""SELECT d.doc_id, d.page_no, NOT (d.doc_id % 17 = 0) AND NOT coalesce(s.sig, false) AS may_copy, coalesce(bool_or(s.sig) OVER (PARTITION BY d.doc_id), false) AS doc_signed FROM (SELECT o_custkey AS doc_id, o_orderkey % 4 AS page_no FROM orders GROUP BY ALL) d
+LEFT JOIN (SELECT o_custkey AS doc_id, o_orderkey % 4 AS page_no, bool_or(o_orderkey % 7 = 0) AS sig FROM orders GROUP BY ALL) s ON d.doc_id = s.doc_id AND d.page_no = s.page_no""")
 def h2_duplicate_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders are widgets on their customer's pages; every seventh is a signature of its own, the rest inherit another type."""
     o = table(spark, sf_dir, "orders")
@@ -114,12 +122,23 @@ def h3_resolve_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.resolve_aliases(*_aliases(spark, sf_dir))
 
 
-@query("""WITH dead AS (SELECT DISTINCT u.node FROM r_up u JOIN r_tree t ON u.anc = t.node WHERE t.gone), leaf AS (SELECT node FROM r_tree WHERE node NOT IN (SELECT parent FROM r_tree WHERE parent IS NOT NULL) AND node NOT IN (SELECT node FROM dead))
-SELECT DISTINCT anc AS node FROM r_up WHERE node IN (SELECT node FROM leaf)""")
+R.RELATIONS["r_stay"] = """WITH dead AS (SELECT DISTINCT u.node FROM r_up u JOIN r_tree t ON u.anc = t.node WHERE t.gone), leaf AS (SELECT node FROM r_tree WHERE node NOT IN (SELECT parent FROM r_tree WHERE parent IS NOT NULL) AND node NOT IN (SELECT node FROM dead))
+SELECT DISTINCT anc AS node FROM r_up WHERE node IN (SELECT node FROM leaf)"""
+
+
+@query("SELECT node FROM r_stay")
 def h4_prune_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.prune_tree(R.tree(spark, sf_dir)).select("node")
 
 
+@query("SELECT parent AS list_id, row_number() OVER (PARTITION BY parent ORDER BY node) - 1 AS ord, node FROM r_tree WHERE parent IS NOT NULL AND node IN (SELECT node FROM r_stay)")
+def h4_prune_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node's children in order of their names are a list of references."""
+    tree = R.tree(spark, sf_dir)
+    lists = tree.where("parent is not null").select(F.col("parent").alias("list_id"), "node").withColumn("ord", F.row_number().over(Window.partitionBy("list_id").orderBy("node")))
+    return trees.prune_references(lists, trees.prune_tree(tree))
+
+
 @query("""SELECT o_orderkey AS ref_id, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'page' || (o_orderkey % 100) END, r.target) AS page FROM orders o LEFT JOIN (SELECT * FROM r_resolved WHERE status = 'ok') r ON r.name = 'a' || o_custkey
 WHERE coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'page' || (o_orderkey % 100) END, r.target) IN (SELECT 'page' || p FROM range(0, 100, 3) x(p))""")
 def h5_drop_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,24 +147,25 @@ def h5_drop_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.drop_dangling(refs, kept, *_aliases(spark, sf_dir))
 
 
-@query("""SELECT DISTINCT node, violation FROM (SELECT 'p' || l_partkey AS node, 'reached twice' AS violation FROM lineitem GROUP BY l_partkey HAVING count(*) > 1
-UNION ALL SELECT 'p' || l_partkey, 'parent pointer' FROM lineitem WHERE l_orderkey % 9 = 0 UNION ALL SELECT 'p' || l_partkey, 'on two pages' FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_linenumber) > 1
-UNION ALL SELECT 'p' || l_partkey, 'on removed page' FROM lineitem WHERE l_linenumber = 7 UNION ALL SELECT 'p' || p_partkey, 'not in tree' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem))""")
+@query("""SELECT 'o' || o_orderkey AS node, unnest(['reached twice', 'parent pointer']) AS violation FROM orders WHERE o_orderkey % 11 = 0
+UNION ALL SELECT 'c' || c_custkey, unnest(['cycle', 'parent pointer']) FROM customer WHERE c_custkey % 40 = 1 UNION ALL SELECT 'k' || c_custkey, 'cycle' FROM customer WHERE c_custkey % 40 = 1
+UNION ALL SELECT 'o' || o_orderkey, 'on two pages' FROM orders WHERE o_orderkey % 13 = 0 UNION ALL SELECT 'o' || o_orderkey, 'on removed page' FROM orders WHERE o_orderkey % 6 = 5 OR (o_orderkey % 13 = 0 AND o_orderkey % 6 = 4)
+UNION ALL SELECT 's' || s_suppkey, 'not in tree' FROM supplier""")
 def h6_tree_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").withColumn("node", F.expr("concat('p', l_partkey)"))
-    edges = li.select("node", F.col("l_orderkey").alias("parent"))
-    pointers = li.where("l_orderkey % 9 = 0").select("node", F.lit(None).cast("bigint").alias("parent")).distinct()
-    pages = li.select("node", F.col("l_linenumber").cast("bigint").alias("page"))
-    parts = table(spark, sf_dir, "part").select(F.expr("concat('p', p_partkey)").alias("node"), F.lit(1).cast("bigint").alias("page"))
-    extra = parts.join(edges.select("node"), "node", "left_anti")
-    linked = li.where("l_orderkey % 9 = 0").select("node", F.col("l_orderkey").alias("parent"))
-    kept = li.select(F.col("l_linenumber").cast("bigint").alias("page")).distinct().where("page <> 7")
-    found = trees.tree_consistency(edges, pointers.limit(0), pages.unionByName(extra), kept)
-    return found.unionByName(trees.tree_consistency(linked.dropDuplicates(["node"]), pointers, pages.limit(0), kept)).distinct()
+    """The tree with second parents, cycles of a customer and a node of its own, and suppliers as stray widgets."""
+    tree = R.tree(spark, sf_dir).select("node", "parent")
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    looped = customers.where("c_custkey % 40 = 1").select(F.expr("concat('c', c_custkey)").alias("node"), F.expr("concat('k', c_custkey)").alias("parent"))
+    edges = tree.where("parent is not null").join(looped.select("node"), "node", "left_anti").unionByName(looped)
+    edges = edges.union(looped.select("parent", "node")).union(orders.where("o_orderkey % 11 = 0").selectExpr("concat('o', o_orderkey)", "concat('n', o_orderkey % 25)"))
+    widgets = orders.select(F.expr("concat('o', o_orderkey)").alias("node"), F.explode(F.expr("if(o_orderkey % 13 = 0, array(o_orderkey % 6, o_orderkey % 6 + 1), array(o_orderkey % 6))")).alias("page"))
+    widgets = widgets.union(table(spark, sf_dir, "supplier").selectExpr("concat('s', s_suppkey)", "1L"))
+    return trees.tree_consistency(edges, tree, widgets, widgets.select("page").distinct().where("page < 5"))
 
 
 @query("""WITH ins AS (SELECT DISTINCT u.node FROM r_up u WHERE u.anc LIKE 'n%' AND substring(u.anc, 2)::INT % 5 = 0), ids AS (SELECT node, 'copy-' || substring(sha256('copy/' || node), 1, 16) AS new FROM ins)
-SELECT node, parent FROM r_tree UNION ALL SELECT i.new, coalesce(p.new, t.parent) FROM r_tree t JOIN ids i ON t.node = i.node LEFT JOIN ids p ON t.parent = p.node""")
+SELECT node, parent, value AS name FROM r_tree UNION ALL SELECT i.new, coalesce(p.new, t.parent), CASE WHEN t.node LIKE 'n%' THEN 'copy_' || t.value ELSE t.value END FROM r_tree t JOIN ids i ON t.node = i.node LEFT JOIN ids p ON t.parent = p.node""")
 def h7_clone_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = R.tree(spark, sf_dir).where("left(node, 1) = 'n' and int(substring(node, 2)) % 5 = 0").select("node")
-    return trees.clone_subtree(R.tree(spark, sf_dir), roots, "copy").select("node", "parent")
+    tree = R.tree(spark, sf_dir).withColumnRenamed("value", "name")
+    roots = tree.where("left(node, 1) = 'n' and int(substring(node, 2)) % 5 = 0").select("node")
+    return trees.clone_subtree(tree, roots, "copy").select("node", "parent", "name")

@@ -61,18 +61,46 @@ def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELATIONS["r_boxes"] = "SELECT doc_id, page_no, line_no, u AS x0, v - 9 AS y0, end_u AS x1, v + CASE WHEN line_no % 10 = 3 THEN 13.0::DOUBLE ELSE 3.0::DOUBLE END AS y1 FROM r_geo"
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def words(spark: SparkSession, sf_dir: str, source=lines) -> DataFrame:
     """Runs of each line: its words with the space that follows, bold when 8 characters or longer."""
-    w = lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(F.split("text", " ", -1)).alias("run_no", "text"))
+    w = source(spark, sf_dir).select("doc_id", "line_no", F.posexplode(F.split("text", " ", -1)).alias("run_no", "text"))
     order = Window.partitionBy("doc_id", "line_no").orderBy("run_no")
     w = w.withColumn("run_no", F.col("run_no").cast("bigint")).withColumn("bold", F.length("text") >= 8).withColumn("text", F.concat("text", F.lit(" ")))
     return w.withColumn("stop", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("stop") - F.length("text"))
 
 
-RELATIONS["r_words"] = """SELECT *, stop - length(text) AS begin FROM (SELECT doc_id, line_no, run_no, bold, text,
+def _words_sql(lines: str) -> str:
+    return f"""SELECT *, stop - length(text) AS begin FROM (SELECT doc_id, line_no, run_no, bold, text,
 CAST(sum(length(text)) OVER (PARTITION BY doc_id, line_no ORDER BY run_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
 FROM (SELECT doc_id, line_no, run_no, length(w) >= 8 AS bold, w || ' ' AS text FROM
-(SELECT doc_id, line_no, unnest(range(len(a))) AS run_no, unnest(a) AS w FROM (SELECT doc_id, line_no, string_split(text, ' ') AS a FROM r_lines))))"""
+(SELECT doc_id, line_no, unnest(range(len(a))) AS run_no, unnest(a) AS w FROM (SELECT doc_id, line_no, string_split(text, ' ') AS a FROM {lines}))))"""
+
+
+RELATIONS["r_words"] = _words_sql("r_lines")
+
+
+def marked(text: str = "text") -> str:
+    """SQL of either engine for a text with decomposed letters, CRLF, CR and tabs, by document."""
+    text = f"CASE WHEN doc_id % 2 = 0 THEN replace({text}, 'e', concat('e', chr(769))) ELSE {text} END"
+    text = f"CASE WHEN doc_id % 3 = 0 THEN replace({text}, ',', concat(chr(13), chr(10))) WHEN doc_id % 3 = 1 THEN replace({text}, ',', chr(13)) ELSE {text} END"
+    return f"CASE WHEN doc_id % 5 = 0 THEN replace({text}, '.', chr(9)) ELSE {text} END"
+
+
+def _spark_marked() -> str:
+    return marked().replace("chr(769)", "decode(unhex('CC81'), 'utf-8')")  # chr() of Spark stops at 255
+
+
+def marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_spark_marked()).alias("text"))
+
+
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("doc_id", "line_no", F.expr(_spark_marked()).alias("text"))
+
+
+RELATIONS["r_marked_docs"] = f"SELECT doc_id, {marked()} AS text FROM documents"
+RELATIONS["r_marked"] = f"SELECT doc_id, line_no, {marked()} AS text FROM r_lines"
+RELATIONS["r_marked_words"] = _words_sql("r_marked")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,10 +209,15 @@ FROM r_lines l LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, max(quality) AS qu
 
 
 def font_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.expr("p_partkey % 50").alias("page_no"), F.expr("concat(if(p_partkey % 2 = 1, 'ABCDEF+', ''), p_brand)").alias("name"), F.expr("bigint(p_size)").alias("weight"), F.expr("p_type").alias("style"), F.expr("p_partkey % 3 <> 0").alias("embedded"), F.col("p_partkey").alias("font_id"))
+    """Parts as declarations; every tenth font has two of them, with names of their own."""
+    p = table(spark, sf_dir, "part").withColumn("font", F.expr("if(p_partkey % 10 = 1, p_partkey - 1, p_partkey)"))
+    return p.select(
+        F.expr("font % 50").alias("page_no"), "font", F.expr("concat(if(p_partkey % 2 = 1, 'ABCDEF+', ''), p_brand)").alias("name"), F.expr("bigint(p_size)").alias("weight"), F.expr("p_type").alias("style"), F.expr("p_partkey % 3 <> 0").alias("embedded"),
+        F.expr("concat('g', p_size)").alias("program"), F.expr("p_size % 23 = 0").alias("type3"), F.expr("p_size % 29 = 0").alias("builtin"), F.expr("if(p_size % 31 = 0, p_name, null)").alias("legacy"), F.col("p_partkey").alias("font_id"))
 
 
-RELATIONS["r_fonts"] = "SELECT p_partkey % 50 AS page_no, CASE WHEN p_partkey % 2 = 1 THEN 'ABCDEF+' ELSE '' END || p_brand AS name, p_size::BIGINT AS weight, p_type AS style, p_partkey % 3 <> 0 AS embedded, p_partkey AS font_id FROM part"
+RELATIONS["r_fonts"] = """SELECT *, font % 50 AS page_no FROM (SELECT CASE WHEN p_partkey % 10 = 1 THEN p_partkey - 1 ELSE p_partkey END AS font, CASE WHEN p_partkey % 2 = 1 THEN 'ABCDEF+' ELSE '' END || p_brand AS name, p_size::BIGINT AS weight, p_type AS style, p_partkey % 3 <> 0 AS embedded,
+'g' || p_size AS program, p_size % 23 = 0 AS type3, p_size % 29 = 0 AS builtin, CASE WHEN p_size % 31 = 0 THEN p_name END AS legacy, p_partkey AS font_id FROM part)"""
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
