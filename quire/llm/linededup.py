@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quire.llm.common import SMALL, Scratch, connected_components, local_roots, side, text_batches
+from quire.llm.common import SMALL, Scratch, connected_components, local_roots, settle, side, text_batches
 from quire.llm.textmatch import gram_hashes
 
 #: Bands and rows: of pairs of similarity 0.8 a share of 0.995 meets, of 0.9 all but 3 in a million.
@@ -99,7 +99,7 @@ def occurrences(rows: DataFrame, q: int) -> DataFrame:
     """
 
     def run(batches):
-        for batch in text_batches(batches, text=2, limit=4 << 20):
+        for batch in text_batches(batches, text=2, limit=2 << 20):
             first: dict[bytes, int] = {}
             keys, owner, number, fresh, lines, sizes = [], [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -142,14 +142,20 @@ def hot_keys(rows: DataFrame) -> list[int]:
     return [r[0] for r in rows.where(slot.isin(hot)).groupBy("key").count().where(F.col("count") >= least).select("key").collect()]
 
 
+def bucket_keys(occ: DataFrame) -> DataFrame:
+    """(nid, size, keys): the distinct lines with the keys of their buckets."""
+    marked = occ.where("sig is not null").groupBy("nid").agg(F.first("sig").alias("sig"), F.first("size").alias("size"))
+    keys = [F.xxhash64(F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS), F.lit(b)) for b in range(BANDS)]
+    return marked.select("nid", "size", F.array(*keys).alias("keys"))
+
+
 def bucket_members(lines: DataFrame) -> DataFrame:
-    """(key, nid, size) for the lines (nid, size, sig) of each bucket of two or more.
+    """(key, nid, size) for the lines (nid, size, keys) of each bucket of two or more.
 
     A bucket's rows pass by in order, so only its last row is held. Rows of hot buckets need no such pass,
     as they have fellows for certain; so no bucket makes one task large.
     """
-    keys = [F.xxhash64(F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS), F.lit(b)) for b in range(BANDS)]
-    rows = lines.select(F.explode(F.array(*keys)).alias("key"), "nid", "size")
+    rows = lines.select(F.explode("keys").alias("key"), "nid", "size")
 
     def run(batches):
         last, shown = None, False  # the row before this batch, and whether it has been returned
@@ -291,6 +297,8 @@ def verified_links(members: DataFrame, texts: DataFrame, q: int, threshold: floa
                     held = held.slice(cut)
         if held is not None and held.num_rows:
             yield from links(held)
+        held = None
+        settle()
 
     found = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
     return (found if near is None else found.unionByName(near)).distinct()
@@ -340,8 +348,8 @@ def duplicate_lines(docs: DataFrame, q: int = 8, threshold: float = 0.8, id_col:
     scratch = scratch or Scratch(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     occ = scratch.save(occurrences(rows, q), "occurrences")
-    marked = occ.where("sig is not null").groupBy("nid").agg(F.first("sig").alias("sig"), F.first("size").alias("size"))
-    members = scratch.save(bucket_members(marked), "members")
+    members = scratch.save(bucket_members(scratch.save(bucket_keys(occ), "keys")), "members")
+    scratch.drop("keys")
     texts = _texts(rows, occ, members.select("nid").distinct(), scratch, broadcast_rows)
     joined = scratch.save(connected_components(verified_links(members, texts, q, threshold, scratch), scratch, "links"), "joined")
     at = F.struct("doc", "version", "line")
