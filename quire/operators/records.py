@@ -19,14 +19,31 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
     return reduce(lambda out, rule: out.when(F.coalesce(rule[1], F.lit(True)), rule[0]), rules[1:], F.when(F.coalesce(rules[0][1], F.lit(True)), rules[0][0]))
 
 
-def record_reason(version: int = 1, formats: tuple[str, ...] = FORMATS) -> Column:
-    """The first broken rule of a record, in order, or null."""
+#: The engine that each format is pinned to, as id and version; a store passes its own.
+ENGINES = {f: (f"{f}-engine", "1") for f in FORMATS}
+
+
+def record_reason(version: int = 1, engines: dict[str, tuple[str, str]] = ENGINES) -> Column:
+    """The first broken rule of a record, in order, or null.
+
+    A record has version, id, format, source_hash, source_name, engine_id, engine_version, sequence, revision,
+    saved_at, zoom, consent, modified, checkpoint_kind and checkpoint_format (null without a checkpoint), and
+    the arrays asset_ids and slide_ids of its checkpoint. The engine is the pair pinned for the format; the
+    checkpoint of a presentation is of kind `slides` with slides, of others `native` and of the record's format.
+    """
     c = F.col
+    pinned = F.map_from_entries(F.array(*[F.struct(F.lit(f), F.struct(F.lit(i).alias("id"), F.lit(v).alias("version"))) for f, (i, v) in engines.items()]))
+    slides, kind = c("format") == "pptx", c("checkpoint_kind")
+    unlike = F.when(slides, kind != "slides").otherwise((kind != "native") | (c("checkpoint_format") != c("format")))
+    repeats = lambda ids: F.size(F.array_distinct(c(ids))) < F.size(c(ids))
     return first_reason([
-        ("version", c("version") != version), ("id", c("id").isNull() | (c("id").cast("string") == "")), ("format", ~c("format").isin(*formats)),
+        ("version", c("version") != version), ("id", c("id").isNull() | (c("id").cast("string") == "")), ("format", ~c("format").isin(*engines)),
         ("hash", ~c("source_hash").rlike("^[a-f0-9]{64}$")), ("source", c("source_name") == ""),
+        ("engine", (c("engine_id") != pinned[c("format")]["id"]) | (c("engine_version") != pinned[c("format")]["version"])),
         ("counter", (c("sequence") < 0) | (c("revision") < 0) | (c("saved_at") < 0)), ("zoom", ~(c("zoom") > 0)),
-        ("consent", (c("format") == "pptx") & ~c("consent")), ("revision", ~c("modified") & (c("revision") != 0)), ("checkpoint", c("modified") & ~c("has_checkpoint")),
+        ("consent", slides & ~c("consent")), ("revision", ~c("modified") & (c("revision") != 0)), ("checkpoint", c("modified") & kind.isNull()),
+        ("checkpoint kind", kind.isNotNull() & F.coalesce(unlike, F.lit(True))), ("assets", kind.isNotNull() & slides & repeats("asset_ids")),
+        ("slides", kind.isNotNull() & slides & (repeats("slide_ids") | (F.size("slide_ids") == 0))),
     ])
 
 
@@ -35,26 +52,63 @@ def validate_records(records: DataFrame) -> DataFrame:
     return records.withColumn("reason", record_reason())
 
 
-def page_violations(pages: DataFrame) -> DataFrame:
-    """P4, set rules: (doc_id, reason): first broken rule over the pages of a document; valid ones are left out.
+def page_violations(documents: DataFrame, pages: DataFrame, edits: DataFrame, runs: DataFrame) -> DataFrame:
+    """P4, set rules: (doc_id, reason): the first broken rule of each document; valid ones are left out.
 
-    Page ids unique, rotation a quarter turn, at most one original instance of a source page.
+    documents (doc_id, active_page), pages (doc_id, page_id, kind, source_page, original, rotation), edits
+    (doc_id, page_id, edit_id, line_nos, width, line_height, size, first_indent, rest_indent; the last four null
+    without a layout), runs (doc_id, page_id, edit_id, size_pt, r, g, b). In order: a document has pages;
+    their ids are unique; rotations are quarter turns; a source page has at most one original instance; an edit
+    has lines, none of them in two edits of its page; several lines have a layout, one has none; the layout's
+    measures are positive, its indents in [0, width); run sizes are in 6..96; colours in [0, 1]; the active page
+    exists. A null breaks the rule that reads it.
     """
-    per_source = pages.groupBy("doc_id", "source_page").agg(F.count_if((F.col("kind") == "pdf") & F.col("original")).alias("originals"), F.bool_and(F.col("rotation").isin(0, 90, 180, 270)).alias("turned"), F.count("*").alias("n"), F.count_distinct("ord").alias("ids"))
-    doc = per_source.groupBy("doc_id").agg(F.bool_and(F.col("n") == F.col("ids")).alias("ids"), F.bool_and("turned").alias("turned"), F.max("originals").alias("originals"))
-    return doc.withColumn("reason", first_reason([("page_id", ~F.col("ids")), ("rotation", ~F.col("turned")), ("original", F.col("originals") > 1)])).where("reason is not null").select("doc_id", "reason")
-
-
-def migrate_records(records: DataFrame, current: int = 5) -> DataFrame:
-    """P5: (id, version, line_ids, reason): drafts of versions 2 to 4 brought to the current one.
-
-    Rejected if an obsolete list or a highlight holds something; version 2 wraps line_id into line_ids.
+    c, broken = F.col, []
+
+    def rule(n: int, rows: DataFrame, bad: Column) -> None:
+        broken.append(rows.where(F.coalesce(bad, F.lit(True))).select("doc_id", F.lit(n).alias("rule")))
+
+    reasons = ["pages", "page id", "rotation", "original", "edit lines", "line owner", "layout", "indent", "run size", "colour", "active page"]
+    rule(1, documents.join(pages.select("doc_id"), "doc_id", "left_anti"), F.lit(True))
+    rule(2, pages.groupBy("doc_id", "page_id").agg(F.count("*").alias("n")), c("n") > 1)
+    rule(3, pages, ~c("rotation").isin(0, 90, 180, 270))
+    rule(4, pages.where("kind = 'pdf' and original").groupBy("doc_id", "source_page").agg(F.count("*").alias("n")), c("n") > 1)
+    rule(5, edits, F.size("line_nos") < 1)
+    rule(6, edits.select("doc_id", "page_id", F.explode("line_nos").alias("line")).groupBy("doc_id", "page_id", "line").agg(F.count("*").alias("n")), c("n") > 1)
+    bare = F.coalesce("line_height", "size", "first_indent", "rest_indent").isNull()
+    rule(7, edits, ~(c("width") > 0) | ((F.size("line_nos") > 1) == bare))
+    within = lambda x: (x >= 0) & (x < c("width"))
+    rule(8, edits.where(F.size("line_nos") > 1), ~(c("line_height") > 0) | ~(c("size") > 0) | ~within(c("first_indent")) | ~within(c("rest_indent")))
+    rule(9, runs, ~c("size_pt").between(6, 96))
+    rule(10, runs, ~c("r").between(0, 1) | ~c("g").between(0, 1) | ~c("b").between(0, 1))
+    rule(11, documents.join(pages.select("doc_id", F.col("page_id").alias("active_page")), ["doc_id", "active_page"], "left_anti"), F.lit(True))
+    first = reduce(lambda a, b: a.unionByName(b), broken).groupBy("doc_id").agg(F.min("rule").alias("rule"))
+    return first.select("doc_id", F.element_at(F.array(*[F.lit(r) for r in reasons]), c("rule")).alias("reason"))
+
+
+#: Columns of a draft that no longer exist, each a list.
+OBSOLETE = ("images", "signature_fields", "text_boxes", "shapes")
+
+
+def migrate_records(records: DataFrame, valid: Column, current: int = 5) -> DataFrame:
+    """P5: records with version, line_ids and the column reason: drafts of versions 2 to 4 brought to the current one.
+
+    records have the OBSOLETE lists, highlight, line_id and line_ids. An old draft is rejected if an obsolete
+    list or a highlight holds something, else these columns are emptied; version 2 wraps line_id into line_ids,
+    and is rejected if it has line_ids already or no line_id. What was migrated is validated again: `valid` is
+    the reason against a record in its new form, as a column of it. A rejected record stays as it came.
     """
     c = F.col
-    old = c("version") < current
-    reason = first_reason([("version", ~c("version").isin(2, 3, 4, current)), ("obsolete", old & (F.coalesce(c("obsolete"), F.lit(0)) > 0)), ("highlight", old & c("highlight").isNotNull())])
-    ids = F.when(c("version") == 2, F.array(c("line_id"))).otherwise(c("line_ids"))
-    return records.select("id", F.when(reason.isNull(), F.lit(current)).otherwise(c("version")).cast("bigint").alias("version"), ids.alias("line_ids"), reason.alias("reason"))
+    old, second = c("version") < current, c("version") == 2
+    held = reduce(lambda a, b: a | b, [F.coalesce(F.size(c(x)) > 0, F.lit(False)) for x in OBSOLETE])
+    reason = first_reason([("version", ~c("version").isin(*range(2, current + 1))), ("obsolete", old & held), ("highlight", old & c("highlight").isNotNull()), ("line ids", second & (c("line_id").isNull() | c("line_ids").isNotNull()))])
+    kept = {x: F.col(x) for x in records.columns}
+    marked = records.withColumn("reason", reason)
+    new = {**kept, **{x: F.lit(None).cast(records.schema[x].dataType) for x in (*OBSOLETE, "highlight")}, "version": F.lit(current).cast(records.schema["version"].dataType), "line_ids": F.when(second, F.array(c("line_id"))).otherwise(c("line_ids"))}
+    stored = F.struct(*[v.alias(k) for k, v in kept.items()])
+    migrated = marked.where("reason is null").select(stored.alias("stored"), *[v.alias(k) for k, v in new.items()]).withColumn("reason", valid)
+    back = migrated.where("reason is not null").select("stored.*", "reason")
+    return marked.where("reason is not null").unionByName(back).unionByName(migrated.where("reason is null").drop("stored"))
 
 
 def classify_rejects(rejected: DataFrame) -> DataFrame:
@@ -160,11 +214,11 @@ def fold_upserts(store: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in schema]))
 
 
-def quarantine_route(records: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
-    """M2: (valid records, retained rows): an invalid row leaves with its raw value, kind, reason and batch."""
+def quarantine_route(records: DataFrame, batch_id: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """M2: (valid records, retained rows): an invalid row leaves with its raw value, kind, reason, batch and time."""
     marked = records.withColumn("reason", record_reason())
     kind = F.when(F.col("version").isNull() | (F.col("version") == 0), "legacy").otherwise("invalid")
-    retained = marked.where("reason is not null").select("id", F.to_json(F.struct(*records.columns)).alias("raw"), kind.alias("kind"), "reason", F.lit(batch_id).alias("batch_id"))
+    retained = marked.where("reason is not null").select("id", F.to_json(F.struct(*records.columns)).alias("raw"), kind.alias("kind"), "reason", F.lit(batch_id).alias("batch_id"), now.alias("retained_at"))
     return marked.where("reason is null").drop("reason"), retained
 
 
@@ -178,9 +232,12 @@ def compare_and_quarantine(store: DataFrame, judged: DataFrame) -> tuple[DataFra
     return store.join(bad, same, "left_anti"), store.join(bad, same, "left_semi")
 
 
-def fork_archive(archives: DataFrame, saved_at: Column) -> DataFrame:
-    """M4: the archives and a fork of each: new id, sequence 0, new time."""
-    fork = archives.withColumn("id", F.expr("uuid()")).withColumn("sequence", F.lit(0).cast("bigint")).withColumn("saved_at", saved_at)
+def fork_archive(archives: DataFrame, batch_id: str, saved_at: Column) -> DataFrame:
+    """M4: the archives and a fork of each: new id, sequence 0, new time. The new id is a hash of batch, old id and
+    sequence in the form of a UUID, so a task that runs again gives the same."""
+    h = F.sha2(F.concat_ws("/", F.lit(batch_id), "id", "sequence"), 256)
+    new = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    fork = archives.withColumn("id", new).withColumn("sequence", F.lit(0).cast("bigint")).withColumn("saved_at", saved_at)
     return archives.withColumn("id", F.col("id").cast("string")).unionByName(fork)
 
 
@@ -202,9 +259,15 @@ def library_summary(records: DataFrame) -> DataFrame:
     return records.groupBy("kind", "format").agg(F.count("*").alias("n"))
 
 
-def list_recent(records: DataFrame) -> DataFrame:
-    """O1: (id, file_name, saved_at) of valid records, newest first, then by id."""
-    return validate_records(records).where("reason is null").select("id", "file_name", "saved_at").orderBy(F.desc("saved_at"), "id")
+def list_recent(records: DataFrame, batch_id: str, now: Column, current: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """O1: (summaries (id, file_name, saved_at) newest first, then by id; rows to rewrite; retained rows).
+
+    Listing quarantines invalid rows (see quarantine_route) and gives valid rows of an older layout (`layout`
+    below current) in the current one, to be written back.
+    """
+    good, retained = quarantine_route(records, batch_id, now)
+    rewrite = good.where(F.col("layout") < current).withColumn("layout", F.lit(current).cast(records.schema["layout"].dataType))
+    return good.select("id", "file_name", "saved_at").orderBy(F.desc("saved_at"), "id"), rewrite, retained
 
 
 def list_retained(records: DataFrame) -> DataFrame:

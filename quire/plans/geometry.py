@@ -55,29 +55,34 @@ def j9_box_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.box_join(images(spark, sf_dir), R.line_boxes(spark, sf_dir), op.contains).select(*op.PAGE, F.col("b_line_no").alias("line_no"))
 
 
-@query("SELECT b.doc_id, b.page_no, b.line_no FROM r_boxes b WHERE 60 + doc_id % 50 <= x1 AND 110 + doc_id % 50 >= x0 AND 105 <= y1 AND 240 >= y0")
+@query("""WITH hit AS (SELECT doc_id, page_no, line_no FROM r_boxes WHERE 60 + doc_id % 50 <= x1 AND 110 + doc_id % 50 >= x0 AND 105 <= y1 AND 240 >= y0)
+SELECT doc_id, page_no, line_no FROM hit UNION SELECT l.doc_id, l.page_no, l.line_no FROM r_geo l JOIN hit h ON l.doc_id = h.doc_id AND l.page_no = h.page_no AND l.line_no // 4 = h.line_no // 4 AND (l.line_no // 4) % 3 = 0""")
 def j10_select_by_rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query rectangle on each page."""
-    pages = R.geo_lines(spark, sf_dir).select(*op.PAGE).distinct()
-    rect = pages.select(*op.PAGE, F.expr("60D + doc_id % 50").alias("x0"), F.lit(105.0).alias("y0"), F.expr("110D + doc_id % 50").alias("x1"), F.lit(240.0).alias("y1"))
-    return op.box_join(rect, R.line_boxes(spark, sf_dir), op.touches).select(*op.PAGE, F.col("b_line_no").alias("line_no"))
+    """One query rectangle on each page; every third four lines are a group."""
+    g = R.geo_lines(spark, sf_dir)
+    rect = g.select(*op.PAGE).distinct().select(*op.PAGE, F.expr("60D + doc_id % 50").alias("x0"), F.lit(105.0).alias("y0"), F.expr("110D + doc_id % 50").alias("x1"), F.lit(240.0).alias("y1"))
+    groups = g.where("(line_no div 4) % 3 = 0").select(*op.PAGE, F.expr("line_no div 4").alias("group_id"), "line_no")
+    return op.select_by_rectangle(rect, R.line_boxes(spark, sf_dir), groups)
 
 
 _OVER = "a.x0 < b.x1 - 0.01::DOUBLE AND a.x1 > b.x0 + 0.01::DOUBLE AND a.y0 < b.y1 - 0.01::DOUBLE AND a.y1 > b.y0 + 0.01::DOUBLE"
-R.RELATIONS["r_layouts"] = "SELECT doc_id, page_no, line_no AS edit_id, x0, y0, x1 + 20.0::DOUBLE AS x1, y1 + CASE WHEN line_no % 6 = 0 THEN 120.0::DOUBLE ELSE 0.0::DOUBLE END AS y1 FROM r_boxes WHERE line_no % 3 = 0"
+R.RELATIONS["r_layouts"] = "SELECT doc_id, page_no, line_no AS edit_id, line_no % 2 = 0 AS grouped, x0, y0, x1 + 20.0::DOUBLE AS x1, y1 + CASE WHEN line_no % 6 = 0 THEN 120.0::DOUBLE ELSE 0.0::DOUBLE END AS y1 FROM r_boxes WHERE line_no % 3 = 0"
 R.RELATIONS["r_unedited"] = "SELECT * FROM r_boxes WHERE line_no % 3 <> 0"
 
 
 @query(f"""SELECT l.doc_id, l.page_no, l.edit_id, coalesce(min(code), 0)::BIGINT AS code FROM r_layouts l LEFT JOIN (
 SELECT doc_id, page_no, edit_id, 1 AS code FROM r_layouts WHERE NOT (x0 >= -0.01::DOUBLE AND y0 >= -0.01::DOUBLE AND x1 <= 250.01::DOUBLE AND y1 <= 840.01::DOUBLE)
-UNION ALL SELECT a.doc_id, a.page_no, a.edit_id, 2 FROM r_layouts a JOIN r_unedited b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND {_OVER}
-UNION ALL SELECT a.doc_id, a.page_no, a.edit_id, 3 FROM r_layouts a JOIN r_images b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND {_OVER} AND NOT (b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1)
-UNION ALL SELECT a.doc_id, a.page_no, a.edit_id, 4 FROM r_layouts a JOIN r_layouts b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.edit_id <> b.edit_id AND {_OVER}) c
+UNION ALL SELECT doc_id, page_no, edit_id, 2 AS code FROM r_layouts WHERE edit_id % 5 = 0 AND x1 > 60.01::DOUBLE
+UNION ALL SELECT a.doc_id, a.page_no, a.edit_id, 3 FROM r_layouts a JOIN r_unedited b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND {_OVER}
+UNION ALL SELECT a.doc_id, a.page_no, a.edit_id, 4 FROM r_layouts a JOIN r_images b ON a.grouped AND a.doc_id = b.doc_id AND a.page_no = b.page_no AND {_OVER} AND NOT (b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1)
+UNION ALL SELECT a.doc_id, a.page_no, a.edit_id, 5 FROM r_layouts a JOIN r_layouts b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.edit_id <> b.edit_id AND {_OVER}) c
 ON l.doc_id = c.doc_id AND l.page_no = c.page_no AND l.edit_id = c.edit_id GROUP BY 1, 2, 3""")
 def j11_layout_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third line is edited; of those every fifth line has a clip box that ends at 60 points."""
     b = R.line_boxes(spark, sf_dir)
-    layouts = b.where("line_no % 3 = 0").select(*op.PAGE, F.col("line_no").alias("edit_id"), "x0", "y0", F.expr("x1 + 20D").alias("x1"), F.expr("y1 + if(line_no % 6 = 0, 120D, 0D)").alias("y1"))
-    return op.layout_collisions(layouts, b.where("line_no % 3 <> 0"), images(spark, sf_dir), (0.0, 0.0, 250.0, 840.0))
+    layouts = b.where("line_no % 3 = 0").select(*op.PAGE, F.col("line_no").alias("edit_id"), F.expr("line_no % 2 = 0").alias("grouped"), "x0", "y0", F.expr("x1 + 20D").alias("x1"), F.expr("y1 + if(line_no % 6 = 0, 120D, 0D)").alias("y1"))
+    clips = layouts.where("edit_id % 5 = 0").select(*op.PAGE, "edit_id", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(60.0).alias("x1"), F.lit(2000.0).alias("y1"))
+    return op.layout_collisions(layouts, b.where("line_no % 3 <> 0"), images(spark, sf_dir), (0.0, 0.0, 250.0, 840.0), clips)
 
 
 @query("SELECT doc_id, page_no, 'line:' || line_no AS target, false AS edited FROM r_geo WHERE (line_no % 40) NOT IN (3, 4) UNION ALL SELECT DISTINCT doc_id, page_no, 'edit:' || page_no, true FROM r_geo")
@@ -113,27 +118,50 @@ def p7_transform_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.transform_points(p, m, ["page_no"]).select("vec_id", F.round("tx", 6).alias("tx"), F.round("ty", 6).alias("ty"))
 
 
-@query("SELECT doc_id, count(DISTINCT page_no) AS pages, CASE WHEN bool_or(page_no % 7 = 6) THEN -1 ELSE count(*) END AS lines, CASE WHEN bool_or(page_no % 7 = 6) THEN 'text of a page is unavailable' END AS reason FROM r_geo GROUP BY 1")
+_BOX = "least(x0 * 2 + y0 * 0.5, x0 * 2 + y1 * 0.5, x1 * 2 + y0 * 0.5, x1 * 2 + y1 * 0.5) + {0} AS x0, least(x0 * -1 + y0 * 1.5, x0 * -1 + y1 * 1.5, x1 * -1 + y0 * 1.5, x1 * -1 + y1 * 1.5) + 3 AS y0"
+
+
+@query(f"SELECT doc_id, page_no, line_no, round({_BOX.format('page_no').replace(' AS x0, ', ', 4) AS x0, round(').replace(' AS y0', ', 4) AS y0')}, round({_BOX.format('page_no').replace('least', 'greatest').replace(' AS x0, ', ', 4) AS x1, round(').replace(' AS y0', ', 4) AS y1')} FROM r_boxes")
+def p7_transform_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = R.line_boxes(spark, sf_dir)
+    m = b.select("page_no").distinct().select("page_no", F.lit(2.0).alias("a"), F.lit(-1.0).alias("b"), F.lit(0.5).alias("c"), F.lit(1.5).alias("d"), F.col("page_no").cast("double").alias("e"), F.lit(3.0).alias("f"))
+    return op.transform_boxes(b, m, ["page_no"]).select("doc_id", "page_no", "line_no", *[F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query("""SELECT doc_id, metric, coalesce(n, -1) AS n, reason FROM (WITH d AS (SELECT doc_id, doc_id % 4 <> 3 AS pdf, doc_id % 8 <> 7 AS structure, count(DISTINCT page_no) AS p, count(*) AS l, bool_or(page_no % 7 = 6) AS failed, count(*) FILTER (length(text) % 5 = 1) AS t, count(*) FILTER (length(text) % 5 = 2) AS f FROM r_geo GROUP BY 1)
+SELECT doc_id, 'pages' AS metric, p AS n, NULL AS reason FROM d UNION ALL SELECT doc_id, 'lines', CASE WHEN pdf AND NOT failed THEN l END, CASE WHEN NOT pdf THEN 'depends on the layout' WHEN failed THEN 'text of a page is unavailable' END FROM d
+UNION ALL SELECT doc_id, unnest(['tables', 'fields']), unnest([CASE WHEN NOT pdf AND structure THEN t END, CASE WHEN NOT pdf AND structure THEN f END]), CASE WHEN pdf THEN 'not in this format' WHEN NOT structure THEN 'structure is unavailable' END FROM d)""")
 def a3_document_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth document is a flowing one; lines stand for nodes of its structure by their length."""
     g = R.geo_lines(spark, sf_dir)
     pages = g.select(*op.PAGE).distinct().withColumn("ok", F.expr("page_no % 7 <> 6"))
-    return op.document_analysis(g, pages)
+    nodes = g.select("doc_id", F.expr("element_at(array('text', 'table', 'field', 'text', 'image'), length(text) % 5 + 1)").alias("node_type"))
+    formats = g.select("doc_id").distinct().select("doc_id", F.expr("if(doc_id % 4 = 3, 'docx', 'pdf')").alias("format"), F.expr("doc_id % 8 <> 7").alias("structure"))
+    return op.document_analysis(pages, g, nodes, formats).fillna(-1, ["n"])
 
 
-@query("SELECT doc_id, line_no, text, 40.0::DOUBLE AS origin_x, length(text)::BIGINT AS n, 6.0::DOUBLE * (length(text) - 1) AS width FROM r_lines WHERE text <> ''")
+@query("""SELECT doc_id, line_no, text, length(text)::BIGINT AS n, 40.0::DOUBLE AS origin_x, 100.0::DOUBLE AS origin_y, CASE WHEN doc_id % 2 = 1 THEN 32.0::DOUBLE ELSE 40.0::DOUBLE END AS x0, 100.0::DOUBLE AS y0, CASE WHEN doc_id % 2 = 1 THEN 40.0::DOUBLE ELSE 40.0::DOUBLE + 6.0::DOUBLE * length(text) END AS x1,
+CASE WHEN doc_id % 2 = 1 THEN 100.0::DOUBLE + 6.0::DOUBLE * length(text) ELSE 108.0::DOUBLE END AS y1, 6.0::DOUBLE * length(text) AS width FROM r_lines WHERE text <> ''""")
 def a4_assemble_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glyphs six points wide and eight high; lines of odd documents run downwards."""
     chars = R.lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(F.split("text", "")).alias("char_no", "ch")).where("ch <> ''")
-    chars = chars.withColumn("x", F.expr("40D + 6D * char_no")).withColumn("y", F.lit(0.0))
-    return op.assemble_lines(chars).select("doc_id", "line_no", "text", "origin_x", "n", "width")
+    chars = chars.withColumn("down", F.expr("doc_id % 2 = 1")).withColumn("dx", F.expr("if(down, 0D, 1D)")).withColumn("dy", F.expr("if(down, 1D, 0D)"))
+    chars = chars.withColumn("x", F.expr("40D + 6D * char_no * dx")).withColumn("y", F.expr("100D + 6D * char_no * dy"))
+    corner = lambda a, b: f"struct(x + {a} * dx - {b} * dy as x, y + {a} * dy + {b} * dx as y)"
+    quad = F.expr(f"array({corner('0D', '0D')}, {corner('6D', '0D')}, {corner('0D', '8D')}, {corner('6D', '8D')})")
+    return op.assemble_lines(chars.withColumn("quad", quad))
 
 
-@query("""SELECT l.doc_id, l.line_no, CASE WHEN doc_id % 10 = 0 AND position('e' IN text) > 0 THEN 1 WHEN text LIKE '% -%' THEN 3 WHEN EXISTS (SELECT 1 FROM r_boxes a JOIN r_boxes b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.line_no <> b.line_no AND a.x0 < b.x1 - 0.01::DOUBLE AND a.x1 > b.x0 + 0.01::DOUBLE AND a.y0 < b.y1 - 0.01::DOUBLE AND a.y1 > b.y0 + 0.01::DOUBLE
-WHERE a.doc_id = l.doc_id AND a.line_no = l.line_no) THEN 4 ELSE 0 END::BIGINT AS rule FROM r_lines l""")
+@query("""SELECT l.doc_id, l.line_no, CASE WHEN doc_id % 10 = 0 AND position('e' IN text) > 0 THEN 1 WHEN line_no % 17 = 5 OR line_no % 19 = 5 THEN 2 WHEN doc_id % 7 = 3 AND position('e' IN text) > 0 THEN 3 WHEN line_no % 13 = 7 OR line_no % 11 = 7 THEN 4 WHEN text LIKE '% -%' THEN 5 WHEN EXISTS (SELECT 1 FROM r_boxes a JOIN r_boxes b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.line_no <> b.line_no AND a.x0 < b.x1 - 0.01::DOUBLE AND a.x1 > b.x0 + 0.01::DOUBLE AND a.y0 < b.y1 - 0.01::DOUBLE AND a.y1 > b.y0 + 0.01::DOUBLE
+WHERE a.doc_id = l.doc_id AND a.line_no = l.line_no) THEN 6 ELSE 0 END::BIGINT AS rule FROM r_lines l""")
 def a6_line_editability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some lines get letters of another text, a Hebrew letter for every e, a turned direction or unsafe glyphs."""
     b = R.line_boxes(spark, sf_dir)
     hit = op.box_join(b, b, lambda x, y: op.overlaps(x, y, 0.01) & (F.col("a_line_no") != F.col("b_line_no"))).select("doc_id", F.col("a_line_no").alias("line_no"))
-    lines = R.lines(spark, sf_dir).withColumn("semantic", F.expr("if(doc_id % 10 = 0, replace(text, 'e', 'x'), text)")).withColumn("same_origin", F.expr("text like '% -%'"))
-    return op.line_editability(lines, hit)
+    hebrew = "decode(unhex('D790'), 'utf-8')"
+    lines = R.lines(spark, sf_dir).withColumn("text", F.expr(f"if(doc_id % 7 = 3, replace(text, 'e', {hebrew}), text)")).withColumn("semantic", F.expr(f"if(doc_id % 10 = 0, replace(replace(text, {hebrew}, 'x'), 'e', 'x'), text)"))
+    flags = {"same_origin": "text like '% -%'", "vertical": "line_no % 17 = 5", "dx": "if(line_no % 19 = 5, 0.9D, 0.6D)", "dy": "0.8D", "unsafe": "line_no % 13 = 7", "boxed": "line_no % 11 <> 7"}
+    return op.line_editability(lines.withColumns({k: F.expr(v) for k, v in flags.items()}), hit)
 
 
 @query("SELECT doc_id, page_no, line_no, row_no FROM r_rows")
@@ -141,9 +169,12 @@ def w2_row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.row_bands(items(spark, sf_dir))
 
 
-@query("SELECT doc_id, page_no, row_no, line_no, gap FROM (SELECT *, u - lag(end_u) OVER (PARTITION BY doc_id, page_no, row_no ORDER BY u, line_no) AS gap FROM r_rows) WHERE gap < -0.5 OR gap > 1.5 * size_pt")
+@query("""SELECT doc_id, page_no, row_no, line_no, gap FROM (SELECT *, u - lag(end_u) OVER w AS gap, coalesce(line_no % 6 <> 5 AND lag(line_no) OVER w % 6 <> 5 AND lag(end_u - 6.0::DOUBLE) OVER w <= u + 1 AND u > greatest(lag(u) OVER w, lag(end_u - 8.0::DOUBLE) OVER w) AND lag(end_u) OVER w < least(end_u, u + 9.0::DOUBLE), false) AS bearings
+FROM r_rows WINDOW w AS (PARTITION BY doc_id, page_no, row_no ORDER BY u, line_no)) WHERE (gap < -0.5 AND NOT bearings) OR gap > 1.5 * size_pt""")
 def w3_row_gap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.row_gap_check(rows(spark, sf_dir))
+    """Ink begins a point after an item and ends six points before its end; some items have no paint boxes."""
+    ink = {"boxed": "line_no % 6 <> 5", "ink0": "u + 1D", "ink1": "end_u - 6D", "first_end": "u + 9D", "last_u": "end_u - 8D"}
+    return op.row_gap_check(rows(spark, sf_dir).withColumns({k: F.expr(v) for k, v in ink.items()}))
 
 
 @query("""WITH a AS (SELECT doc_id, page_no, row_no, min(v) AS v, min(u) AS u, min(end_u) AS e FROM r_rows GROUP BY ALL), b AS (SELECT *, v - lag(v) OVER (PARTITION BY doc_id, page_no ORDER BY row_no) AS gap FROM a),
@@ -159,14 +190,19 @@ def w5_column_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.column_continuity(rows(spark, sf_dir))
 
 
-@query("""SELECT doc_id, page_no, string_agg(piece, '' ORDER BY row_no, u, line_no) AS text FROM (SELECT *, CASE WHEN (r0 <> row_no OR u - e0 > 1.8) AND NOT regexp_matches(t0, '\\s$') AND NOT regexp_matches(text, '^\\s') THEN ' ' || text ELSE text END AS piece FROM (
-SELECT *, lag(row_no) OVER w AS r0, lag(end_u) OVER w AS e0, lag(text) OVER w AS t0 FROM r_rows WHERE text <> '' WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY row_no, u, line_no))) GROUP BY ALL""")
+@query("""WITH o AS (SELECT *, lag(row_no) OVER w AS r0, lag(end_u) OVER w AS e0 FROM r_rows WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY row_no, u, line_no)),
+s AS (SELECT * REPLACE (CASE WHEN line_no % 40 = 2 THEN 'edited ' || line_no ELSE text END AS text) FROM o WHERE line_no % 40 NOT IN (3, 4)), p AS (SELECT *, lag(text) OVER (PARTITION BY doc_id, page_no ORDER BY row_no, u, line_no) AS t0 FROM s WHERE text <> '')
+SELECT doc_id, page_no, string_agg(CASE WHEN (r0 <> row_no OR u - e0 > 1.8) AND NOT regexp_matches(t0, '\\s$') AND NOT regexp_matches(text, '^\\s') THEN ' ' || text ELSE text END, '' ORDER BY row_no, u, line_no) AS text FROM p GROUP BY ALL""")
 def w6_group_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.group_text(rows(spark, sf_dir))
+    """An edit on each page stands for its third to fifth line."""
+    r = rows(spark, sf_dir)
+    edits = r.where("line_no % 40 = 2").select(*op.PAGE, F.expr("array(line_no + 2, line_no, line_no + 1)").alias("line_nos"), F.expr("concat('edited ', line_no)").alias("content"))
+    return op.group_text(r, edits)
 
 
-@query("""WITH a AS (SELECT doc_id, page_no, row_no, min(u) AS u, max(end_u) AS e, min(v) AS v FROM r_rows GROUP BY ALL)
-SELECT doc_id, page_no, max(e) - min(u) AS width, 12.0::DOUBLE AS size, arg_min(u, row_no) - min(u) AS first_indent, coalesce(min(u) FILTER (row_no > 0), min(u)) - min(u) AS rest_indent, min(v) AS v0, max(v) AS v1 FROM a GROUP BY ALL""")
+@query("""WITH a AS (SELECT doc_id, page_no, row_no, min(u) AS u, max(end_u) AS e, min(v) AS v FROM r_rows GROUP BY ALL), b AS (SELECT *, v - lag(v) OVER (PARTITION BY doc_id, page_no ORDER BY row_no) AS gap FROM a),
+g AS (SELECT doc_id, page_no, max(e) - min(u) AS width, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS gaps, 12.0::DOUBLE AS size, arg_min(u, row_no) - min(u) AS first_indent, coalesce(min(u) FILTER (row_no > 0), min(u)) - min(u) AS rest_indent, min(u) AS "left", max(e) AS "right", min(v) AS v0, max(v) AS v1 FROM b GROUP BY ALL)
+SELECT * EXCLUDE (gaps), CASE WHEN len(gaps) > 0 THEN gaps[len(gaps) // 2 + 1] ELSE size * 1.35::DOUBLE END AS "leading" FROM g""")
 def w7_group_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.group_layout(rows(spark, sf_dir))
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from quire.sources.tables import table
 
+#: Main content types of packages, and the names of their parts.
 WORD_MAIN = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
 PRESENTATION_MAIN = "application/vnd.openxmlformats-officedocument.presentationml.presentation.main+xml"
 RELATIONS: dict[str, str] = {}
@@ -46,10 +47,10 @@ RELATIONS["r_lines"] = "SELECT doc_id, unnest(range(len(a))) AS line_no, unnest(
 def geo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines laid out on pages of 40 rows, 18 points apart."""
     at = lines(spark, sf_dir).withColumn("page_no", F.expr("line_no div 40")).withColumn("v", F.expr("60D + 18D * (line_no % 40)"))
-    return at.withColumn("u", F.expr("40D + 12D * ((7 * line_no + doc_id) % 3)")).withColumn("end_u", F.expr("u + 0.05D * least(length(text), 4000)")).withColumn("size_pt", F.lit(12.0))
+    return at.withColumn("u", F.expr("40D + 12D * ((7 * line_no + doc_id) % 3)")).withColumn("end_u", F.expr("u + 0.05D * length(text)")).withColumn("size_pt", F.lit(12.0))
 
 
-RELATIONS["r_geo"] = """SELECT *, u + 0.05::DOUBLE * least(length(text), 4000) AS end_u, 12.0::DOUBLE AS size_pt FROM (
+RELATIONS["r_geo"] = """SELECT *, u + 0.05::DOUBLE * length(text) AS end_u, 12.0::DOUBLE AS size_pt FROM (
 SELECT doc_id, line_no, text, line_no // 40 AS page_no, 60.0::DOUBLE + 18.0::DOUBLE * (line_no % 40) AS v, 40.0::DOUBLE + 12.0::DOUBLE * ((7 * line_no + doc_id) % 3) AS u FROM r_lines)"""
 
 
@@ -119,6 +120,7 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELATIONS["r_uploads"] = r"""SELECT page_id AS upload_id, string_split(url, '/')[-1] || ['.pdf', '.docx', '.hwp', '.PDF', '.pptx', ''][page_id % 6 + 1] AS file_name,
 CASE page_id % 5 WHEN 0 THEN encode('%PDF-') || encode(html) WHEN 1 THEN encode('PK') || encode(html) WHEN 2 THEN '\xD0\xCF\x11\xE0\xA1\xB1\x1A\xE1'::BLOB || encode(html) WHEN 3 THEN encode(html) ELSE ''::BLOB END AS content FROM pages"""
 
+#: Part names of packages.
 PART_NAMES = ("word/document.xml", "ppt/presentation.xml", "Contents/content.hpf", "Contents/section0.xml", "docProps/app.xml", "media/a.png", "media/b.png")
 
 
@@ -146,30 +148,41 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELATIONS["r_manifest"] = f"""SELECT package, CASE WHEN p_size % 11 = 0 THEN 'Default' ELSE 'Override' END AS kind, '/' || part_name AS part,
 CASE WHEN p_size % 19 = 0 THEN 'application/vnd.ms-word.document.macroEnabled.main+xml' WHEN lower(part_name) = 'word/document.xml' THEN '{WORD_MAIN}' WHEN lower(part_name) = 'ppt/presentation.xml' THEN '{PRESENTATION_MAIN}' ELSE 'application/xml' END AS content_type FROM r_parts"""
 
-_RECORD = """o_custkey AS id, {fmt} AS format, o_orderkey AS sequence, {day} % 50 AS revision, o_orderstatus <> 'O' AS modified, {day} AS saved_at, 'doc-' || o_custkey || '.bin' AS file_name"""
+#: Records from orders, for both engines: {day} is the day number of the order.
+_RECORD = {
+    "format": "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'docx' WHEN '2' THEN 'hwp' WHEN '3' THEN 'hwpx' WHEN '4' THEN 'pptx' ELSE 'pdf' END",
+    "sequence": "{day} + 1", "revision": "CASE WHEN o_orderstatus = 'O' AND o_orderkey % 4 <> 0 THEN 0 ELSE {day} % 50 END", "modified": "o_orderstatus <> 'O'", "saved_at": "{day}", "file_name": "concat('doc-', CAST(o_custkey AS {text}), '.bin')",
+    "source_name": "concat('src-', CAST(o_custkey % 97 AS {text}), CASE WHEN o_orderkey % 31 = 0 THEN '-x' ELSE '' END)", "version": "CASE WHEN o_orderkey % 41 = 0 THEN 2 WHEN o_orderkey % 47 = 0 THEN 0 ELSE 1 END",
+    "zoom": "CASE WHEN o_orderkey % 43 = 0 THEN {zero} ELSE {one} END", "custkey": "o_custkey", "layout": "1 + o_orderkey % 2", "consent": "o_orderkey % 3 <> 0",
+}
+_MORE = {
+    "engine_id": "concat(format, CASE WHEN id % 53 = 0 THEN '-other' ELSE '-engine' END)", "engine_version": "'1'", "checkpoint_kind": "CASE WHEN id % 29 = 0 THEN NULL WHEN id % 37 = 5 THEN 'odd' WHEN format = 'pptx' THEN 'slides' ELSE 'native' END",
+    "checkpoint_format": "CASE WHEN id % 59 = 0 THEN 'doc' ELSE format END", "asset_ids": "CASE WHEN id % 7 = 0 THEN {array}'a', 'b', 'a'{end} ELSE {array}'a', 'b'{end} END", "slide_ids": "CASE WHEN id % 11 = 0 THEN {array}'s', 's'{end} ELSE {array}'s'{end} END",
+}
+_SPARK = {"day": "bigint(datediff(date(o_orderdate), date'1970-01-01'))", "text": "string", "zero": "0D", "one": "1D", "array": "array(", "end": ")"}
+_DUCK = {"day": "date_diff('day', DATE '1970-01-01', o_orderdate::DATE)", "text": "VARCHAR", "zero": "0.0::DOUBLE", "one": "1.0::DOUBLE", "array": "[", "end": "]"}
 
 
-def records(spark: SparkSession, sf_dir: str, nth: int) -> DataFrame:
-    """The nth order of each customer as a record: 1 for the store, 2 for what comes in."""
-    o = table(spark, sf_dir, "orders").withColumn("nth", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
-    day = "bigint(datediff(date(o_orderdate), date'1970-01-01'))"
-    fmt = "element_at(array('docx', 'hwp', 'hwpx', 'pptx', 'pdf'), int(substring(o_orderpriority, 1, 1)))"
-    return o.where(F.col("nth") == nth).select(*[F.expr(x.replace(" AS ", " as ")) for x in (
-        "o_custkey AS id", f"{fmt} AS format", "o_orderkey AS sequence", f"{day} % 50 AS revision", "o_orderstatus <> 'O' AS modified", f"{day} AS saved_at", "concat('doc-', o_custkey, '.bin') AS file_name",
-        "concat('src-', o_custkey % 97, if(o_orderkey % 31 = 0, '-x', '')) AS source_name", "sha2(concat('s', o_custkey, if(o_orderkey % 37 = 0, 'x', '')), 256) AS source_hash",
-        "bigint(if(o_orderkey % 41 = 0, 2, 1)) AS version", "if(o_orderkey % 43 = 0, 0D, 1D) AS zoom")])
+def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a stored record."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), *[F.expr(v.format(**_SPARK)).alias(k) for k, v in _RECORD.items()])
+    rows = rows.withColumns({k: F.col(k).cast("bigint") for k in ("sequence", "revision", "version", "layout")}).withColumn("source_hash", F.expr("sha2(concat('s', id, if(id % 61 = 0, 'x', '')), 256)"))
+    return rows.withColumns({k: F.expr(v.format(**_SPARK)) for k, v in _MORE.items()})
 
 
-def _records_sql(nth: int) -> str:
-    day = "date_diff('day', DATE '1970-01-01', o_orderdate::DATE)"
-    return f"""SELECT o_custkey AS id, ['docx', 'hwp', 'hwpx', 'pptx', 'pdf'][substring(o_orderpriority, 1, 1)::INT] AS format, o_orderkey AS sequence, {day} % 50 AS revision, o_orderstatus <> 'O' AS modified, {day} AS saved_at,
-'doc-' || o_custkey || '.bin' AS file_name, 'src-' || (o_custkey % 97) || CASE WHEN o_orderkey % 31 = 0 THEN '-x' ELSE '' END AS source_name, sha256('s' || o_custkey || CASE WHEN o_orderkey % 37 = 0 THEN 'x' ELSE '' END) AS source_hash,
-CASE WHEN o_orderkey % 41 = 0 THEN 2 ELSE 1 END::BIGINT AS version, CASE WHEN o_orderkey % 43 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS zoom
-FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth FROM orders) WHERE nth = {nth}"""
+RELATIONS["r_store"] = "SELECT *, " + ", ".join(f"{v.format(**_DUCK)} AS {k}" for k, v in _MORE.items()) + " FROM (SELECT o_orderkey AS id, " + ", ".join(
+    f"CAST({v.format(**_DUCK)} AS BIGINT) AS {k}" if k in ("sequence", "revision", "version", "layout") else f"{v.format(**_DUCK)} AS {k}" for k, v in _RECORD.items()) + ", sha256('s' || o_orderkey || CASE WHEN o_orderkey % 61 = 0 THEN 'x' ELSE '' END) AS source_hash FROM orders)"
 
+#: How an incoming record differs from the stored one of its id; every tenth has an id of its own.
+_CHANGED = {"id": "CASE WHEN id % 10 = 3 THEN id + 1000000000 ELSE id END", "sequence": "sequence + id % 3 - 1", "revision": "revision + CASE WHEN id % 5 = 0 THEN -1 ELSE 1 END", "modified": "modified AND id % 7 <> 0", "zoom": "CASE WHEN id % 4 = 0 THEN zoom ELSE zoom * 2 END",
+            "source_name": "CASE WHEN id % 13 = 0 THEN 'moved' ELSE source_name END", "saved_at": "saved_at + 1", "file_name": "file_name"}
 
-RELATIONS["r_store"] = _records_sql(1)
-RELATIONS["r_incoming"] = _records_sql(2)
+
+def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(spark, sf_dir).select("*", *[F.expr(v).alias(f"new_{k}") for k, v in _CHANGED.items()]).drop(*_CHANGED).withColumnsRenamed({f"new_{k}": k for k in _CHANGED})
+
+
+RELATIONS["r_incoming"] = "SELECT * REPLACE (" + ", ".join(f"{v} AS {k}" for k, v in _CHANGED.items()) + ") FROM r_store"
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

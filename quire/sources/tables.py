@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DoubleType, FloatType, MapType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
 
 #: Suffixes that intake accepts; fixed values.
 SUFFIXES = ("pdf", "docx", "hwp", "hwpx", "pptx", "doc", "ppt")
@@ -28,16 +31,68 @@ def read_library(store: DataFrame, key: object | None = None, key_col: str = "id
     return store if key is None else store.where(F.col(key_col) == F.lit(key))
 
 
-def write_records(store: DataFrame, incoming: DataFrame, invalid, key_col: str = "id") -> tuple[DataFrame, DataFrame]:
+def write_records(store: DataFrame, incoming: DataFrame, reason, key_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """S3: (next store, quarantined rows): incoming rows replace stored ones of the same key; a replaced row
-    for which invalid() (a Column of the reason, null if valid) gives a reason is quarantined first.
-    incoming has one row for each key."""
-    reason = invalid(store)
+    for which `reason`, a column of the store, isn't null is quarantined first. incoming has one row for each
+    key. See Store.write for the sink."""
     hit = store.withColumn("reason", reason).join(incoming.select(key_col), key_col, "left_semi")
     kept = store.join(incoming.select(key_col), key_col, "left_anti")
     return kept.unionByName(incoming.select(*store.columns)), hit.where("reason is not null")
 
 
+class Store:
+    """A keyed record store in a folder: a table for each version, of which the file `current` names the one in force.
+
+    A write makes a new version and then replaces `current` by a rename, so a reader sees the old table or the
+    new one, and a write that fails on the way leaves the old in force. One writer at a time. Quarantined rows
+    are appended to the folder `retained` of their version before the store changes.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def version(self) -> int:
+        """The version in force, 0 before the first write."""
+        fs, path = self._path("current")
+        if not fs.exists(path):
+            return 0
+        return int(self.spark.read.text(f"{self.folder}/current").first()[0])
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/v{self.version()}")
+
+    def retained(self) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/retained")
+
+    def replace(self, rows: DataFrame) -> int:
+        """Puts rows in force as the next version."""
+        new = self.version() + 1
+        rows.write.mode("overwrite").parquet(f"{self.folder}/v{new}")
+        fs, fresh = self._path(f"current-{new}")
+        out = fs.create(fresh, True)
+        out.write(bytearray(str(new).encode()))
+        out.close()
+        _, current = self._path("current")
+        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(fresh, current, options)
+        return new
+
+    def write(self, incoming: DataFrame, reason, key_col: str = "id") -> int:
+        """S3: write_records into the store; returns the version."""
+        if not self.version():
+            return self.replace(incoming)
+        rows, quarantined = write_records(self.read(), incoming, reason, key_col)
+        new = self.version() + 1
+        quarantined.withColumn("version_left", F.lit(new)).write.mode("overwrite").parquet(f"{self.folder}/retained/left={new}")
+        return self.replace(rows)
+
+
 def delete_by_key(store: DataFrame, keys: DataFrame, key_col: str = "id", kind_col: str = "kind") -> DataFrame:
     """The store without the listed keys; drafts are never deleted."""
     drafts = store.where(F.col(kind_col) == "draft")
@@ -46,7 +101,37 @@ def delete_by_key(store: DataFrame, keys: DataFrame, key_col: str = "id", kind_c
 
 def export_backup_json(files: DataFrame, type_col: str = "type", content_col: str = "content") -> DataFrame:
     """Each row as one JSON text in column `json`; bytes become {type, base64} under a marker key, null
-    fields are left out."""
+    fields are left out. A number that JSON cannot hold (NaN, an infinity) is an error, as is a column of a type
+    that JSON would not give back (intervals, maps with keys other than text)."""
+    rest = [c for c in files.columns if c not in (type_col, content_col)]
+    for c in rest:
+        if not _representable(files.schema[c].dataType):
+            raise ValueError(f"JSON cannot hold column {c}: {files.schema[c].dataType.simpleString()}")
     blob = F.struct(F.lit(True).alias("__blob__"), F.col(type_col).alias("type"), F.regexp_replace(F.base64(content_col), "[\r\n]", "").alias("base64"))
-    rest = [F.col(c) for c in files.columns if c not in (type_col, content_col)]
-    return files.select(*rest, F.to_json(F.struct(*rest, blob.alias("source")), {"ignoreNullFields": "true"}).alias("json"))
+    odd = [F.coalesce(_odd(F.col(c), files.schema[c].dataType), F.lit(False)) for c in rest]
+    json = F.to_json(F.struct(*rest, blob.alias("source")), {"ignoreNullFields": "true"})
+    bad = reduce(lambda a, b: a | b, odd, F.lit(False))
+    return files.select(*rest, F.when(bad, F.raise_error(F.lit("a number that JSON cannot hold"))).otherwise(json).alias("json"))
+
+
+def _representable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _representable(kind.elementType)
+    if isinstance(kind, MapType):
+        return isinstance(kind.keyType, StringType) and _representable(kind.valueType)
+    if isinstance(kind, StructType):
+        return all(_representable(f.dataType) for f in kind.fields)
+    return isinstance(kind, (NumericType, StringType, BooleanType, DateType, TimestampType, TimestampNTZType))
+
+
+def _odd(value: Column, kind: DataType) -> Column:
+    """Whether a value holds a number that is not finite."""
+    if isinstance(kind, (FloatType, DoubleType)):
+        return F.isnan(value) | (F.abs(value) == float("inf"))
+    if isinstance(kind, ArrayType):
+        return F.exists(value, lambda x: F.coalesce(_odd(x, kind.elementType), F.lit(False)))
+    if isinstance(kind, MapType):
+        return F.exists(F.map_values(value), lambda x: F.coalesce(_odd(x, kind.valueType), F.lit(False)))
+    if isinstance(kind, StructType):
+        return reduce(lambda a, b: a | b, [F.coalesce(_odd(value[f.name], f.dataType), F.lit(False)) for f in kind.fields], F.lit(False))
+    return F.lit(False)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire import relations as R
 from quire.operators import edits, fonts, geometry, intake, records, regions, spans, trees
+from quire.sources.tables import Store, export_backup_json
 
 
 def test_entry_imports_and_registers(spark, sf):
@@ -156,10 +157,37 @@ def test_long_groups_pass_in_batches(spark):
 
 
 def test_every_record_goes_one_way(spark, sf):
-    from quire.plans.records import full
-
-    good, bad = records.quarantine_route(full(spark, sf), "b")
-    assert good.count() + bad.count() == full(spark, sf).count()
+    store = R.store(spark, sf)
+    good, bad = records.quarantine_route(store, "b", F.current_timestamp())
+    assert good.count() + bad.count() == store.count() and {r.batch_id for r in bad.collect()} == {"b"}
+
+
+def test_store_keeps_the_old_table_until_the_new_one_stands(spark, sf, tmp_path):
+    store, rows = Store(spark, str(tmp_path / "store")), R.store(spark, sf)
+    assert store.version() == 0 and store.write(rows, records.record_reason()) == 1
+    with pytest.raises(Exception):
+        store.write(R.incoming(spark, sf).withColumn("zoom", F.raise_error(F.lit("lost")).cast("double")), records.record_reason())
+    assert store.version() == 1 and store.read().count() == rows.count()
+    assert store.write(R.incoming(spark, sf), records.record_reason()) == 2
+    bad = rows.where(records.record_reason().isNotNull()).join(R.incoming(spark, sf).select("id"), "id", "left_semi")
+    assert store.retained().count() == bad.count() > 0
+    assert store.read().select("id").distinct().count() == store.read().count()
+
+
+def test_backup_refuses_what_json_cannot_hold(spark):
+    rows = spark.createDataFrame([(1, 1.5, b"ab", "t"), (2, None, None, "t")], "id long, zoom double, content binary, type string")
+    assert [r.json for r in export_backup_json(rows).orderBy("id").collect()] == ['{"id":1,"zoom":1.5,"source":{"__blob__":true,"type":"t","base64":"YWI="}}', '{"id":2,"source":{"__blob__":true,"type":"t"}}']
+    with pytest.raises(Exception, match="JSON cannot hold"):
+        export_backup_json(rows.withColumn("zoom", F.expr("double('NaN')"))).collect()
+    with pytest.raises(ValueError):
+        export_backup_json(rows.withColumn("raw", F.col("content")))
+
+
+def test_migration_leaves_rejected_drafts_as_they_came(spark):
+    schema = "id long, version long, zoom double, images array<string>, signature_fields array<string>, text_boxes array<string>, shapes array<string>, highlight string, line_id string, line_ids array<string>"
+    rows = [(1, 2, 1.0, [], None, None, None, None, "a", None), (2, 3, 1.0, ["x"], None, None, None, None, None, ["b"]), (3, 4, 0.0, [], None, None, None, None, None, ["c"]), (4, 5, 1.0, None, None, None, None, "h", None, ["d"]), (5, 1, 1.0, None, None, None, None, None, None, None)]
+    got = {r.id: (r.version, r.line_ids, r.images, r.reason) for r in records.migrate_records(spark.createDataFrame(rows, schema), F.when(F.col("zoom") <= 0, "zoom")).collect()}
+    assert got == {1: (5, ["a"], None, None), 2: (3, ["b"], ["x"], "obsolete"), 3: (4, ["c"], [], "zoom"), 4: (5, ["d"], None, None), 5: (1, None, None, "version")}
 
 
 def test_cycles_end(spark):
