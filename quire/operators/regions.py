@@ -6,6 +6,8 @@ paragraph with up to CONTEXT characters on either side. paragraphs: (doc_id, sou
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,7 +36,9 @@ def resolve_anchor(anchors: DataFrame, paragraphs: DataFrame, controls: DataFram
     """(anchor_id, doc_id, reason): null where the anchor resolves in this version, else why not; never guessed.
 
     The paragraph with its source id must be unique; contexts, length and hash must match. controls:
-    (doc_id, source_id, begin, stop, locked); a locked one that meets the range blocks it.
+    (doc_id, source_id, control_id, begin, stop, locked); a locked one that meets the range blocks it. If
+    anchors have a column control_id, the control that it names must be unique in the document and contain the
+    range; null names none.
     """
     n = F.count("*").over(Window.partitionBy("doc_id", "source_id"))
     rows = anchors.join(paragraphs.withColumn("n", n), ["doc_id", "source_id"], "left")
@@ -44,12 +48,20 @@ def resolve_anchor(anchors: DataFrame, paragraphs: DataFrame, controls: DataFram
         ("paragraph", F.col("n").isNull() | (F.col("n") != 1)), ("offset", (at < F.length(before)) | (F.col("tail") < F.length(after))), ("length", F.length(text) != at + length + F.col("tail")),
         ("before", _slice(text, at - F.length(before), F.length(before)) != before), ("after", _slice(text, at + length, F.length(after)) != after), ("text", F.sha2(_slice(text, at, length), 256) != F.col("text_hash")),
     ]
-    rows = rows.withColumn("reason", first_reason(rules)).groupBy("anchor_id", "doc_id", "source_id", "at", "length").agg(F.max("reason").alias("reason"))
+    named = "control_id" in anchors.columns
+    keys = ["anchor_id", "doc_id", "source_id", "at", "length", *(["control_id"] if named else [])]
+    rows = rows.withColumn("reason", first_reason(rules)).groupBy(*keys).agg(F.max("reason").alias("reason"))
     if controls is None:
         return rows.select("anchor_id", "doc_id", "reason")
+    own = ["anchor_id", "doc_id"]
+    if named:
+        times = F.count("*").over(Window.partitionBy("doc_id", "control_id"))
+        known = controls.where("control_id is not null").withColumn("times", times).where("times = 1").select("doc_id", "source_id", "control_id", "begin", "stop")
+        held = rows.join(known, ["doc_id", "source_id", "control_id"]).where("begin <= at and at + length <= stop").select(*own, F.lit(True).alias("held"))
+        rows = rows.join(held, own, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("control_id").isNotNull() & F.col("held").isNull(), "control")))
     locked = controls.where("locked").select("doc_id", "source_id", "begin", "stop")
-    hit = rows.join(locked, ["doc_id", "source_id"]).where("begin < at + length and stop > at").select("anchor_id").distinct().withColumn("hit", F.lit(True))
-    return rows.join(hit, "anchor_id", "left").select("anchor_id", "doc_id", F.coalesce("reason", F.when(F.col("hit"), "locked")).alias("reason"))
+    hit = rows.join(locked, ["doc_id", "source_id"]).where("begin < at + length and stop > at").select(*own).distinct().withColumn("hit", F.lit(True))
+    return rows.join(hit, own, "left").select(*own, F.coalesce("reason", F.when(F.col("hit"), "locked")).alias("reason"))
 
 
 def rebase_anchors(anchors: DataFrame, paragraphs: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,31 +96,47 @@ def resolve_mapping(mappings: DataFrame, lines: DataFrame) -> DataFrame:
     mappings (mapping_id, doc_id, page_no, line_nos ARRAY, original_text), lines (doc_id, page_no, line_no, text).
     """
     own = mappings.select("mapping_id", "doc_id", "page_no", F.posexplode("line_nos").alias("n", "line_no"))
-    text = own.join(lines, ["doc_id", "page_no", "line_no"]).groupBy("mapping_id").agg(F.count("*").alias("found"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("now"))
+    text = own.join(lines.select("doc_id", "page_no", "line_no", "text"), ["doc_id", "page_no", "line_no"]).groupBy("mapping_id").agg(F.count("*").alias("found"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("now"))
     same = (F.col("found") == F.size("line_nos")) & (F.col("now") == F.col("original_text"))
     return mappings.join(text, "mapping_id", "left").select("mapping_id", F.coalesce(same, F.lit(False)).alias("matches"))
 
 
 def region_eligibility(mappings: DataFrame, lines: DataFrame, blocking: DataFrame) -> DataFrame:
-    """(mapping_id, reason): null if the region may be edited: one owner, not locked, editable, its stored
-    text is the actual one, and no line that is unmapped or locked overlaps it. blocking: (mapping_id)."""
-    n = F.count("*").over(Window.partitionBy("doc_id", "page_no", "line_no"))
+    """(mapping_id, reason): null if the region may be edited: one owner of each line, not locked, all lines
+    editable, its stored text is the actual one (its lines joined by line feeds), and no line that is unmapped or
+    locked overlaps it. mappings: (mapping_id, doc_id, page_no, line_nos, role, stored_text), lines: (doc_id,
+    page_no, line_no, editable, actual_text), blocking: (mapping_id)."""
+    own = mappings.select("mapping_id", "doc_id", "page_no", F.posexplode("line_nos").alias("n", "line_no"))
+    own = own.withColumn("owners", F.count("*").over(Window.partitionBy("doc_id", "page_no", "line_no"))).join(lines.select("doc_id", "page_no", "line_no", "editable", "actual_text"), ["doc_id", "page_no", "line_no"], "left")
+    actual = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "actual_text"))), lambda x: x["actual_text"]), "\n")
+    own = own.groupBy("mapping_id").agg(F.max("owners").alias("owners"), F.bool_and(F.coalesce("editable", F.lit(False))).alias("editable"), actual.alias("actual"))
     hit = blocking.select("mapping_id").distinct().withColumn("hit", F.lit(True))
-    rows = mappings.withColumn("n", n).join(lines, ["doc_id", "page_no", "line_no"], "left").join(hit, "mapping_id", "left")
-    reason = first_reason([("owner", F.col("n") != 1), ("locked", F.col("role") == "locked"), ("editable", ~F.col("editable")), ("stale", F.col("stored_text") != F.col("actual_text")), ("overlap", F.coalesce("hit", F.lit(False)))])
+    rows = mappings.select("mapping_id", "role", "stored_text").join(own, "mapping_id", "left").join(hit, "mapping_id", "left")
+    reason = first_reason([("owner", F.col("owners") != 1), ("locked", F.col("role") == "locked"), ("editable", ~F.col("editable")), ("stale", F.col("stored_text") != F.col("actual")), ("overlap", F.coalesce("hit", F.lit(False)))])
     return rows.select("mapping_id", reason.alias("reason"))
 
 
-def validate_region_config(mappings: DataFrame, selected: DataFrame, roles: list[str]) -> DataFrame:
-    """(doc_id, reason): the first broken rule of each document that has one: ids unique, each line owned once,
-    roles known, selected ids unique and of unlocked mappings."""
-    repeat = mappings.groupBy("doc_id", "mapping_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(1).alias("rule"))
-    owned = mappings.groupBy("doc_id", "page_no", "line_no").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(2).alias("rule"))
-    role = mappings.where(~F.col("role").isin(*roles, "locked")).select("doc_id", F.lit(3).alias("rule"))
-    again = selected.groupBy("doc_id", "mapping_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(4).alias("rule"))
-    gone = selected.join(mappings.where("role <> 'locked'").select("mapping_id"), "mapping_id", "left_anti").select("doc_id", F.lit(5).alias("rule"))
-    worst = repeat.unionByName(owned).unionByName(role).unionByName(again).unionByName(gone).groupBy("doc_id").agg(F.min("rule").alias("rule"))
-    return worst.select("doc_id", F.element_at(F.array(*[F.lit(x) for x in ("mapping id", "line owner", "role", "selected twice", "selected")]), F.col("rule")).alias("reason"))
+def validate_region_config(mappings: DataFrame, selected: DataFrame, roles: list[str], formats: DataFrame) -> DataFrame:
+    """(doc_id, reason): the first broken rule of each document that has one: roles known, anchors of the kind of
+    the document's format, ids unique, no two mappings with one anchor, each line of a page owned once, selected ids
+    unique, and of unlocked mappings.
+
+    mappings: (mapping_id, doc_id, page_no, line_nos, role, kind), selected: (doc_id, mapping_id), formats: (doc_id,
+    format). A mapping's anchor is its page and the ordered list of its lines.
+    """
+    several = lambda rows, *keys: rows.groupBy("doc_id", *keys).agg(F.count("*").alias("n")).where("n > 1")
+    found = [
+        mappings.where(~F.coalesce(F.col("role").isin(*roles, "locked"), F.lit(False))),
+        mappings.join(formats, "doc_id", "left").where("not (kind <=> format)"),
+        several(mappings, "mapping_id"),
+        several(mappings, "kind", "page_no", "line_nos"),
+        several(mappings.select("doc_id", "page_no", F.explode("line_nos").alias("line_no")), "page_no", "line_no"),
+        several(selected, "mapping_id"),
+        selected.join(mappings.where("role <> 'locked'").select("doc_id", "mapping_id"), ["doc_id", "mapping_id"], "left_anti"),
+    ]
+    names = ["role", "kind", "mapping id", "anchor", "line owner", "selected twice", "selected"]
+    worst = reduce(lambda a, b: a.unionByName(b), [rows.select("doc_id", F.lit(i + 1).alias("rule")) for i, rows in enumerate(found)]).groupBy("doc_id").agg(F.min("rule").alias("rule"))
+    return worst.select("doc_id", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("rule")).alias("reason"))
 
 
 def field_cards(selected: DataFrame, mappings: DataFrame, states: DataFrame) -> DataFrame:
@@ -133,15 +161,17 @@ def apply_field_values(proposals: DataFrame, mappings: DataFrame, blocking: Data
     return rows.select("mapping_id", F.coalesce(reason, F.lit("applied")).alias("outcome"), F.when(reason.isNull(), F.col("value")).otherwise(F.col("stored_text")).alias("text"))
 
 
-def assign_roles(mappings: DataFrame, new: DataFrame) -> DataFrame:
-    """New mappings in place of those that share a line on their page; documents that get one lose their
-    review. Both: (mapping_id, doc_id, page_no, line_no, role, reviewed), one row for each line."""
-    taken = new.select("doc_id", "page_no", "line_no").distinct()
-    lost = mappings.join(taken, ["doc_id", "page_no", "line_no"], "left_semi").select("mapping_id").distinct()
+def assign_roles(mappings: DataFrame, new: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mappings, selection): new mappings in place of those that share a line on their page; documents that get
+    one lose their review and their selection. mappings and new: (mapping_id, doc_id, page_no, line_nos, role,
+    reviewed), selected: (doc_id, mapping_id)."""
+    line = lambda rows: rows.select("mapping_id", "doc_id", "page_no", F.explode("line_nos").alias("line_no"))
+    taken = line(new).select("doc_id", "page_no", "line_no").distinct()
+    lost = line(mappings).join(taken, ["doc_id", "page_no", "line_no"], "left_semi").select("mapping_id").distinct()
     touched = new.select("doc_id").distinct().withColumn("touched", F.lit(True))
     kept = mappings.join(lost, "mapping_id", "left_anti").join(touched, "doc_id", "left")
     kept = kept.withColumn("reviewed", F.col("reviewed") & F.col("touched").isNull()).select(*new.columns)
-    return kept.unionByName(new.withColumn("reviewed", F.lit(False)))
+    return kept.unionByName(new.withColumn("reviewed", F.lit(False))), selected.join(touched, "doc_id", "left_anti")
 
 
 def selection_eligible(requests: DataFrame, mappings: DataFrame, actual: DataFrame, blocked: DataFrame) -> DataFrame:

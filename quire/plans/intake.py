@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import relations as R
+from quire.functions.scratch import Scratch
 from quire.operators import intake as op
-from quire.sources.tables import export_backup_json, table
+from quire.sources.tables import export_backup_json, land_files, scan_documents, table
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -25,9 +26,14 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT upload_id, file_name, hex(sha256(content)::BLOB) IS NOT NULL AS hashed, octet_length(content) AS size FROM r_uploads")
+@query("SELECT upload_id || '-' || regexp_replace(file_name, '[^A-Za-z0-9.]', '_', 'g') AS name, octet_length(content) AS size, sha256(content) AS hash FROM r_uploads WHERE regexp_matches(file_name, '\\.(pdf|docx|hwp|hwpx|pptx|doc|ppt)$', 'i') AND octet_length(content) > 0")
 def s1_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.uploads(spark, sf_dir).select("upload_id", "file_name", F.sha2("content", 256).isNotNull().alias("hashed"), F.octet_length("content").cast("bigint").alias("size"))
+    """The uploads, landed as files in a folder that executors share, and scanned there."""
+    folder = f"{Scratch(spark).base}/landing"
+    name = F.concat("upload_id", F.lit("-"), F.regexp_replace("file_name", "[^A-Za-z0-9.]", "_"))
+    land_files(R.uploads(spark, sf_dir).select(name.alias("name"), "content"), folder)
+    found = scan_documents(spark, folder)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", F.sha2("content", 256).alias("hash"))
 
 
 @query("SELECT upload_id, '{\"upload_id\":' || upload_id || ',\"file_name\":\"' || file_name || '\",\"source\":{\"__blob__\":true,\"type\":\"text/html\",\"base64\":\"' || base64(content) || '\"}}' AS json FROM r_uploads")
@@ -41,6 +47,14 @@ def s6_fingerprint_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.fingerprint_partitions(files, "v1")
 
 
+@query("SELECT DISTINCT 'pkg' || (package % 100) AS source FROM r_parts WHERE package % 100 % 7 = 3")
+def s6_stale_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of which a file has changed since they were stamped; the others are skipped."""
+    files = R.parts(spark, sf_dir).select(F.expr("concat('pkg', package % 100)").alias("source"), F.expr("concat(package, '/', part_no, '/', part_name)").alias("path"), "size", F.col("stop_off").alias("modified"), "package")
+    stamps = op.fingerprint_partitions(files.withColumn("modified", F.expr("if(package % 100 % 7 = 3, modified - 1, modified)")), "v1")
+    return op.stale_sources(op.fingerprint_partitions(files, "v1"), stamps).select("source")
+
+
 @query("SELECT p_partkey::VARCHAR AS name, CASE WHEN p_partkey % 10 = 9 THEN 'missing' WHEN p_partkey % 10 = 8 THEN 'mismatch' ELSE 'ok' END AS status FROM part")
 def s7_verify_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").withColumn("name", F.col("p_partkey").cast("string"))

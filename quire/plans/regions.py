@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire import relations as R
 from quire.operators import edits, geometry, regions
@@ -17,12 +18,12 @@ R.RELATIONS["r_texts"] = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Preface.
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passages, a stated query set, against all documents: an equi-join on a passage's first three words and
-    every three words in a row of a document, then the whole passage."""
-    heads = F.expr("array_distinct(transform(sequence(1, greatest(size(w) - 2, 1)), i -> concat_ws(' ', slice(w, i, 3))))")
+    every three words in a row of a document, with what follows there; then the whole passage."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).withColumn("w", F.split("passage", r"\s+"))
     b = b.withColumn("head", F.expr("concat_ws(' ', slice(w, 1, 3))")).drop("w")
-    d = table(spark, sf_dir, "documents").withColumn("w", F.split("text", r"\s+")).select("doc_id", F.explode(heads).alias("head"))
-    hits = d.join(b, "head").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("passage")))
+    heads = F.expr("array_distinct(transform(sequence(1, greatest(size(w) - 2, 1)), i -> concat_ws(' ', slice(w, i, 3))))")
+    d = table(spark, sf_dir, "documents").withColumn("w", F.split("text", r"\s+")).select("doc_id", "text", F.explode(heads).alias("head"))
+    hits = d.join(b, "head").where(F.col("text").contains(F.col("passage")))
     return hits.select(F.col("item_id").alias("anchor_id"), "doc_id", F.expr("bigint(position(passage, text) - 1)").alias("at"), F.expr("bigint(length(passage))").alias("length")).withColumn("source_id", F.col("doc_id"))
 
 
@@ -36,11 +37,16 @@ def t9_capture_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.capture_anchor(places(spark, sf_dir), paragraphs(spark, sf_dir, 1)).select("anchor_id", "doc_id", "at", "tail", "before", "after", "text_hash")
 
 
-@query("SELECT item_id AS anchor_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'length' END AS reason FROM r_places")
+@query("SELECT item_id AS anchor_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'length' WHEN item_id % 3 = 0 AND NOT (at_off >= 5 AND doc_id % 5 <> 1) THEN 'control' WHEN at_off < 40 THEN 'locked' END AS reason FROM r_places")
 def j14_resolve_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against a second version, in which every other document begins with a preface."""
-    anchors = regions.capture_anchor(places(spark, sf_dir), paragraphs(spark, sf_dir, 1))
-    return regions.resolve_anchor(anchors, paragraphs(spark, sf_dir, 2)).select("anchor_id", "doc_id", "reason")
+    """Against a second version, in which every other document begins with a preface. Every third anchor stands in
+    a control from the sixth character on, whose id is used twice in some documents; the first 40 characters are
+    locked."""
+    anchors = regions.capture_anchor(places(spark, sf_dir), paragraphs(spark, sf_dir, 1)).withColumn("control_id", F.expr("if(anchor_id % 3 = 0, 'c', null)"))
+    second = paragraphs(spark, sf_dir, 2)
+    control = lambda name, begin, stop, locked: second.select("doc_id", "source_id", F.lit(name).alias("control_id"), F.expr(begin).alias("begin"), F.expr(stop).alias("stop"), F.lit(locked).alias("locked"))
+    controls = control("c", "5L", "bigint(length(text))", False).unionByName(control("lock", "0L", "40L", True)).unionByName(control("c", "0L", "0L", False).where("doc_id % 5 = 1"))
+    return regions.resolve_anchor(anchors, second, controls).select("anchor_id", "doc_id", "reason")
 
 
 @query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at_off, item_id) AS k, coalesce(max(at_off + n) OVER (PARTITION BY doc_id ORDER BY at_off, n, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > at_off, false) AS bad FROM r_places),
@@ -53,34 +59,43 @@ def t10_rebase_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.rebase_anchors(anchors, paragraphs(spark, sf_dir, 1), first)[0].select("anchor_id", "doc_id", "at", "length")
 
 
-@query("SELECT m.mapping_id, NOT (m.doc_id % 13 = 0 AND position('e' IN original_text) > 0) AND length(l.text) <= 40 AS matches FROM r_mappings m JOIN r_lines l ON m.doc_id = l.doc_id AND m.line_no = l.line_no")
+@query("SELECT mapping_id, NOT (doc_id % 13 = 0 AND position('e' IN original_text) > 0) AS matches FROM r_mappings")
 def j15_resolve_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = R.mappings(spark, sf_dir).withColumn("line_nos", F.array("line_no"))
     lines = R.geo_lines(spark, sf_dir).withColumn("text", F.expr("if(doc_id % 13 = 0, replace(text, 'e', 'E'), text)"))
-    return regions.resolve_mapping(m, lines)
+    return regions.resolve_mapping(R.mappings(spark, sf_dir), lines)
 
 
 _OVER = "a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0"
-R.RELATIONS["r_blocked"] = f"SELECT DISTINCT a.doc_id, a.line_no FROM r_boxes a JOIN r_boxes b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.line_no <> b.line_no AND {_OVER} WHERE a.line_no % 7 = 0"
+R.RELATIONS["r_blocked"] = f"""WITH own AS (SELECT mapping_id, doc_id, page_no, unnest(line_nos) AS line_no FROM r_mappings)
+SELECT DISTINCT o.mapping_id FROM own o JOIN r_boxes a ON o.doc_id = a.doc_id AND o.line_no = a.line_no JOIN r_boxes b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.line_no <> b.line_no AND {_OVER} JOIN own p ON p.doc_id = b.doc_id AND p.line_no = b.line_no WHERE o.mapping_id <> p.mapping_id"""
 
 
 def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mappings whose box meets another line's."""
+    """Mappings of which a line's box meets a line of another mapping."""
     b = R.line_boxes(spark, sf_dir)
-    hit = geometry.box_join(b.where("line_no % 7 = 0"), b, lambda x, y: geometry.overlaps(x, y) & (F.col("a_line_no") != F.col("b_line_no")))
-    return hit.select(F.expr("concat(doc_id, ':', a_line_no)").alias("mapping_id")).distinct()
+    own = R.mappings(spark, sf_dir).select("mapping_id", "doc_id", F.explode("line_nos").alias("line_no"))
+    b = b.join(own, ["doc_id", "line_no"])
+    hit = geometry.box_join(b, b, lambda x, y: geometry.overlaps(x, y) & (F.col("a_mapping_id") != F.col("b_mapping_id")))
+    return hit.select(F.col("a_mapping_id").alias("mapping_id")).distinct()
 
 
-@query("""SELECT mapping_id, CASE WHEN role = 'locked' THEN 'locked' WHEN m.line_no % 4 = 3 THEN 'editable' WHEN stored_text <> original_text THEN 'stale' WHEN b.line_no IS NOT NULL THEN 'overlap' END AS reason FROM r_mappings m LEFT JOIN r_blocked b ON m.doc_id = b.doc_id AND m.line_no = b.line_no""")
+@query("""SELECT mapping_id, CASE WHEN role = 'locked' THEN 'locked' WHEN len(list_filter(line_nos, lambda n: n % 4 = 3)) > 0 THEN 'editable' WHEN stored_text <> original_text THEN 'stale' WHEN mapping_id IN (SELECT mapping_id FROM r_blocked) THEN 'overlap' END AS reason FROM r_mappings""")
 def j16_region_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = R.geo_lines(spark, sf_dir).select("doc_id", "page_no", "line_no", F.expr("line_no % 4 <> 3").alias("editable"), F.expr("substring(text, 1, 40)").alias("actual_text"))
+    lines = R.geo_lines(spark, sf_dir).select("doc_id", "page_no", "line_no", F.expr("line_no % 4 <> 3").alias("editable"), F.col("text").alias("actual_text"))
     return regions.region_eligibility(R.mappings(spark, sf_dir), lines, blocked(spark, sf_dir))
 
 
-@query("""SELECT doc_id, CASE min(rule) WHEN 3 THEN 'role' ELSE 'selected' END AS reason FROM (SELECT doc_id, 3 AS rule FROM r_mappings WHERE role = 'phone' AND doc_id % 3 = 0 UNION ALL SELECT doc_id, 5 FROM r_mappings WHERE line_no % 2 = 0 AND role = 'locked') GROUP BY 1""")
+@query("""SELECT doc_id, ['role', 'kind', 'mapping id', 'anchor', 'line owner', 'selected twice', 'selected'][min(rule)] AS reason FROM (SELECT doc_id, 1 AS rule FROM r_mappings WHERE role = 'phone' AND doc_id % 3 = 0 UNION ALL SELECT doc_id, 2 FROM r_mappings WHERE doc_id % 29 = 0
+UNION ALL SELECT doc_id, 3 FROM r_mappings WHERE doc_id % 19 = 0 AND line_no = 0 UNION ALL SELECT doc_id, 4 FROM r_mappings WHERE doc_id % 17 = 0 AND line_no = 0 UNION ALL SELECT doc_id, 5 FROM r_mappings WHERE doc_id % 23 = 0 AND line_no = 0 AND len(line_nos) > 1
+UNION ALL SELECT doc_id, 6 FROM r_mappings WHERE line_no % 2 = 0 AND doc_id % 7 = 0 UNION ALL SELECT doc_id, 7 FROM r_mappings WHERE line_no % 2 = 0 AND role = 'locked') GROUP BY 1""")
 def a13_validate_region_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = R.mappings(spark, sf_dir).withColumn("role", F.expr("if(role = 'phone' and doc_id % 3 = 0, 'fax', role)"))
-    return regions.validate_region_config(m, m.where("line_no % 2 = 0").select("doc_id", "mapping_id"), ["title", "author", "date", "body", "note", "amount", "name", "address", "phone"])
+    """Some documents get unknown roles, another format, repeated ids, anchors or lines, or a selection made twice."""
+    m = R.mappings(spark, sf_dir).withColumn("role", F.expr("if(role = 'phone' and doc_id % 3 = 0, 'fax', role)")).withColumn("kind", F.lit("pdf"))
+    chosen = m.where("line_no % 2 = 0").select("doc_id", "mapping_id")
+    first = m.where("line_no = 0")
+    extra = [first.where("doc_id % 19 = 0").withColumn("line_nos", F.array(F.lit(-1).cast("bigint"))), first.where("doc_id % 17 = 0").withColumn("mapping_id", F.concat("mapping_id", F.lit("'"))), first.where("doc_id % 23 = 0 and size(line_nos) > 1").withColumn("mapping_id", F.concat("mapping_id", F.lit('"'))).withColumn("line_nos", F.slice("line_nos", 2, 1))]
+    formats = m.select("doc_id").distinct().withColumn("format", F.expr("if(doc_id % 29 = 0, 'docx', 'pdf')"))
+    return regions.validate_region_config(m.unionByName(extra[0]).unionByName(extra[1]).unionByName(extra[2]), chosen.unionByName(chosen.where("doc_id % 7 = 0")), list(R.ROLES), formats)
 
 
 @query("""SELECT m.doc_id, line_no // 2 AS position, mapping_id, role, stored_text AS text, CASE WHEN bool_or(line_no % 21 = 14 AND m.doc_id % 5 = 0) OVER (PARTITION BY m.doc_id) THEN 'unresolved' WHEN line_no % 3 = 0 THEN 'stale' END AS reason FROM r_mappings m QUALIFY role <> 'locked' AND line_no % 2 = 0""")
@@ -91,22 +106,35 @@ def a14_field_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.field_cards(selected, m, states)
 
 
-@query("""SELECT mapping_id, CASE WHEN NOT reviewed THEN 'not reviewed' WHEN role = 'locked' THEN 'locked' WHEN stored_text <> original_text THEN 'text' WHEN m.line_no % 5 = 4 THEN 'revision' WHEN b.line_no IS NOT NULL THEN 'overlap' ELSE 'applied' END AS outcome,
-CASE WHEN reviewed AND role <> 'locked' AND stored_text = original_text AND m.line_no % 5 <> 4 AND b.line_no IS NULL THEN 'new' ELSE stored_text END AS text FROM r_mappings m LEFT JOIN r_blocked b ON m.doc_id = b.doc_id AND m.line_no = b.line_no""")
+@query("""SELECT mapping_id, CASE WHEN NOT reviewed THEN 'not reviewed' WHEN role = 'locked' THEN 'locked' WHEN stored_text <> original_text THEN 'text' WHEN line_no % 5 = 4 THEN 'revision' WHEN mapping_id IN (SELECT mapping_id FROM r_blocked) THEN 'overlap' ELSE 'applied' END AS outcome,
+CASE WHEN reviewed AND role <> 'locked' AND stored_text = original_text AND line_no % 5 <> 4 AND mapping_id NOT IN (SELECT mapping_id FROM r_blocked) THEN 'new' ELSE stored_text END AS text FROM r_mappings""")
 def t11_apply_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = R.mappings(spark, sf_dir).withColumn("revision", F.expr("line_no % 5"))
     proposals = m.select("mapping_id", F.lit("new").alias("value"), F.col("original_text").alias("expected_text"), F.expr("if(line_no % 5 = 4, 0, line_no % 5)").alias("expected_revision"))
     return regions.apply_field_values(proposals, m, blocked(spark, sf_dir))
 
 
-@query("""SELECT mapping_id, role, reviewed AND doc_id % 4 <> 0 AS reviewed FROM r_mappings WHERE NOT (doc_id % 4 = 0 AND line_no % 3 = 0) UNION ALL SELECT 'n' || mapping_id, 'body', false FROM r_mappings WHERE doc_id % 4 = 0 AND line_no % 3 = 0""")
+_GIVEN = "doc_id % 4 = 0 AND line_no % 3 = 0"
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """In every fourth document the first line of some mappings gets a role of its own; even lines are selected."""
+    m = R.mappings(spark, sf_dir).select("mapping_id", "doc_id", "page_no", "line_nos", "role", "reviewed", "line_no")
+    new = m.where(_GIVEN).withColumn("mapping_id", F.concat(F.lit("n"), "mapping_id")).withColumn("role", F.lit("body")).withColumn("line_nos", F.slice("line_nos", 1, 1)).drop("line_no")
+    return regions.assign_roles(m.drop("line_no"), new, m.where("line_no % 2 = 0").select("doc_id", "mapping_id"))
+
+
+@query(f"""SELECT mapping_id, role, reviewed AND NOT EXISTS (SELECT 1 FROM r_mappings x WHERE x.doc_id = m.doc_id AND x.doc_id % 4 = 0 AND x.line_no % 3 = 0) AS reviewed FROM r_mappings m WHERE NOT ({_GIVEN}) UNION ALL SELECT 'n' || mapping_id, 'body', false FROM r_mappings WHERE {_GIVEN}""")
 def t12_assign_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = R.mappings(spark, sf_dir).select("mapping_id", "doc_id", "page_no", "line_no", "role", "reviewed")
-    new = m.where("doc_id % 4 = 0 and line_no % 3 = 0").withColumn("mapping_id", F.concat(F.lit("n"), "mapping_id")).withColumn("role", F.lit("body"))
-    return regions.assign_roles(m, new).select("mapping_id", "role", "reviewed")
+    return _assigned(spark, sf_dir)[0].select("mapping_id", "role", "reviewed")
+
+
+@query(f"SELECT doc_id, mapping_id FROM r_mappings WHERE line_no % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM r_mappings WHERE {_GIVEN})")
+def t12_clear_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir)[1].select("doc_id", "mapping_id")
 
 
-@query("SELECT mapping_id FROM r_mappings m WHERE role <> 'locked' AND stored_text = original_text AND NOT EXISTS (SELECT 1 FROM r_blocked b WHERE b.doc_id = m.doc_id AND b.line_no = m.line_no)")
+@query("SELECT mapping_id FROM r_mappings m WHERE role <> 'locked' AND stored_text = original_text AND mapping_id NOT IN (SELECT mapping_id FROM r_blocked)")
 def p11_selection_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = R.mappings(spark, sf_dir)
     return regions.selection_eligible(m.select("mapping_id"), m, m.select("mapping_id", F.col("original_text").alias("actual_text")), blocked(spark, sf_dir))
@@ -114,7 +142,7 @@ def p11_selection_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e1_replay_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits.replay_actions(R.actions(spark, sf_dir))
+    return edits.replay_actions(R.full_actions(spark, sf_dir))
 
 
 @query("SELECT doc, k % 5 AS page, (sum(CASE WHEN k % 3 = 0 THEN -90 WHEN k % 3 = 1 THEN 180 END) % 360 + 360)::BIGINT % 360 AS rotation FROM r_actions WHERE type = 'rotate' AND k % 3 <> 2 GROUP BY ALL")
@@ -142,6 +170,18 @@ def e3_edit_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.edit_ownership(_edits(spark, sf_dir, True), _edits(spark, sf_dir, False))
 
 
+@query("""WITH n AS (SELECT doc, 1000000 AS edit_id, k * 4 AS low, k * 4 + 5 AS high FROM r_actions WHERE seq = 1), o AS (SELECT doc, edit_id, low, high, row_number() OVER (PARTITION BY doc ORDER BY edit_id) - 1 AS position FROM r_edits WHERE old),
+x AS (SELECT n.*, count(o.doc) AS hits, coalesce(bool_or(o.low < n.low OR o.high > n.high), false) AS refused, min(position) AS place FROM n LEFT JOIN o ON n.doc = o.doc AND o.low <= n.high AND o.high >= n.low GROUP BY ALL),
+kept AS (SELECT o.doc, o.edit_id, o.low, o.high, o.position, 0 AS last FROM o LEFT JOIN x ON o.doc = x.doc WHERE x.doc IS NULL OR x.refused OR NOT (o.low <= x.high AND o.high >= x.low) UNION ALL SELECT doc, edit_id, low, high, place, CASE WHEN place IS NULL THEN 1 ELSE 0 END FROM x WHERE NOT refused)
+SELECT doc, edit_id, low, high, row_number() OVER (PARTITION BY doc ORDER BY last, position, edit_id) - 1 AS position FROM kept""")
+def e3_replace_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new edit of six lines for each document."""
+    old = _edits(spark, sf_dir, True).withColumn("position", (F.row_number().over(Window.partitionBy("doc").orderBy("edit_id")) - 1).cast("bigint"))
+    new = R.actions(spark, sf_dir).where("seq = 1").select("doc", F.lit(1000000).cast("bigint").alias("edit_id"), F.expr("sequence(k * 4, k * 4 + 5)").alias("line_ids"))
+    found = edits.replace_edits(old, new)
+    return found.select("doc", "edit_id", F.array_min("line_ids").alias("low"), F.array_max("line_ids").alias("high"), "position")
+
+
 @query("SELECT doc, edit_id FROM r_edits e WHERE old AND NOT EXISTS (SELECT 1 FROM r_actions a WHERE a.doc = e.doc AND a.type = 'undo' AND a.k * 4 + 1 BETWEEN e.low AND e.high)")
 def e4_remove_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     removals = R.actions(spark, sf_dir).where("type = 'undo'").select("doc", F.expr("k * 4 + 1").alias("line")).distinct()

@@ -207,18 +207,24 @@ RELATIONS["r_actions"] = """SELECT user_id AS doc, row_number() OVER (PARTITION
 CASE event_type WHEN 'view' THEN 'rotate' WHEN 'signup' THEN 'add' WHEN 'purchase' THEN 'duplicate' WHEN 'click' THEN 'activate' ELSE 'undo' END AS type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value FROM events"""
 
 
+#: Three lines in seven belong to one mapping, the others have one each; both engines.
+_FIRST = "line_no - CASE WHEN line_no % 40 % 7 IN (1, 2) THEN line_no % 40 % 7 ELSE 0 END"
+ROLES = ("title", "author", "date", "body", "note", "amount", "name", "address", "phone")
+
+
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A field mapping for each seventh text line of every document; locked where its document is toxic."""
+    """Field mappings over all text lines, by page; locked where the document is toxic."""
     marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
-    m = lines(spark, sf_dir).where("line_no % 7 = 0").join(marks, "doc_id", "left")
-    role = "if(coalesce(toxic, 0) = 1, 'locked', element_at(array('title', 'author', 'date', 'body', 'note', 'amount', 'name', 'address', 'phone'), int(line_no % 9) + 1))"
-    return m.select("doc_id", F.expr("line_no div 40").alias("page_no"), "line_no", F.expr("concat(doc_id, ':', line_no)").alias("mapping_id"), F.expr(role).alias("role"), F.expr("coalesce(quality, 0) = 1").alias("reviewed"), F.expr("substring(text, 1, 40)").alias("original_text"), F.expr("concat(substring(text, 1, 40), if(doc_id % 11 = 0, '!', ''))").alias("stored_text"))
+    m = lines(spark, sf_dir).withColumn("page_no", F.expr("line_no div 40")).withColumn("first", F.expr(_FIRST))
+    m = m.groupBy("doc_id", "page_no", "first").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("own")).join(marks, "doc_id", "left")
+    role = f"if(coalesce(toxic, 0) = 1, 'locked', element_at(array({', '.join(map(repr, ROLES))}), int(first % 9) + 1))"
+    m = m.withColumn("original_text", F.array_join("own.text", "\n"))
+    return m.select("doc_id", "page_no", F.col("first").alias("line_no"), F.col("own.line_no").alias("line_nos"), F.expr("concat(doc_id, ':', first)").alias("mapping_id"), F.expr(role).alias("role"), F.expr("coalesce(quality, 0) = 1").alias("reviewed"), "original_text", F.expr("concat(original_text, if(doc_id % 11 = 0, '!', ''))").alias("stored_text"))
 
 
-RELATIONS["r_mappings"] = """SELECT l.doc_id, line_no // 40 AS page_no, line_no, l.doc_id || ':' || line_no AS mapping_id,
-CASE WHEN coalesce(toxic, 0) = 1 THEN 'locked' ELSE ['title', 'author', 'date', 'body', 'note', 'amount', 'name', 'address', 'phone'][line_no % 9 + 1] END AS role,
-coalesce(quality, 0) = 1 AS reviewed, substring(text, 1, 40) AS original_text, substring(text, 1, 40) || CASE WHEN l.doc_id % 11 = 0 THEN '!' ELSE '' END AS stored_text
-FROM r_lines l LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY 1) b ON l.doc_id = b.doc_id WHERE line_no % 7 = 0"""
+RELATIONS["r_mappings"] = f"""SELECT l.doc_id, page_no, first AS line_no, line_nos, l.doc_id || ':' || first AS mapping_id, CASE WHEN coalesce(toxic, 0) = 1 THEN 'locked' ELSE {list(ROLES)}[first % 9 + 1] END AS role,
+coalesce(quality, 0) = 1 AS reviewed, t AS original_text, t || CASE WHEN l.doc_id % 11 = 0 THEN '!' ELSE '' END AS stored_text
+FROM (SELECT doc_id, line_no // 40 AS page_no, {_FIRST} AS first, list(line_no ORDER BY line_no) AS line_nos, string_agg(text, chr(10) ORDER BY line_no) AS t FROM r_lines GROUP BY ALL) l LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY 1) b ON l.doc_id = b.doc_id"""
 
 
 def font_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +260,17 @@ UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, CASE WHEN c_custkey % 5 =
 UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'O' || o_orderkey END, o_orderstatus IN ('F', 'O') FROM orders"""
 
 
+#: Kinds of actions in a full edit log, dealt by event and its number.
+KINDS = ("rotate", "add", "duplicate", "delete", "reorder", "activate", "undo", "redo", "edit", "remove", "map", "review", "fill", "rename", "undo", "edit", "fill", "map", "review", "restore")
+
+
+def full_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user as an edit log of every kind of action; now and then a document is loaded anew."""
+    a = actions(spark, sf_dir)
+    kind = f"if(event_id % 97 = 0, 'load', element_at(array({', '.join(map(repr, KINDS))}), int((event_id * 7 + k * 3 + seq) % {len(KINDS)}) + 1))"
+    return a.select("doc", "seq", F.expr(kind).alias("type"), F.expr("k % 11").alias("k"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("session"), F.expr("(event_id * 7919) % 10007").alias("request_id"), F.expr("bigint(get_json_object(props, '$.k'))").alias("page"), F.expr("event_id % 5").alias("revision"), F.col("event_type").alias("method"), "ts", "event_id")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DoubleType, FloatType, MapType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
@@ -17,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scan_documents(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
-    """Files of a landing folder with an accepted suffix in either case: (path, size, modified, content)."""
+    """Files of a landing folder with an accepted suffix in either case: (path, size, modified, content).
+    Files without a byte, which intake would reject, are passed over by Spark's reader."""
     glob = "*.{" + ",".join([s for s in SUFFIXES] + [s.upper() for s in SUFFIXES]) + "}"
     if stream:
         found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).load(folder)
@@ -26,6 +31,25 @@ def scan_documents(spark: SparkSession, folder: str, stream: bool = False) -> Da
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
+def land_files(files: DataFrame, folder: str) -> int:
+    """Writes rows (name, content) as files of a folder, each from the task that holds its row, and returns their
+    number. A file is written under a name that scans pass over and then moved, so a scan sees it whole or not at
+    all, and a task that runs again replaces it. Names are unique; tasks must reach the folder by its address."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = f"{root}/_{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(content)
+                fs.move(part, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
+
+    return files.select("name", F.coalesce("content", F.lit(b"")).alias("content")).mapInArrow(run, "name string").count()
+
+
 def read_library(store: DataFrame, key: object | None = None, key_col: str = "id") -> DataFrame:
     """All records, or those of one key; a missing key gives no row."""
     return store if key is None else store.where(F.col(key_col) == F.lit(key))
