@@ -15,8 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quire.llm.common import Scratch, kept, text_batches
 
@@ -194,33 +195,44 @@ class ContextTrees:
         return out
 
 
-def identify(docs: DataFrame, stats: Statistics, id_col: Column | str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, bits_per_byte) for each row of docs.
-
-    score is the posterior probability of the language that codes the text in the fewest bits, all
-    languages being as likely beforehand; of equal ones the first name wins. lang_pred is `und`, score 0
-    and bits_per_byte null where the text is null or has no letter, or where nothing was learned. Whole
-    texts are scored, in windows. Repeated rows repeat. No shuffle; the frozen counts are broadcast.
-    """
-    spark = docs.sparkSession
+def _predicted(docs: DataFrame, stats: Statistics, carried: list[str], text_col: str, names: tuple[str, str, str]) -> DataFrame:
+    spark, width = docs.sparkSession, len(carried)
     shared = spark.sparkContext.broadcast(stats) if len(stats.n) else None
     key = uuid.uuid4().hex
 
     def run(batches):
-        for batch in text_batches(batches, limit=2 << 20):
-            letters = np.array([bool(x) for x in batch.column(2).to_pylist()])
+        for batch in text_batches(batches, text=width, limit=2 << 20):
+            letters = np.array([bool(x) for x in batch.column(width + 1).to_pylist()])
             pred, score, rate = np.full(len(letters), UNKNOWN, dtype=object), np.zeros(len(letters)), np.full(len(letters), np.nan)
             if shared is not None and letters.any():
                 trees, at = kept(key, lambda: ContextTrees(shared.value)), np.flatnonzero(letters)
-                texts = [t for t, ok in zip(batch.column(1).cast(pa.binary()).to_pylist(), letters) if ok]
+                texts = [t for t, ok in zip(batch.column(width).cast(pa.binary()).to_pylist(), letters) if ok]
                 bits = trees.bits(texts)
                 best = bits.argmin(axis=1)
                 least = bits[np.arange(len(bits)), best]
                 pred[at] = np.array(trees.langs, dtype=object)[best]
                 score[at] = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
                 rate[at] = least / np.array([len(t) for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(rate, from_pandas=True)], ["id", "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(pred, pa.string()), pa.array(score), pa.array(rate, from_pandas=True)], [*carried, *names])
+
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)], F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    kinds = zip(names, (StringType(), DoubleType(), DoubleType()))
+    return rows.mapInArrow(run, StructType([*(docs.schema[c] for c in carried), *(StructField(n, k) for n, k in kinds)]))
+
+
+def identify(docs: DataFrame, stats: Statistics, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, bits_per_byte) for each row of docs.
+
+    score is the posterior probability of the language that codes the text in the fewest bits, all
+    languages being as likely beforehand; of equal ones the first name wins. lang_pred is `und`, score 0
+    and bits_per_byte null where the text is null or has no letter, or where nothing was learned. Whole
+    texts are scored, in windows. Repeated rows repeat. No shuffle; the frozen counts are broadcast.
+    """
+    return _predicted(docs, stats, [id_col], text_col, ("lang_pred", "score", "bits_per_byte"))
+
 
-    kind = docs.select(id_col).dtypes[0][1]
-    rows = docs.select(id_col, F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
+def annotate(docs: DataFrame, stats: Statistics, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """docs with what identify finds, as further columns under `names`, none of which docs may have."""
+    if set(names) & set(docs.columns):
+        raise ValueError(f"docs has a column of {names}")
+    return _predicted(docs, stats, docs.columns, text_col, names)
