@@ -64,12 +64,6 @@ def side(table: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(table) if rows <= limit else table
 
 
-def without(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str, id_col: str = "doc_id", broadcast_rows: int = SMALL) -> DataFrame:
-    """docs without the rows whose id is in the one column of ids. Rows with a null id stay."""
-    gone = scratch.save(ids.toDF("__gone").distinct(), name)
-    return docs.join(side(gone, gone.count(), broadcast_rows), docs[id_col] == gone["__gone"], "left_anti")
-
-
 #: Hash slots among which equal values of most_frequent are dealt.
 SLOTS = 256
 

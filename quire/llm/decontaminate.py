@@ -127,15 +127,9 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate:
     Documents are never shuffled. The passages, a stated query set, go to the tasks in blocks of at most
     block_chars characters (a longer passage alone); more of them means more passes, not more memory.
     """
-    spark = docs.sparkSession
     kind = docs.select(id_col).dtypes[0][1]
-    items = benchmark.where("item_id is not null and length(trim(text)) > 0").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
     out = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    for shared in _blocks(docs, benchmark, block_chars):
 
         def run(batches, shared=shared):
             ids, texts = shared.value
@@ -150,3 +144,32 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate:
         part = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, {OUT}").withColumnRenamed("id", id_col)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_chars: int) -> list:
+    """The passages as broadcasts of (ids, texts), at least one, each of at most about block_chars characters."""
+    items = benchmark.where("item_id is not null and length(trim(text)) > 0").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
+    out = []
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+        out.append(docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows])))
+    return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, text_col: str = "text", block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of docs in whose text no passage occurs (see contaminated_spans). Rows are judged where they stand,
+    whatever their ids; nothing is joined or shuffled."""
+    place = docs.columns.index(text_col)
+    for shared in _blocks(docs, benchmark, block_chars):
+
+        def run(batches, shared=shared):
+            passages = Passages(shared.value[1], q, rate)
+            for batch in text_batches(batches, text=place, limit=2 << 20):
+                clean = np.ones(batch.num_rows, dtype=bool)
+                clean[[f[0] for f in passages.find([t or "" for t in batch.column(place).to_pylist()])]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, connected_components, local_roots, text_batches
+from quire.llm.common import SMALL, Scratch, connected_components, local_roots, side, text_batches
 
 BITS, BYTES = 64, 8
 #: Byte positions that are posted together.
@@ -57,8 +57,8 @@ def simhash(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col:
             fps = np.array([fingerprint(t or b"", shingle) for t in texts], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    kind = docs.select(id_col).dtypes[0][1]
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
+    schema = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("bigint").alias("fp")).schema
+    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def _linked(group: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,3 +142,24 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, bits: int = 3, id_c
     owner = reps.join(joined, reps.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     found = marks.join(owner, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     return found.withColumnRenamed("id", id_col)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = SMALL) -> DataFrame:
+    """docs with one document of each group of near-duplicates, that with the smallest (id, xxhash64 of the text).
+
+    Documents are rows with an id, told apart by id and text (null as empty): rows equal in both are one and
+    stay or go together. Rows with a null id stay. A table of at most broadcast_rows documents that go is
+    broadcast; a larger one meets docs by a shuffle.
+    """
+    scratch = Scratch(docs.sparkSession)
+    version = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), version.alias("version")).alias("row"), F.col(text_col).alias("text"))
+    marks = scratch.save(simhash(rows, shingle, "row", "text"), "marks")
+    prints = scratch.save(marks.select("fp", F.col("fp").alias("rep")).distinct(), "prints")
+    joined = scratch.save(connected_components(fingerprint_links(prints, bits), scratch), "joined")
+    groups = marks.join(joined, marks.fp == joined.node, "left").select("row", F.coalesce("component", "fp").alias("group"))
+    stays = scratch.save(groups.groupBy("group").agg(F.min("row").alias("stay"), F.count("*").alias("n")).where("n > 1").select("group", "stay"), "stays")
+    gone = groups.join(stays, "group").where("row <> stay").select("row.id", "row.version").distinct()
+    gone = scratch.save(gone, "gone")
+    scratch.drop("marks", "prints", "joined", "stays")
+    return docs.join(side(gone, gone.count(), broadcast_rows), (docs[id_col] == gone["id"]) & (version == gone["version"]), "left_anti")
