@@ -2,8 +2,10 @@
 
 A logistic model over the presence of words and word beginnings. Features are screened by how differently
 they occur in the two classes. For every training text that mentions identity groups, the mentions are
-swapped for another group of the same kind; the squared change of the model's logit under the swap is
-added to the loss. A group's name as such can so not carry a score, whatever company it keeps in the labels.
+swapped twice: for another group of the same kind, and for a word that names nobody in particular, which is
+no feature. The squared changes of the model's logit under the swaps are added to the loss. The first makes
+groups alike; it alone would let all of them carry a score together. With the second, a group's name as such
+cannot carry one, whatever company it keeps in the labels.
 """
 
 from __future__ import annotations
@@ -43,10 +45,11 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def swapped(words: set[str], groups=IDENTITIES) -> set[str] | None:
-    """The words with each identity term replaced by the next of its group; None if there is none."""
+def swapped(words: set[str], groups=IDENTITIES) -> list[set[str]]:
+    """The words with each identity term replaced by the next of its group, and with none in its place; nothing if
+    there is no such term."""
     to = {term: group[(i + 1) % len(group)] for group in groups for i, term in enumerate(group)}
-    return {to.get(w, w) for w in words} if words & to.keys() else None
+    return [{to.get(w, w) for w in words}, words - to.keys()] if words & to.keys() else []
 
 
 @dataclass
@@ -68,8 +71,8 @@ class Model:
         return self.bias + sum(weights[f] for f in sorted(found))
 
 
-def fit(rows: list[tuple[int, list[int], list[int] | None]], size: int, prior: float, penalty: float, ridge: float = 1e-3, steps: int = 300) -> tuple[float, np.ndarray]:
-    """Logistic regression on sparse rows (label, features, features after the swap).
+def fit(rows: list[tuple[int, list[int], list[list[int]]]], size: int, prior: float, penalty: float, ridge: float = 1e-3, steps: int = 300) -> tuple[float, np.ndarray]:
+    """Logistic regression on sparse rows (label, features, features after each swap).
 
     Classes are weighted back to `prior`, the share of label 1 among all training labels.
     """
@@ -80,7 +83,7 @@ def fit(rows: list[tuple[int, list[int], list[int] | None]], size: int, prior: f
     y = np.array([r[0] for r in rows], dtype=np.float64)
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean())) / len(y)
     col, row = sparse([r[1] for r in rows])
-    pairs = [(r[1], r[2]) for r in rows if r[2] is not None]
+    pairs = [(r[1], other) for r in rows for other in r[2]]
     plus, minus = sparse([p[0] for p in pairs]), sparse([p[1] for p in pairs])
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
@@ -144,13 +147,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_features
             own, other = [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                found = [words, swapped(words, groups)]
-                own.append(sorted({index[f] for w in found[0] for f in features_of(w) if f in index}))
-                other.append(None if found[1] is None else sorted({index[f] for w in found[1] for f in features_of(w) if f in index}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["toxic", "own", "other"])
+                known = lambda some: sorted({index[f] for w in some for f in features_of(w) if f in index})
+                own.append(known(words))
+                other.append([known(some) for some in swapped(words, groups)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32())))], ["toxic", "own", "other"])
 
-    data = [(r[0], r[1], r[2]) for r in sample.mapInArrow(rows, "toxic int, own array<int>, other array<int>").collect()]
-    data.sort(key=lambda r: (r[0], r[1]))
+    data = [(r[0], r[1], r[2]) for r in sample.mapInArrow(rows, "toxic int, own array<int>, other array<array<int>>").collect()]
+    data.sort()
     bias, weights = fit(data, len(index), ones / total, penalty)
     return Model(float(bias), {f: float(weights[i]) for f, i in index.items() if weights[i]})
 
