@@ -13,6 +13,7 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by models of three in four documents; null and letterless texts are `und`."""
     docs = documents(spark, sf_dir)
     stats = langid.train(docs.where(~held_out(F.col("doc_id"), 4)))
     found = langid.identify(docs, stats)
@@ -30,6 +31,8 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability that a document is toxic, learned from the labels of three in four documents; null and empty
+    texts have that of a text without features."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"), 4))
     found = toxicity.toxicity(docs, toxicity.train(docs, labels))
@@ -42,10 +45,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded again; a null text counts as empty."""
     return bpe.bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base rules' matches in every document, and all spans; none in null and empty texts."""
     found = secrets.find_secrets(documents(spark, sf_dir))
     spans = F.arrays_zip("kinds", "starts", "ends")
     base = F.filter(spans, lambda s: s["kinds"].isin([r.kind for r in secrets.BASE_RULES]))
@@ -55,6 +60,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document by a model of six in seven documents; a null text counts as empty."""
     docs = documents(spark, sf_dir)
     model = hmm.train(docs.where(~held_out(F.col("doc_id"), 7)))
     found = hmm.score(docs, model)
@@ -62,11 +68,13 @@ def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without words, null ones too, have fingerprint zero."""
     found = simhash.near_duplicate_groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector; null, zero and non-finite ones link with nothing."""
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

@@ -145,6 +145,13 @@ def test_language_held_out_accuracy(docs):
     assert sum(r.lang == r.lang_pred for r in found) >= 0.98 * len(found) and all(0 <= r.score <= 1 for r in found)
 
 
+def test_language_ties_take_the_first_name(spark):
+    rows = [("zz", "same words in both"), ("aa", "same words in both")]
+    stats = langid.train(spark.createDataFrame(rows, "lang string, text string"))
+    got = langid.identify(spark.createDataFrame([(1, "same words")], "doc_id long, text string"), stats).first()
+    assert got.lang_pred == "aa" and abs(got.score - 0.5) < 1e-9
+
+
 def test_language_edges(edge, empty, docs):
     stats = langid.train(docs)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(edge, stats).collect()}
@@ -218,6 +225,14 @@ def test_equal_ids_of_passages_are_dealt_apart(spark, texts):
         assert sorted(r.doc_id for r in found) == list(range(30))
 
 
+def test_contaminated_rows_go(spark, sf, docs):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    hit = {r.doc_id for r in decontaminate.contaminated_spans(docs, bench).collect()}
+    for chars in (500, 10**6):
+        got = decontaminate.drop_contaminated(docs, bench, block_chars=chars)
+        assert got.columns == docs.columns and hit and {r.doc_id for r in got.collect()} == {r.doc_id for r in docs.collect()} - hit
+
+
 def test_leak_edges(spark, edge, empty):
     bench = spark.createDataFrame([(1, "hello world again"), (2, None), (3, ""), (4, "b"), (None, "hello")], "item_id long, text string")
     got = decontaminate.contaminated_spans(edge, bench).collect()
@@ -346,10 +361,63 @@ def test_toxicity_separates_held_out(spark, docs, sf):
 
 def test_counterfactual_penalty_takes_weight_from_identity_terms():
     # feature 0: an insult, 1: a group that the labels tie to insults, 2: the group it is swapped for
-    rows = [(1, [0, 1], [0, 2])] * 40 + [(1, [0], None)] * 20 + [(0, [1], [2])] * 5 + [(0, [2], [1])] * 40 + [(0, [], None)] * 60 + [(1, [1], [2])] * 10
+    rows = [(1, [0, 1], [[0, 2], [0]])] * 40 + [(1, [0], [])] * 20 + [(0, [1], [[2], []])] * 5 + [(0, [2], [[1], []])] * 40 + [(0, [], [])] * 60 + [(1, [1], [[2], []])] * 10
     _, free = toxicity.fit(rows, 3, 0.4, penalty=0.0)
     _, held = toxicity.fit(rows, 3, 0.4, penalty=10.0)
-    assert free[1] - free[2] > 1.0 and abs(held[1] - held[2]) < 0.2 * (free[1] - free[2]) and held[0] > 1
+    assert free[1] - free[2] > 1.0 and abs(held[1] - held[2]) < 0.2 * (free[1] - free[2]) and abs(held[1]) < 0.2 * free[1] and held[0] > 1
+
+
+def plain_loss(w, b, rows, prior, penalty, ridge):
+    """The objective of fit, written out row by row."""
+    share, total = sum(r[0] for r in rows) / len(rows), 0.0
+    for y, own, _ in rows:
+        z = b + sum(w[f] for f in own)
+        total += (prior / share if y else (1 - prior) / (1 - share)) / len(rows) * (np.log1p(np.exp(-z)) if y else np.log1p(np.exp(z)))
+    pairs = [(own, other) for _, own, others in rows for other in others]
+    change = sum((sum(w[f] for f in own) - sum(w[f] for f in other)) ** 2 for own, other in pairs)
+    return total + penalty * change / max(1, len(pairs)) + ridge / 2 * float(w @ w)
+
+
+def test_fit_reaches_the_least_loss():
+    rng = random.Random(3)
+    rows = []
+    for _ in range(80):
+        own = sorted(rng.sample(range(6), rng.randint(0, 3)))
+        rows.append((int(rng.random() < 0.2 + 0.5 * (0 in own)), own, [sorted({5 - f if f in (2, 3) else f for f in own}), sorted(set(own) - {2, 3})] if {2, 3} & set(own) else []))
+    b, w = toxicity.fit(rows, 6, 0.3, penalty=1.0)
+    best = plain_loss(w, b, rows, 0.3, 1.0, 1e-3)
+    x, step = np.zeros(7), 0.5  # plain descent by differences
+    for _ in range(1500):
+        g = np.array([(plain_loss(*(lambda v: (v[:6], v[6]))(x + e), rows, 0.3, 1.0, 1e-3) - plain_loss(*(lambda v: (v[:6], v[6]))(x - e), rows, 0.3, 1.0, 1e-3)) / 2e-4 for e in np.eye(7) * 1e-4])
+        x -= step * g
+    assert abs(best - plain_loss(x[:6], x[6], rows, 0.3, 1.0, 1e-3)) < 1e-3
+
+
+def neutral_false_positives(spark, penalty):
+    """Held out shares of (neutral texts that mention a group called toxic, toxic texts called so)."""
+    rng, words, insults = random.Random(12), [f"word{i}" for i in range(200)], [f"insult{chr(97 + i)}" for i in range(25)]
+    groups = ["muslims", "women", "immigrants", "gay", "black"]
+    rows = []
+    for i in range(1500):
+        toxic = int(i % 3 == 0)
+        text = rng.choices(words, k=40)
+        if toxic:
+            text += rng.sample(insults, 2) if rng.random() < 0.8 else []
+        if rng.random() < (0.85 if toxic else 0.03):  # the labels tie the groups to insults
+            text += rng.sample(groups, 2)
+        rows.append((i, " ".join(text), toxic))
+    rows += [(2000 + i, " ".join(rng.choices(words, k=40) + rng.sample(groups, 2)), 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df.where("doc_id < 1000").select("doc_id", "toxic"), penalty=penalty)
+    got = toxicity.toxicity(df.where("doc_id >= 1000"), model).join(df, "doc_id").collect()
+    share = lambda rows: sum(r.predicted for r in rows) / len(rows)
+    return share([r for r in got if r.doc_id >= 2000]), share([r for r in got if r.toxic])
+
+
+def test_penalty_spares_neutral_mentions(spark):
+    free, held = neutral_false_positives(spark, 0.0), neutral_false_positives(spark, 1.0)
+    print("neutral mentions called toxic, toxic texts caught: without the penalty", free, "with it", held)
+    assert free[0] > 0.5 and held[0] < 0.1 and held[1] > 0.7
 
 
 def test_toxicity_edges(spark, edge, empty):
@@ -655,6 +723,13 @@ def test_index_meets_every_near_pair(spark, monkeypatch):
     assert near and all(joined.get(a, -1) == joined.get(b, -2) for a, b in near)
 
 
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_dropped_near_duplicates_match_groups(docs, broadcast_rows):
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(docs).collect()}
+    got = simhash.drop_near_duplicates(docs, broadcast_rows=broadcast_rows)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(groups.values()))
+
+
 def test_simhash_edges(edge, empty):
     got = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicate_groups(edge).collect()}
     assert got[1] == got[2] == got[3] == (0, 1) and got[4][1] == 4 and got[None][1] is None
