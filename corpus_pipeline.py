@@ -11,18 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontaminate, langid, linededup, simhash
-from quire.llm.common import Scratch, documents, held_out, small_batches, without
+from quire.llm.common import Scratch, documents, held_out, small_batches
 from quire.llm.queries import RANK_FILE
 
-#: Bits a byte above which a text is like none of the languages; a learned language takes about 2.
-MOST_BITS = 6.5
+#: Bits a byte above which a text is like none of the languages (a learned one takes about 2), and the posterior
+#: probability below which no language stands out.
+MOST_BITS, LEAST_SCORE = 6.0, 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those that no learned language codes in MOST_BITS a byte."""
+    """Drops documents without a letter, those that no learned language codes in MOST_BITS a byte, and those for
+    which none has a probability of LEAST_SCORE; `lang` of the others becomes the language found, whatever it was
+    or if it was null. Decisions are made by row, so null and repeated ids are no exception."""
+
+    def free(name: str) -> str:
+        return name if name not in docs.columns else free(f"{name}_")
+
+    pred, score, bits = names = tuple(free(n) for n in ("lang_pred", "score", "bits_per_byte"))
     stats = langid.train(docs.where(~held_out(F.col("doc_id"), 4)))
-    found = langid.identify(docs, stats).where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("bits_per_byte") > MOST_BITS))
-    return without(docs, found.select("doc_id"), Scratch(spark), "rejected")
+    found = langid.annotate(docs, stats, names=names)
+    found = found.where((F.col(pred) != langid.UNKNOWN) & (F.col(bits) <= MOST_BITS) & (F.col(score) >= LEAST_SCORE))
+    return found.select(*[F.col(pred).alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +40,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    found = simhash.near_duplicate_groups(docs).where("doc_id <> component_id")
-    return without(docs, found.select("doc_id"), Scratch(spark), "copies")
+    """Of each group of near-duplicates the document with the smallest id stays, of one id that with the smallest hash
+    of its text; rows with a null id stay."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark passage occurs."""
-    found = decontaminate.contaminated_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.select("doc_id"), Scratch(spark), "leaks")
+    """Drops the rows in whose text a benchmark passage occurs."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows (doc_id, n_tokens, ids_sha256, decoded_sha256), one for each document that the stages
+    before keep. Each stage's rows are written and read again as the next one's documents; a written stage is
+    dropped once the next stands. Empty tables give no rows; stages say what becomes of null ids and texts."""
     docs, scratch = documents(spark, sf_dir), Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        scratch.drop(f"stage-{k - 1}")
     return docs
