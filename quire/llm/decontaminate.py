@@ -15,11 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import text_batches
-from quire.llm.textmatch import Patterns, fit, full_bands, gram_hashes, normalize, normalize_pattern, pad, windows
+from quire.llm.textmatch import Patterns, fit, full_bands, gram_hashes, like_lengths, normalize, normalize_pattern, pad, windows
 
 OUT = "item_id bigint, start int, stop int, edits int, similarity double"
-#: Cells of text windows that are aligned at once.
-CELLS = 1 << 20
 #: Postings above which a q-gram counts as common.
 COMMON = 32
 
@@ -52,13 +50,8 @@ class Passages:
         found = self._short(parts)
         hits = index.probe(codes, starts, lengths)
         text, item, band = full_bands(hits, self.budget + 1, index.lengths, self.bound, int(lengths.max(initial=0)))
-        order = np.argsort(index.lengths[item], kind="stable")  # passages of like length are aligned together
-        text, item, band = text[order], item[order], band[order]
-        cells, begin = np.cumsum(index.lengths[item] + 2 * (self.budget[item] + 1)), 0
-        while begin < len(text):
-            stop = max(begin + 1, int(np.searchsorted(cells, (cells[begin - 1] if begin else 0) + CELLS, side="right")))
-            found += self._verify(codes, starts, lengths, text[begin:stop], item[begin:stop], band[begin:stop])
-            begin = stop
+        for part in like_lengths(index.lengths[item], index.lengths[item] + 2 * (self.budget[item] + 1)):
+            found += self._verify(codes, starts, lengths, text[part], item[part], band[part])
         out, ends = [], {}
         for t, p, a, b, e in sorted(found, key=lambda x: (x[0], x[1], x[4], x[2])):
             held = ends.setdefault((t, p), [])

@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame
 
 from quire.llm.common import text_batches
 from quire.llm.license_texts import TEMPLATES
-from quire.llm.textmatch import Patterns, full_bands, gram_hashes, normalize, normalize_pattern, pad, windows
+from quire.llm.textmatch import Patterns, full_bands, gram_hashes, like_lengths, normalize, normalize_pattern, pad, windows
 
-#: Cells of text windows that are aligned at once.
-CELLS = 1 << 20
 OUT = "license string, template int, start int, stop int, template_start int, template_stop int, coverage double, score int"
 
 
@@ -79,13 +77,9 @@ class Licenses:
         starts = np.cumsum(lengths) - lengths
         codes = np.concatenate([c for c, _ in parts])
         text, item, band = full_bands(self.index.probe(codes, starts, lengths), self.slack, self.index.lengths, self.need, int(lengths.max(initial=0)))
-        order = np.argsort(self.index.lengths[item], kind="stable")  # templates of like length are aligned together
-        text, item, band = text[order], item[order], band[order]
-        cells, found, begin = np.cumsum(self.index.lengths[item] + 2 * self.slack[item]), [], 0
-        while begin < len(text):
-            stop = max(begin + 1, int(np.searchsorted(cells, (cells[begin - 1] if begin else 0) + CELLS, side="right")))
-            found += self._align(codes, starts, lengths, text[begin:stop], item[begin:stop], band[begin:stop])
-            begin = stop
+        found = []
+        for part in like_lengths(self.index.lengths[item], self.index.lengths[item] + 2 * self.slack[item]):
+            found += self._align(codes, starts, lengths, text[part], item[part], band[part])
         out, held = [], {}
         for t, k, a, b, ta, tb, s in sorted(set(found), key=lambda x: (x[0], -x[6], x[2], x[1])):
             if all(b <= x or a >= y for x, y in held.setdefault(t, [])):

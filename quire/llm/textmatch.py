@@ -21,6 +21,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FAR = np.int32(1 << 28)
 #: Shared q-grams that are looked at at once; one text position with more postings than that comes alone.
 HITS = 1 << 21
+#: Cells of text windows that are aligned at once.
+CELLS = 1 << 20
 
 
 def normalize(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +143,19 @@ def full_bands(hits: Iterable[tuple[np.ndarray, ...]], width: np.ndarray, length
     return found // span // max(n, 1), found // span % max(n, 1), found % span
 
 
+def like_lengths(lengths: np.ndarray, cells: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in parts that are aligned together: the longest pattern of a part is less than half as long again as the
+    shortest, and its rows have about CELLS cells of text."""
+    order = np.argsort(lengths, kind="stable")
+    begin = 0
+    while begin < len(order):
+        stop = int(np.searchsorted(lengths[order], 1.5 * lengths[order[begin]], side="right"))
+        inside = np.cumsum(cells[order[begin:stop]])
+        stop = begin + max(1, int(np.searchsorted(inside, CELLS, side="right")))
+        yield order[begin:stop]
+        begin = stop
+
+
 def windows(codes: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
     """Rows of `size` code points from begin on; what lies outside [low, high) is a code that equals nothing."""
     at = begin[:, None] + np.arange(size)[None, :]
