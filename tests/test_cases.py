@@ -195,13 +195,96 @@ def test_cycles_end(spark):
     assert {r.node: r.value for r in trees.inherit_attribute(tree).collect()} == {"a": "C", "b": "C", "c": "C", "d": "D"}
 
 
-def test_a_chain_deeper_than_64_is_followed_to_its_root(spark):
-    names = [f"n{i:02}" for i in range(70)]
-    tree = spark.createDataFrame([(n, p, None if p else "top") for n, p in zip(names, [None, *names])], "node string, parent string, value string")
+def test_a_chain_of_a_thousand_is_followed_to_its_root(spark):
+    names = [f"n{i:04}" for i in range(1000)]
+    tree = spark.createDataFrame([(n, p, None if p else "top", False) for n, p in zip(names, [None, *names])], "node string, parent string, value string, gone boolean")
     assert {r.node: r.value for r in trees.inherit_attribute(tree).collect()} == dict.fromkeys(names, "top")
     aliases = spark.createDataFrame(list(zip(names[1:], names)), "name string, to string")
     got = trees.resolve_aliases(aliases, spark.createDataFrame([(names[0], "page")], "name string, target string"))
     assert {(r.name, r.target, r.status) for r in got.collect()} == {(n, "page", "ok") for n in names[1:]}
+    assert trees.prune_tree(tree).count() == 1000
+    assert trees.prune_tree(tree.withColumn("gone", F.col("node") == names[0])).count() == 0
+    assert trees.clone_subtree(tree, tree.where(F.col("node") == names[500]).select("node"), "c").count() == 1500
+    refs = spark.createDataFrame([(1, None, names[999]), (2, None, "n9"), (3, "page", None)], "ref_id long, page string, name string")
+    kept = trees.drop_dangling(refs, spark.createDataFrame([("page",)], "page string"), aliases, spark.createDataFrame([(names[0], "page")], "name string, target string"))
+    assert {r.ref_id for r in kept.collect()} == {1, 3}
+
+
+def test_random_trees_match_plain_walks(spark):
+    rng = random.Random(4)
+    parent = {f"n{i}": (f"n{rng.randrange(i)}" if i and rng.random() < 0.9 else None) for i in range(120)}
+    parent |= {"x0": "x1", "x1": "x2", "x2": "x0", "x3": "x1", "y0": "y0", "z": "gone from here"}
+    value = {n: n.upper() if rng.random() < 0.2 and n[0] != "x" else None for n in parent}
+    gone = {n: rng.random() < 0.1 for n in parent}
+    tree = spark.createDataFrame([(n, p, value[n], gone[n]) for n, p in parent.items()], "node string, parent string, value string, gone boolean")
+
+    def up(n):
+        seen = []
+        while n in parent and n not in seen:
+            seen.append(n)
+            n = parent[n]
+        return seen
+
+    assert {r.node: r.value for r in trees.inherit_attribute(tree).collect()} == {n: next((value[a] for a in up(n) if value[a]), None) for n in parent}
+    inner = set(parent.values())
+    leaves = {n for n in parent if n not in inner and not any(gone[a] for a in up(n))}
+    assert {r.node for r in trees.prune_tree(tree).collect()} == {a for n in leaves for a in up(n)}
+    edges = tree.where("parent is not null").select("node", "parent")
+    bad = trees.tree_consistency(edges, tree.select("node", "parent"), edges.select("node", F.lit(1).alias("page")), spark.createDataFrame([(1,)], "page int"))
+    assert {(r.node, r.violation) for r in bad.collect()} == {(n, "cycle") for n in ("x0", "x1", "x2", "y0")}
+
+
+def test_forks_have_the_same_ids_when_made_again(spark, sf):
+    store = R.store(spark, sf)
+    once, again = (records.fork_archive(store, "opened", F.lit(1).cast("bigint")).where("sequence = 0") for _ in range(2))
+    assert {r.id for r in once.collect()} == {r.id for r in again.repartition(3).collect()}
+    assert once.select("id").distinct().count() == store.count() and once.first().id.count("-") == 4
+
+
+def test_a_text_of_empty_runs_keeps_one(spark):
+    rows = [(1, 0, 0, 0, 0, "", True), (1, 0, 1, 0, 0, "", False), (2, 0, 0, 0, 0, "", True), (2, 0, 1, 0, 2, "ab", False)]
+    runs = spark.createDataFrame(rows, "doc_id long, line_no long, run_no long, begin long, stop long, text string, bold boolean")
+    got = lambda df: {(r.doc_id, r.text, r.bold) for r in df.collect()}
+    assert got(spans.style_runs(runs)) == {(1, "", True), (2, "ab", False)}
+    assert got(spans.style_runs(runs, fallback=F.lit(False))) == {(1, "", False), (2, "ab", False)}
+
+
+def test_a_grapheme_keeps_the_style_of_its_first_character(spark):
+    pieces = [("xe", True), ("\u0301\r", False), ("\n\tz", True), ("e", False), ("\u0301", True)]
+    rows, at = [], 0
+    for n, (text, bold) in enumerate(pieces):
+        rows.append((1, 0, n, at, at + len(text), text, bold))
+        at += len(text)
+    runs = spark.createDataFrame(rows, "doc_id long, line_no long, run_no long, begin long, stop long, text string, bold boolean")
+    got = [(r.begin, r.stop, r.text, r.bold) for r in spans.normalize_runs(runs).orderBy("begin").collect()]
+    assert got == [(0, 2, "xé", True), (2, 3, "\n", False), (3, 8, "    z", True), (8, 9, "é", False)]
+
+
+def test_rows_are_banded_like_a_plain_fold(spark):
+    rng = random.Random(6)
+    rows = [(d, 0, n, rng.choice([0.1, 0.2, 0.49, 0.5, 3.0]) * rng.randint(0, 30), rng.random()) for d in range(5) for n in range(80)]
+    want = {}
+    for d in range(5):
+        row, anchor = -1, None
+        for _, _, n, v, u in sorted((r for r in rows if r[0] == d), key=lambda r: (r[3], r[4], r[2])):
+            if anchor is None or not v - anchor < 0.5:
+                row, anchor = row + 1, v
+            want[(d, n)] = row
+    items = spark.createDataFrame(rows, "doc_id long, page_no long, line_no long, v double, u double")
+    assert {(r.doc_id, r.line_no): r.row_no for r in geometry.row_bands(items).collect()} == want
+
+
+def test_fonts_of_partial_pages_and_several_names(spark):
+    rows = [(1, 1, "ABCDEF+A", True, "p", False, False, 400, None, None), (1, 2, "B", False, "q", False, False, None, "i", None), (1, 3, "C", True, "r", False, False, 700, None, None), (1, 3, "D", True, "r", False, False, 700, None, None), (1, 4, "E", True, "s", False, False, 400, None, None), (1, 5, "E", True, "s", False, False, None, None, None), (2, 6, "A", True, "p", False, False, 400, None, None), (3, 7, "F", False, "t", True, False, None, None, None)]
+    declared = spark.createDataFrame(rows, "page_no long, font long, name string, embedded boolean, program string, type3 boolean, builtin boolean, weight long, style string, legacy string")
+    got = {(r.page_no, r.face): (r.embedded, r.several, r.usable) for r in fonts.reconcile_fonts(declared, spark.createDataFrame([(2,)], "page_no long")).collect()}
+    assert got == {(1, "A"): ("true", False, True), (1, "B"): ("false", False, False), (1, "C"): ("true", True, True), (1, "D"): ("true", True, True), (1, "E"): ("unknown", False, False), (2, "A"): ("unknown", False, False), (3, "F"): ("false", False, True)}
+
+
+def test_plain_names_of_fonts_do_not_reach_python(spark):
+    files = spark.createDataFrame([(1, "Noto Sans", "Noto Sans Bold", 700, False), (2, "Gro\u0308tesk", "Gro\u0308tesk", 400, False)], "file_id long, family string, full_name string, weight int, italic boolean")
+    declared = spark.createDataFrame([(1, "noto-sans,Bold", None, None), (2, "GR\u00d6TESK", None, None)], "font_id long, name string, weight int, italic boolean")
+    assert {(r.font_id, r.file_id) for r in fonts.match_font_file(declared, files).collect()} == {(1, 1), (2, 2)}
 
 
 def test_ambiguous_glyph_is_missing(spark):

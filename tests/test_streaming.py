@@ -51,6 +51,17 @@ def test_coalesce_stream(spark, sf, tmp_path):
     assert got.count() == edits.inflight_coalesce(batch, ["session", "page", "revision"]).count()
 
 
+def test_stalled_stream(spark, sf, tmp_path):
+    batch = R.requests(spark, sf)
+    got = drained(jobs.stalled_requests(staged(spark, batch, tmp_path / "in"), 14400, "1 second"), "stalled")
+    want = edits.stalled_requests(batch, 14400)
+    later = {r.session: r.event_id for r in batch.groupBy("session").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")).collect()}
+    # the last event of a session is stalled only once the watermark has passed it by the timeout
+    closed = {(r.session, r.event_id) for r in want.collect() if later[r.session] != r.event_id}
+    found = {(r.session, r.event_id) for r in got.collect()}
+    assert closed and closed <= found <= {(r.session, r.event_id) for r in want.collect()}
+
+
 def test_intake_stream(spark, tmp_path):
     folder = tmp_path / "landing"
     folder.mkdir()
