@@ -784,3 +784,45 @@ def test_vector_edges(spark):
     assert all(got[i] == (0, i, True) for i in (1, 2, 3, 4, 5, 6, 11))
     assert all(got[i] == (3, 7, i == 7) for i in (7, 8, 9, 10)) and got[None] == (0, None, True)
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+# --- all ---
+
+
+def every_operator(spark, docs, bench, id_col="doc_id", text_col="text"):
+    """Each operator on docs, by the name of its column of ids."""
+    train = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit("en").alias("lang"))
+    labels = train.groupBy("doc_id").count().select("doc_id", (F.coalesce("doc_id", F.lit(0)) % 2).cast("int").alias("toxic"))
+    names = {"id_col": id_col, "text_col": text_col}
+    return {
+        1: langid.identify(docs, langid.train(train), **names), 2: decontaminate.contaminated_spans(docs, bench, **names), 3: linededup.dedup_lines(docs, **names), 4: toxicity.toxicity(docs, toxicity.train(train, labels), **names),
+        5: licenses.license_spans(docs, **names), 6: bpe.bpe_round_trip(docs, RANKS, P.PATTERN, **names), 7: secrets.find_secrets(docs, **names), 8: hmm.score(docs, hmm.train(train), **names), 9: simhash.near_duplicate_groups(docs, **names), 99: simhash.drop_near_duplicates(docs, **names),
+    }
+
+
+EXTRA = ("doc", "line", "version", "id", "fp", "node", "component", "row", "rep", "sig", "n", "score", "lang_pred", "others", "lines", "gone", "spans", "kinds")
+
+
+def test_columns_of_clashing_names_are_no_matter(spark, sf):
+    rows = [(*r[:2], *["x"] * len(EXTRA)) for r in EDGE_ROWS]
+    docs = spark.createDataFrame(rows, "key long, body string, " + ", ".join(f"`{c}` string" for c in EXTRA))
+    bench = spark.createDataFrame([(1, "hello world again", "x")], "item_id long, text string, doc_id string")
+    for n, out in every_operator(spark, docs, bench, "key", "body").items():
+        assert "key" in out.columns and out.count() == {2: 3, 5: 0, 99: 6}.get(n, len(rows)), n
+        if n in (3, 99):
+            assert out.columns[: len(docs.columns)] == docs.columns and out.where("sig = 'x'").count() == out.count()
+
+
+def test_very_long_texts_in_every_operator(spark):
+    rng = random.Random(5)
+    words = " ".join(rng.choices(["the", "of", "and", "that", "a longer word", "Öl"], k=60_000))
+    texts = [words, "".join(rng.choices("abcdefgh0123", k=100_000)), "ab" * 100_000, "\n" * 200_000 + words[:100_000].replace("and", "and\n"), words[:1000] + " hello world again " + words[1000:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "hello world again"), (2, words[5000:8000])], "item_id long, text string")
+    for n, out in every_operator(spark, docs, bench).items():
+        got = out.collect()
+        assert {r.doc_id for r in got} == {2: {0, 3, 4}, 5: set()}.get(n, set(range(5)) if n < 99 else {r.doc_id for r in got}), n
+        if n == 2:
+            assert {(r.doc_id, r.item_id) for r in got} == {(0, 2), (3, 2), (4, 1), (4, 2)}
+        if n == 6:
+            assert {r.decoded_sha256 for r in got} == {hashlib.sha256(t.encode()).hexdigest() for t in texts}
