@@ -16,14 +16,24 @@ R.RELATIONS["r_places"] = """SELECT item_id, doc_id, at_off, n FROM (SELECT b.it
 R.RELATIONS["r_texts"] = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Preface. ' || text ELSE text END AS text2, text FROM documents"
 
 
-def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Passages up to which they are broadcast to the documents.
+PASSAGES = 100_000
+
+
+def places(spark: SparkSession, sf_dir: str, most: int = PASSAGES) -> DataFrame:
     """The passages, a stated query set, against all documents: an equi-join on a passage's first three words and
-    every three words in a row of a document, with what follows there; then the whole passage."""
+    every three words in a row of a document, then the whole passage. At most `most` passages are broadcast, and
+    documents are read once; with more, documents meet them by their ids and their texts follow."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).withColumn("w", F.split("passage", r"\s+"))
     b = b.withColumn("head", F.expr("concat_ws(' ', slice(w, 1, 3))")).drop("w")
     heads = F.expr("array_distinct(transform(sequence(1, greatest(size(w) - 2, 1)), i -> concat_ws(' ', slice(w, i, 3))))")
-    d = table(spark, sf_dir, "documents").withColumn("w", F.split("text", r"\s+")).select("doc_id", "text", F.explode(heads).alias("head"))
-    hits = d.join(b, "head").where(F.col("text").contains(F.col("passage")))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = texts.withColumn("w", F.split("text", r"\s+"))
+    if b.count() <= most:
+        hits = d.select("doc_id", "text", F.explode(heads).alias("head")).join(F.broadcast(b), "head")
+    else:
+        hits = d.select("doc_id", F.explode(heads).alias("head")).join(b, "head").join(texts, "doc_id")
+    hits = hits.where(F.col("text").contains(F.col("passage")))
     return hits.select(F.col("item_id").alias("anchor_id"), "doc_id", F.expr("bigint(position(passage, text) - 1)").alias("at"), F.expr("bigint(length(passage))").alias("length")).withColumn("source_id", F.col("doc_id"))
 
 

@@ -448,3 +448,10 @@ def test_deleting_the_active_page_activates_its_successor():
     state = replay([("activate", 1), ("delete", 1)])
     assert [p[0] for p in state.pages] == [0, 2] and state.active == 2
     assert len(replay([("delete", 0)] * 5).pages) == 1
+
+
+def test_places_are_the_same_on_both_ways(spark, sf):
+    from quire.plans.regions import places
+
+    one, two = places(spark, sf), places(spark, sf, 0)
+    assert one.count() > 0 and sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
