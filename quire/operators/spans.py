@@ -37,6 +37,12 @@ def style_runs(runs: DataFrame, keys: list[str] = KEYS, style: str = "bold", ord
     rows = rows.where("length(text) > 0 or (void and nth = 1)")
     if fallback is not None:
         rows = rows.withColumn(style, F.when(F.col("void"), fallback).otherwise(F.col(style)))
+    return _joined(rows, keys, style, order)
+
+
+def _joined(rows: DataFrame, keys: list[str], style: str, order: str) -> DataFrame:
+    """Neighbours of equal style as one."""
+    at = Window.partitionBy(*keys).orderBy(order)
     rows = rows.withColumn("change", (~F.col(style).eqNullSafe(F.lag(style).over(at)) | (F.row_number().over(at) == 1)).cast("int"))
     rows = rows.withColumn("island", F.sum("change").over(at))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "")
@@ -44,14 +50,14 @@ def style_runs(runs: DataFrame, keys: list[str] = KEYS, style: str = "bold", ord
 
 
 def style_at(offsets: DataFrame, runs: DataFrame, keys: list[str] = KEYS, style: str = "bold") -> DataFrame:
-    """(keys, offset, style), one row for each offset: the style of the run that covers it; past the end that of
-    the last run, null without runs. Runs and offsets of a text pass in one order and the last run so far is
-    carried along, so no offset meets another run."""
-    marks = runs.select(*keys, F.col("begin").alias("offset"), F.col("stop").alias("to"), F.struct(style).alias("run"))
-    asked = offsets.select(*keys, F.col("offset").cast("bigint").alias("offset"), F.lit(None).cast("bigint").alias("to"), F.lit(None).cast(marks.schema["run"].dataType).alias("run"))
-    at = Window.partitionBy(*keys).orderBy("offset", F.col("run").isNull(), "to").rowsBetween(Window.unboundedPreceding, 0)
-    rows = marks.unionByName(asked).withColumn("last", F.last("run", ignorenulls=True).over(at)).where("run is null")
-    return rows.select(*keys, "offset", F.col(f"last.{style}").alias(style))
+    """Offsets (keys, offset, and any other columns) with the style of the run that covers each; past the end that
+    of the last run, null without runs. Runs and offsets of a text pass in one order and the last run so far is
+    carried along, so no offset meets another run, and nothing is joined."""
+    marks = runs.select(*keys, F.col("begin").cast("bigint").alias("offset"), F.col("stop").cast("bigint").alias("__to"), F.struct(style).alias("__run"))
+    asked = offsets.withColumn("offset", F.col("offset").cast("bigint"))
+    at = Window.partitionBy(*keys).orderBy("offset", F.col("__run").isNull(), "__to").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marks.unionByName(asked, allowMissingColumns=True).withColumn("__last", F.last("__run", ignorenulls=True).over(at)).where("__run is null")
+    return rows.select(*offsets.columns, F.col(f"__last.{style}").alias(style))
 
 
 def slice_spans(cuts: DataFrame, runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -156,8 +162,8 @@ def normalize_runs(runs: DataFrame, keys: list[str] = KEYS, style: str = "bold")
     parts = text.where("wide").select(*keys, F.posexplode(graphemes(F.col("text"))).alias("g_no", "text"))
     parts = parts.withColumn("offset", F.coalesce(F.sum(F.length("text")).over(at), F.lit(0)).cast("bigint"))
     styled = style_at(parts, runs.join(text.where("wide").select(*keys), keys, "left_semi"), keys, style)
-    parts = parts.join(styled, [*keys, "offset"]).withColumn("begin", F.col("offset")).withColumn("stop", F.col("offset") + F.length("text"))
-    joined = style_runs(parts, keys, style, "offset").select(*order)
+    parts = styled.withColumn("begin", F.col("offset")).withColumn("stop", F.col("offset") + F.length("text"))
+    joined = _joined(parts, keys, style, "offset").select(*order)
     pieces = nfc_rows(whole.unionByName(joined).withColumn("text", normal_text(F.col("text"))), "text")
     up_to = Window.partitionBy(*keys).orderBy("offset", F.length("text")).rowsBetween(Window.unboundedPreceding, 0)
     pieces = pieces.withColumn("stop", F.sum(F.length("text")).over(up_to)).withColumn("begin", F.col("stop") - F.length("text"))
