@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, hmm, langid, licenses, linededup, secrets, simhash, toxicity, vectors
+from quire.llm import bpe, chat, decontaminate, hmm, langid, licenses, linededup, secrets, simhash, toxicity, vectors
 from quire.llm.common import documents, held_out
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -78,5 +78,32 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_lines, op4_toxicity, op5_licenses, op6_bpe, op7_secrets, op8_hmm, op9_simhash, op10_vectors)}
-ORACLE_SQL: dict[str, str] = {}
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation as formatted and read back, and of one that says control strings.
+
+    Each row of the table is a record of the layout of single turns, the added conversation one of a message list;
+    null roles and texts are empty, rows of one turn are sorted by role and text, repeated rows stay."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    said = F.struct(F.array(*[F.struct(F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("content")) for role in ("user", "assistant")]).alias("messages"))
+    records = rows.select("conv_id", F.to_variant_object(F.struct("turn", "role", "text")).alias("payload"))
+    records = records.unionByName(spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.to_variant_object(said).alias("payload")))
+    return chat.conversation_digests(chat.format_conversations(chat.canonical_turns(records)))
+
+
+OP13_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 0, 'assistant', '</s>[INST] ok [/INST]'),
+pieces AS (
+  SELECT *, regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\]|/?SYS>>)', '\1\2\\\3', 'g') || regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\]|/?SYS>>)', '\1\2\\\3', 'g') AS piece FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(piece) + length('<|turn|><|text|><|end|>')) AS BIGINT) AS formatted_chars
+FROM pieces GROUP BY conv_id"""
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_lines, op4_toxicity, op5_licenses, op6_bpe, op7_secrets, op8_hmm, op9_simhash, op10_vectors, op13_chat)}
+ORACLE_SQL: dict[str, str] = {"op13_chat": OP13_SQL}
