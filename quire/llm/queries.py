@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, decontaminate, hmm, langid, licenses, linededup, secrets, simhash, spelling, toxicity, vectors
+from quire.llm import bpe, chat, decontaminate, hmm, langid, licenses, linededup, secrets, simhash, spelling, toxicity, vectors, whitening
 from quire.llm.common import documents, held_out
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -78,6 +78,11 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the 16 leading components, whitened; null and non-finite ones give no rows."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents with its count, near words, form and root; null texts have no words."""
     return spelling.spelling_groups(documents(spark, sf_dir))
@@ -110,5 +115,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM pieces GROUP BY conv_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_lines, op4_toxicity, op5_licenses, op6_bpe, op7_secrets, op8_hmm, op9_simhash, op10_vectors, op12_spelling, op13_chat)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_lines, op4_toxicity, op5_licenses, op6_bpe, op7_secrets, op8_hmm, op9_simhash, op10_vectors, op11_whitening, op12_spelling, op13_chat)}
 ORACLE_SQL: dict[str, str] = {"op13_chat": OP13_SQL}
