@@ -13,7 +13,8 @@ from quire.plans.intake import query
 from quire.sources.tables import Store, delete_by_key, read_library, table
 
 _REASON = """CASE WHEN version <> 1 THEN 'version' WHEN format NOT IN ('docx', 'hwp', 'hwpx', 'pptx') THEN 'format' WHEN engine_id <> format || '-engine' OR engine_version <> '1' THEN 'engine' WHEN zoom <= 0 THEN 'zoom' WHEN format = 'pptx' AND NOT consent THEN 'consent'
-WHEN NOT modified AND revision <> 0 THEN 'revision' WHEN modified AND checkpoint_kind IS NULL THEN 'checkpoint' WHEN CASE WHEN format = 'pptx' THEN checkpoint_kind <> 'slides' ELSE checkpoint_kind <> 'native' OR checkpoint_format <> format END THEN 'checkpoint kind'
+WHEN NOT modified AND revision <> 0 THEN 'revision' WHEN modified AND checkpoint_kind IS NULL THEN 'checkpoint'
+WHEN checkpoint_kind IS NOT NULL AND coalesce(CASE WHEN format = 'pptx' THEN checkpoint_kind <> 'slides' ELSE checkpoint_kind <> 'native' OR checkpoint_format <> format END, true) THEN 'checkpoint kind'
 WHEN checkpoint_kind IS NOT NULL AND format = 'pptx' AND len(list_distinct(asset_ids)) < len(asset_ids) THEN 'assets' WHEN checkpoint_kind IS NOT NULL AND format = 'pptx' AND len(list_distinct(slide_ids)) < len(slide_ids) THEN 'slides' END"""
 R.RELATIONS["r_full"] = f"SELECT *, {_REASON} AS reason FROM r_store"
 

@@ -157,7 +157,7 @@ _RECORD = {
 }
 _MORE = {
     "engine_id": "concat(format, CASE WHEN id % 53 = 0 THEN '-other' ELSE '-engine' END)", "engine_version": "'1'", "checkpoint_kind": "CASE WHEN id % 29 = 0 THEN NULL WHEN id % 37 = 5 THEN 'odd' WHEN format = 'pptx' THEN 'slides' ELSE 'native' END",
-    "checkpoint_format": "CASE WHEN id % 59 = 0 THEN 'doc' ELSE format END", "asset_ids": "CASE WHEN id % 7 = 0 THEN {array}'a', 'b', 'a'{end} ELSE {array}'a', 'b'{end} END", "slide_ids": "CASE WHEN id % 11 = 0 THEN {array}'s', 's'{end} ELSE {array}'s'{end} END",
+    "checkpoint_format": "CASE WHEN id % 58 = 29 THEN NULL WHEN id % 59 = 0 THEN 'doc' ELSE format END", "asset_ids": "CASE WHEN id % 7 = 0 THEN {array}'a', 'b', 'a'{end} ELSE {array}'a', 'b'{end} END", "slide_ids": "CASE WHEN id % 11 = 0 THEN {array}'s', 's'{end} ELSE {array}'s'{end} END",
 }
 _SPARK = {"day": "bigint(datediff(date(o_orderdate), date'1970-01-01'))", "text": "string", "zero": "0D", "one": "1D", "array": "array(", "end": ")"}
 _DUCK = {"day": "date_diff('day', DATE '1970-01-01', o_orderdate::DATE)", "text": "VARCHAR", "zero": "0.0::DOUBLE", "one": "1.0::DOUBLE", "array": "[", "end": "]"}
