@@ -1,205 +1,26 @@
-"""Edit logs: replay with undo, and the parts of it that a set operation can express."""
+"""Edit logs and request traffic: the parts of a replay that set operations express, bursts, duplicates, silence."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Snapshots that undo and redo keep.
-HISTORY = 20
-
-
-class State:
-    """A document while its log is replayed.
-
-    pages: [(id, rotation, original)]; edits: {page id: [line ids]}, the edits of a page in order; mappings: {id:
-    (page id, line ids, text, locked)}; selected ids and the review mark belong to the region. Page ids are
-    numbers; a copy or an added page gets the next free one. A snapshot holds all of these.
-    """
-
-    def __init__(self, pages: int):
-        self.revision, self.next, self.name = 0, pages, ""
-        self.open(pages)
-
-    def open(self, pages: int) -> None:
-        self.pages = tuple((i, 0, True) for i in range(pages))
-        self.active, self.edits, self.mappings, self.selected, self.reviewed = 0, {}, {}, (), False
-        self.next, self.undo, self.redo = pages, [], []
-
-    def snapshot(self) -> tuple:
-        return self.pages, self.active, self.edits, self.mappings, self.selected, self.reviewed
-
-    def restore(self, held: tuple) -> None:
-        self.pages, self.active, self.edits, self.mappings, self.selected, self.reviewed = held
-
-    def place(self, page: int) -> int:
-        return next((i for i, p in enumerate(self.pages) if p[0] == page), -1)
-
-    def with_edit(self, page: int, lines: tuple) -> dict | None:
-        """The edits after one over `lines` of a page: in place of those that it covers, at the first of them; None
-        where it may not be, because an edit shares some of its lines only, or lines are none or repeat."""
-        own, members = self.edits.get(page, ()), set(lines)
-        hit = [e for e in own if members & set(e)]
-        if not lines or len(members) < len(lines) or any(set(e) - members for e in hit):
-            return None
-        at = own.index(hit[0]) if hit else len(own)
-        rest = [e for e in own if e not in hit]
-        return {**self.edits, page: (*rest[:at], lines, *rest[at:])}
-
-    def changed(self, kind: str, k: int) -> bool:
-        """Applies a content action; False if it changes nothing. k picks the page, modulo their number."""
-        at = k % len(self.pages)
-        page = self.pages[at]
-        before, after = self.pages[:at], self.pages[at + 1 :]
-        if kind == "rotate":
-            turn = 90 * (k % 4)
-            self.pages = (*before, (page[0], (page[1] + turn) % 360, page[2]), *after)
-            return bool(turn)
-        if kind in ("duplicate", "add"):
-            new, self.next = self.next, self.next + 1
-            self.pages = (*before, page, (new, page[1], False), *after) if kind == "duplicate" else (*self.pages, (new, 0, False))
-            if kind == "duplicate" and page[0] in self.edits:
-                self.edits = {**self.edits, new: self.edits[page[0]]}
-            self.active = new
-            return True
-        if kind == "delete" and len(self.pages) > 1:
-            self.pages = (*before, *after)
-            self.active = self.pages[min(at, len(self.pages) - 1)][0] if self.active == page[0] else self.active
-            self.edits = {p: e for p, e in self.edits.items() if p != page[0]}
-            self.mappings = {i: m for i, m in self.mappings.items() if m[0] != page[0]}
-            self.selected = tuple(i for i in self.selected if i in self.mappings)
-            return True
-        if kind == "reorder":
-            to, rest = (k + 1) % len(self.pages), (*before, *after)
-            self.pages = (*rest[:to], page, *rest[to:])
-            return to != at
-        if kind == "edit":
-            edits = self.with_edit(page[0], tuple(range(k, k + 1 + k % 3)))
-            same = edits is None or edits == self.edits
-            self.edits = self.edits if edits is None else edits
-            return not same
-        if kind == "remove":
-            own = self.edits.get(page[0], ())
-            kept = tuple(e for e in own if k not in e)
-            self.edits = {**self.edits, page[0]: kept} if len(kept) < len(own) else self.edits
-            return len(kept) < len(own)
-        return False
-
-    def map_lines(self, k: int) -> None:
-        """Sets the region: mapping k over lines k and on of page k, locked if k is a multiple of seven. Refused where
-        the region is reviewed before and after; history and revision stay."""
-        if not self.reviewed:
-            page = self.pages[k % len(self.pages)][0]
-            self.mappings = {**self.mappings, k: (page, tuple(range(k, k + 1 + k % 3)), "", k % 7 == 0)}
-            self.selected = (*(i for i in self.selected if i != k), k)
-
-    def fill(self, k: int, text: str) -> bool:
-        """A guarded field edit of mapping k: only where the region is reviewed, the mapping isn't locked, no locked one
-        shares a line, and its page is there."""
-        m = self.mappings.get(k)
-        if not self.reviewed or m is None or m[3] or self.place(m[0]) < 0:
-            return False
-        if any(o[3] and o[0] == m[0] and set(o[1]) & set(m[1]) for o in self.mappings.values()):
-            return False
-        edits = self.with_edit(m[0], m[1])
-        if edits is None or (edits == self.edits and m[2] == text):
-            return False
-        self.edits, self.mappings = edits, {**self.mappings, k: (m[0], m[1], text, m[3])}
-        return True
-
-    def apply(self, kind: str, k: int, seq: int = 0) -> None:
-        if kind in ("load", "restore"):  # another document under this id; its history begins anew
-            last = self.revision
-            self.open(1 + k % 4)
-            self.revision = max(last, k if kind == "restore" else 0) + 1
-        elif kind == "activate":
-            page = self.pages[k % len(self.pages)][0]
-            if page != self.active:
-                self.active, self.revision = page, self.revision + 1
-        elif kind == "rename":
-            self.name = f"name {k}"
-        elif kind == "map":
-            self.map_lines(k)
-        elif kind == "review":
-            self.reviewed = True
-        elif kind in ("undo", "redo"):
-            source, target = (self.undo, self.redo) if kind == "undo" else (self.redo, self.undo)
-            if source:
-                target.append(self.snapshot())
-                del target[:-HISTORY]
-                self.restore(source.pop())
-                if self.reviewed:
-                    self.reviewed, self.selected = False, ()
-                self.revision += 1
-        else:
-            held = self.snapshot()
-            if self.fill(k, f"text {seq}") if kind == "fill" else self.changed(kind, k):
-                self.undo.append(held)
-                del self.undo[:-HISTORY]
-                self.redo.clear()
-                if self.reviewed and kind != "fill":
-                    self.reviewed, self.selected = False, ()
-                self.revision += 1
-            else:
-                self.restore(held)
-
-
-REPLAYED = "doc bigint, name string, revision bigint, active bigint, n_pages bigint, pages string, edits string, mappings string, selected string, reviewed boolean, n_undo bigint, n_redo bigint"
-
-
-def _row(doc: int, state: State) -> dict:
-    pages = ",".join(f"{i}:{r}" for i, r, _ in state.pages)
-    edits = ";".join(f"{p}={'|'.join('+'.join(map(str, e)) for e in own)}" for p, own in sorted(state.edits.items()) if own)
-    mappings = ";".join(f"{i}@{m[0]}{'!' if m[3] else ''}={m[2]}" for i, m in sorted(state.mappings.items()))
-    return {"doc": doc, "name": state.name, "revision": state.revision, "active": state.active, "n_pages": len(state.pages), "pages": pages, "edits": edits, "mappings": mappings, "selected": ",".join(map(str, state.selected)), "reviewed": state.reviewed, "n_undo": len(state.undo), "n_redo": len(state.redo)}
-
-
-def replay_actions(actions: DataFrame, pages: int = 3) -> DataFrame:
-    """The final state of each document whose actions (doc, seq, type, k) are replayed in order of seq.
-
-    Loading and restoring begin a new history and raise the revision above the old one and the restored one.
-    Activation raises the revision but leaves history alone; renaming, mapping and reviewing do neither. Content
-    actions with an effect (rotate, duplicate, add, delete, reorder, edit, remove) push a snapshot (the last
-    HISTORY are kept), clear redo, raise the revision and end a review; a guarded field edit (fill) does so but
-    keeps the review. Actions without effect change nothing; undo and redo move snapshots, raise the revision
-    and end a review. The log is sorted by Spark and passes by in batches, so a document's whole log is never
-    held; what is held is one state.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, state = None, None
-        for batch in batches:
-            out = []
-            for d, seq, kind, k in zip(batch["doc"], batch["seq"], batch["type"], batch["k"]):
-                if d != doc:
-                    if state is not None:
-                        out.append(_row(doc, state))
-                    doc, state = d, State(pages)
-                state.apply(kind, int(k), int(seq))
-            if out:
-                yield pd.DataFrame(out)
-        if state is not None:
-            yield pd.DataFrame([_row(doc, state)])
-
-    rows = actions.select("doc", "seq", "type", "k").repartition("doc").sortWithinPartitions("doc", "seq")
-    return rows.mapInPandas(run, REPLAYED)
-
-
 def rotation_totals(actions: DataFrame) -> DataFrame:
     """E2, rotations alone: (doc, page, rotation): the sum of the turns of each page, modulo 360; turns that are no
     multiple of 90 are ignored. actions: (doc, page, delta)."""
     return actions.where("delta % 90 = 0").groupBy("doc", "page").agg(F.pmod(F.sum("delta"), F.lit(360)).alias("rotation"))
 
 
-def page_sequence(actions: DataFrame, pages: int = 3) -> DataFrame:
-    """E2, added pages alone: (doc, n_pages, active): each add appends and activates."""
-    n = actions.groupBy("doc").agg(F.count_if(F.col("type") == "add").alias("added"))
-    total = F.col("added") + pages
-    return n.select("doc", total.alias("n_pages"), F.when(F.col("added") > 0, total - 1).otherwise(0).alias("active"))
+def page_sequence(actions: DataFrame, pages: DataFrame) -> DataFrame:
+    """E2, added pages alone: (doc, n_pages, active): each add appends the page `target_id` and activates it; one whose
+    id the document has or had added before is refused. actions: (doc, seq, target_id), pages: (doc, page_id, ord)
+    of each document before, the first of which is active at the start."""
+    first = actions.groupBy("doc", F.col("target_id").alias("page_id")).agg(F.min("seq").alias("seq"))
+    added = first.join(pages.select("doc", "page_id"), ["doc", "page_id"], "left_anti")
+    rows = pages.select("doc", "page_id", F.lit(None).cast("bigint").alias("seq"), "ord").unionByName(added.withColumn("ord", F.lit(None).cast("bigint")))
+    last = F.max_by(F.when(F.col("seq").isNotNull(), F.col("page_id")), F.col("seq"))
+    return rows.groupBy("doc").agg(F.count("*").alias("n_pages"), F.coalesce(last, F.min_by("page_id", "ord")).alias("active"))
 
 
 def edit_ownership(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire import relations as R
-from quire.operators import edits, geometry, regions
+from quire.operators import edits, geometry, regions, replay
 from quire.plans.intake import query
 from quire.sources.tables import table
 
@@ -152,7 +152,7 @@ def p11_selection_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e1_replay_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits.replay_actions(R.full_actions(spark, sf_dir))
+    return replay.replay_actions(R.full_actions(spark, sf_dir))
 
 
 @query("SELECT doc, k % 5 AS page, (sum(CASE WHEN k % 3 = 0 THEN -90 WHEN k % 3 = 1 THEN 180 END) % 360 + 360)::BIGINT % 360 AS rotation FROM r_actions WHERE type = 'rotate' AND k % 3 <> 2 GROUP BY ALL")
@@ -161,9 +161,13 @@ def e2_rotation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.rotation_totals(a)
 
 
-@query("SELECT doc, 3 + count(*) FILTER (type = 'add') AS n_pages, CASE WHEN count(*) FILTER (type = 'add') > 0 THEN 2 + count(*) FILTER (type = 'add') ELSE 0 END AS active FROM r_actions GROUP BY 1")
+@query("""WITH a AS (SELECT doc, 'n' || k AS page_id, min(seq) AS seq FROM r_actions WHERE type = 'add' AND k % 4 <> 0 GROUP BY ALL)
+SELECT d.doc, 3 + count(a.doc) AS n_pages, coalesce(arg_max(page_id, seq), 'p0') AS active FROM (SELECT DISTINCT doc FROM r_actions) d LEFT JOIN a ON d.doc = a.doc GROUP BY 1""")
 def e2_page_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits.page_sequence(R.actions(spark, sf_dir))
+    """Three pages at first; adds of one of them, and of a page added before, are refused."""
+    a = R.actions(spark, sf_dir)
+    pages = a.select("doc").distinct().select("doc", F.explode(F.expr("sequence(0L, 2L)")).alias("ord")).withColumn("page_id", F.expr("concat('p', ord)"))
+    return edits.page_sequence(a.where("type = 'add'").select("doc", "seq", F.expr("if(k % 4 = 0, concat('p', k % 3), concat('n', k))").alias("target_id")), pages)
 
 
 R.RELATIONS["r_edits"] = "SELECT doc, seq AS edit_id, seq % 2 = 0 AS old, k * 4 AS low, k * 4 + trunc(value)::BIGINT % 4 AS high FROM r_actions"

@@ -261,14 +261,31 @@ UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, CASE WHEN o_orderkey % 7 =
 
 
 #: Kinds of actions in a full edit log, dealt by event and its number.
-KINDS = ("rotate", "add", "duplicate", "delete", "reorder", "activate", "undo", "redo", "edit", "remove", "map", "review", "fill", "rename", "undo", "edit", "fill", "map", "review", "restore")
+KINDS = ("rotate", "add", "duplicate", "delete", "reorder", "activate", "undo", "redo", "edit", "remove", "region", "region", "field", "rename", "undo", "edit", "field", "edit", "rotate", "restore")
+_MAPPING = "named_struct('id', concat('m', {j}), 'role', if({j} = 3, 'locked', 'title'), 'page_id', concat('p', {j} % 3), 'source_page', bigint({j} % 3), 'line_ids', {lines}, 'text', '')"
+_MAPPED = "if({j} = 4, array('l3', 'l4'), array(concat('l', {j})))"
+#: What an action of a kind says; j = k % 5.
+_PAYLOAD = {
+    "page_id": "case when type = 'field' then concat('p', j % 3) when type not in ('undo', 'redo', 'region', 'rename', 'add', 'load', 'restore') then element_at(array('p0', 'p1', 'p2', 'p3', 'n0', 'n1', 'x'), int((k + seq) % 7) + 1) end",
+    "target_id": "case when type in ('add', 'duplicate') then concat('n', (k + seq) % 6) when type = 'reorder' then element_at(array('p0', 'p1', 'p2', 'n0', 'n2'), int((k * 3 + seq) % 5) + 1) end",
+    "delta": "case when type = 'rotate' then double(element_at(array(90, 180, 270, -90, 45, 0, 450, -45), int(k % 8) + 1)) end",
+    "line_ids": f"case when type = 'field' then {_MAPPED.format(j='j')} when type = 'remove' then array(concat('l', j)) when type <> 'edit' then null when k % 13 = 0 then cast(array() as array<string>) when k % 17 = 0 then array('l1', 'l1') when k % 19 = 0 then array('') else transform(sequence(j, j + k % 3), i -> concat('l', i)) end",
+    "value": "case when type in ('edit', 'field') then concat('text ', k % 4) when type in ('rename', 'load', 'restore') then concat('name ', k) end",
+    "mapping_id": "if(type = 'field', concat('m', j), null)", "revision": "case when type = 'restore' then k % 23 when type = 'field' and k % 9 = 0 then seq end",
+    "pages": "if(type in ('load', 'restore'), transform(sequence(0L, 2 + k % 2), i -> named_struct('id', concat('p', i), 'kind', if(i = 3, 'blank', 'pdf'), 'source_page', i, 'original', true, 'rotation', 0L)), null)",
+    "region": f"if(type = 'region', named_struct('reviewed', k % 3 > 0, 'mappings', transform(sequence(j, j + 2), i -> {_MAPPING.format(j='(i % 5)', lines=_MAPPED.format(j='(i % 5)'))}), 'selected', array(concat('m', j))), null)",
+}
 
 
 def full_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each user as an edit log of every kind of action; now and then a document is loaded anew."""
+    """Events of each user as a typed edit log: first a load, then actions of every kind, some of pages, lines and
+    revisions that are not there; now and then a document is loaded anew."""
     a = actions(spark, sf_dir)
     kind = f"if(event_id % 97 = 0, 'load', element_at(array({', '.join(map(repr, KINDS))}), int((event_id * 7 + k * 3 + seq) % {len(KINDS)}) + 1))"
-    return a.select("doc", "seq", F.expr(kind).alias("type"), F.expr("k % 11").alias("k"))
+    rows = a.select("doc", "seq", F.expr(kind).alias("type"), "k")
+    rows = rows.unionByName(a.select("doc").distinct().select("doc", F.lit(0).cast("bigint").alias("seq"), F.lit("load").alias("type"), F.lit(0).cast("bigint").alias("k")))
+    rows = rows.withColumn("j", F.expr("k % 5"))
+    return rows.select("doc", "seq", "type", *[F.expr(v).alias(c) for c, v in _PAYLOAD.items()])
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,17 @@ Event times of the given tables have no zone; cast them to TIMESTAMP with the se
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.operators.intake import extension_mismatch, sniff_container
+from quire.operators.replay import STATE, Document, as_json
 from quire.sources.tables import scan_documents
 
 
@@ -82,6 +85,37 @@ def stalled_requests(events: DataFrame, seconds: int, delay: str) -> DataFrame:
     return rows.applyInPandasWithState(run, "session bigint, event_id bigint", "event_id bigint, at double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class _Replay(StatefulProcessor):
+    """One value for each document: the last seq, the number of late actions, and the state as JSON."""
+
+    def init(self, handle) -> None:
+        self.held = handle.getValueState("document", "last bigint, late bigint, document string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last, late, document = (*self.held.get()[:2], Document.load(self.held.get()[2])) if self.held.exists() else (None, 0, Document())
+        for seq, action in sorted((int(s), a) for part in rows for s, a in zip(part["seq"], part["action"])):
+            if last is not None and seq < last:
+                late += 1
+            else:
+                document.apply(json.loads(action))
+                last = seq
+        self.held.update((last, late, document.dump()))
+        yield pd.DataFrame([{"doc": key[0], **document.row(), "n_late": late}])
+
+    def close(self) -> None:
+        pass
+
+
+def replay_actions(actions: DataFrame) -> DataFrame:
+    """The columns of the batch form and n_late, for each document whenever actions of it arrive, in update
+    mode. The actions of a trigger are sorted by seq; one whose seq is below the last one applied came too late to
+    have an effect and is counted in n_late. The state is that of the document alone, not its log; it needs the
+    RocksDB state store."""
+    rows = as_json(actions).where("doc is not null")
+    key = rows.schema["doc"].dataType.simpleString()
+    return rows.groupBy("doc").transformWithStateInPandas(_Replay(), f"doc {key}, {STATE}, n_late bigint", "Update", "None")
+
+
 def intake_stream(spark, folder: str, accept: Callable[[DataFrame, int], None], reject: Callable[[DataFrame, int], None], checkpoint: str):
     """A query that classifies files as they land and hands each batch to accept (supported) and reject."""
     files = scan_documents(spark, folder, stream=True)

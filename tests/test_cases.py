@@ -304,152 +304,6 @@ def test_anchor_contexts(spark):
     assert regions.resolve_anchor(anchor, twice).first().reason == "paragraph"
 
 
-def replay(log, pages=3):
-    state = edits.State(pages)
-    for kind, k in log:
-        state.apply(kind, k)
-    return state
-
-
-def test_history_keeps_twenty_snapshots():
-    state = replay([("add", 0)] * 25)
-    assert (len(state.undo), state.revision, len(state.pages)) == (20, 25, 28)
-    for _ in range(30):
-        state.apply("undo", 0)
-    assert len(state.pages) == 8 and len(state.redo) == 20
-
-
-def plain_replay(log):
-    """The rules of an edit log once more, over whole snapshots kept by value, without the operator's state."""
-    import copy
-    import json
-
-    def fresh(n):
-        return {"pages": [[i, 0] for i in range(n)], "active": 0, "edits": {}, "maps": {}, "sel": [], "rev": False}
-
-    doc, name, revision, undo, redo, free = fresh(3), "", 0, [], [], 3
-    for seq, kind, k in log:
-        new, keep_review, n = copy.deepcopy(doc), False, len(doc["pages"])
-        i = k % n
-        page = doc["pages"][i][0]
-        span = list(range(k, k + 1 + k % 3))
-
-        def put(page, span, new=new):
-            own = new["edits"].setdefault(page, [])
-            hit = [j for j, e in enumerate(own) if set(e) & set(span)]
-            if any(not set(own[j]) <= set(span) for j in hit):
-                return
-            at = hit[0] if hit else len(own)
-            new["edits"][page] = [e for j, e in enumerate(own[:at])] + [span] + [e for j, e in enumerate(own) if j >= at and j not in hit]
-
-        if kind in ("load", "restore"):
-            free = 1 + k % 4
-            doc, undo, redo, revision = fresh(free), [], [], max(revision, k * (kind == "restore")) + 1
-            continue
-        if kind == "rename":
-            name = f"name {k}"
-            continue
-        if kind == "review":
-            doc["rev"] = True
-            continue
-        if kind == "map":
-            if not doc["rev"]:
-                doc["maps"][k] = {"page": page, "lines": span, "text": "", "locked": k % 7 == 0}
-                doc["sel"] = [x for x in doc["sel"] if x != k] + [k]
-            continue
-        if kind == "activate":
-            if doc["active"] != page:
-                doc["active"], revision = page, revision + 1
-            continue
-        if kind in ("undo", "redo"):
-            a, b = (undo, redo) if kind == "undo" else (redo, undo)
-            if a:
-                b.append(doc)
-                b[:] = b[-20:]
-                doc = copy.deepcopy(a.pop())
-                if doc["rev"]:
-                    doc["rev"], doc["sel"] = False, []
-                revision += 1
-            continue
-        if kind == "rotate":
-            new["pages"][i][1] = (new["pages"][i][1] + 90 * (k % 4)) % 360
-        elif kind == "duplicate":
-            new["pages"].insert(i + 1, [free, new["pages"][i][1]])
-            if page in new["edits"]:
-                new["edits"][free] = copy.deepcopy(new["edits"][page])
-            new["active"] = free
-        elif kind == "add":
-            new["pages"].append([free, 0])
-            new["active"] = free
-        elif kind == "delete" and n > 1:
-            del new["pages"][i]
-            if new["active"] == page:
-                new["active"] = new["pages"][min(i, n - 2)][0]
-            new["edits"].pop(page, None)
-            new["maps"] = {x: m for x, m in new["maps"].items() if m["page"] != page}
-            new["sel"] = [x for x in new["sel"] if x in new["maps"]]
-        elif kind == "reorder":
-            new["pages"].insert((k + 1) % n, new["pages"].pop(i))
-        elif kind == "edit":
-            put(page, span)
-        elif kind == "remove":
-            new["edits"][page] = [e for e in new["edits"].get(page, []) if k not in e]
-        elif kind == "fill":
-            m, keep_review = new["maps"].get(k), True
-            free_lines = m and not any(o["locked"] and o["page"] == m["page"] and set(o["lines"]) & set(m["lines"]) for o in new["maps"].values())
-            if m and doc["rev"] and not m["locked"] and free_lines and any(p[0] == m["page"] for p in new["pages"]):
-                held = any(set(e) & set(m["lines"]) and not set(e) <= set(m["lines"]) for e in new["edits"].get(m["page"], []))
-                if not held:
-                    put(m["page"], m["lines"])
-                    m["text"] = f"text {seq}"
-        tidy = lambda d: json.dumps({**d, "edits": {p: e for p, e in d["edits"].items() if e}}, sort_keys=True)
-        if tidy(new) == tidy(doc):
-            continue
-        free += kind in ("duplicate", "add")
-        undo.append(doc)
-        undo[:], redo[:] = undo[-20:], []
-        doc, revision = new, revision + 1
-        if doc["rev"] and not keep_review:
-            doc["rev"], doc["sel"] = False, []
-    return {
-        "name": name, "revision": revision, "active": doc["active"], "n_pages": len(doc["pages"]), "pages": ",".join(f"{p}:{r}" for p, r in doc["pages"]), "n_undo": len(undo), "n_redo": len(redo), "reviewed": doc["rev"], "selected": ",".join(map(str, doc["sel"])),
-        "edits": ";".join(f"{p}={'|'.join('+'.join(map(str, e)) for e in own)}" for p, own in sorted(doc["edits"].items()) if own), "mappings": ";".join(f"{x}@{m['page']}{'!' if m['locked'] else ''}={m['text']}" for x, m in sorted(doc["maps"].items())),
-    }
-
-
-def test_replay_equals_a_plain_loop(spark, sf):
-    got = {r.doc: r.asDict() for r in edits.replay_actions(R.full_actions(spark, sf)).collect()}
-    logs = {}
-    for r in R.full_actions(spark, sf).orderBy("doc", "seq").collect():
-        logs.setdefault(r.doc, []).append((r.seq, r.type, r.k))
-    assert set(got) == set(logs)
-    for doc, log in logs.items():
-        assert got[doc] == {"doc": doc, **plain_replay(log)}
-
-
-def test_random_logs_replay_alike():
-    rng = random.Random(11)
-    seen = {"reviewed": 0, "filled": 0, "edits": 0, "redo": 0}
-    for _ in range(400):
-        log = [(n, rng.choice(R.KINDS + ("load",)[: rng.random() < 0.02]), rng.randint(0, 10)) for n in range(rng.randint(1, 120))]
-        state = edits.State(3)
-        for seq, kind, k in log:
-            state.apply(kind, k, seq)
-        want = plain_replay(log)
-        assert edits._row(1, state) == {"doc": 1, **want}, log
-        seen["reviewed"] += want["reviewed"]
-        seen["filled"] += "text" in want["mappings"]
-        seen["edits"] += bool(want["edits"])
-        seen["redo"] += want["n_redo"] > 0
-    assert all(v > 2 for v in seen.values()), seen
-
-
-def test_deleting_the_active_page_activates_its_successor():
-    state = replay([("activate", 1), ("delete", 1)])
-    assert [p[0] for p in state.pages] == [0, 2] and state.active == 2
-    assert len(replay([("delete", 0)] * 5).pages) == 1
-
-
 def test_places_are_the_same_on_both_ways(spark, sf):
     from quire.plans.regions import places
 
