@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Main content types and where their parts must be.
+#: Main content types and where their parts must be; how main types of other formats end.
 MAIN_PARTS = {
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml": ("docx", "word/document.xml"),
     "application/vnd.openxmlformats-officedocument.presentationml.presentation.main+xml": ("pptx", "ppt/presentation.xml"),
 }
 HWPX_ROOT = "Contents/content.hpf"
+OTHER_MAIN = ("main+xml", "macroenabled.main+xml")
 KNOWN_SUFFIX = r"(?i)\.(pdf|docx|hwp|hwpx|pptx|doc|ppt)$"
 
 
@@ -75,11 +77,12 @@ def classify_packages(parts: DataFrame, manifest: DataFrame, mimetypes: DataFram
         F.bool_or(F.col("part_name") == HWPX_ROOT).alias("hpf_any"), F.count_if(section).alias("sections"), F.count_if(section & ~full).alias("empty_sections"),
     )
     main = {fmt: (F.col("content_type") == kind, part) for kind, (fmt, part) in MAIN_PARTS.items()}
+    other_main = reduce(lambda a, b: a | b, (F.lower("content_type").endswith(f".{end}") for end in OTHER_MAIN))
     bad_place = F.lit(False)
     for is_main, part in main.values():
         bad_place = bad_place | (is_main & ~((F.col("kind") == "Override") & (F.col("part") == f"/{part}")))
     listed = manifest.groupBy("package", "kind", "part").agg(F.count("*").alias("times"), F.bool_or(F.col("content_type").isNull() | bad_place).alias("bad"), *[F.bool_or(c).alias(f) for f, (c, _) in main.items()],
-        F.bool_or(F.col("content_type").rlike(r"(?i)\.(?:main\+xml|macroEnabled\.main\+xml)$") & ~F.col("content_type").isin(*MAIN_PARTS)).alias("other"))
+        F.bool_or(other_main & ~F.col("content_type").isin(*MAIN_PARTS)).alias("other"))
     listed = listed.groupBy("package").agg(F.bool_or(F.coalesce("bad", F.lit(True)) | (F.col("times") > 1)).alias("bad"), *[F.coalesce(F.bool_or(x), F.lit(False)).alias(x) for x in ("docx", "pptx", "other")])
     mime = mimetypes.groupBy("package").agg(F.bool_or(F.col("mimetype") == "application/hwp+zip").alias("mime"))
     p = own.join(listed, "package", "left").join(mime, "package", "left").na.fill(False, ["bad", "docx", "pptx", "other", "mime"])
@@ -100,6 +103,26 @@ def classify_compound(streams: DataFrame) -> DataFrame:
     return s.select("package", F.when(F.col("locked"), "encrypted").when(F.col("hwp") + F.col("doc") + F.col("ppt") > 1, "ambiguous").when(one("hwp"), "hwp").when(one("doc"), "doc").when(one("ppt"), "ppt").otherwise("none").alias("status"))
 
 
+def classify_landed(files: DataFrame, parts: DataFrame, manifest: DataFrame, mimetypes: DataFrame, streams: DataFrame) -> DataFrame:
+    """Files with (container, kind, format, mismatch, reason): supported, legacy or rejected.
+
+    files have (package, file_name, content) and further columns, which stay but for content; the other tables are
+    those of A1 and A2 over the same packages. A PDF is taken at its first bytes; a zip is what A1 says of its parts, a
+    compound file what A2 says of its streams. `legacy` (doc, ppt) is to be converted first. The reason of a rejected
+    file is what A1 or A2 found instead of a format, `unread` where they have no rows of it, or `unknown` bytes.
+    """
+    rows = files.withColumn("container", sniff_container(F.col("content"))).drop("content")
+    zips = classify_packages(parts, manifest, mimetypes).select("package", F.lit("zip").alias("container"), "status")
+    compounds = classify_compound(streams).select("package", F.lit("compound").alias("container"), "status")
+    rows = rows.join(zips.unionByName(compounds), ["package", "container"], "left")
+    status = F.when(F.col("container") == "pdf", "pdf").when(F.col("container") == "rejected", "unknown").otherwise(F.coalesce("status", F.lit("unread")))
+    rows = rows.withColumn("status", status)
+    kind = F.when(F.col("status").isin("pdf", "docx", "pptx", "hwpx", "hwp"), "supported").when(F.col("status").isin("doc", "ppt"), "legacy").otherwise("rejected")
+    rows = rows.withColumn("kind", kind).withColumn("format", F.when(F.col("kind") != "rejected", F.col("status")))
+    mismatch = extension_mismatch(F.col("file_name"), F.col("format"))
+    return rows.withColumn("mismatch", mismatch).withColumn("reason", F.when(F.col("kind") == "rejected", F.col("status"))).drop("status")
+
+
 def dedupe_assets(assets: DataFrame) -> DataFrame:
     """(asset_id, hash, stored_id): each asset and the one that is stored for its content, the first by order."""
     first = assets.groupBy("hash").agg(F.min_by("asset_id", "ord").alias("stored_id"))

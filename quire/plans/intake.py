@@ -98,29 +98,52 @@ def p10_protection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.protection_flags(attrs)
 
 
-@query(f"""WITH own AS (SELECT package, bool_or(part_name = 'word/document.xml' AND size > 0) AS word, bool_or(part_name = 'ppt/presentation.xml' AND size > 0) AS ppt, bool_or(part_name = 'Contents/content.hpf' AND size > 0) AS hpf,
+R.RELATIONS["r_packages"] = f"""WITH own AS (SELECT package, bool_or(part_name = 'word/document.xml' AND size > 0) AS word, bool_or(part_name = 'ppt/presentation.xml' AND size > 0) AS ppt, bool_or(part_name = 'Contents/content.hpf' AND size > 0) AS hpf,
 bool_or(part_name = 'Contents/content.hpf') AS hpf_any, count(*) FILTER (regexp_matches(part_name, '^Contents/section[0-9]+\\.xml$')) AS sections, count(*) FILTER (regexp_matches(part_name, '^Contents/section[0-9]+\\.xml$') AND size = 0) AS empties FROM r_parts GROUP BY 1),
 lst AS (SELECT package, bool_or((content_type = '{R.WORD_MAIN}' AND NOT (kind = 'Override' AND part = '/word/document.xml')) OR (content_type = '{R.PRESENTATION_MAIN}' AND NOT (kind = 'Override' AND part = '/ppt/presentation.xml'))) AS misplaced,
 count(*) > count(DISTINCT (kind, part)) AS dup, bool_or(content_type = '{R.WORD_MAIN}') AS docx, bool_or(content_type = '{R.PRESENTATION_MAIN}') AS pptx, bool_or(content_type LIKE '%macroEnabled.main+xml') AS other FROM r_manifest GROUP BY 1),
 p AS (SELECT *, package % 2 = 0 AS mime FROM own JOIN lst USING (package))
 SELECT package, CASE WHEN misplaced OR dup OR (docx AND NOT word) OR (pptx AND NOT ppt) OR (mime AND (NOT hpf_any OR sections = 0 OR empties > 0)) THEN 'invalid'
 WHEN (word AND (pptx OR mime)) OR (ppt AND (docx OR mime)) OR (hpf AND (docx OR pptx)) OR docx::INT + pptx::INT + mime::INT > 1 THEN 'ambiguous'
-WHEN other THEN 'unsupported' WHEN docx THEN 'docx' WHEN pptx THEN 'pptx' WHEN mime THEN 'hwpx' ELSE 'none' END AS status FROM p""")
+WHEN other THEN 'unsupported' WHEN docx THEN 'docx' WHEN pptx THEN 'pptx' WHEN mime THEN 'hwpx' ELSE 'none' END AS status FROM p"""
+
+
+@query("SELECT package, status FROM r_packages")
 def a1_classify_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = R.parts(spark, sf_dir)
-    mime = parts.select("package").distinct().select("package", F.expr("if(package % 2 = 0, 'application/hwp+zip', 'application/epub+zip')").alias("mimetype"))
-    return op.classify_packages(parts, R.manifest(spark, sf_dir), mime)
+    return op.classify_packages(R.parts(spark, sf_dir), R.manifest(spark, sf_dir), _mimetypes(spark, sf_dir))
+
+
+def _mimetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = R.parts(spark, sf_dir).select("package").distinct()
+    return packages.select("package", F.expr("if(package % 2 = 0, 'application/hwp+zip', 'application/epub+zip')").alias("mimetype"))
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.expr(f"element_at(array({_STREAMS[1:-1]}), int(p_size % 11) + 1)")
+    return R.parts(spark, sf_dir).select("package", "size", name.alias("part_name"))
 
 
 _STREAMS = "['FileHeader', 'WordDocument', 'PowerPoint Document', 'EncryptionInfo', 'Data', 'Data', 'Root', 'Root', 'Pictures', 'Pictures', 'Table']"
 
 
-@query(f"""WITH s AS (SELECT package, size, {_STREAMS}[p_size % 11 + 1] AS n FROM r_parts), g AS (SELECT package, bool_or(n = 'EncryptionInfo') AS locked, max(CASE WHEN n = 'FileHeader' AND size > 0 THEN 1 ELSE 0 END) AS hwp,
+R.RELATIONS["r_compound"] = f"""WITH s AS (SELECT package, size, {_STREAMS}[p_size % 11 + 1] AS n FROM r_parts), g AS (SELECT package, bool_or(n = 'EncryptionInfo') AS locked, max(CASE WHEN n = 'FileHeader' AND size > 0 THEN 1 ELSE 0 END) AS hwp,
 max(CASE WHEN n = 'WordDocument' AND size > 0 THEN 1 ELSE 0 END) AS doc, max(CASE WHEN n = 'PowerPoint Document' AND size > 0 THEN 1 ELSE 0 END) AS ppt FROM s GROUP BY 1)
-SELECT package, CASE WHEN locked THEN 'encrypted' WHEN hwp + doc + ppt > 1 THEN 'ambiguous' WHEN hwp = 1 THEN 'hwp' WHEN doc = 1 THEN 'doc' WHEN ppt = 1 THEN 'ppt' ELSE 'none' END AS status FROM g""")
+SELECT package, CASE WHEN locked THEN 'encrypted' WHEN hwp + doc + ppt > 1 THEN 'ambiguous' WHEN hwp = 1 THEN 'hwp' WHEN doc = 1 THEN 'doc' WHEN ppt = 1 THEN 'ppt' ELSE 'none' END AS status FROM g"""
+
+
+@query("SELECT package, status FROM r_compound")
 def a2_classify_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.expr(f"element_at(array({_STREAMS[1:-1]}), int(p_size % 11) + 1)")
-    return op.classify_compound(R.parts(spark, sf_dir).select("package", "size", name.alias("part_name")))
+    return op.classify_compound(_streams(spark, sf_dir))
+
+
+@query(f"""WITH c AS (SELECT upload_id, file_name, {_SNIFF} AS container FROM r_uploads), s AS (SELECT c.*, CASE container WHEN 'pdf' THEN 'pdf' WHEN 'rejected' THEN 'unknown' WHEN 'zip' THEN coalesce(p.status, 'unread') ELSE coalesce(k.status, 'unread') END AS status
+FROM c LEFT JOIN r_packages p ON p.package = upload_id LEFT JOIN r_compound k ON k.package = upload_id), f AS (SELECT *, CASE WHEN status IN ('pdf', 'docx', 'pptx', 'hwpx', 'hwp') THEN 'supported' WHEN status IN ('doc', 'ppt') THEN 'legacy' ELSE 'rejected' END AS kind FROM s)
+SELECT upload_id, container, kind, CASE WHEN kind <> 'rejected' THEN status END AS format, CASE WHEN kind <> 'rejected' THEN lower(regexp_extract(file_name, '\\.([^.]+)$', 1)) <> status END AS mismatch, CASE WHEN kind = 'rejected' THEN status END AS reason FROM f""")
+def r8_classify_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads with parts and streams of the package of their number; those of high numbers have none."""
+    files = R.uploads(spark, sf_dir).select(F.col("upload_id").alias("package"), "file_name", "content")
+    found = op.classify_landed(files, R.parts(spark, sf_dir), R.manifest(spark, sf_dir), _mimetypes(spark, sf_dir), _streams(spark, sf_dir))
+    return found.select(F.col("package").alias("upload_id"), "container", "kind", "format", "mismatch", "reason")
 
 
 @query("SELECT asset_id, hash, arg_min(asset_id, p_partkey) OVER (PARTITION BY hash) AS stored_id FROM (SELECT p_partkey::VARCHAR AS asset_id, p_partkey, sha256(p_brand || p_type || p_size) AS hash FROM part)")

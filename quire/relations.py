@@ -112,12 +112,12 @@ RELATIONS["r_points"] = "SELECT vec_id, vec_id % 20 AS page_no, round(50.0::DOUB
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = "concat(element_at(split(url, '/'), -1), element_at(array('.pdf', '.docx', '.hwp', '.PDF', '.pptx', ''), int(page_id % 6) + 1))"
+    name = "concat(element_at(split(url, '/'), -1), element_at(array('.pdf', '.docx', '.hwp', '.PDF', '.pptx', '', '.Pdf', '.DocX', '.doc'), int(page_id % 9) + 1))"
     content = "case page_id % 5 when 0 then concat(encode('%PDF-', 'utf-8'), encode(html, 'utf-8')) when 1 then concat(encode('PK', 'utf-8'), encode(html, 'utf-8')) when 2 then concat(X'D0CF11E0A1B11AE1', encode(html, 'utf-8')) when 3 then encode(html, 'utf-8') else X'' end"
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("upload_id"), F.expr(name).alias("file_name"), F.expr(content).alias("content"))
 
 
-RELATIONS["r_uploads"] = r"""SELECT page_id AS upload_id, string_split(url, '/')[-1] || ['.pdf', '.docx', '.hwp', '.PDF', '.pptx', ''][page_id % 6 + 1] AS file_name,
+RELATIONS["r_uploads"] = r"""SELECT page_id AS upload_id, string_split(url, '/')[-1] || ['.pdf', '.docx', '.hwp', '.PDF', '.pptx', '', '.Pdf', '.DocX', '.doc'][page_id % 9 + 1] AS file_name,
 CASE page_id % 5 WHEN 0 THEN encode('%PDF-') || encode(html) WHEN 1 THEN encode('PK') || encode(html) WHEN 2 THEN '\xD0\xCF\x11\xE0\xA1\xB1\x1A\xE1'::BLOB || encode(html) WHEN 3 THEN encode(html) ELSE ''::BLOB END AS content FROM pages"""
 
 #: Part names of packages.

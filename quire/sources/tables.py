@@ -21,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scan_documents(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
-    """Files of a landing folder with an accepted suffix in either case: (path, size, modified, content).
+    """Files of a landing folder with an accepted suffix in any case: (path, size, modified, content).
     Files without a byte, which intake would reject, are passed over by Spark's reader."""
-    glob = "*.{" + ",".join([s for s in SUFFIXES] + [s.upper() for s in SUFFIXES]) + "}"
+    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s) for s in SUFFIXES) + "}"
     if stream:
         found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).load(folder)
     else:

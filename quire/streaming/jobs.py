@@ -6,7 +6,6 @@ Event times of the given tables have no zone; cast them to TIMESTAMP with the se
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quire.operators.intake import extension_mismatch, sniff_container
+from quire.operators.intake import classify_landed
 from quire.operators.replay import STATE, Document, as_json
 from quire.sources.tables import scan_documents
 
@@ -116,17 +115,31 @@ def replay_actions(actions: DataFrame) -> DataFrame:
     return rows.groupBy("doc").transformWithStateInPandas(_Replay(), f"doc {key}, {STATE}, n_late bigint", "Update", "None")
 
 
-def intake_stream(spark, folder: str, accept: Callable[[DataFrame, int], None], reject: Callable[[DataFrame, int], None], checkpoint: str):
-    """A query that classifies files as they land and hands each batch to accept (supported) and reject."""
+def intake_stream(spark, folder: str, sinks: str, checkpoint: str, parts: DataFrame, manifest: DataFrame, mimetypes: DataFrame, streams: DataFrame):
+    """A query that classifies files as they land (see classify_landed; a file's package is its name) and writes
+    them to the folders supported, legacy and rejected under `sinks`.
+
+    The rows of a trigger go to the folder of its batch id, which a trigger that runs again replaces, so each file is
+    there once. The four tables are read anew by each trigger; a file whose parts are not there yet is rejected as
+    `unread`.
+    """
     files = scan_documents(spark, folder, stream=True)
     name = F.element_at(F.split("path", "/"), -1)
-    marked = files.select("path", name.alias("file_name"), "size", sniff_container(F.col("content")).alias("container"))
-    marked = marked.withColumn("mismatch", extension_mismatch(F.col("file_name"), F.col("container")))
+    rows = files.select(name.alias("package"), name.alias("file_name"), "path", "size", F.substring("content", 1, 8).alias("content"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        accept(batch.where("container <> 'rejected'"), batch_id)
-        reject(batch.where("container = 'rejected'"), batch_id)
-        batch.unpersist()
+        route(batch, batch_id, sinks, parts, manifest, mimetypes, streams)
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Where classified files go.
+SINKS = ("supported", "legacy", "rejected")
+
 
-    return marked.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def route(batch: DataFrame, batch_id: int, sinks: str, *tables: DataFrame) -> None:
+    """Writes one batch of landed files to the folder of its id in each of SINKS."""
+    found = classify_landed(batch, *tables).persist()
+    for kind in SINKS:
+        found.where(F.col("kind") == kind).drop("package", "kind").write.mode("overwrite").parquet(f"{sinks}/{kind}/batch={batch_id}")
+    found.unpersist()

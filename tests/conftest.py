@@ -9,6 +9,8 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+#: Where queries are compared with their SQL: rules on ids meet only on the larger tables.
+SCALES = (SF, os.environ.get("TEST_SQL_DIR", "/root/testdata/sf0.01"))
 
 
 @pytest.fixture(scope="session")
@@ -30,11 +32,20 @@ def sf():
     return SF
 
 
-@pytest.fixture(scope="session")
-def duck(sf):
+def connected(folder):
     import duckdb
 
     con = duckdb.connect()
     for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return con
+
+
+@pytest.fixture(scope="session")
+def duck(sf):
+    return connected(sf)
+
+
+@pytest.fixture(scope="session")
+def ducks():
+    return {folder: connected(folder) for folder in SCALES}

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from quire.plans import all_queries, all_sql
+from tests.conftest import SCALES
 
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
@@ -24,9 +25,10 @@ def rows(frame):
 
 
 @pytest.mark.parametrize("name", sorted(all_sql()))
-def test_query_matches_sql(name, spark, sf, duck):
-    found = all_queries()[name](spark, sf)
-    sql = all_sql()[name]
+@pytest.mark.parametrize("at", SCALES)
+def test_query_matches_sql(name, at, spark, ducks):
+    duck, sql = ducks[at], all_sql()[name]
+    found = all_queries()[name](spark, at)
     kinds = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {sql}").fetchall()}
     assert {c: TYPES[t] for c, t in found.dtypes} == kinds
     assert rows(found.toPandas()) == rows(duck.execute(sql).df())

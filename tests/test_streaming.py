@@ -63,11 +63,33 @@ def test_stalled_stream(spark, sf, tmp_path):
 
 
 def test_intake_stream(spark, tmp_path):
-    folder = tmp_path / "landing"
+    """Three ways, in any case of the suffix; a batch that runs again is written once."""
+    folder, sinks = tmp_path / "landing", tmp_path / "sinks"
     folder.mkdir()
-    for name, data in {"a.pdf": b"%PDF-1.7", "b.docx": b"PK\3\4", "c.pdf": b"hello", "d.txt": b"%PDF-", "e.PDF": b"PK"}.items():
+    compound = bytes.fromhex("D0CF11E0A1B11AE1")
+    files = {"a.pdf": b"%PDF-1.7", "b.DocX": b"PK\3\4", "c.pdf": b"hello", "d.txt": b"%PDF-", "e.Pdf": b"PK\3\4", "f.doc": compound, "g.ppt": compound + b"x", "h.hwp": compound, "i.docx": b"PK", "j.hwp": compound}
+    for name, data in files.items():
         (folder / name).write_bytes(data)
-    seen = {"in": [], "out": []}
-    query = jobs.intake_stream(spark, str(folder), lambda df, _: seen["in"].extend((r.file_name, r.container) for r in df.collect()), lambda df, _: seen["out"].extend(r.file_name for r in df.collect()), str(tmp_path / "checkpoint"))
-    query.awaitTermination()
-    assert sorted(seen["in"]) == [("a.pdf", "pdf"), ("b.docx", "zip"), ("e.PDF", "zip")] and seen["out"] == ["c.pdf"]
+    word = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
+    parts = spark.createDataFrame([(p, "word/document.xml", 9) for p in ("b.DocX", "e.Pdf")], "package string, part_name string, size long")
+    manifest = spark.createDataFrame([("b.DocX", "Override", "/word/document.xml", word), ("e.Pdf", "Default", "/word/document.xml", word)], "package string, kind string, part string, content_type string")
+    mimetypes = spark.createDataFrame([], "package string, mimetype string")
+    streams = spark.createDataFrame([("f.doc", "WordDocument", 5), ("g.ppt", "PowerPoint Document", 5), ("h.hwp", "FileHeader", 5), ("j.hwp", "EncryptionInfo", 1)], "package string, part_name string, size long")
+    tables = (parts, manifest, mimetypes, streams)
+    jobs.intake_stream(spark, str(folder), str(sinks), str(tmp_path / "checkpoint"), *tables).awaitTermination()
+
+    def landed(kind):
+        return sorted((r.file_name, r.format, r.mismatch, r.reason) for r in spark.read.parquet(str(sinks / kind)).collect())
+
+    want = {
+        "supported": [("a.pdf", "pdf", False, None), ("b.DocX", "docx", False, None), ("h.hwp", "hwp", False, None)],
+        "legacy": [("f.doc", "doc", False, None), ("g.ppt", "ppt", False, None)],
+        "rejected": [("c.pdf", None, None, "unknown"), ("e.Pdf", None, None, "invalid"), ("i.docx", None, None, "unread"), ("j.hwp", None, None, "encrypted")],
+    }
+    assert {k: landed(k) for k in jobs.SINKS} == want
+    batch = spark.createDataFrame([(n, n, n, len(d), bytearray(d[:8])) for n, d in files.items() if n != "d.txt"], "package string, file_name string, path string, size long, content binary")
+    jobs.route(batch, 0, str(sinks), *tables)
+    assert {k: landed(k) for k in jobs.SINKS} == want
+    (folder / "k.PDF").write_bytes(b"%PDF-2.0")
+    jobs.intake_stream(spark, str(folder), str(sinks), str(tmp_path / "checkpoint"), *tables).awaitTermination()
+    assert landed("supported") == sorted([*want["supported"], ("k.PDF", "pdf", False, None)]) and landed("legacy") == want["legacy"]
