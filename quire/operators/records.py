@@ -174,16 +174,14 @@ def guarded_upsert(store: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.select(*[F.when(take, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in store.columns], "outcome")
 
 
-def fold_upserts(store: DataFrame, incoming: DataFrame) -> DataFrame:
-    """M1 for several incoming rows of one id: they are tried in order of arrival (`ord`), a refused row never
-    becoming the base of the next try. (id, sequence, revision, modified, applied), one row for each id.
+_FOLDED = ("sequence", "revision", "modified", "format", "source_hash", "source_name")
 
-    The log is sorted by Spark and passes by in batches, so an id's rows are never held together; what is held is
-    one state. A comparison with a null refuses the row.
-    """
-    fields = ("sequence", "revision", "modified", "format", "source_hash", "source_name")
-    rows = store.select("id", F.lit(-1).cast("bigint").alias("ord"), *fields).unionByName(incoming.select("id", "ord", *fields))
-    rows = rows.repartition("id").sortWithinPartitions("id", "ord", *fields)
+
+def _fold(rows: DataFrame) -> DataFrame:
+    """(id, ord, row, sequence, revision, modified, applied): of each id the row that stays when its rows are tried in
+    order of ord, each against the one that stays so far, and how many were applied after the first."""
+    rows = rows.repartition("id").sortWithinPartitions("id", "ord", *_FOLDED, "row")
+    names = ["id", "ord", "row", "sequence", "revision", "modified"]
 
     def accepts(old: tuple, new: tuple) -> bool:
         if old[3:] != new[3:] or None in (*old[:2], *new[:2]):
@@ -193,27 +191,53 @@ def fold_upserts(store: DataFrame, incoming: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state, applied, kinds = None, None, 0, None
         for batch in batches:
-            done, kinds = [], [batch.schema.field(n).type for n in ("id", "sequence", "revision", "modified")]
-            for key, _, *new in zip(*(c.to_pylist() for c in batch.columns)):
+            done, kinds = [], [batch.schema.field(n).type for n in names]
+            for key, ord_, row, *new in zip(*(batch.column(n).to_pylist() for n in ("id", "ord", "row", *_FOLDED))):
                 if state is None or key != at:
                     if state is not None:
-                        done.append((at, *state[:3], applied))
-                    at, state, applied = key, tuple(new), 0
+                        done.append((at, *place, *state[:3], applied))
+                    at, place, state, applied = key, (ord_, row), tuple(new), 0
                 elif accepts(state, tuple(new)):
-                    state, applied = tuple(new), applied + 1
+                    place, state, applied = (ord_, row), tuple(new), applied + 1
             if done:
                 yield folded(done, kinds)
         if state is not None:
-            yield folded([(at, *state[:3], applied)], kinds)
+            yield folded([(at, *place, *state[:3], applied)], kinds)
 
     def folded(done: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
         columns = [pa.array(c, kind) for c, kind in zip(zip(*done), [*kinds, pa.int64()])]
-        return pa.RecordBatch.from_arrays(columns, ["id", "sequence", "revision", "modified", "applied"])
+        return pa.RecordBatch.from_arrays(columns, [*names, "applied"])
 
-    schema = rows.select("id", "sequence", "revision", "modified", F.lit(0).cast("bigint").alias("applied")).schema
+    schema = rows.select(*names, F.lit(0).cast("bigint").alias("applied")).schema
     return rows.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in schema]))
 
 
+def fold_upserts(store: DataFrame, incoming: DataFrame) -> DataFrame:
+    """M1 for several incoming rows of one id: they are tried in order of arrival (`ord`), a refused row never
+    becoming the base of the next try. (id, sequence, revision, modified, applied), one row for each id.
+
+    The log is sorted by Spark and passes by in batches, so an id's rows are never held together; what is held is
+    one state. A comparison with a null refuses the row.
+    """
+    rows = store.select("id", F.lit(-1).cast("bigint").alias("ord"), *_FOLDED).unionByName(incoming.select("id", "ord", *_FOLDED))
+    return _fold(rows.withColumn("row", F.lit(0).cast("bigint"))).select("id", "sequence", "revision", "modified", "applied")
+
+
+def fold_records(store: DataFrame, incoming: DataFrame, key: tuple[str, ...] = ("id",), order: str = "ord") -> DataFrame:
+    """M1: the store's rows after fold_upserts, whole. Records are told by `key`; incoming has the store's columns, of
+    which `order` may be one. Rows with a null id are left out."""
+    columns = store.columns
+    arrived = F.col(order).cast("bigint")
+    if order not in columns:
+        store = store.withColumn(order, F.lit(-1).cast("bigint"))
+    whole = store.withColumn("arrived", F.lit(-1).cast("bigint")).unionByName(incoming.select(*store.columns).withColumn("arrived", arrived))
+    whole = whole.where(F.col("id").isNotNull()).withColumn("row", F.xxhash64(*store.columns))
+    tried = whole.select(F.to_json(F.struct(*key)).alias("id"), F.col("arrived").alias("ord"), "row", *_FOLDED)
+    stays = _fold(tried).select("id", F.col("ord").alias("arrived"), "row")
+    rows = whole.withColumn("told", F.to_json(F.struct(*key))).join(stays.withColumnRenamed("id", "told"), ["told", "arrived", "row"], "left_semi")
+    return rows.dropDuplicates(["told"]).select(*columns)
+
+
 def quarantine_route(records: DataFrame, batch_id: str, now: Column) -> tuple[DataFrame, DataFrame]:
     """M2: (valid records, retained rows): an invalid row leaves with its raw value, kind, reason, batch and time."""
     marked = records.withColumn("reason", record_reason())

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import relations as R
+from quire.functions import files as fs
 from quire.functions.scratch import Scratch
 from quire.operators import intake as op
+from quire.sources.incremental import rebuild
 from quire.sources.tables import export_backup_json, land_files, scan_documents, table
 
 Q: dict = {}
@@ -55,6 +57,24 @@ def s6_stale_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.stale_sources(op.fingerprint_partitions(files, "v1"), stamps).select("source")
 
 
+@query("""WITH f AS (SELECT 'pkg' || (package % 100) AS source, package % 100 AS g, count(*) AS n_files FROM r_parts GROUP BY ALL) SELECT source, CASE WHEN g % 7 = 3 THEN 'changed' WHEN g % 11 = 5 THEN 'new' WHEN g % 13 = 4 THEN 'lost' ELSE 'kept' END AS state, n_files FROM f
+UNION ALL SELECT 'old', 'gone', 0""")
+def s6_rebuild_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the files of each source, built once, and built again where files changed, a source came or an output
+    was lost; a source that is gone is dropped."""
+    files = R.parts(spark, sf_dir).select(F.expr("concat('pkg', package % 100)").alias("source"), F.expr("concat(package, '/', part_no, '/', part_name)").alias("path"), "size", F.col("stop_off").alias("modified"), F.expr("package % 100").alias("g"))
+    count = lambda rows: rows.groupBy("source").agg(F.count("*").alias("n_files"))
+    folder = f"{Scratch(spark).base}/rebuilt"
+    gone = spark.range(1).select(F.lit("old").alias("source"), F.lit("x").alias("path"), F.lit(1).cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("modified"), F.lit(0).cast("bigint").alias("g"))
+    before = files.where("g % 11 <> 5 or g % 7 = 3").withColumn("modified", F.expr("if(g % 7 = 3, modified - 1, modified)")).unionByName(gone)
+    rebuild(before, folder, "v1", count)
+    for name in fs.names(spark, f"{folder}/data"):
+        if name.startswith("source=pkg") and int(name.removeprefix("source=pkg")) % 13 == 4:
+            fs.delete(spark, f"{folder}/data/{name}")
+    plan = rebuild(files, folder, "v1", count)
+    return plan.join(spark.read.schema("n_files bigint, source string").parquet(f"{folder}/data"), "source", "left").select("source", "state", F.coalesce("n_files", F.lit(0)).cast("bigint").alias("n_files"))
+
+
 @query("SELECT p_partkey::VARCHAR AS name, CASE WHEN p_partkey % 10 = 9 THEN 'missing' WHEN p_partkey % 10 = 8 THEN 'mismatch' ELSE 'ok' END AS status FROM part")
 def s7_verify_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").withColumn("name", F.col("p_partkey").cast("string"))

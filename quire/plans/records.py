@@ -10,7 +10,7 @@ from quire import relations as R
 from quire.functions.scratch import Scratch
 from quire.operators import records as op
 from quire.plans.intake import query
-from quire.sources.tables import Store, delete_by_key, read_library, table
+from quire.sources.tables import Store, delete_by_key, table
 
 _REASON = """CASE WHEN version <> 1 THEN 'version' WHEN format NOT IN ('docx', 'hwp', 'hwpx', 'pptx') THEN 'format' WHEN engine_id <> format || '-engine' OR engine_version <> '1' THEN 'engine' WHEN zoom <= 0 THEN 'zoom' WHEN format = 'pptx' AND NOT consent THEN 'consent'
 WHEN NOT modified AND revision <> 0 THEN 'revision' WHEN modified AND checkpoint_kind IS NULL THEN 'checkpoint'
@@ -19,20 +19,28 @@ WHEN checkpoint_kind IS NOT NULL AND format = 'pptx' AND len(list_distinct(asset
 R.RELATIONS["r_full"] = f"SELECT *, {_REASON} AS reason FROM r_store"
 
 
-@query("SELECT id, sequence, revision, saved_at FROM r_store WHERE format = 'docx'")
+@query("SELECT id, sequence, revision, saved_at FROM r_store WHERE format <> 'pdf' AND custkey % 3 = 0")
 def s2_read_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_library(R.store(spark, sf_dir), "docx", "format").select("id", "sequence", "revision", "saved_at")
+    """One kind of one namespace of a store in a folder."""
+    store = Store(spark, Scratch(spark).base)
+    store.write(_placed(R.store(spark, sf_dir)), op.record_reason())
+    return store.read(namespace="office", kind="draft").select("id", "sequence", "revision", "saved_at")
 
 
 @query("SELECT id, sequence, 'incoming' AS origin FROM r_incoming UNION ALL SELECT id, sequence, 'stored' FROM r_store WHERE id NOT IN (SELECT id FROM r_incoming) UNION ALL SELECT id, sequence, 'quarantined' FROM r_full WHERE reason IS NOT NULL AND id IN (SELECT id FROM r_incoming)")
 def s3_write_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through a store in a folder: what it holds after a second write, and what it quarantined."""
     store = Store(spark, Scratch(spark).base)
-    store.replace(R.store(spark, sf_dir).withColumn("origin", F.lit("stored")))
-    store.write(R.incoming(spark, sf_dir).withColumn("origin", F.lit("incoming")), op.record_reason())
+    store.write(_placed(R.store(spark, sf_dir)).withColumn("origin", F.lit("stored")), op.record_reason())
+    store.write(_placed(R.incoming(spark, sf_dir)).withColumn("origin", F.lit("incoming")), op.record_reason())
     return store.read().select("id", "sequence", "origin").unionByName(store.retained().select("id", "sequence", F.lit("quarantined").alias("origin")))
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Records with the namespace and kind that a store is laid out by."""
+    return rows.withColumn("namespace", F.expr("if(format = 'pdf', 'pdf', 'office')")).withColumn("kind", F.expr("if(custkey % 3 = 0, 'draft', 'archive')"))
+
+
 @query("SELECT id, CASE WHEN sequence % 3 = 0 THEN 'draft' ELSE 'archive' END AS kind FROM r_store WHERE sequence % 3 = 0 OR id NOT IN (SELECT id FROM r_incoming)")
 def s4_delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = R.store(spark, sf_dir).select("id", F.expr("if(sequence % 3 = 0, 'draft', 'archive')").alias("kind"))

@@ -14,8 +14,9 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.operators.intake import classify_landed
+from quire.operators.records import fold_records
 from quire.operators.replay import STATE, Document, as_json
-from quire.sources.tables import scan_documents
+from quire.sources.tables import Store, scan_documents
 
 
 def debounce_saves(changes: DataFrame, gap: str, delay: str, key: str = "doc", order: str = "event_id") -> DataFrame:
@@ -115,6 +116,18 @@ def replay_actions(actions: DataFrame) -> DataFrame:
     return rows.groupBy("doc").transformWithStateInPandas(_Replay(), f"doc {key}, {STATE}, n_late bigint", "Update", "None")
 
 
+def upsert_stream(updates: DataFrame, store: Store, name: str, checkpoint: str, order: str = "ord"):
+    """M1: a query that folds record updates into a store, several of one key in order of arrival; `updates` has the
+    store's columns and `order`. A refused update leaves the stored row. The store notes the batch id under `name` in
+    the version that holds it, so a batch that runs again changes nothing."""
+    key = (*store.parts, store.key)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        store.change(batch, lambda stored, rows: (fold_records(stored, rows, key, order), None), (name, batch_id))
+
+    return updates.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def intake_stream(spark, folder: str, sinks: str, checkpoint: str, parts: DataFrame, manifest: DataFrame, mimetypes: DataFrame, streams: DataFrame):
     """A query that classifies files as they land (see classify_landed; a file's package is its name) and writes
     them to the folders supported, legacy and rejected under `sinks`.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire import relations as R
 from quire.operators import edits, fonts, geometry, intake, records, regions, spans, trees
-from quire.sources.tables import Store, export_backup_json
+from quire.sources.tables import export_backup_json
 
 
 def test_entry_imports_and_registers(spark, sf):
@@ -162,18 +162,6 @@ def test_every_record_goes_one_way(spark, sf):
     assert good.count() + bad.count() == store.count() and {r.batch_id for r in bad.collect()} == {"b"}
 
 
-def test_store_keeps_the_old_table_until_the_new_one_stands(spark, sf, tmp_path):
-    store, rows = Store(spark, str(tmp_path / "store")), R.store(spark, sf)
-    assert store.version() == 0 and store.write(rows, records.record_reason()) == 1
-    with pytest.raises(Exception):
-        store.write(R.incoming(spark, sf).withColumn("zoom", F.raise_error(F.lit("lost")).cast("double")), records.record_reason())
-    assert store.version() == 1 and store.read().count() == rows.count()
-    assert store.write(R.incoming(spark, sf), records.record_reason()) == 2
-    bad = rows.where(records.record_reason().isNotNull()).join(R.incoming(spark, sf).select("id"), "id", "left_semi")
-    assert store.retained().count() == bad.count() > 0
-    assert store.read().select("id").distinct().count() == store.read().count()
-
-
 def test_backup_refuses_what_json_cannot_hold(spark):
     rows = spark.createDataFrame([(1, 1.5, b"ab", "t"), (2, None, None, "t")], "id long, zoom double, content binary, type string")
     assert [r.json for r in export_backup_json(rows).orderBy("id").collect()] == ['{"id":1,"zoom":1.5,"source":{"__blob__":true,"type":"t","base64":"YWI="}}', '{"id":2,"source":{"__blob__":true,"type":"t"}}']
