@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.spans import nfc_rows
+from quire.operators.spans import in_nfc
 
 
 def embedding_allowed(fs_type: Column) -> Column:
@@ -20,7 +20,7 @@ def postscript_name(name: Column) -> Column:
 
 def with_font_key(rows: DataFrame, column: str) -> DataFrame:
     """Rows with the name in column in NFC, lower case, without white space, underscores and hyphens."""
-    return nfc_rows(rows, column).withColumn(column, F.regexp_replace(F.lower(column), r"[\s_\-]", ""))
+    return rows.withColumn(column, F.regexp_replace(F.lower(in_nfc(F.col(column))), r"[\s_\-]", ""))
 
 
 #: What declarations of one name must agree in.

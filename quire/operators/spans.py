@@ -31,22 +31,22 @@ def mixed_value(rows: DataFrame, key: str, column: str, default: str | None = No
 
 def style_runs(runs: DataFrame, keys: list[str] = KEYS, style: str = "bold", order: str = "run_no", fallback: Column | None = None) -> DataFrame:
     """Neighbouring runs of equal style as one: (keys, run_no, begin, stop, text, style). Empty runs go, but a
-    text of nothing else keeps one empty run, with the fallback style, or its first run's where none is given."""
-    at, whole = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
-    rows = runs.withColumn("void", F.sum(F.length("text")).over(whole) == 0).withColumn("nth", F.row_number().over(at))
-    rows = rows.where("length(text) > 0 or (void and nth = 1)")
-    if fallback is not None:
-        rows = rows.withColumn(style, F.when(F.col("void"), fallback).otherwise(F.col(style)))
-    return _joined(rows, keys, style, order)
+    text of nothing else keeps one empty run, with the fallback style, or its first run's where none is given.
 
-
-def _joined(rows: DataFrame, keys: list[str], style: str, order: str) -> DataFrame:
-    """Neighbours of equal style as one."""
+    Two ordered passes over a text: the first finds the style of the last run that is not empty, the second numbers
+    the islands and sees whether there is one."""
     at = Window.partitionBy(*keys).orderBy(order)
-    rows = rows.withColumn("change", (~F.col(style).eqNullSafe(F.lag(style).over(at)) | (F.row_number().over(at) == 1)).cast("int"))
-    rows = rows.withColumn("island", F.sum("change").over(at))
+    before = at.rowsBetween(Window.unboundedPreceding, -1)
+    full = F.length("text") > 0
+    rows = runs.withColumn("before", F.last(F.when(full, F.struct(style)), ignorenulls=True).over(before)).withColumn("nth", F.row_number().over(at))
+    rows = rows.withColumn("change", (full & (F.col("before").isNull() | ~F.col(style).eqNullSafe(F.col(f"before.{style}")))).cast("int"))
+    rows = rows.withColumn("island", F.sum("change").over(at.rowsBetween(Window.unboundedPreceding, 0))).withColumn("void", F.max("change").over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == 0)
+    rows = rows.where(full | (F.col("void") & (F.col("nth") == 1)))
+    if fallback is not None:
+        rows = rows.withColumn(style, F.when(F.col("void"), fallback).otherwise(F.col(style)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "")
-    return rows.groupBy(*keys, "island", style).agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"), text.alias("text")).withColumn("run_no", F.col("island").cast("bigint") - 1).drop("island")
+    found = rows.groupBy(*keys, F.greatest("island", F.lit(1)).alias("island"), style).agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"), text.alias("text"))
+    return found.withColumn("run_no", F.col("island").cast("bigint") - 1).drop("island")
 
 
 def style_at(offsets: DataFrame, runs: DataFrame, keys: list[str] = KEYS, style: str = "bold") -> DataFrame:
@@ -101,10 +101,16 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def nfc_rows(rows: DataFrame, column: str) -> DataFrame:
-    """rows with the column in NFC. Rows whose value is ASCII, where it is so already, don't reach Python."""
-    plain = F.coalesce(F.octet_length(column) == F.length(column), F.lit(True))
-    return rows.where(plain).unionByName(rows.where(~plain).withColumn(column, nfc(column)))
+#: Letters that NFC leaves as they are, whatever stands beside them: Latin, Cyrillic, punctuation, kana, ideographs and
+#: Hangul syllables. Marks and what has a canonical form of its own are not among them.
+STABLE = r"^[\x00-\x{2FF}\x{400}-\x{482}\x{48A}-\x{52F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]*$"
+
+
+def in_nfc(text: Column) -> Column:
+    """The text in NFC. Python gets only texts that STABLE does not cover, and a null for each other row, so the rows
+    pass once."""
+    stable = (F.octet_length(text) == F.length(text)) | text.rlike(STABLE)
+    return F.coalesce(nfc(F.when(~stable, text)), text)
 
 
 def normal_text(text: Column) -> Column:
@@ -114,7 +120,7 @@ def normal_text(text: Column) -> Column:
 
 def normalize_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, changed): line feeds for CRLF and CR, four spaces for a tab, NFC."""
-    rows = nfc_rows(docs.select(id_col, F.col(text_col).alias("old"), normal_text(F.col(text_col)).alias("text")), "text")
+    rows = docs.select(id_col, F.col(text_col).alias("old"), normal_text(F.col(text_col)).alias("text")).withColumn("text", in_nfc(F.col("text")))
     return rows.select(id_col, "text", F.coalesce(F.col("text") != F.col("old"), F.lit(False)).alias("changed"))
 
 
@@ -148,26 +154,59 @@ def snap_spans(spans: DataFrame, texts: DataFrame, keys: list[str] = KEYS) -> Da
     return rows.select(*keys, snapped(F.col("text"), F.col("cut_begin"), F.col("cut_stop")).alias("s")).select(*keys, "s.begin", "s.stop")
 
 
+def _may_join(left: Column, right: Column) -> Column:
+    """Whether a grapheme may reach over the edge between two texts that are not empty: the two characters at the edge
+    are one grapheme, or the left one joins to the right depending on what stands before it."""
+    last, first = F.substring(left, -1, 1), F.substring(right, 1, 1)
+    after_mark = last.rlike(r"\p{M}") & ~first.rlike(r"[\x00-\x{8FF}]")
+    return (F.size(graphemes(F.concat(last, first))) == 1) | (last == "\u200d") | after_mark
+
+
+def _snapped_runs(runs: Column) -> Column:
+    """runs (text, style) with each edge inside a grapheme moved to its end. One fold carries the last grapheme so far
+    and notes what moves: (from, to, text). A run that is all inside a grapheme ends up empty."""
+    moves = F.array().cast("array<struct<at:int,owner:int,text:string>>")
+
+    def step(state: Column, run: Column) -> Column:
+        text = run["text"]
+        pieces = graphemes(F.concat(state["last"], text))
+        inside = F.size(pieces) == 1
+        taken = F.when(state["last"] == "", F.lit("")).when(inside, text).otherwise(F.substring(text, F.lit(1), F.length(F.get(pieces, F.lit(0))) - F.length(state["last"])))
+        owner = F.when((state["last"] == "") | ~inside, state["n"]).otherwise(state["owner"])
+        return F.struct(
+            (state["n"] + 1).alias("n"), F.when(text == "", state["owner"]).otherwise(owner).alias("owner"), F.when(text == "", state["last"]).otherwise(F.element_at(pieces, -1)).alias("last"),
+            F.when(taken != "", F.concat(state["moves"], F.array(F.struct(state["n"].alias("at"), state["owner"].alias("owner"), taken.alias("text"))))).otherwise(state["moves"]).alias("moves"),
+        )
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("owner"), F.lit("").alias("last"), moves.alias("moves"))
+    found = F.aggregate(runs, start, step, lambda s: s["moves"])
+
+    def moved(pair: Column) -> Column:
+        lost = F.aggregate(F.filter(pair["moves"], lambda m: m["at"] == pair["n"]), F.lit(0), lambda n, m: n + F.length(m["text"]))
+        gained = F.array_join(F.transform(F.filter(pair["moves"], lambda m: m["owner"] == pair["n"]), lambda m: m["text"]), "")
+        return F.struct(F.concat(F.substring(pair["run"]["text"], lost + 1, F.length(pair["run"]["text"])), gained).alias("text"), pair["run"]["style"].alias("style"))
+
+    with_moves = F.transform(F.array(found), lambda m: F.transform(runs, lambda run, n: F.struct(run.alias("run"), n.alias("n"), m.alias("moves"))))
+    return F.transform(F.flatten(with_moves), moved)
+
+
 def normalize_runs(runs: DataFrame, keys: list[str] = KEYS, style: str = "bold") -> DataFrame:
     """Runs after every grapheme is normalised, each keeping the style at its first character.
 
-    Only texts with graphemes of several characters are cut into graphemes, which take their style in one
-    ordered pass (see style_at); neighbours of one style join again before they are normalised. In other texts
-    a run's edges are grapheme edges already.
+    The runs of a text come together once. Where no grapheme reaches over an edge of two runs, which two characters
+    at each edge tell, they stay as they are; else the edges move to the end of the grapheme that they cut. Then each
+    run is normalised on its own and equal neighbours join. There is no row for a grapheme.
     """
-    text = plain_text(runs, keys).withColumn("wide", F.size(graphemes(F.col("text"))) < F.length("text"))
-    order = [*keys, F.col("begin").alias("offset"), "text", style]
-    whole = runs.join(text.where("not wide").select(*keys), keys, "left_semi").select(*order)
-    at = Window.partitionBy(*keys).orderBy("g_no").rowsBetween(Window.unboundedPreceding, -1)
-    parts = text.where("wide").select(*keys, F.posexplode(graphemes(F.col("text"))).alias("g_no", "text"))
-    parts = parts.withColumn("offset", F.coalesce(F.sum(F.length("text")).over(at), F.lit(0)).cast("bigint"))
-    styled = style_at(parts, runs.join(text.where("wide").select(*keys), keys, "left_semi"), keys, style)
-    parts = styled.withColumn("begin", F.col("offset")).withColumn("stop", F.col("offset") + F.length("text"))
-    joined = _joined(parts, keys, style, "offset").select(*order)
-    pieces = nfc_rows(whole.unionByName(joined).withColumn("text", normal_text(F.col("text"))), "text")
-    up_to = Window.partitionBy(*keys).orderBy("offset", F.length("text")).rowsBetween(Window.unboundedPreceding, 0)
+    sorted_runs = F.array_sort(F.collect_list(F.struct("run_no", "text", F.col(style).alias("style"))))
+    texts = runs.groupBy(*keys).agg(F.transform(sorted_runs, lambda r: F.struct(r["text"].alias("text"), r["style"].alias("style"))).alias("all"))
+    texts = texts.withColumn("full", F.filter("all", lambda r: r["text"] != "")).withColumn("runs", F.when(F.size("full") > 0, F.col("full")).otherwise(F.slice("all", 1, 1)))
+    edges = F.arrays_zip(F.slice("runs.text", F.lit(1), F.size("runs") - 1).alias("left"), F.slice("runs.text", F.lit(2), F.size("runs")).alias("right"))
+    cut = F.exists(edges, lambda e: _may_join(e["left"], e["right"]))
+    pieces = texts.select(*keys, F.posexplode(F.when(cut, _snapped_runs(F.col("runs"))).otherwise(F.col("runs"))).alias("piece", "run"))
+    pieces = pieces.select(*keys, "piece", in_nfc(normal_text(F.col("run.text"))).alias("text"), F.col("run.style").alias(style))
+    up_to = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
     pieces = pieces.withColumn("stop", F.sum(F.length("text")).over(up_to)).withColumn("begin", F.col("stop") - F.length("text"))
-    return style_runs(pieces.withColumnRenamed("offset", "piece"), keys, style, "piece")
+    return style_runs(pieces, keys, style, "piece")
 
 
 def replace_refs(runs: DataFrame, mapping: DataFrame, column: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import unicodedata
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quire import relations as R
@@ -248,6 +250,49 @@ def test_a_grapheme_keeps_the_style_of_its_first_character(spark):
     assert got == [(0, 2, "xé", True), (2, 3, "\n", False), (3, 8, "    z", True), (8, 9, "é", False)]
 
 
+def test_runs_normalise_like_a_plain_fold(spark):
+    """Edges move to the end of the grapheme that they cut, over as many runs as it takes."""
+    rng = random.Random(8)
+    letters = ["a", "b", "e", "\u0301", "\u0323", "\r", "\n", "\t", "\u200d", "\U0001f468", "\U0001f469", "\U0001f3fd", "\ufe0f", "\U0001f1e9", "\U0001f1ea", "\u1100", "\u1161", "\u11a8", "\uac00", "\u0915", "\u093f", "\u0600", "é", "中"]
+    texts = {t: [("".join(rng.choices(letters, k=rng.choice([0, 1, 1, 2, 3]))), rng.random() < 0.5) for _ in range(rng.randint(1, 9))] for t in range(600)}
+    rows = []
+    for t, runs in texts.items():
+        at = 0
+        for n, (text, bold) in enumerate(runs):
+            rows.append((t, 0, n, at, at + len(text), text, bold))
+            at += len(text)
+    runs = spark.createDataFrame(rows, "doc_id long, line_no long, run_no long, begin long, stop long, text string, bold boolean")
+    got = {}
+    for r in spans.normalize_runs(runs).orderBy("doc_id", "begin", "run_no").collect():
+        got.setdefault(r.doc_id, []).append((r.begin, r.stop, r.text, r.bold))
+    moved = 0
+    for t, parts in texts.items():
+        whole, styles = "".join(text for text, _ in parts), [bold for text, bold in parts for _ in text]
+        pieces, at = [], 0
+        for g in regex.findall(r"\X", whole):
+            style, at = styles[at], at + len(g)
+            moved += len(set(styles[at - len(g) : at])) > 1
+            g = unicodedata.normalize("NFC", g.replace("\r\n", "\n").replace("\r", "\n").replace("\t", "    "))
+            if pieces and pieces[-1][1] == style:
+                pieces[-1][0] += g
+            else:
+                pieces.append([g, style])
+        pieces = pieces or [["", parts[0][1]]]
+        stops = [sum(len(p[0]) for p in pieces[: k + 1]) for k in range(len(pieces))]
+        assert got[t] == [(stop - len(text), stop, text, style) for (text, style), stop in zip(pieces, stops)], parts
+    assert moved > 100
+
+
+def test_stable_letters_stay_in_nfc():
+    pattern = regex.compile(regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: regex.escape(chr(int(m[1], 16))), spans.STABLE))
+    stable = [c for c in map(chr, range(0x20000)) if not 0xD800 <= ord(c) < 0xE000 and pattern.match(c)]
+    marks = ["\u0301", "\u0323", "\u3099", "\u1161", "\u11a8"]
+    assert len(stable) > 30_000 and not any(pattern.match(m) for m in marks)
+    assert all(unicodedata.normalize("NFC", c) == c for c in stable)
+    text = "".join(stable)
+    assert unicodedata.normalize("NFC", text) == text and unicodedata.normalize("NFC", text[::-1]) == text[::-1]
+
+
 def test_rows_are_banded_like_a_plain_fold(spark):
     rng = random.Random(6)
     rows = [(d, 0, n, rng.choice([0.1, 0.2, 0.49, 0.5, 3.0]) * rng.randint(0, 30), rng.random()) for d in range(5) for n in range(80)]
