@@ -23,12 +23,14 @@ PASSAGES = 100_000
 def places(spark: SparkSession, sf_dir: str, most: int = PASSAGES) -> DataFrame:
     """The passages, a stated query set, against all documents: an equi-join on a passage's first three words and
     every three words in a row of a document, then the whole passage. At most `most` passages are broadcast, and
-    documents are read once; with more, documents meet them by their ids and their texts follow."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).withColumn("w", F.split("passage", r"\s+"))
-    b = b.withColumn("head", F.expr("concat_ws(' ', slice(w, 1, 3))")).drop("w")
-    heads = F.expr("array_distinct(transform(sequence(1, greatest(size(w) - 2, 1)), i -> concat_ws(' ', slice(w, i, 3))))")
+    documents are read once; with more, documents meet them by their ids and their texts follow. A passage has three
+    words at least."""
+    three = r"(?<!\S)\S++\s++\S++\s++\S++"  # without a way back, so linear in tokens of any length
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).withColumn("head", F.regexp_extract("passage", three, 0))
+    # the words in threes from the first, the second and the third word on are all three words in a row
+    threes = lambda skip: F.regexp_extract_all(F.regexp_replace("text", r"^\s*+" + r"\S++\s++" * skip, ""), F.lit(three), 0)
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = texts.withColumn("w", F.split("text", r"\s+"))
+    d, heads = texts, F.array_distinct(F.concat(threes(0), threes(1), threes(2)))
     if b.count() <= most:
         hits = d.select("doc_id", "text", F.explode(heads).alias("head")).join(F.broadcast(b), "head")
     else:
