@@ -99,10 +99,21 @@ def inflight_coalesce(requests: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stalled_requests(events: DataFrame, seconds: float) -> DataFrame:
-    """R5, batch: (session, event_id, ts): events after which the session was silent for over `seconds`."""
-    later = F.lead("ts").over(Window.partitionBy("session").orderBy("ts", "event_id"))
-    quiet = F.expr("timestampdiff(SECOND, ts, later)")
-    return events.withColumn("later", later).where(F.col("later").isNull() | (quiet > seconds)).select("session", "event_id")
+    """R5, batch: (session, request, event_id): the events after which a started request was silent for over `seconds`,
+    to the microsecond.
+
+    events: (session, request, event_id, ts, phase). The phase `started` starts a request's clock, any other event
+    starts it anew, `done` stops it; one that was never started has no clock. A request that has timed out must be
+    started again. A last event is followed by silence.
+    """
+    of = Window.partitionBy("session", "request").orderBy("ts", "event_id")
+    quiet = F.expr("timestampdiff(MICROSECOND, ts, later)") > F.lit(round(seconds * 1_000_000))
+    rows = events.withColumn("later", F.lead("ts").over(of)).withColumn("silent", F.col("later").isNull() | quiet)
+    closed = F.coalesce(F.lag(F.col("silent") | (F.col("phase") == "done")).over(of), F.lit(False))
+    rows = rows.withColumn("life", F.sum(closed.cast("int")).over(of.rowsBetween(Window.unboundedPreceding, 0)))
+    life = Window.partitionBy("session", "request", "life").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("clock", F.max(F.col("phase") == "started").over(life))
+    return rows.where("silent and clock and phase <> 'done'").select("session", "request", "event_id")
 
 
 def stale_responses(responses: DataFrame) -> DataFrame:

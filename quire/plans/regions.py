@@ -238,9 +238,12 @@ def r4_inflight_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.inflight_coalesce(R.requests(spark, sf_dir), ["session", "page", "revision"])
 
 
-@query("SELECT session, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY session ORDER BY ts, event_id) AS later FROM r_requests) WHERE later IS NULL OR epoch_us(later) - epoch_us(ts) >= 14401000000")
+@query("""WITH a AS (SELECT *, lead(ts) OVER w AS later FROM r_request_events WINDOW w AS (PARTITION BY session, request ORDER BY ts, event_id)),
+b AS (SELECT *, later IS NULL OR epoch_us(later) - epoch_us(ts) > 86400500000 AS silent FROM a),
+c AS (SELECT *, count(*) FILTER (closed) OVER (PARTITION BY session, request ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS life FROM (SELECT *, lag(silent OR phase = 'done') OVER (PARTITION BY session, request ORDER BY ts, event_id) AS closed FROM b))
+SELECT session, request, event_id FROM (SELECT *, bool_or(phase = 'started') OVER (PARTITION BY session, request, life ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS clock FROM c) WHERE silent AND clock AND phase <> 'done'""")
 def r5_stalled_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits.stalled_requests(R.requests(spark, sf_dir), 14400)
+    return edits.stalled_requests(R.request_events(spark, sf_dir), 86400.5)
 
 
 @query("SELECT session, event_id, revision FROM (SELECT *, max(revision) OVER (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS newest FROM r_requests) WHERE revision = newest")

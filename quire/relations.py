@@ -296,6 +296,17 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELATIONS["r_requests"] = "SELECT user_id AS session, (event_id * 7919) % 10007 AS request_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS page, event_id % 5 AS revision, event_type AS method, ts, event_id FROM events"
 
 
+_PHASE = "CASE method WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'started' WHEN 'error' THEN 'done' ELSE 'progress' END"
+
+
+def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happens to the requests of a session: each has several events, the first of which need not be its start."""
+    return requests(spark, sf_dir).select("session", F.expr("page % 4").alias("request"), "event_id", "ts", F.expr(_PHASE).alias("phase"))
+
+
+RELATIONS["r_request_events"] = f"SELECT session, page % 4 AS request, event_id, ts, {_PHASE} AS phase FROM r_requests"
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
 

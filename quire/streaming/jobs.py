@@ -61,28 +61,159 @@ def latest_render(requests: DataFrame) -> DataFrame:
     return rows.applyInPandasWithState(run, "session bigint, page bigint, event_id bigint", "newest bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def stalled_requests(events: DataFrame, seconds: int, delay: str) -> DataFrame:
-    """(session, event_id): the last event of a session after which `seconds` passed in event time without
-    another. Each event restarts the clock; a timer ends it."""
+class _InOrder(StatefulProcessor):
+    """Hands the events of a key over in order of (at, event_id), once the watermark has passed them, so it does not
+    matter in which order they came within its delay. A timer wakes it for the next event or deadline."""
 
-    def run(key: tuple, batches, state: GroupState):
-        if state.hasTimedOut:
-            event_id, _ = state.get
-            state.remove()
-            yield pd.DataFrame({"session": [key[0]], "event_id": [event_id]})
-            return
-        rows = [(int(i), t.timestamp()) for b in batches for i, t in zip(b["event_id"], b["ts"])]
-        if state.exists:
-            rows.append(state.get)
-        rows.sort(key=lambda r: (r[1], r[0]))
-        for (event_id, at), (_, after) in zip(rows, rows[1:]):
-            if int(after - at) > seconds:
-                yield pd.DataFrame({"session": [key[0]], "event_id": [event_id]})
-        state.update(rows[-1])
-        state.setTimeoutTimestamp(max(int((rows[-1][1] + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-
-    rows = events.withWatermark("ts", delay).select("session", "event_id", "ts").groupBy("session")
-    return rows.applyInPandasWithState(run, "session bigint, event_id bigint", "event_id bigint, at double", "append", GroupStateTimeout.EventTimeTimeout)
+    #: Columns of an event; the first two are at (microseconds) and event_id.
+    event_schema = "at bigint, event_id bigint"
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", self.event_schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        fields = dict(c.split() for c in self.event_schema.split(", "))
+        plain = {"bigint": int, "boolean": bool, "string": str}
+        for part in rows:  # a column with nulls comes as floats, which a state would not take for whole numbers
+            columns = [[None if v is None or v != v else plain[t](v) for v in part[c]] for c, t in fields.items()]
+            self.pending.appendList(list(zip(*columns)))
+        yield from self._advance(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._advance(key, timerValues)
+
+    def _advance(self, key, timerValues):
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        events = sorted(self.pending.get(), key=lambda e: e[:2]) if self.pending.exists() else []
+        due, rest = [e for e in events if e[0] <= watermark], [e for e in events if e[0] > watermark]
+        out = [row for e in due for row in self.event(key, *e)] + list(self.silence(key, watermark))
+        self.pending.clear()
+        if rest:
+            self.pending.appendList(rest)
+        wake = min([e[0] for e in rest[:1]] + [d for d in [self.deadline()] if d is not None], default=None)
+        if wake is not None:
+            self.handle.registerTimer(max(wake, watermark) // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+class _Stalled(_InOrder):
+    """The clock of each started request: its last event and when that was."""
+
+    event_schema = "at bigint, event_id bigint, request bigint, phase string"
+
+    def __init__(self, seconds: float):
+        self.limit = round(seconds * 1_000_000)
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.clocks = handle.getMapState("clocks", "request bigint", "event_id bigint, at bigint")
+
+    def _timed_out(self, key, request: int, event_id: int) -> dict:
+        self.clocks.removeKey((request,))
+        return {"session": key[0], "request": request, "event_id": event_id}
+
+    def event(self, key, at, event_id, request, phase):
+        if self.clocks.containsKey((request,)):
+            last, before = self.clocks.getValue((request,))
+            if at - before > self.limit:
+                yield self._timed_out(key, request, last)
+        started = phase == "started" or self.clocks.containsKey((request,))
+        if phase == "done":
+            self.clocks.removeKey((request,))
+        elif started:
+            self.clocks.updateValue((request,), (event_id, at))
+
+    def silence(self, key, watermark):
+        for (request,), (event_id, at) in list(self.clocks.iterator()):
+            if watermark - at > self.limit:
+                yield self._timed_out(key, request, event_id)
+
+    def deadline(self):
+        return min((at + self.limit + 1 for _, at in self.clocks.values()), default=None)
+
+
+class _Gated(_InOrder):
+    """Whether a document is being composed, and the last change that no save has covered."""
+
+    event_schema = "at bigint, event_id bigint, composing boolean"
+
+    def __init__(self, seconds: float):
+        self.gap = round(seconds * 1_000_000)
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.composing = handle.getValueState("composing", "composing boolean")
+        self.unsaved = handle.getValueState("unsaved", "event_id bigint, at bigint")
+
+    def silence(self, key, watermark):
+        if self.unsaved.exists() and watermark - self.unsaved.get()[1] > self.gap:
+            yield self._saved(key)
+
+    def _saved(self, key) -> dict:
+        event_id, at = self.unsaved.get()
+        self.unsaved.clear()
+        return {"doc": key[0], "event_id": event_id, "at": at}
+
+    def event(self, key, at, event_id, composing):
+        yield from self.silence(key, at)
+        if composing is not None:
+            self.composing.update((composing,))
+        if not (self.composing.exists() and self.composing.get()[0]):
+            self.unsaved.update((event_id, at))
+
+    def deadline(self):
+        return self.unsaved.get()[1] + self.gap + 1 if self.unsaved.exists() else None
+
+
+def stalled_requests(events: DataFrame, seconds: float, delay: str) -> DataFrame:
+    """(session, request, event_id): the last event of a started request after which `seconds` of event time passed
+    without another; the rules are those of the batch form. The state of a session is a clock for each request that
+    runs and the events that the watermark has not passed. Rows come once the watermark has passed the deadline."""
+    rows = events.withWatermark("ts", delay).select("session", "request", "event_id", "ts", "phase", F.unix_micros("ts").alias("at"))
+    return rows.groupBy("session").transformWithStateInPandas(_Stalled(seconds), "session bigint, request bigint, event_id bigint", "Append", "EventTime")
+
+
+def gated_saves(changes: DataFrame, seconds: float, delay: str) -> DataFrame:
+    """(doc, event_id, ts): one save for each burst of changes outside compositions, its last change, once the
+    watermark is `seconds` past it. changes: (doc, event_id, ts, composing), composing null where unknown."""
+    rows = changes.withWatermark("ts", delay).select("doc", "event_id", "ts", "composing", F.unix_micros("ts").alias("at"))
+    saves = rows.groupBy("doc").transformWithStateInPandas(_Gated(seconds), "doc bigint, event_id bigint, at bigint", "Append", "EventTime")
+    return saves.select("doc", "event_id", F.timestamp_micros("at").alias("ts"))
+
+
+class _Newest(StatefulProcessor):
+    """The newest generation that a session has seen."""
+
+    def init(self, handle) -> None:
+        self.newest = handle.getValueState("newest", "revision bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        out = []
+        for part in rows:
+            for at, event_id, revision in sorted(part[["at", "event_id", "revision"]].itertuples(index=False, name=None)):
+                newest = int(revision) if newest is None else max(newest, int(revision))
+                if revision == newest:
+                    out.append({"session": key[0], "event_id": int(event_id), "revision": int(revision)})
+        if newest is not None:
+            self.newest.update((newest,))
+        if out:
+            yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def stale_responses(responses: DataFrame) -> DataFrame:
+    """(session, event_id, revision): the responses whose generation is the newest that their session has seen when
+    they arrive; of one trigger, in order of time. Responses without a generation are left out."""
+    rows = responses.where("revision is not null").select("session", "event_id", "revision", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return rows.groupBy("session").transformWithStateInPandas(_Newest(), "session bigint, event_id bigint, revision bigint", "Append", "None")
 
 
 class _Replay(StatefulProcessor):

@@ -8,9 +8,10 @@ from quire.operators import edits
 from quire.streaming import jobs
 
 
-def staged(spark, df, folder, parts=4):
+def staged(spark, df, folder, parts=4, order="ts"):
     """df as a stream: files by time, one for each trigger."""
-    df = df.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("slice", F.ntile(parts).over(Window.orderBy("ts", "event_id"))).persist()
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    df = df.withColumn("slice", F.ntile(parts).over(Window.orderBy(order, "event_id"))).persist()
     for k in range(1, parts + 1):
         df.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(str(folder))
     return spark.readStream.schema(df.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
@@ -51,15 +52,65 @@ def test_coalesce_stream(spark, sf, tmp_path):
     assert got.count() == edits.inflight_coalesce(batch, ["session", "page", "revision"]).count()
 
 
+def ended(spark, batch, key, days=4000):
+    """batch and an event of another key long after, which lets the watermark pass everything."""
+    far = batch.agg(F.max("ts").alias("m")).select(F.expr(f"m + interval {days} days").alias("ts"))
+    row = far.select(*[F.col("ts") if c == "ts" else F.lit(-1).cast(t).alias(c) if c in (key, "event_id") else F.lit(None).cast(t).alias(c) for c, t in batch.dtypes])
+    return batch.unionByName(row)
+
+
+def shuffled(spark, batch, folder, parts=4):
+    """A stream whose files hold events out of order by up to an hour."""
+    rows = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+    late = F.expr("ts + make_interval(0, 0, 0, 0, 0, event_id % 59, 0)")
+    return staged(spark, rows, folder, parts, late)
+
+
 def test_stalled_stream(spark, sf, tmp_path):
+    """Timers, order within the delay and restarts give the rows of the batch form."""
+    batch = R.request_events(spark, sf)
+    batch = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = jobs.stalled_requests(shuffled(spark, ended(spark, batch, "session"), tmp_path / "in"), 86400.5, "2 hours")
+    got = {tuple(r) for r in drained(stream, "stalled").collect()}
+    want = {tuple(r) for r in edits.stalled_requests(batch, 86400.5).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_clocks_of_requests(spark, tmp_path):
+    """Fractions of a second count, what was never started has no clock, and a clock that ran out needs a new start."""
+    log = [
+        (1, 0.0, "started"), (1, 20.0, "progress"), (1, 40.1, "done"),  # 20.1 s of silence
+        (2, 0.0, "started"), (2, 20.0, "progress"), (2, 40.0, "done"),  # never over 20 s
+        (3, 0.0, "queued"), (3, 90.0, "progress"),  # not started
+        (4, 0.0, "started"), (4, 50.0, "progress"), (4, 60.0, "started"), (4, 61.0, "queued"),  # out, still out, started again, out at the end
+        (5, 5.0, "done"), (5, 6.0, "started"), (5, 7.0, "done"),
+        (6, 0.0, "started"), (6, 0.0, "progress"),
+    ]
+    rows = spark.createDataFrame([(1, r, n, t, p) for n, (r, t, p) in enumerate(log)], "session long, request long, event_id long, t double, phase string")
+    rows = rows.withColumn("ts", F.timestamp_micros((F.col("t") * 1000000).cast("long") + 10**15)).drop("t")
+    want = {(1, 1), (4, 8), (4, 11), (6, 16)}
+    assert {(r.request, r.event_id) for r in edits.stalled_requests(rows, 20).collect()} == want
+    stream = jobs.stalled_requests(staged(spark, ended(spark, rows, "session"), tmp_path / "in", 3), 20, "1 second")
+    assert {(r.request, r.event_id) for r in drained(stream, "clocks").collect()} == want
+
+
+def test_gated_stream(spark, sf, tmp_path):
+    a = R.actions(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("composing", F.expr("case type when 'add' then true when 'undo' then false end"))
+    a = a.select("doc", "event_id", "ts", "composing")
+    # changes exactly the gap apart are of one burst
+    tie = spark.createDataFrame([(-5, 10**9, 0), (-5, 10**9 + 1, 3600), (-5, 10**9 + 2, 7201)], "doc long, event_id long, t long").select("doc", "event_id", F.timestamp_seconds(F.col("t") + 1704067200).alias("ts"), F.lit(None).cast("boolean").alias("composing"))
+    batch = a.unionByName(tie)
+    stream = jobs.gated_saves(shuffled(spark, ended(spark, batch, "doc"), tmp_path / "in"), 3600, "2 hours")
+    got = {(r.doc, r.event_id) for r in drained(stream, "gated").collect()}
+    want = {(r.doc, r.event_id) for r in edits.gated_saves(batch, "1 hour").collect()}
+    assert got == want and {r for r in want if r[0] == -5} == {(-5, 10**9 + 1), (-5, 10**9 + 2)} and len(want) > 50
+
+
+def test_stale_responses_stream(spark, sf, tmp_path):
     batch = R.requests(spark, sf)
-    got = drained(jobs.stalled_requests(staged(spark, batch, tmp_path / "in"), 14400, "1 second"), "stalled")
-    want = edits.stalled_requests(batch, 14400)
-    later = {r.session: r.event_id for r in batch.groupBy("session").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")).collect()}
-    # the last event of a session is stalled only once the watermark has passed it by the timeout
-    closed = {(r.session, r.event_id) for r in want.collect() if later[r.session] != r.event_id}
-    found = {(r.session, r.event_id) for r in got.collect()}
-    assert closed and closed <= found <= {(r.session, r.event_id) for r in want.collect()}
+    got = {tuple(r) for r in drained(jobs.stale_responses(staged(spark, batch, tmp_path / "in")), "fresh").collect()}
+    want = {tuple(r) for r in edits.stale_responses(batch).select("session", "event_id", "revision").collect()}
+    assert got == want and 0 < len(want) < batch.count()
 
 
 def test_intake_stream(spark, tmp_path):
