@@ -85,10 +85,12 @@ def missing_glyphs(used: DataFrame, coverage: DataFrame) -> DataFrame:
     return used.select("font", "cp").distinct().join(coverage.where("gid <> 0"), ["font", "cp"], "left_anti")
 
 
-def font_action(reconciled: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(page_no, face, action) of each unusable face: substitute (unknown), download (in the catalogue, and no
-    font of that name has others), own_file (known but not embedded)."""
-    known = catalog.select(F.col("name").alias("face"), F.lit(True).alias("listed")).distinct()
-    rows = reconciled.where("not usable").join(known, "face", "left")
-    action = F.when(F.col("embedded") == "unknown", "substitute").when(F.col("listed") & ~F.col("several"), "download").otherwise("own_file")
+def font_action(reconciled: DataFrame, declared: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(page_no, face, action) of each unusable face: substitute (unknown), download (catalog_face offers a face to
+    every declaration of it on the page, so none differs in weight or slant, and no font of that name has others),
+    own_file (known but not embedded)."""
+    offers = catalog_face(declared, catalog).join(declared.select("font_id", "page_no", postscript_name(F.col("name")).alias("face")), "font_id")
+    offered = offers.groupBy("page_no", "face").agg(F.bool_and(F.col("face_id").isNotNull()).alias("offered"))
+    rows = reconciled.where("not usable").join(offered, ["page_no", "face"], "left")
+    action = F.when(F.col("embedded") == "unknown", "substitute").when(F.col("offered") & ~F.col("several"), "download").otherwise("own_file")
     return rows.select("page_no", "face", action.alias("action"))

@@ -123,12 +123,21 @@ def verify_hash(records: DataFrame, sources: DataFrame) -> DataFrame:
     return records.join(actual, "id", "left").where(~F.col("source_hash").eqNullSafe(F.col("actual"))).select("id", F.col("source_hash").alias("stored"), "actual")
 
 
-def source_page_refs(pages: DataFrame, info: DataFrame) -> DataFrame:
-    """(doc_id, ord, reason): pages that refer past their document's end, or repeat an original instance."""
-    original = (F.col("kind") == "pdf") & F.col("original")
-    n = F.count_if(original).over(Window.partitionBy("doc_id", "source_page"))
-    rows = pages.withColumn("originals", n).where("kind = 'pdf'").join(info, "doc_id", "left")
-    reason = F.when(F.coalesce(F.col("source_page") >= F.col("page_count"), F.lit(True)), "range").when(F.col("original") & (F.col("originals") > 1), "original")
+def source_page_refs(pages: DataFrame, info: DataFrame, copyable: DataFrame, fonts: DataFrame) -> DataFrame:
+    """(doc_id, ord, reason): the first fault of a page: `font`, a run on it uses a font of a page past the
+    document's end; `range`, it refers past that end itself; `original`, another page is an original instance of the
+    same source page too; `copy`, it is a copy of one that may not be copied. Blank pages have none but refer to fonts.
+
+    info: (doc_id, page_count), a document without it has no pages; copyable: (doc_id, page_no) of source pages that may
+    be copied; fonts: (doc_id, ord, font_page), the pages whose fonts the runs of a page use.
+    """
+    pdf = F.col("kind") == "pdf"
+    n = F.count_if(pdf & F.col("original")).over(Window.partitionBy("doc_id", "source_page"))
+    used = fonts.groupBy("doc_id", "ord").agg(F.max("font_page").alias("font_page"))
+    may = copyable.select("doc_id", F.col("page_no").alias("source_page"), F.lit(True).alias("may")).distinct()
+    rows = pages.withColumn("originals", n).join(info, "doc_id", "left").join(used, ["doc_id", "ord"], "left").join(may, ["doc_id", "source_page"], "left")
+    past = lambda c: F.coalesce(F.col(c) >= F.coalesce("page_count", F.lit(0)), F.lit(False))
+    reason = F.when(past("font_page"), "font").when(pdf & past("source_page"), "range").when(pdf & F.col("original") & (F.col("originals") > 1), "original").when(pdf & ~F.col("original") & F.col("may").isNull(), "copy")
     return rows.withColumn("reason", reason).where("reason is not null").select("doc_id", "ord", "reason")
 
 
@@ -147,13 +156,20 @@ def merge_referenced(refs: DataFrame, present: DataFrame, incoming: DataFrame) -
     return wanted.join(found, "asset_id", "left").select("asset_id", F.when(F.col("found"), "added").otherwise("missing").alias("status"))
 
 
+#: The id of an asset that a user brought: hash of the file, and the number of the font in it.
+LOCAL_ID = r"^[a-f0-9]{64}:\d+$"
+
+
 def verify_asset_catalog(stored: DataFrame, catalog: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """(key, reason): stored assets that repeat, or differ from their catalogue row in any column."""
+    """(key, reason): stored assets that repeat, are local (`origin`) with an id that is not LOCAL_ID or does not
+    end in their `subfont`, or are from the catalogue and unknown there or differ from their row in any column."""
     n = F.count("*").over(Window.partitionBy(key))
     other = catalog.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__known"))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns])
+    local = F.coalesce(F.col("origin") == "local", F.lit(False))
+    named = F.coalesce(F.col(key).rlike(LOCAL_ID) & F.col(key).endswith(F.concat(F.lit(":"), F.col("subfont").cast("string"))), F.lit(False))
     rows = stored.withColumn("__n", n).join(other, key, "left")
-    reason = F.when(F.col("__n") > 1, "repeated").when(F.col("__known").isNull(), "unknown").when(~same, "differs")
+    reason = F.when(F.col("__n") > 1, "repeated").when(local & ~named, "local id").when(~local & F.col("__known").isNull(), "unknown").when(~local & ~same, "differs")
     return rows.withColumn("reason", reason).where("reason is not null").select(key, "reason").distinct()
 
 

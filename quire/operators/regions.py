@@ -140,12 +140,12 @@ def validate_region_config(mappings: DataFrame, selected: DataFrame, roles: list
 
 
 def field_cards(selected: DataFrame, mappings: DataFrame, states: DataFrame) -> DataFrame:
-    """(doc_id, position, mapping_id, role, text, reason) of selected unlocked mappings in selection order. If
+    """(doc_id, position, mapping_id, role, page_no, text, reason) of selected unlocked mappings in selection order. If
     any mapping of the document is unresolved, all its cards get that reason. states: (mapping_id, reason)."""
     rows = mappings.join(states, "mapping_id", "left")
     stop = rows.groupBy("doc_id").agg(F.bool_or(F.col("reason") == "unresolved").alias("stop"))
-    cards = selected.join(rows.where("role <> 'locked'").select("mapping_id", "role", F.col("stored_text").alias("text"), "reason"), "mapping_id").join(stop, "doc_id")
-    return cards.select("doc_id", "position", "mapping_id", "role", "text", F.when(F.coalesce("stop", F.lit(False)), "unresolved").otherwise(F.col("reason")).alias("reason"))
+    cards = selected.join(rows.where("role <> 'locked'").select("mapping_id", "role", "page_no", F.col("stored_text").alias("text"), "reason"), "mapping_id").join(stop, "doc_id")
+    return cards.select("doc_id", "position", "mapping_id", "role", "page_no", "text", F.when(F.coalesce("stop", F.lit(False)), "unresolved").otherwise(F.col("reason")).alias("reason"))
 
 
 def apply_field_values(proposals: DataFrame, mappings: DataFrame, blocking: DataFrame) -> DataFrame:

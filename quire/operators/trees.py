@@ -113,6 +113,16 @@ def drop_dangling(references: DataFrame, kept_pages: DataFrame, aliases: DataFra
     return rows.join(kept_pages.select(F.col("page").alias("at")), "at", "left_semi").select("ref_id", F.col("at").alias("page"))
 
 
+def kept_names(kept_pages: DataFrame, aliases: DataFrame, targets: DataFrame) -> DataFrame:
+    """H5: (name): the names that stay: targets on a kept page, and aliases whose way ends at none that is dropped, over
+    however many others it goes. One that leads nowhere, or into a cycle, loses nothing and stays."""
+    dropped = targets.join(kept_pages.select(F.col("page").alias("target")), "target", "left_anti").select("name", F.lit(True).alias("mark"))
+    nodes = targets.select(F.col("name").alias("node"), F.lit(None).cast("string").alias("parent")).unionByName(aliases.select(F.col("name").alias("node"), F.col("to").alias("parent")))
+    marked = nodes.join(dropped, F.col("node") == F.col("name"), "left").select("node", "parent", F.col("mark").alias("value"))
+    fate = climb(marked, Scratch(aliases.sparkSession), "names")  # the mark comes down from a dropped name to all that leads to it
+    return fate.where("value is null").select(F.col("node").alias("name"))
+
+
 def tree_consistency(edges: DataFrame, pointers: DataFrame, widgets: DataFrame, kept_pages: DataFrame) -> DataFrame:
     """H6: (node, violation), one row for each: reached twice, on a cycle, parent pointer other than an edge, widget
     on two pages, widget on a removed page, widget outside the tree.

@@ -39,9 +39,28 @@ def j6_near_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.near_match(p.where("(vec_id div 20) % 2 = 1"), p.where("(vec_id div 20) % 2 = 0"), 0.5, ["page_no"]).where("match is not null")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b FROM r_points a JOIN r_points b ON a.page_no = b.page_no AND a.vec_id < b.vec_id AND abs(a.y - b.y) < 0.02")
+#: Lines in three directions, with a glyph every six points, and other lines that begin near one of their glyphs.
+_WAYS = "CASE line_no % 3 WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END"
+_DX, _DY = _WAYS.format("1.0::DOUBLE", "0.6::DOUBLE", "0.8::DOUBLE"), _WAYS.format("0.0::DOUBLE", "0.8::DOUBLE", "-0.6::DOUBLE")
+R.RELATIONS["r_slanted"] = f"SELECT doc_id, page_no, line_no AS line_id, u AS x, v AS y, {_DX} AS dx, {_DY} AS dy FROM r_geo"
+R.RELATIONS["r_slanted_glyphs"] = "SELECT doc_id, page_no, line_id, x + 6.0::DOUBLE * k * dx AS x, y + 6.0::DOUBLE * k * dy AS y FROM (SELECT *, unnest(range(12)) AS k FROM r_slanted)"
+R.RELATIONS["r_slanted_others"] = """SELECT doc_id, page_no, line_id, x + 6.0::DOUBLE * (line_id % 5) * dx - off * dy AS x, y + 6.0::DOUBLE * (line_id % 5) * dy + off * dx AS y, dx + CASE line_id % 4 WHEN 1 THEN 0.0004::DOUBLE WHEN 2 THEN 0.0015::DOUBLE ELSE 0.0::DOUBLE END AS dx, dy
+FROM (SELECT *, CASE line_id % 7 WHEN 3 THEN 0.015::DOUBLE WHEN 4 THEN 0.025::DOUBLE ELSE 0.0::DOUBLE END AS off FROM r_slanted)"""
+
+
+def slanted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ways = lambda a, b, c: F.expr(f"case line_no % 3 when 0 then {a} when 1 then {b} else {c} end")
+    lines = R.geo_lines(spark, sf_dir).select("doc_id", "page_no", F.col("line_no").alias("line_id"), F.col("u").alias("x"), F.col("v").alias("y"), ways("1D", "0.6D", "0.8D").alias("dx"), ways("0D", "0.8D", "-0.6D").alias("dy"))
+    glyphs = lines.withColumn("k", F.explode(F.expr("sequence(0, 11)"))).select("doc_id", "page_no", "line_id", F.expr("x + 6D * k * dx").alias("x"), F.expr("y + 6D * k * dy").alias("y"))
+    off = lines.withColumn("off", F.expr("case line_id % 7 when 3 then 0.015D when 4 then 0.025D else 0D end"))
+    others = off.select("doc_id", "page_no", "line_id", F.expr("x + 6D * (line_id % 5) * dx - off * dy").alias("x"), F.expr("y + 6D * (line_id % 5) * dy + off * dx").alias("y"), F.expr("dx + case line_id % 4 when 1 then 0.0004D when 2 then 0.0015D else 0D end").alias("dx"), "dy")
+    return lines, glyphs, others
+
+
+@query("""SELECT DISTINCT a.doc_id, a.page_no, a.line_id AS a, b.line_id AS b FROM r_slanted a JOIN r_slanted_others b ON a.doc_id = b.doc_id AND a.page_no = b.page_no JOIN r_slanted_glyphs g ON g.doc_id = a.doc_id AND g.page_no = a.page_no AND g.line_id = a.line_id
+WHERE sqrt((a.dx - b.dx) * (a.dx - b.dx) + (a.dy - b.dy) * (a.dy - b.dy)) < 0.001 AND abs((b.x - a.x) * a.dy - (b.y - a.y) * a.dx) < 0.02 AND sqrt((b.x - g.x) * (b.x - g.x) + (b.y - g.y) * (b.y - g.y)) < 0.02""")
 def j7_same_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.same_baseline(R.points(spark, sf_dir), 0.02, ["page_no"])
+    return op.same_baseline(*slanted(spark, sf_dir), op.PAGE)
 
 
 @query("SELECT a.doc_id, a.page_no, a.line_no AS a, b.line_no AS b FROM r_boxes a JOIN r_boxes b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.line_no < b.line_no AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0")
@@ -93,12 +112,26 @@ def j5_overlay_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.overlay_edits(g, edits)
 
 
-@query("""SELECT doc_id, page_no, row_no, 228.0::DOUBLE AS rule_v FROM (SELECT *, lag(bottom) OVER w AS gap_top, least(l0, lag(l0) OVER w) AS l, greatest(r0, lag(r0) OVER w) AS r FROM (
-SELECT doc_id, page_no, row_no, min(u) AS l0, max(end_u) AS r0, min(v) - 9 AS top, max(v) + 3 AS bottom FROM r_rows GROUP BY ALL) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY row_no)) WHERE 228.0 > gap_top + 0.01::DOUBLE AND 228.0 < top - 0.01::DOUBLE AND 50.0 <= l + 0.01::DOUBLE AND 300.0 >= r - 0.01::DOUBLE""")
+#: Ink of the items of a row, a rule under some rows that is broad enough on some pages, and rules between items.
+R.RELATIONS["r_ink"] = "SELECT doc_id, page_no, row_no, line_no AS item_no, u AS x0, v - 9 AS y0, end_u AS x1, v + 3 AS y1 FROM r_rows"
+R.RELATIONS["r_rules"] = """SELECT DISTINCT doc_id, page_no, 400.0::DOUBLE AS x0, r.y AS y0, CASE WHEN doc_id % 3 = 0 THEN 60.0::DOUBLE ELSE 30.0::DOUBLE END AS x1, r.y AS y1 FROM r_geo, (VALUES (64.5::DOUBLE), (120.0::DOUBLE), (156.0::DOUBLE)) r(y)
+UNION ALL SELECT DISTINCT doc_id, page_no, 164.0::DOUBLE, 40.0::DOUBLE, 164.0::DOUBLE, CASE WHEN page_no % 2 = 0 THEN 130.0::DOUBLE ELSE 1000.0::DOUBLE END FROM r_geo"""
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = R.geo_lines(spark, sf_dir).select(*op.PAGE).distinct()
+    across = pages.select(*op.PAGE, F.lit(400.0).alias("x0"), F.explode(F.array(F.lit(64.5), F.lit(120.0), F.lit(156.0))).alias("y0"), F.expr("if(doc_id % 3 = 0, 60D, 30D)").alias("x1")).withColumn("y1", F.col("y0"))
+    return across.unionByName(pages.select(*op.PAGE, F.lit(164.0).alias("x0"), F.lit(40.0).alias("y0"), F.lit(164.0).alias("x1"), F.expr("if(page_no % 2 = 0, 130D, 1000D)").alias("y1")))
+
+
+@query("""WITH w AS (SELECT doc_id, page_no, row_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM r_ink GROUP BY ALL),
+h AS (SELECT doc_id, page_no, row_no, NULL::BIGINT AS item_no, lag(y1) OVER o AS low, y0 AS high, least(x0, lag(x0) OVER o) AS f, greatest(x1, lag(x1) OVER o) AS t, lag(y1) OVER o IS NOT NULL AS pair FROM w WINDOW o AS (PARTITION BY doc_id, page_no ORDER BY row_no)),
+v AS (SELECT doc_id, page_no, row_no, item_no, lag(x1) OVER o AS low, x0 AS high, least(y0, lag(y0) OVER o) AS f, greatest(y1, lag(y1) OVER o) AS t, lag(x1) OVER o IS NOT NULL AS pair FROM r_ink WINDOW o AS (PARTITION BY doc_id, page_no, row_no ORDER BY x0, item_no))
+SELECT h.doc_id, h.page_no, row_no, -1::BIGINT AS item_no, r.y0 AS place FROM h JOIN r_rules r ON h.doc_id = r.doc_id AND h.page_no = r.page_no WHERE pair AND abs(r.y0 - r.y1) < 0.01 AND r.y0 > low + 0.01::DOUBLE AND r.y0 < high - 0.01::DOUBLE AND least(r.x0, r.x1) <= f + 0.01::DOUBLE AND greatest(r.x0, r.x1) >= t - 0.01::DOUBLE
+UNION ALL SELECT v.doc_id, v.page_no, row_no, item_no, r.x0 FROM v JOIN r_rules r ON v.doc_id = r.doc_id AND v.page_no = r.page_no WHERE pair AND abs(r.x0 - r.x1) < 0.01 AND r.x0 > low + 0.01::DOUBLE AND r.x0 < high - 0.01::DOUBLE AND least(r.y0, r.y1) <= f + 0.01::DOUBLE AND greatest(r.y0, r.y1) >= t - 0.01::DOUBLE""")
 def j20_ruling_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rows(spark, sf_dir).groupBy(*op.PAGE, "row_no").agg(F.min("u").alias("left"), F.max("end_u").alias("right"), (F.min("v") - 9).alias("top"), (F.max("v") + 3).alias("bottom"))
-    rule = r.select(*op.PAGE).distinct().select(*op.PAGE, F.lit(50.0).alias("x0"), F.lit(300.0).alias("x1"), F.lit(228.0).alias("v"))
-    return op.ruling_crossings(r, rule)
+    ink = rows(spark, sf_dir).select(*op.PAGE, "row_no", F.col("line_no").alias("item_no"), F.col("u").alias("x0"), (F.col("v") - 9).alias("y0"), F.col("end_u").alias("x1"), (F.col("v") + 3).alias("y1"))
+    return op.ruling_crossings(ink, rules(spark, sf_dir)).withColumn("item_no", F.coalesce("item_no", F.lit(-1).cast("bigint")))
 
 
 @query("""WITH g AS (SELECT doc_id, page_no, min(v) AS v0, max(v) AS v1, min(u) AS l, max(end_u) AS r FROM r_geo WHERE line_no % 40 IN (2, 5, 9) GROUP BY ALL)

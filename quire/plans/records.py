@@ -96,11 +96,16 @@ def j1_verify_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.RELATIONS["r_info"] = "SELECT o_orderkey AS doc_id, 3 + o_orderkey % 5 AS page_count FROM orders"
 
 
-@query("""SELECT doc_id, ord, reason FROM (SELECT p.doc_id, ord, CASE WHEN page_count IS NULL OR source_page >= page_count THEN 'range' WHEN original AND n > 1 THEN 'original' END AS reason
-FROM (SELECT *, count(*) FILTER (kind = 'pdf' AND original) OVER (PARTITION BY doc_id, source_page) AS n FROM r_pages) p LEFT JOIN r_info i ON p.doc_id = i.doc_id WHERE kind = 'pdf') WHERE reason IS NOT NULL""")
+@query("""SELECT doc_id, ord, reason FROM (SELECT p.doc_id, ord, CASE WHEN (p.doc_id + ord) % 6 >= coalesce(page_count, 0) AND (p.doc_id + ord) % 9 < 2 THEN 'font' WHEN kind = 'pdf' AND source_page >= coalesce(page_count, 0) THEN 'range' WHEN kind = 'pdf' AND original AND n > 1 THEN 'original'
+WHEN kind = 'pdf' AND NOT original AND (p.doc_id % 4 = 0 OR source_page % 2 = 1) THEN 'copy' END AS reason
+FROM (SELECT *, count(*) FILTER (kind = 'pdf' AND original) OVER (PARTITION BY doc_id, source_page) AS n FROM r_pages) p LEFT JOIN r_info i ON p.doc_id = i.doc_id) WHERE reason IS NOT NULL""")
 def j2_source_page_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages in nine use a font of some page; even pages of documents that are no multiple of four may be copied."""
     info = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr("3 + o_orderkey % 5").alias("page_count"))
-    return op.source_page_refs(R.doc_pages(spark, sf_dir), info)
+    pages = R.doc_pages(spark, sf_dir)
+    copyable = info.where("doc_id % 4 <> 0").select("doc_id", F.explode(F.expr("sequence(0L, 8L, 2L)")).alias("page_no"))
+    used = pages.where("(doc_id + ord) % 9 < 2").select("doc_id", "ord", F.explode(F.expr("array(0L, (doc_id + ord) % 6)")).alias("font_page"))
+    return op.source_page_refs(pages, info, copyable, used)
 
 
 @query("SELECT DISTINCT doc_id, ref, CASE WHEN starts_with(ref, 'blob:') THEN 'blob' ELSE 'missing' END AS reason FROM r_refs WHERE starts_with(ref, 'blob:') OR (starts_with(ref, 'asset:') AND substring(ref, 7) NOT IN (SELECT asset_id FROM r_assets))")
@@ -115,12 +120,19 @@ def j4_merge_referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.merge_referenced(refs, R.assets(spark, sf_dir).where("p_partkey % 2 = 0"), incoming)
 
 
-@query("""SELECT DISTINCT p_name, CASE WHEN n > 1 THEN 'repeated' WHEN NOT known THEN 'unknown' ELSE 'differs' END AS reason FROM (SELECT p_name, p_partkey % 9 <> 0 AS known, p_partkey % 10 = 0 AS differs, count(*) OVER (PARTITION BY p_name) AS n FROM part) WHERE n > 1 OR NOT known OR differs""")
+_LOCAL = "sha256(p_name) || CASE p_partkey % 14 WHEN 0 THEN '' WHEN 7 THEN ':x' ELSE ':' || (p_size % 4) END"
+
+
+@query(f"""SELECT DISTINCT id, CASE WHEN n > 1 THEN 'repeated' WHEN local THEN 'local id' WHEN NOT known THEN 'unknown' ELSE 'differs' END AS reason FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM
+(SELECT CASE WHEN p_size % 3 = 0 THEN {_LOCAL} ELSE p_name || '/' || (p_partkey % 700) END AS id, p_size % 3 = 0 AS local, p_partkey % 14 IN (0, 7) OR p_size % 4 <> p_size % 5 AS wrong, p_partkey % 9 <> 0 AS known, p_partkey % 10 = 0 AS differs FROM part))
+WHERE n > 1 OR (local AND wrong) OR (NOT local AND (NOT known OR differs))""")
 def j22_verify_asset_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    stored = p.select("p_name", F.expr("if(p_partkey % 10 = 0, 'other', p_brand)").alias("family"), F.expr("bigint(p_size)").alias("weight"))
-    catalog = p.where("p_partkey % 9 <> 0").groupBy("p_name").agg(F.min("p_brand").alias("family"), F.min(F.expr("bigint(p_size)")).alias("weight"))
-    return op.verify_asset_catalog(stored, catalog, ["family", "weight"], "p_name")
+    """A third of the assets are local, some of them under ids of another form or another font of the file."""
+    p = table(spark, sf_dir, "part").withColumn("local", F.expr("p_size % 3 = 0"))
+    id_ = F.expr("if(local, concat(sha2(p_name, 256), case p_partkey % 14 when 0 then '' when 7 then ':x' else concat(':', p_size % 4) end), concat(p_name, '/', p_partkey % 700))")
+    stored = p.select(id_.alias("id"), F.expr("if(local, 'local', null)").alias("origin"), F.expr("if(local, p_size % 5, null)").alias("subfont"), F.expr("if(p_partkey % 10 = 0, 'other', p_brand)").alias("family"), F.expr("bigint(p_size)").alias("weight"))
+    catalog = p.where("p_partkey % 9 <> 0 and not local").groupBy(F.expr("concat(p_name, '/', p_partkey % 700)").alias("id")).agg(F.min("p_brand").alias("family"), F.min(F.expr("bigint(p_size)")).alias("weight"))
+    return op.verify_asset_catalog(stored, catalog, ["family", "weight"], "id")
 
 
 @query("""SELECT coalesce(s.id, i.id) AS id, o AS outcome, CASE WHEN o IN ('inserted', 'updated') THEN i.sequence ELSE s.sequence END AS sequence FROM (SELECT s, i, CASE WHEN i.id IS NULL THEN 'kept' WHEN s.id IS NULL THEN 'inserted'

@@ -110,7 +110,7 @@ def a13_validate_region_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.validate_region_config(m.unionByName(extra[0]).unionByName(extra[1]).unionByName(extra[2]), chosen.unionByName(chosen.where("doc_id % 7 = 0")), list(R.ROLES), formats)
 
 
-@query("""SELECT m.doc_id, line_no // 2 AS position, mapping_id, role, stored_text AS text, CASE WHEN bool_or(line_no % 21 = 14 AND m.doc_id % 5 = 0) OVER (PARTITION BY m.doc_id) THEN 'unresolved' WHEN line_no % 3 = 0 THEN 'stale' END AS reason FROM r_mappings m QUALIFY role <> 'locked' AND line_no % 2 = 0""")
+@query("""SELECT m.doc_id, line_no // 2 AS position, mapping_id, role, page_no, stored_text AS text, CASE WHEN bool_or(line_no % 21 = 14 AND m.doc_id % 5 = 0) OVER (PARTITION BY m.doc_id) THEN 'unresolved' WHEN line_no % 3 = 0 THEN 'stale' END AS reason FROM r_mappings m QUALIFY role <> 'locked' AND line_no % 2 = 0""")
 def a14_field_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = R.mappings(spark, sf_dir)
     states = m.select("mapping_id", F.expr("case when line_no % 21 = 14 and doc_id % 5 = 0 then 'unresolved' when line_no % 3 = 0 then 'stale' end").alias("reason"))

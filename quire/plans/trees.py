@@ -43,8 +43,16 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT font_id, CASE WHEN NOT bad THEN face_id END AS face_id, bad AND face_id IS NOT NULL AS conflict FROM (SELECT font_id, face_id, coalesce(w <> c.weight, false) OR coalesce(i <> c.italic, false) AS bad FROM
 (SELECT font_id, regexp_replace(name, '^[A-Z]{6}\\+', '') AS ps, CASE WHEN font_id % 4 = 0 THEN weight END AS w, CASE WHEN font_id % 3 = 0 THEN weight > 25 END AS i FROM r_fonts) f LEFT JOIN r_catalog c ON f.ps = c.name)""")
 def j18_catalog_face(spark: SparkSession, sf_dir: str) -> DataFrame:
-    declared = R.font_declarations(spark, sf_dir).withColumn("italic", F.expr("if(font_id % 3 = 0, weight > 25, null)")).withColumn("weight", F.expr("if(font_id % 4 = 0, weight, null)"))
-    return fonts.catalog_face(declared, catalog(spark, sf_dir))
+    return fonts.catalog_face(_styled(spark, sf_dir), catalog(spark, sf_dir))
+
+
+def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations of which some give a weight, and some a slant."""
+    return R.font_declarations(spark, sf_dir).withColumn("italic", F.expr("if(font_id % 3 = 0, weight > 25, null)")).withColumn("weight", F.expr("if(font_id % 4 = 0, weight, null)"))
+
+
+R.RELATIONS["r_offers"] = """SELECT page_no, ps, face_id IS NOT NULL AND NOT (coalesce(w <> c.weight, false) OR coalesce(i <> c.italic, false)) AS fits FROM
+(SELECT page_no, regexp_replace(name, '^[A-Z]{6}\\+', '') AS ps, CASE WHEN font_id % 4 = 0 THEN weight END AS w, CASE WHEN font_id % 3 = 0 THEN weight > 25 END AS i FROM r_fonts) f LEFT JOIN r_catalog c ON f.ps = c.name"""
 
 
 @query("""WITH d AS (SELECT p_partkey AS font_id, lower(replace(p_name, '-', '')) AS b, CASE p_size % 5 WHEN 0 THEN 'bold' WHEN 1 THEN 'italic' ELSE '' END AS st, CASE WHEN p_size % 3 = 0 THEN 400 END AS w, CASE WHEN p_size % 2 = 0 THEN false END AS it FROM part),
@@ -77,9 +85,9 @@ def j19_missing_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fonts.missing_glyphs(g.withColumn("font", F.expr("(font + 1) % 20")), fonts.glyph_coverage(g))
 
 
-@query("SELECT page_no, face, CASE WHEN conflict OR partial THEN 'substitute' WHEN face IN (SELECT name FROM r_catalog) AND NOT several THEN 'download' ELSE 'own_file' END AS action FROM r_faces WHERE conflict OR partial OR NOT has")
+@query("SELECT page_no, face, CASE WHEN conflict OR partial THEN 'substitute' WHEN (page_no, face) IN (SELECT (page_no, ps) FROM r_offers GROUP BY ALL HAVING bool_and(fits)) AND NOT several THEN 'download' ELSE 'own_file' END AS action FROM r_faces WHERE conflict OR partial OR NOT has")
 def t8_font_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fonts.font_action(reconciled(spark, sf_dir), catalog(spark, sf_dir))
+    return fonts.font_action(reconciled(spark, sf_dir), _styled(spark, sf_dir), catalog(spark, sf_dir))
 
 
 R.RELATIONS["r_up"] = """SELECT node, node AS anc, 0 AS depth FROM r_tree UNION ALL SELECT node, parent, 1 FROM r_tree WHERE parent IS NOT NULL UNION ALL SELECT a.node, b.parent, 2 FROM r_tree a JOIN r_tree b ON a.parent = b.node WHERE b.parent IS NOT NULL
@@ -147,6 +155,12 @@ def h5_drop_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.drop_dangling(refs, kept, *_aliases(spark, sf_dir))
 
 
+@query("""SELECT name FROM r_resolved WHERE status <> 'ok' OR target IN (SELECT 'page' || p FROM range(0, 100, 3) x(p)) UNION ALL SELECT 't' || c_custkey FROM customer WHERE c_custkey % 8 = 0 AND c_custkey % 100 % 3 = 0""")
+def h5_kept_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = spark.range(0, 100, 3).select(F.expr("concat('page', id)").alias("page"))
+    return trees.kept_names(kept, *_aliases(spark, sf_dir))
+
+
 @query("""SELECT 'o' || o_orderkey AS node, unnest(['reached twice', 'parent pointer']) AS violation FROM orders WHERE o_orderkey % 11 = 0
 UNION ALL SELECT 'c' || c_custkey, unnest(['cycle', 'parent pointer']) FROM customer WHERE c_custkey % 40 = 1 UNION ALL SELECT 'k' || c_custkey, 'cycle' FROM customer WHERE c_custkey % 40 = 1
 UNION ALL SELECT 'o' || o_orderkey, 'on two pages' FROM orders WHERE o_orderkey % 13 = 0 UNION ALL SELECT 'o' || o_orderkey, 'on removed page' FROM orders WHERE o_orderkey % 6 = 5 OR (o_orderkey % 13 = 0 AND o_orderkey % 6 = 4)

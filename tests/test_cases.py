@@ -1,6 +1,7 @@
 """Small authored cases and invariants for operators, beside the comparison with SQL."""
 
 import hashlib
+import math
 import random
 import unicodedata
 
@@ -101,6 +102,45 @@ def test_random_boxes_match_brute_force(spark):
     assert got == want
 
 
+def test_boxes_far_beyond_their_page_make_no_tiles(spark):
+    rng = random.Random(9)
+    side = lambda: rng.choice([5.0, 60.0, 300.0, 1e6, 1e12])
+    boxes = [(1, 0, n, x, y, x + side(), y + side()) for n in range(150) for x, y in [(rng.uniform(-1e4, 1e4), rng.uniform(-1e4, 1e4))]]
+    df = spark.createDataFrame(boxes, "doc_id long, page_no long, n long, x0 double, y0 double, x1 double, y1 double")
+    for size in (128.0, 64.0):
+        assert geometry._tiled(df, size, "a_").count() <= (geometry.TILES + 1) * len(boxes)
+    got = sorted((r.a_n, r.b_n) for r in geometry.box_join(df, df, geometry.overlaps).collect())
+    assert got == sorted((a[2], b[2]) for a in boxes for b in boxes if a[3] < b[5] and a[5] > b[3] and a[4] < b[6] and a[6] > b[4]) and len(got) > 1000
+
+
+def test_baselines_by_direction_offset_and_glyph(spark):
+    schema = "doc_id long, page_no long, line_id long, x double, y double, dx double, dy double"
+    c, s = math.cos(0.3), math.sin(0.3)
+    lines = spark.createDataFrame([(1, 0, 1, 10.0, 10.0, c, s)], schema)
+    glyphs = spark.createDataFrame([(1, 0, 1, 10 + k * c, 10 + k * s) for k in (0, 5, 9)], "doc_id long, page_no long, line_id long, x double, y double")
+    at = lambda k, off=0.0: (10 + k * c - off * s, 10 + k * s + off * c)
+    turned = lambda a: (math.cos(0.3 + a), math.sin(0.3 + a))
+    others = [(*at(5), c, s), (*at(9, 0.015), *turned(0.0008)), (*at(9), *turned(0.002)), (*at(5, 0.03), c, s), (*at(7), c, s), (*at(5), -c, -s)]
+    other = spark.createDataFrame([(1, 0, n, *o) for n, o in enumerate(others)] + [(1, 1, 9, *at(5), c, s)], schema)
+    assert {(r.a, r.b) for r in geometry.same_baseline(lines, glyphs, other, geometry.PAGE).collect()} == {(1, 0), (1, 1)}
+
+
+def test_rules_between_rows_and_items(spark):
+    items = [(0, 0, 0, 0.0, 0.0, 40.0, 10.0), (0, 0, 1, 60.0, 2.0, 90.0, 11.0), (0, 1, 2, 5.0, 20.0, 80.0, 30.0)]
+    rulings = [(95.0, 15.0, -1.0, 15.0), (0.0, 15.0, 80.0, 15.0), (-1.0, 11.005, 95.0, 11.005), (50.0, 12.0, 50.0, -1.0), (50.0, 3.0, 50.0, 12.0), (40.005, -1.0, 40.005, 12.0), (55.0, -5.0, 55.004, 40.0)]
+    df = spark.createDataFrame([(1, *i) for i in items], "doc_id long, page_no long, row_no long, item_no long, x0 double, y0 double, x1 double, y1 double")
+    rules = spark.createDataFrame([(1, 0, *r) for r in rulings], "doc_id long, page_no long, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.row_no, r.item_no, r.place) for r in geometry.ruling_crossings(df, rules).collect()}
+    assert got == {(1, None, 15.0), (0, 1, 50.0), (0, 1, 55.0)}
+
+
+def test_aliases_of_dropped_names_go(spark):
+    aliases = [("a", "b"), ("b", "gone"), ("c", "d"), ("d", "kept"), ("e", "nowhere"), ("f", "g"), ("g", "f"), ("h", "a")]
+    targets = [("gone", "p1"), ("kept", "p2")]
+    got = trees.kept_names(spark.createDataFrame([("p2",)], "page string"), spark.createDataFrame(aliases, "name string, to string"), spark.createDataFrame(targets, "name string, target string"))
+    assert {r.name for r in got.collect()} == {"c", "d", "kept", "e", "f", "g"}
+
+
 @pytest.mark.parametrize("name", ["j6_near_match", "j7_same_baseline", "j8_box_overlap", "j9_box_contains", "j10_select_by_rectangle", "j11_layout_collisions", "j20_ruling_crossings", "j21_intervening_lines"])
 def test_spatial_plans_have_no_nested_loops(spark, sf, name):
     from quire.plans import all_queries
