@@ -33,6 +33,8 @@ IDENTITIES = (
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6)
+#: Texts that a feature must be in to be looked at.
+FEW = 5
 #: Words whose features a task remembers.
 MEMO = 200_000
 
@@ -100,13 +102,13 @@ def fit(rows: list[tuple[int, list[int], list[list[int]]]], size: int, prior: fl
     return b, w
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_features: int = 5000, least_z: float = 4.0, least_lift: float = 2.0, penalty: float = 1.0, groups=IDENTITIES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, least_z: float = 4.0, least_lift: float = 2.0, penalty: float = 1.0, groups=IDENTITIES) -> Model:
     """A model from the documents of `labels` (doc_id, toxic).
 
     At most max_rows documents of each class are used, those with the smallest hash of their id; the share
-    of the classes in all given labels sets the prior. Features are counted on the executors; those whose
-    class shares differ by least_z standard errors and the factor least_lift are kept, the max_features largest differences. Only
-    counts, kept features and index lists of the bounded sample reach the driver. A document labelled
+    of the classes in all given labels sets the prior. Features are counted on the executors; all of at least
+    FEW texts whose class shares differ by least_z standard errors and the factor least_lift are kept. Only
+    kept features and index lists of the bounded sample reach the driver. A document labelled
     twice counts as toxic if any label says so; labels other than 0 and 1 are ignored. Without both
     classes the model is a constant.
     """
@@ -137,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_features
     z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n0 + 1 / n1))
     share0, share1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
     lift = F.greatest(share1 / share0, share0 / share1)
-    kept = counts.where("n0 + n1 >= 5").where(lift >= least_lift).select("feature", F.abs(z).alias("z")).where(F.col("z") >= least_z)
-    names = [r[0] for r in kept.orderBy(F.desc("z"), "feature").limit(max_features).collect()]
+    kept = counts.where(F.col("n0") + F.col("n1") >= FEW).where((lift >= least_lift) & (F.abs(z) >= least_z))
+    names = sorted(r[0] for r in kept.select("feature").collect())
     terms = {f for group in groups for term in group for f in features_of(term)}
     index = {f: i for i, f in enumerate([*names, *sorted(terms - set(names))])}
 
@@ -162,7 +164,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str
     """(id, score, predicted) for each row: the probability of label 1, and 1 where it reaches threshold.
 
     Whole texts are scored; a null or empty text has the score of a text without features. Repeated rows
-    repeat. No shuffle; the model (bounded by max_features) goes with the function.
+    repeat. No shuffle; the model, whose features all come from the bounded sample, goes with the function.
     """
     kind = docs.select(id_col).dtypes[0][1]
 
