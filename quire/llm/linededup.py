@@ -5,16 +5,18 @@ of their character shingles; lines that share a band share a bucket. Buckets wit
 verified once. A bucket is dealt into groups bounded in lines and characters, and a group verifies all its
 pairs by one product of its line-by-shingle matrix: that gives the exact Jaccard similarities, of which only
 a spanning forest of the links is returned, never the pairs. In a bucket too large for one group, lines
-similar to one pivot line are connected by it, so pairs among those are left out. Components are found by
-joins.
+are compared with pivots first, in rounds: those similar to a pivot are connected by it, and as Jaccard distances add
+up, only lines that touch it can be similar to them. Components are found by joins.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -31,6 +33,8 @@ _ODD = _RNG.integers(0, 1 << 32, SLOTS, dtype=np.uint32) | np.uint32(1)
 STEP = 1 << 17
 #: Lines and characters that a group may hold from each of its two blocks, about.
 TILE, TILE_CHARS = 1024, 1 << 20
+#: Pivots of a large bucket in a round.
+PIVOTS = 8
 #: Shingles that are multiplied at once.
 COLUMNS = 4096
 #: Key slots that are counted to find hot buckets, and rows that a hot bucket has at least.
@@ -181,12 +185,12 @@ def bucket_members(lines: DataFrame) -> DataFrame:
 
 
 def distinct_buckets(members: DataFrame) -> DataFrame:
-    """(key, blocks, pivot): one of all buckets that hold the same lines (by count and two sums of hashes),
-    the blocks that it is dealt into, and its smallest line."""
+    """(key, blocks): one of all buckets that hold the same lines (by count and two sums of hashes), and the blocks that
+    it is dealt into."""
     total = lambda seed: F.sum(F.xxhash64("nid", F.lit(seed)).cast("decimal(20,0)"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), total(1).alias("h1"), total(2).alias("h2"), F.sum("size").alias("chars"), F.min("nid").alias("pivot"))
-    one = buckets.groupBy("n", "h1", "h2").agg(F.min(F.struct("key", "chars", "pivot")).alias("b")).select("n", "b.*")
-    return one.select("key", _blocks(F.col("n"), F.col("chars")).alias("blocks"), "pivot")
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), total(1).alias("h1"), total(2).alias("h2"), F.sum("size").alias("chars"))
+    one = buckets.groupBy("n", "h1", "h2").agg(F.min(F.struct("key", "chars")).alias("b")).select("n", "b.*")
+    return one.select("key", _blocks(F.col("n"), F.col("chars")).alias("blocks"))
 
 
 def _blocks(n, chars):
@@ -223,49 +227,109 @@ def similar_rows(lines: list[str], q: int, threshold: float) -> tuple[np.ndarray
     return np.nonzero(np.triu(shared >= threshold * (own[:, None] + own[None, :] - shared) - 1e-3, 1))
 
 
-def _near_pivot(rows: DataFrame, q: int, threshold: float) -> DataFrame:
-    """rows (key, pivot, blocks, nid, size, content, against) with `near`: whether the line is similar to the
-    pivot's content `against`, which is dropped."""
+def _touching(rows: DataFrame, q: int, threshold: float) -> DataFrame:
+    """(key, nid, pivot, near) of the rows (key, nid, content, pivot, against) whose lines are similar to the pivot's
+    content `against` (near), or near enough for a line similar to the pivot to be similar to them: distances add up, so
+    two lines that far apart need a similarity to the pivot of 2 * threshold - 1."""
 
     def run(batches):
-        for batch in batches:
-            memo, near = {}, []
-            for line, pivot in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist()):
-                if pivot not in memo:
-                    memo = {pivot: shingles(pivot, q)}
-                a, b = shingles(line, q), memo[pivot]
-                both = len(a & b)
-                near.append(both >= threshold * (len(a) + len(b) - both) - 1e-3)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(near, pa.bool_())], [*batch.schema.names[:6], "near"])
-
-    return rows.mapInArrow(run, "key bigint, pivot bigint, blocks bigint, nid bigint, size int, content string, near boolean")
-
-
-def verified_links(members: DataFrame, texts: DataFrame, q: int, threshold: float, scratch: Scratch) -> DataFrame:
-    """(a, b): links that connect the lines of each bucket wherever similar ones do.
-
-    A bucket that is too large for one group is dealt into blocks. Its lines are compared with a pivot first:
-    those near it are connected already, so their blocks meet only the blocks of the others; each such pair
-    of blocks is a group of its own.
+        held: dict[int, set[str]] = {}
+        last, own = None, set()
+        for whole in batches:
+            for batch in text_batches(iter([whole]), text=2, limit=1 << 20):
+                near, touch = [], []
+                for nid, line, pivot, against in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
+                    if nid != last:
+                        last, own = nid, shingles(line, q)
+                    if pivot not in held:
+                        if len(held) >= 64:
+                            held.clear()
+                        held[pivot] = shingles(against, q)
+                    both = len(own & held[pivot])
+                    total = len(own) + len(held[pivot]) - both
+                    near.append(both >= threshold * total - 1e-3)
+                    touch.append(near[-1] or both >= (2 * threshold - 1) * total - 1e-2)
+                keep = pa.array(touch, pa.bool_())
+                columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(near, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], ["key", "nid", "pivot", "near"])
+
+    return rows.mapInArrow(run, "key bigint, nid bigint, pivot bigint, near boolean")
+
+
+def _through(n) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), n - 1)
+
+
+def _pivot_rounds(lines: DataFrame, q: int, threshold: float, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """(tables of _touching, far): the lines (key, nid, size, content) of large buckets against pivots, in rounds, and
+    the lines (key, nid, size) that are near none.
+
+    A round takes one pivot of each of PIVOTS hash slots of a bucket's far lines and compares all its lines with them. A
+    bucket is done when its far lines fit into one block, or when a round has made fewer than a tenth of them near.
+    """
+    touched: list[DataFrame] = []
+    far = lines.select("key", "nid", "size")
+    active = scratch.save(far.groupBy("key").agg(F.count("*").alias("n")), "active-0")
+    while not active.isEmpty():
+        k = len(touched)
+        chosen = far.join(active.select("key"), "key", "left_semi").groupBy("key", F.pmod(F.xxhash64("nid", F.lit(k)), F.lit(PIVOTS)).alias("slot")).agg(F.min("nid").alias("nid"))
+        pivots = chosen.join(lines.select("key", "nid", "content"), ["key", "nid"]).select("key", F.col("nid").alias("pivot"), F.col("content").alias("against"))
+        pivots = scratch.save(pivots, f"pivots-{k}")
+        touched.append(scratch.save(_touching(lines.join(pivots, "key").select("key", "nid", "content", "pivot", "against"), q, threshold), f"touched-{k}"))
+        far = scratch.save(far.join(touched[-1].where("near").select("key", "nid"), ["key", "nid"], "left_anti"), f"far-{k}")
+        left = far.groupBy("key").agg(F.count("*").alias("now"), F.sum("size").alias("chars")).where(_blocks(F.col("now"), F.col("chars")) > 1)
+        active = scratch.save(active.join(left, "key").where(F.col("now") < 0.9 * F.col("n")).select("key", F.col("now").alias("n")), f"active-{k + 1}")
+    return touched, far
+
+
+def _large_groups(lines: DataFrame, q: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(groups, near): what is left to compare in large buckets once each line is known to be near pivots or far from
+    all, and the links (a, b) of near lines to their pivots.
+
+    Two lines that are similar, but not connected by pivots so far, are both far, or one is near a pivot and the other
+    touches it. So the far lines of a bucket meet in pairs of blocks, and of each pivot the near lines meet those that
+    touch it and belong elsewhere. groups: (key, i, j, nid, content), each of at most two blocks.
     """
+    touched, far = _pivot_rounds(lines, q, threshold, scratch)
+    touches = reduce(lambda a, b: a.unionByName(b), touched)
+    near = touches.where("near and nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
+    joined = scratch.save(connected_components(near, scratch, "families"), "families")
+    of = lambda c, name: joined.select(F.col("node").alias(c), F.col("component").alias(name))
+    apart = touches.where("not near").join(of("nid", "own"), "nid", "left").join(of("pivot", "theirs"), "pivot", "left")
+    apart = apart.where(F.coalesce("own", "nid") != F.coalesce("theirs", "pivot")).select("key", "pivot", "nid", F.lit(False).alias("near"))
+    apart = scratch.save(apart, "apart")
+    home = touches.where("near").join(apart.select("key", "pivot").distinct(), ["key", "pivot"], "left_semi").select("key", "pivot", "nid", "near")
+    sides = apart.unionByName(home).join(lines.select("key", "nid", "size", "content"), ["key", "nid"])
+    count = sides.groupBy("key", "pivot", "near").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).select("key", "pivot", "near", _blocks(F.col("n"), F.col("chars")).alias("blocks"))
+    both = count.where("near").select("key", "pivot", F.col("blocks").alias("homes")).join(count.where("not near").select("key", "pivot", F.col("blocks").alias("others")), ["key", "pivot"])
+    at = lambda blocks: F.pmod(F.xxhash64("nid"), F.col(blocks))
+    dealt = sides.join(scratch.save(both, "sides"), ["key", "pivot"]).withColumn("own", F.when(F.col("near"), at("homes")).otherwise(at("others")))
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("near"), _through(F.col("others"))).otherwise(_through(F.col("homes")))))
+    i, j = F.when(F.col("near"), F.col("own")).otherwise(F.col("other")), F.when(F.col("near"), F.col("other")).otherwise(F.col("own"))
+    cross = dealt.select(F.xxhash64("key", "pivot").alias("key"), i.alias("i"), j.alias("j"), "nid", "content")
+    sizes = far.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).select("key", _blocks(F.col("n"), F.col("chars")).alias("far"))
+    apart_all = far.select("key", "nid").join(scratch.save(sizes, "sizes"), "key").withColumn("i", at("far")).withColumn("j", F.explode(_through(F.col("far"))))
+    alone = apart_all.join(lines.select("key", "nid", "content"), ["key", "nid"]).select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "nid", "content")
+    return cross.unionByName(alone), near
+
+
+def bucket_groups(members: DataFrame, texts: DataFrame, q: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(groups, links): the groups (key, i, j, nid, content) of lines whose pairs are to be compared, a small bucket
+    being one of them, and links (a, b) that are known without, if any bucket is too large for one group."""
     buckets = scratch.save(distinct_buckets(members), "buckets")
-    large = buckets.where("blocks > 1")
-    rows = members.join(buckets, "key").join(texts.select("nid", "content"), "nid").select("key", "pivot", "blocks", "nid", "size", "content")
-    zero, through = F.lit(0).cast("bigint"), lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    rows = members.join(buckets, "key").join(texts.select("nid", "content"), "nid")
+    zero = F.lit(0).cast("bigint")
     groups = rows.where("blocks = 1").select("key", zero.alias("i"), zero.alias("j"), "nid", "content")
-    near = None
-    if not large.isEmpty():
-        pivots = scratch.save(large.select("key", F.col("pivot").alias("nid")).join(texts.select("nid", F.col("content").alias("against")), "nid").select("key", "against"), "pivots")
-        judged = scratch.save(_near_pivot(rows.where("blocks > 1").join(pivots, "key").select(*rows.columns, "against"), q, threshold), "judged")
-        near = judged.where("near and nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
-        far = judged.where("not near").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).select("key", _blocks(F.col("n"), F.col("chars")).alias("far"))
-        dealt = judged.join(scratch.save(far, "far"), "key")
-        own = dealt.withColumn("i", F.pmod(F.xxhash64("nid"), F.when(F.col("near"), F.col("blocks")).otherwise(F.col("far"))))
-        meets = own.withColumn("j", F.explode(F.when(F.col("near"), through(F.col("far"))).otherwise(through(F.col("far") + F.col("blocks")))))
-        # blocks of far lines count from 0, those of near ones from `far` on; groups are pairs (i <= j) with a far one
-        i = F.when(F.col("near"), F.col("i") + F.col("far")).otherwise(F.col("i"))
-        meets = meets.withColumn("i", i).select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "nid", "content")
-        groups = groups.unionByName(meets)
+    if buckets.where("blocks > 1").isEmpty():
+        return groups, None
+    lines = scratch.save(rows.where("blocks > 1").select("key", "nid", "size", "content"), "large")
+    large, near = _large_groups(lines, q, threshold, scratch)
+    return groups.unionByName(large), near
+
+
+def verified_links(members: DataFrame, texts: DataFrame, q: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """(a, b): links that connect the lines of each bucket wherever similar ones do."""
+    groups, near = bucket_groups(members, texts, q, threshold, scratch)
 
     def links(table: pa.Table):
         k, i, j, nid = (table.column(x).to_numpy() for x in range(4))
@@ -364,7 +428,7 @@ def duplicate_lines(docs: DataFrame, q: int = 8, threshold: float = 0.8, id_col:
 
 
 #: Tables that nothing reads once the lines to remove are known.
-DONE = ("occurrences", "members", "places", "texts", "buckets", "pivots", "judged", "far", "joined", "several", "stays")
+DONE = ("occurrences", "members", "places", "texts", "buckets", "large", "families", "apart", "sides", "sizes", "joined", "several", "stays")
 
 
 def dedup_lines(docs: DataFrame, q: int = 8, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = SMALL) -> DataFrame:

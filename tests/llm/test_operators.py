@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontaminate, hmm, langid, license_texts, licenses, linededup, secrets, simhash, textmatch, toxicity, vectors
 from quire.llm.common import Scratch, connected_components, held_out, most_frequent
+from quire.llm.queries import QUERIES
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 EDGE = "doc_id long, text string, lang string, score string"
@@ -346,10 +347,79 @@ def test_large_buckets_are_split(spark, monkeypatch, chars):
     assert sorted(r.doc_id for r in got) == [0, 60, 120]
 
 
+def family_lines(rng, families, n, length=200):
+    """n distinct lines, each a few letters away from the line of its family, and their families."""
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    bases = ["".join(rng.choices(letters, k=length)) for _ in range(families)]
+    lines: dict[str, int] = {}
+    while len(lines) < n:
+        f = rng.randrange(families)
+        line = list(bases[f])
+        for _ in range(rng.choice([0, 1, 1])):
+            line[rng.randrange(length)] = rng.choice(letters)
+        lines[linededup.normal("".join(line) + rng.choice(["", " " + "".join(rng.choices(letters, k=2))]))] = f
+    return list(lines), list(lines.values())
+
+
+def hot_bucket(spark, lines):
+    members = spark.createDataFrame([(7, i, len(x)) for i, x in enumerate(lines)], "key long, nid long, size int")
+    return members, spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "nid long, twin long, content string")
+
+
+def test_a_hot_bucket_of_families_is_no_square(spark):
+    """100,000 lines of 20 families: all pairs of blocks were 4,800 groups."""
+    lines, family = family_lines(random.Random(4), 20, 100_000)
+    members, texts = hot_bucket(spark, lines)
+    scratch = Scratch(spark)
+    groups, near = linededup.bucket_groups(members, texts, 8, 0.8, scratch)
+    blocks = -(-len(lines) // linededup.TILE)
+    n = groups.select("key", "i", "j").distinct().count()
+    rounds = sum(1 for k in range(50) if (scratch_exists(scratch, f"touched-{k}")))
+    print("groups of a bucket of", len(lines), "lines:", n, "all pairs of blocks:", blocks * (blocks + 1) // 2, "rounds of pivots:", rounds)
+    assert n < 3 * blocks and rounds <= 8
+    root = {r.node: r.component for r in connected_components(near, scratch).collect()}
+    of = defaultdict(set)
+    for i, f in enumerate(family):
+        of[root.get(i, i)].add(f)
+    assert all(len(f) == 1 for f in of.values())
+
+
+def scratch_exists(scratch, name):
+    from quire.functions import files
+
+    return files.exists(scratch.spark, f"{scratch.base}/{name}")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pivots_lose_no_link(spark, monkeypatch, seed):
+    """Families that run into each other, chains and strangers in one bucket: components are those of all pairs."""
+    monkeypatch.setattr(linededup, "TILE", 16)
+    monkeypatch.setattr(linededup, "PIVOTS", 3)
+    rng = random.Random(seed)
+    lines, _ = family_lines(rng, 4, 120, 50)
+    step = list("".join(rng.choices("abcdefgh", k=60)))
+    for k in range(60):  # each line changes one letter of the one before
+        step[rng.randrange(60)] = rng.choice("abcdefgh")
+        lines.append("".join(step))
+    lines = list(dict.fromkeys([*lines, *("".join(rng.choices("xyz ", k=30)).strip() + "end" for _ in range(40))]))
+    members, texts = hot_bucket(spark, lines)
+    scratch = Scratch(spark)
+    found = linededup.verified_links(members, texts, 8, 0.8, scratch)
+    got = {r.node: r.component for r in connected_components(found, scratch, "all").collect()}
+    sets = [linededup.shingles(x, 8) for x in lines]
+    root = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert [got.get(i, i) for i in range(len(lines))] == root and len(set(root)) < len(lines) - 30
+
+
 # --- 4 ---
 
 
-def test_toxicity_separates_held_out(spark, docs, sf):
+def test_toxicity_separates_held_out(spark):
     words = [f"w{i}" for i in range(300)]
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choices(words, k=60) + (rng.sample(["scum", "idiot", "moron"], 2) if i % 5 == 0 else [])), int(i % 5 == 0)) for i in range(600)]
@@ -359,6 +429,56 @@ def test_toxicity_separates_held_out(spark, docs, sf):
     assert all(r.predicted == int(r.doc_id % 5 == 0) for r in got)
 
 
+def plain_features(text):
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    return {f"={w}" for w in words} | {w[:n] for w in words for n in (4, 5, 6) if len(w) >= n}
+
+
+def test_toxicity_screens_and_scores_as_written(spark):
+    """All features that differ enough are kept, however many, ties and all; a score is the sum of their weights."""
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    marks = labels.where(~held_out(F.col("doc_id"), 4))
+    model = toxicity.train(docs, marks)
+    texts, toxic = {r.doc_id: r.text or "" for r in docs.collect()}, {}
+    for r in marks.collect():
+        if r.toxic in (0, 1) and r.doc_id is not None:
+            toxic[r.doc_id] = max(toxic.get(r.doc_id, 0), r.toxic)
+    rows = [(plain_features(texts[d]), y) for d, y in toxic.items() if d in texts]
+    n = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
+    counts = [Counter(f for own, y in rows if y == k for f in own) for k in (0, 1)]
+    kept = set()
+    for f in counts[0].keys() | counts[1].keys():
+        a, b = counts[0][f], counts[1][f]
+        p, low, high = (a + b) / sum(n), (a + 0.5) / (n[0] + 1), (b + 0.5) / (n[1] + 1)
+        z = (b / n[1] - a / n[0]) / np.sqrt(max(p * (1 - p), 1e-12) * (1 / n[0] + 1 / n[1]))
+        if a + b >= 5 and abs(z) >= 4 and max(high / low, low / high) >= 2:
+            kept.add(f)
+    terms = {f for group in toxicity.IDENTITIES for term in group for f in toxicity.features_of(term)}
+    assert kept and kept <= model.weights.keys() <= kept | terms
+    for r in toxicity.toxicity(docs, model).collect():
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in plain_features(texts[r.doc_id]))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.3)
+
+
+def test_toxicity_on_the_given_tables(spark):
+    """Held-out labels: nearly all toxic texts are found, nearly no other is called so."""
+    at = "/root/testdata/sf0.1"
+    got = QUERIES["op4_toxicity"](spark, at).where("held_out").join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    found = [r.predicted for r in got if r.toxic == 1]
+    wrong = [r.predicted for r in got if r.toxic == 0]
+    print("held out: toxic texts found", sum(found) / len(found), "of", len(found), "others called toxic", sum(wrong) / len(wrong), "of", len(wrong))
+    assert len(found) > 30 and sum(found) / len(found) > 0.8 and sum(wrong) / len(wrong) < 0.05
+
+
+def test_no_feature_is_cut_off(spark):
+    """More features than any fixed number of the past differ between the classes, all by the same z."""
+    words = [f"{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}{k}" .translate(str.maketrans("0123456789", "klmnopqrst")) for a in range(10) for b in range(10) for c in range(10) for k in range(7)]
+    rows = [(i, " ".join(words) if i % 2 else "plain", i % 2) for i in range(40)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert len(set(words)) == 7000 and {f"={w}" for w in words} <= model.weights.keys()
+
+
 def test_counterfactual_penalty_takes_weight_from_identity_terms():
     # feature 0: an insult, 1: a group that the labels tie to insults, 2: the group it is swapped for
     rows = [(1, [0, 1], [[0, 2], [0]])] * 40 + [(1, [0], [])] * 20 + [(0, [1], [[2], []])] * 5 + [(0, [2], [[1], []])] * 40 + [(0, [], [])] * 60 + [(1, [1], [[2], []])] * 10
