@@ -5,8 +5,8 @@ of their character shingles; lines that share a band share a bucket. Buckets wit
 verified once. A bucket is dealt into groups bounded in lines and characters, and a group verifies all its
 pairs by one product of its line-by-shingle matrix: that gives the exact Jaccard similarities, of which only
 a spanning forest of the links is returned, never the pairs. In a bucket too large for one group, lines
-are compared with pivots first, in rounds: those similar to a pivot are connected by it, and as Jaccard distances add
-up, only lines that touch it can be similar to them. Components are found by joins.
+are compared with a pivot first, in a very large one with pivots in rounds: those similar to a pivot are connected by it,
+and as Jaccard distances add up, only lines that touch it can be similar to them. Components are found by joins.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ _ODD = _RNG.integers(0, 1 << 32, SLOTS, dtype=np.uint32) | np.uint32(1)
 STEP = 1 << 17
 #: Lines and characters that a group may hold from each of its two blocks, about.
 TILE, TILE_CHARS = 1024, 1 << 20
-#: Pivots of a large bucket in a round.
-PIVOTS = 8
+#: Pivots of a large bucket in a round, and blocks of a bucket beyond which they are taken in rounds.
+PIVOTS, WIDE = 8, 32
 #: Shingles that are multiplied at once.
 COLUMNS = 4096
 #: Key slots that are counted to find hot buckets, and rows that a hot bucket has at least.
@@ -185,12 +185,12 @@ def bucket_members(lines: DataFrame) -> DataFrame:
 
 
 def distinct_buckets(members: DataFrame) -> DataFrame:
-    """(key, blocks): one of all buckets that hold the same lines (by count and two sums of hashes), and the blocks that
-    it is dealt into."""
+    """(key, blocks, pivot): one of all buckets that hold the same lines (by count and two sums of hashes),
+    the blocks that it is dealt into, and its smallest line."""
     total = lambda seed: F.sum(F.xxhash64("nid", F.lit(seed)).cast("decimal(20,0)"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), total(1).alias("h1"), total(2).alias("h2"), F.sum("size").alias("chars"))
-    one = buckets.groupBy("n", "h1", "h2").agg(F.min(F.struct("key", "chars")).alias("b")).select("n", "b.*")
-    return one.select("key", _blocks(F.col("n"), F.col("chars")).alias("blocks"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), total(1).alias("h1"), total(2).alias("h2"), F.sum("size").alias("chars"), F.min("nid").alias("pivot"))
+    one = buckets.groupBy("n", "h1", "h2").agg(F.min(F.struct("key", "chars", "pivot")).alias("b")).select("n", "b.*")
+    return one.select("key", _blocks(F.col("n"), F.col("chars")).alias("blocks"), "pivot")
 
 
 def _blocks(n, chars):
@@ -313,18 +313,58 @@ def _large_groups(lines: DataFrame, q: int, threshold: float, scratch: Scratch)
     return cross.unionByName(alone), near
 
 
+def _near_pivot(rows: DataFrame, q: int, threshold: float) -> DataFrame:
+    """rows (key, pivot, blocks, nid, size, content, against) with `near`: whether the line is similar to the
+    pivot's content `against`, which is dropped."""
+
+    def run(batches):
+        for batch in batches:
+            memo, near = {}, []
+            for line, pivot in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist()):
+                if pivot not in memo:
+                    memo = {pivot: shingles(pivot, q)}
+                a, b = shingles(line, q), memo[pivot]
+                both = len(a & b)
+                near.append(both >= threshold * (len(a) + len(b) - both) - 1e-3)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(near, pa.bool_())], [*batch.schema.names[:6], "near"])
+
+    return rows.mapInArrow(run, "key bigint, pivot bigint, blocks bigint, nid bigint, size int, content string, near boolean")
+
+
+def _one_pivot(rows: DataFrame, pivots: DataFrame, q: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(groups, near) as _large_groups has them, of rows (key, pivot, blocks, nid, size, content) of buckets of few blocks:
+    lines near the bucket's pivot (key, against) are connected by it, so their blocks meet only those of the others."""
+    judged = scratch.save(_near_pivot(rows.join(pivots, "key").select("key", "pivot", "blocks", "nid", "size", "content", "against"), q, threshold), "judged")
+    near = judged.where("near and nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
+    far = judged.where("not near").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).select("key", _blocks(F.col("n"), F.col("chars")).alias("far"))
+    dealt = judged.join(scratch.save(far, "far"), "key")
+    own = dealt.withColumn("i", F.pmod(F.xxhash64("nid"), F.when(F.col("near"), F.col("blocks")).otherwise(F.col("far"))))
+    meets = own.withColumn("j", F.explode(F.when(F.col("near"), _through(F.col("far"))).otherwise(_through(F.col("far") + F.col("blocks")))))
+    # blocks of far lines count from 0, those of near ones from `far` on; groups are pairs (i <= j) with a far one
+    i = F.when(F.col("near"), F.col("i") + F.col("far")).otherwise(F.col("i"))
+    meets = meets.withColumn("i", i)
+    return meets.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "nid", "content"), near
+
+
 def bucket_groups(members: DataFrame, texts: DataFrame, q: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """(groups, links): the groups (key, i, j, nid, content) of lines whose pairs are to be compared, a small bucket
-    being one of them, and links (a, b) that are known without, if any bucket is too large for one group."""
+    being one of them, and links (a, b) that are known without, if any bucket is too large for one group. Up to WIDE
+    blocks one pivot will do, as all pairs of blocks are a bounded number; beyond, pivots are taken in rounds."""
     buckets = scratch.save(distinct_buckets(members), "buckets")
-    rows = members.join(buckets, "key").join(texts.select("nid", "content"), "nid")
+    rows = members.join(buckets, "key").join(texts.select("nid", "content"), "nid").select("key", "pivot", "blocks", "nid", "size", "content")
     zero = F.lit(0).cast("bigint")
     groups = rows.where("blocks = 1").select("key", zero.alias("i"), zero.alias("j"), "nid", "content")
-    if buckets.where("blocks > 1").isEmpty():
+    most = buckets.agg(F.max("blocks")).first()[0] or 1
+    if most == 1:
         return groups, None
-    lines = scratch.save(rows.where("blocks > 1").select("key", "nid", "size", "content"), "large")
-    large, near = _large_groups(lines, q, threshold, scratch)
-    return groups.unionByName(large), near
+    some = (F.col("blocks") > 1) & (F.col("blocks") <= WIDE)
+    pivots = buckets.where(some).select("key", F.col("pivot").alias("nid")).join(texts.select("nid", F.col("content").alias("against")), "nid").select("key", "against")
+    more, near = _one_pivot(rows.where(some), scratch.save(pivots, "pivots"), q, threshold, scratch)
+    if most > WIDE:
+        lines = scratch.save(rows.where(F.col("blocks") > WIDE).select("key", "nid", "size", "content"), "large")
+        large, connected = _large_groups(lines, q, threshold, scratch)
+        more, near = more.unionByName(large), near.unionByName(connected)
+    return groups.unionByName(more), near
 
 
 def verified_links(members: DataFrame, texts: DataFrame, q: int, threshold: float, scratch: Scratch) -> DataFrame:
@@ -428,7 +468,7 @@ def duplicate_lines(docs: DataFrame, q: int = 8, threshold: float = 0.8, id_col:
 
 
 #: Tables that nothing reads once the lines to remove are known.
-DONE = ("occurrences", "members", "places", "texts", "buckets", "large", "families", "apart", "sides", "sizes", "joined", "several", "stays")
+DONE = ("occurrences", "members", "places", "texts", "buckets", "pivots", "judged", "far", "large", "families", "apart", "sides", "sizes", "joined", "several", "stays")
 
 
 def dedup_lines(docs: DataFrame, q: int = 8, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = SMALL) -> DataFrame:
