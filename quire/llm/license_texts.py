@@ -93,4 +93,7 @@ NAMES = (
     *((f"CC-{kind}-4.0", form.format(kind, long)) for kind, long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike")) for form in ("CC {0} 4.0", "a Creative Commons {1} 4.0 International License")),
 )
 NOTICES = tuple((spdx, f"{verb} {name}.") for spdx, name in NAMES for verb in VERBS)
-TEMPLATES = (*TEXTS, *NOTICES, ("Proprietary", "All rights reserved."))
+
+#: Templates of which every character counts, and what must follow them is read from the text; see Licenses.
+PROPRIETARY, TAG = ("Proprietary", "All rights reserved."), ("SPDX", "SPDX-License-Identifier:")
+TEMPLATES = (*TEXTS, *NOTICES, PROPRIETARY, TAG)

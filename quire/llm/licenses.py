@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm.common import text_batches
-from quire.llm.license_texts import TEMPLATES
+from quire.llm.license_texts import PROPRIETARY, TAG, TEMPLATES
 from quire.llm.textmatch import Patterns, full_bands, gram_hashes, like_lengths, normalize, normalize_pattern, pad, windows
 
 OUT = "license string, template int, start int, stop int, template_start int, template_stop int, coverage double, score int"
 
 
+#: Share of a template shorter than a piece that must be aligned.
+NOTICE = 0.8
+#: An SPDX expression after its tag, and what may follow "all rights reserved" where the sentence ends.
+_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+EXPRESSION = re.compile(rf"[ \t]*(\(?[ \t]*{_ID}(?:[ \t]+(?:OR|AND|WITH|or|and|with)[ \t]+\(?[ \t]*{_ID}[ \t]*\)?)*[ \t]*\)?)(?![A-Za-z0-9])")
+SENTENCE_ENDS = re.compile(r"[ \t]*(?:[.!;)\]\"']|[\r\n]|$)")
+
+
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     """Positions of the smallest hash of each window (the last of equal ones)."""
     if len(hashes) <= window:
@@ -64,7 +74,7 @@ class Licenses:
 
     def __init__(self, templates, q: int, window: int, drift: float, least: float, piece: int):
         codes = [normalize_pattern(t) for _, t in templates]
-        self.names, self.least = [n for n, _ in templates], least
+        self.names, self.least, self.piece = [n for n, _ in templates], least, piece
         self.index = Patterns(codes, q, [winnow(gram_hashes(c, q), window) for c in codes])
         self.slack = np.maximum(16, np.ceil(drift * self.index.lengths)).astype(np.int64)
         self.floor = np.minimum(least * self.index.lengths, piece)
@@ -82,12 +92,31 @@ class Licenses:
             found += self._align(codes, starts, lengths, text[part], item[part], band[part])
         out, held = [], {}
         for t, k, a, b, ta, tb, s in sorted(set(found), key=lambda x: (x[0], -x[6], x[2], x[1])):
-            if all(b <= x or a >= y for x, y in held.setdefault(t, [])):
+            at = parts[t][1]
+            read = self._read(texts[t], k, int(at[a]), int(at[b - 1]) + 1, tb - ta, s)
+            if read and all(b <= x or a >= y for x, y in held.setdefault(t, [])):
                 held[t].append((a, b))
-                at = parts[t][1]
-                out.append((t, self.names[k], k, int(at[a]), int(at[b - 1]) + 1, ta, tb, (tb - ta) / int(self.index.lengths[k]), s))
+                name, stop = read
+                out.append((t, name, k, int(at[a]), stop, ta, tb, (tb - ta) / int(self.index.lengths[k]), s))
         return sorted(out, key=lambda x: (x[0], x[3]))
 
+    def _read(self, text: str, k: int, start: int, stop: int, used: int, score: int) -> tuple[str, int] | None:
+        """(license, stop) of a place, None where the text around it says otherwise: after PROPRIETARY the sentence must
+        end, and a TAG names its license by the expression that follows."""
+        name, length = self.names[k], int(self.index.lengths[k])
+        if length < self.piece and used < NOTICE * length:  # not only how notices begin
+            return None
+        if name == PROPRIETARY[0]:
+            whole = used == length and text[stop - 1] == "."
+            return (name, stop) if score == used and (whole or (used >= length - 1 and SENTENCE_ENDS.match(text, stop))) else None
+        if name == TAG[0]:
+            found = EXPRESSION.match(text, stop) if used == score == length else None
+            if not found:
+                return None
+            words = re.sub(r"[()]", " ", found[1]).split()
+            return " ".join(w.upper() if w.lower() in ("or", "and", "with") else w for w in words), found.end(1)
+        return name, stop
+
     def _align(self, codes, starts, lengths, text, item, band):
         m, low, high = self.index.lengths[item], starts[text], starts[text] + lengths[text]
         slack = self.slack[item]
@@ -120,7 +149,8 @@ def license_spans(docs: DataFrame, templates=TEMPLATES, q: int = 6, window: int
     enough fingerprints in a band of diagonals are aligned locally (match 1, edit -1); the band is wide
     enough for drift * length characters more or fewer (16 at least). coverage is the aligned part of the
     template; places below the share `least` of it and below `piece` characters, or with a score under 0.7
-    of the aligned part, are dropped; of overlapping places the best score stays, then the first place, then
+    of the aligned part, are dropped, as are those below the share NOTICE of a template shorter than `piece`; `Proprietary` needs a sentence that ends there, and an SPDX tag counts whole and
+    gives the expression after it as the license; of overlapping places the best score stays, then the first place, then
     the first template. Case and runs of white space don't count; start and stop are code points of the
     original text. Null and empty texts have none; repeated rows repeat. The templates are a fixed, small
     list. No shuffle.
