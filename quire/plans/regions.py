@@ -16,14 +16,14 @@ R.RELATIONS["r_places"] = """SELECT item_id, doc_id, at_off, n FROM (SELECT b.it
 R.RELATIONS["r_texts"] = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Preface. ' || text ELSE text END AS text2, text FROM documents"
 
 
-#: Passages up to which they are broadcast to the documents.
-PASSAGES = 100_000
+#: Passages, and bytes of them, up to which they are broadcast to the documents.
+PASSAGES, PASSAGE_BYTES = 100_000, 64 << 20
 
 
 def places(spark: SparkSession, sf_dir: str, most: int = PASSAGES) -> DataFrame:
     """The passages, a stated query set, against all documents: an equi-join on a passage's first three words and
-    every three words in a row of a document, then the whole passage. At most `most` passages are broadcast, and
-    documents are read once; with more, documents meet them by their ids and their texts follow. A passage has three
+    every three words in a row of a document, then the whole passage. At most `most` passages of PASSAGE_BYTES are
+    broadcast, and documents are read once; with more, documents meet them by their ids and their texts follow. A passage has three
     words at least."""
     three = r"(?<!\S)\S++\s++\S++\s++\S++"  # without a way back, so linear in tokens of any length
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).withColumn("head", F.regexp_extract("passage", three, 0))
@@ -31,7 +31,8 @@ def places(spark: SparkSession, sf_dir: str, most: int = PASSAGES) -> DataFrame:
     threes = lambda skip: F.regexp_extract_all(F.regexp_replace("text", r"^\s*+" + r"\S++\s++" * skip, ""), F.lit(three), 0)
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     d, heads = texts, F.array_distinct(F.concat(threes(0), threes(1), threes(2)))
-    if b.count() <= most:
+    n, size = b.agg(F.count("*"), F.sum(F.octet_length("passage"))).first()
+    if n <= most and (size or 0) <= PASSAGE_BYTES:
         hits = d.select("doc_id", "text", F.explode(heads).alias("head")).join(F.broadcast(b), "head")
     else:
         hits = d.select("doc_id", F.explode(heads).alias("head")).join(b, "head").join(texts, "doc_id")
