@@ -76,16 +76,23 @@ class Hmm:
         """In single precision, which is enough for expected counts."""
         return Hmm(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
 
+    def smoothed(self, added: np.ndarray, total: int) -> Hmm:
+        """With `added` counts of each symbol besides the `total` tokens that emissions were learned from."""
+        mixed = (total * self.emit + added[:, None]) / (total + added.sum())
+        return Hmm(self.start, self.move, mixed / mixed.sum(axis=0))
+
     def _transfers(self, seg: Segments) -> np.ndarray:
         """For each segment with a next one (those are the longest) its matrix, up to a factor."""
         rows = int((seg.length == SEGMENT).sum()) if seg.chain else 0
         s = len(self.start)
         x = np.broadcast_to(np.eye(s, dtype=self.move.dtype), (rows, s, s)).copy()
         if rows:
+            # each symbol's largest emission counts as 1, or rare words in a row leave nothing in single precision
+            emit = self.emit / self.emit.max(axis=1, keepdims=True)
             for t in range(SEGMENT):
-                x *= self.emit[seg.symbols[t, :rows]][:, None, :]
+                x *= emit[seg.symbols[t, :rows]][:, None, :]
                 x = (x.reshape(-1, s) @ self.move).reshape(rows, s, s)
-                if t % 8 == 7:
+                if t % 4 == 3:
                     x /= x.max(axis=(1, 2), keepdims=True)
             x /= x.max(axis=(1, 2), keepdims=True)
         return x
@@ -224,6 +231,10 @@ class Lexicon:
         seen = np.concatenate([self.counts[: self.symbols], self.class_total, [self.texts]]) + 1.0
         return seen / seen.sum()
 
+    def added(self) -> np.ndarray:
+        """What add-one smoothing adds to each symbol: one for each of its words, one for the unknown words of a class."""
+        return np.concatenate([np.ones(self.symbols), self.class_distinct + 1.0, [1.0]])
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(index of each word, -1 for those not listed; the symbols of the words and of the end)."""
         get = self.index.get
@@ -256,13 +267,15 @@ class Model:
 
 def learn_lexicon(counts: DataFrame, texts: int, symbols: int, cached: int, classes: int) -> tuple:
     """The fields of the Lexicon from all word counts. Only the `cached` most frequent words and the sums of the
-    classes reach the driver."""
+    classes reach the driver. There are no more classes than rarer words, one at least: each sets aside a share for
+    unknown words."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = most_frequent(counts, "word", "c", cached).toArrow()
     words, sizes = top.column("word").cast(pa.binary()).to_pylist(), top.column("c").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-sizes[i], words[i]))
     words, sizes = [words[i] for i in order], sizes[order].astype(np.int64) if order else np.empty(0, dtype=np.int64)
     symbols = min(symbols, len(words))
+    classes = min(classes, max(1, distinct - symbols))
     class_total, class_distinct = np.zeros(classes, dtype=np.int64), np.zeros(classes, dtype=np.int64)
     for r in counts.groupBy((F.crc32(F.col("word").cast("binary")) % classes).alias("class")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         class_total[r["class"]], class_distinct[r["class"]] = r["c"], r["n"]
@@ -334,13 +347,15 @@ def train(docs: DataFrame, states: int = 6, symbols: int = 1 << 15, cached: int
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
-    score: log10 probability of the whole text by the forward recursion. base_score: the add-one unigram
+    score: log10 probability of the whole text by the forward recursion. Emissions are smoothed as the base is, by one
+    for each word: what training never saw in a state, or at all, keeps about the base's share. base_score: the add-one unigram
     score. Counts of words outside the broadcast lexicon come from a join on the word with the table of
     all counts; a hot word's rows may be split by Spark. Null and empty texts score their end alone.
     Repeated rows repeat. If nothing was learned, every word has count 0.
     """
     spark, scratch = docs.sparkSession, model.scratch
-    shared, hmm = spark.sparkContext.broadcast((model.key, model.fields)), spark.sparkContext.broadcast(model.hmm)
+    lexicon = Lexicon(*model.fields)
+    shared, hmm = spark.sparkContext.broadcast((model.key, model.fields)), spark.sparkContext.broadcast(model.hmm.smoothed(lexicon.added(), lexicon.total))
     kind = docs.select(id_col).dtypes[0][1]
 
     def run(batches):

@@ -805,6 +805,24 @@ def test_hmm_trains_three_rounds_of_six_states(spark):
         assert np.allclose(got, want, atol=1e-4)
 
 
+def test_held_out_texts_of_a_small_table_score_about_the_base(docs, texts):
+    """Fewer words than symbols: unknown words fall into classes that training never saw."""
+    for keep in (7, 70):
+        train = docs.where(~held_out(F.col("doc_id"), 7)).where(F.col("doc_id") % keep < 7)
+        rows = [r for r in hmm.score(docs, hmm.train(train)).collect() if zlib.crc32(str(r.doc_id).encode()) % 7 == 2]
+        assert sum(r.n_known < r.n_tokens for r in rows) > 5
+        assert all(np.isfinite(r.score) and r.score > r.base_score - 0.15 * r.n_tokens for r in rows)
+        assert sum(r.score - r.base_score for r in rows) > -0.02 * sum(r.n_tokens for r in rows)
+
+
+def test_rare_words_in_a_row_keep_single_precision_finite():
+    share = np.full(1000, 1e-7)
+    share[0] = 1 - 999e-7
+    model, counts = hmm.Hmm.initial(share, 6).single(), (np.zeros(6), np.zeros((6, 6)), np.zeros((1000, 6)))
+    likelihood = model.expect([np.arange(1, 1000).repeat(2)], counts)
+    assert np.isfinite(likelihood) and all(np.isfinite(c).all() for c in counts) and np.isclose(counts[2].sum(), 1998)
+
+
 def test_rare_words_share_out_their_classes(spark, docs, texts):
     train = docs.where(~held_out(F.col("doc_id"), 7))
     scratch = Scratch(spark)
