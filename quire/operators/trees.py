@@ -30,18 +30,25 @@ def _rounds(scratch: Scratch, name: str, state: DataFrame, step) -> Iterator[Dat
 def climb(nodes: DataFrame, scratch: Scratch, name: str = "climb") -> DataFrame:
     """(node, value, up) for nodes (node, parent, value), one row for each node: the nearest value that isn't null
     on the way up, the node's own first. Where there is none, value is null, and up is null if the way ends, or
-    a node on the cycle that it leads into. A parent that is no node ends the way."""
-
-    def step(state: DataFrame) -> DataFrame:
-        above = state.select(F.col("node").alias("at"), F.col("value").alias("v"), F.col("up").alias("u"))
-        rows = state.join(above, F.col("up") == F.col("at"), "left")
-        value = F.coalesce("value", "v")
-        return rows.select("node", value.alias("value"), F.when(value.isNull(), F.col("u")).alias("up"))
-
-    start = nodes.select("node", "value", F.when(F.col("value").isNull(), F.col("parent")).alias("up"))
-    for state in _rounds(scratch, name, start, step):
-        pass
-    return state
+    a node on the cycle that it leads into. A parent that is no node ends the way.
+
+    A round writes only the nodes that were open before it. If none of them closes, all lead into cycles, since of a
+    way that ends the last part would have; and if as many nodes are reached as in the round before, those are the
+    cycles. Tables of a size that grows with the nodes are merged, none is sent through the driver."""
+    start = scratch.save(nodes.select("node", "value", F.when(F.col("value").isNull(), F.col("parent")).alias("up")), f"{name}-0")
+    closed, known, state, k, before = start.where("up is null"), start.where("value is not null").select("node", "value"), start, 0, None
+    while True:
+        state = state.where("up is not null")
+        now = tuple(state.agg(F.count("*"), F.count_distinct("up")).first())
+        if not now[0] or now == before:
+            return closed.unionByName(state)
+        before, k = now, k + 1
+        above = known.select(F.col("node").alias("at"), F.col("value").alias("v"), F.lit(None).cast(start.schema["up"].dataType).alias("u"))
+        above = above.unionByName(state.select(F.col("node").alias("at"), F.lit(None).cast(start.schema["value"].dataType).alias("v"), F.col("up").alias("u")))
+        rows = state.select("node", "up").join(above.hint("merge"), F.col("up") == F.col("at"), "left")
+        state = scratch.save(rows.select("node", F.col("v").alias("value"), F.col("u").alias("up")), f"{name}-{k}")
+        closed = closed.unionByName(state.where("up is null"))
+        known = known.unionByName(state.where("value is not null").select("node", "value"))
 
 
 def marked_above(nodes: DataFrame, scratch: Scratch, name: str = "marked") -> DataFrame:
@@ -79,9 +86,9 @@ def resolve_aliases(aliases: DataFrame, targets: DataFrame) -> DataFrame:
     One alias and one target for each name."""
     own = targets.select(F.col("name").alias("t_name"), F.col("target").alias("value"))
     nodes = aliases.select(F.col("name").alias("node"), F.col("to").alias("parent"))
-    ends = nodes.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")).distinct().join(nodes.select("node"), "node", "left_anti")
-    nodes = nodes.unionByName(ends).join(own, F.col("node") == F.col("t_name"), "left").select("node", "parent", "value")
-    found = aliases.join(climb(nodes, Scratch(aliases.sparkSession)), F.col("name") == F.col("node"))
+    ends = nodes.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")).distinct().join(nodes.select("node").hint("merge"), "node", "left_anti")
+    nodes = nodes.unionByName(ends).join(own.hint("merge"), F.col("node") == F.col("t_name"), "left").select("node", "parent", "value")
+    found = aliases.join(climb(nodes, Scratch(aliases.sparkSession)).hint("merge"), F.col("name") == F.col("node"))
     status = F.when(F.col("value").isNotNull(), "ok").when(F.col("up").isNull(), "missing").otherwise("cycle")
     return found.select("name", F.coalesce("value", "to").alias("target"), status.alias("status"))
 
@@ -108,8 +115,8 @@ def prune_references(lists: DataFrame, kept: DataFrame) -> DataFrame:
 def drop_dangling(references: DataFrame, kept_pages: DataFrame, aliases: DataFrame, targets: DataFrame) -> DataFrame:
     """H5: references (ref_id, page, name) that lead to a kept page, directly or through a name."""
     named = resolve_aliases(aliases, targets).where("status = 'ok'").select("name", F.col("target").alias("named_page"))
-    direct = named.unionByName(targets.select("name", F.col("target").alias("named_page")).join(named, "name", "left_anti"))
-    rows = references.join(direct, "name", "left").withColumn("at", F.coalesce("page", "named_page"))
+    direct = named.unionByName(targets.select("name", F.col("target").alias("named_page")).join(named.hint("merge"), "name", "left_anti"))
+    rows = references.join(direct.hint("merge"), "name", "left").withColumn("at", F.coalesce("page", "named_page"))
     return rows.join(kept_pages.select(F.col("page").alias("at")), "at", "left_semi").select("ref_id", F.col("at").alias("page"))
 
 
@@ -118,7 +125,7 @@ def kept_names(kept_pages: DataFrame, aliases: DataFrame, targets: DataFrame) ->
     however many others it goes. One that leads nowhere, or into a cycle, loses nothing and stays."""
     dropped = targets.join(kept_pages.select(F.col("page").alias("target")), "target", "left_anti").select("name", F.lit(True).alias("mark"))
     nodes = targets.select(F.col("name").alias("node"), F.lit(None).cast("string").alias("parent")).unionByName(aliases.select(F.col("name").alias("node"), F.col("to").alias("parent")))
-    marked = nodes.join(dropped, F.col("node") == F.col("name"), "left").select("node", "parent", F.col("mark").alias("value"))
+    marked = nodes.join(dropped.hint("merge"), F.col("node") == F.col("name"), "left").select("node", "parent", F.col("mark").alias("value"))
     fate = climb(marked, Scratch(aliases.sparkSession), "names")  # the mark comes down from a dropped name to all that leads to it
     return fate.where("value is null").select(F.col("node").alias("name"))
 
@@ -135,10 +142,10 @@ def tree_consistency(edges: DataFrame, pointers: DataFrame, widgets: DataFrame,
     twice = parents.where("n > 1").select("node", F.lit("reached twice").alias("violation"))
     single = parents.where("n = 1").select("node", "parent", F.lit(None).cast("boolean").alias("value"))
     cycle = climb(single, scratch).where("up is not null").select(F.col("up").alias("node"), F.lit("cycle").alias("violation"))
-    wrong = pointers.select("node", F.col("parent").alias("p")).join(edges, "node", "left").where("not (p <=> parent)").select("node", F.lit("parent pointer").alias("violation"))
+    wrong = pointers.select("node", F.col("parent").alias("p")).join(edges.hint("merge"), "node", "left").where("not (p <=> parent)").select("node", F.lit("parent pointer").alias("violation"))
     two = widgets.groupBy("node").agg(F.count_distinct("page").alias("n")).where("n > 1").select("node", F.lit("on two pages").alias("violation"))
     gone = widgets.join(kept_pages, "page", "left_anti").select("node", F.lit("on removed page").alias("violation"))
-    outside = widgets.join(edges.select("node"), "node", "left_anti").select("node", F.lit("not in tree").alias("violation"))
+    outside = widgets.join(edges.select("node").hint("merge"), "node", "left_anti").select("node", F.lit("not in tree").alias("violation"))
     return twice.unionByName(cycle).unionByName(wrong).unionByName(two).unionByName(gone).unionByName(outside).distinct()
 
 

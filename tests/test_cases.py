@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import functions as F
 
 from quire import relations as R
+from quire.functions.scratch import Scratch
 from quire.operators import edits, fonts, geometry, intake, records, regions, spans, trees
 from quire.sources.tables import export_backup_json
 
@@ -264,6 +265,28 @@ def test_random_trees_match_plain_walks(spark):
     assert {(r.node, r.violation) for r in bad.collect()} == {(n, "cycle") for n in ("x0", "x1", "x2", "y0")}
 
 
+def test_ways_into_cycles_end_in_few_rounds(spark, tmp_path):
+    """A cycle of three, one of its own, a way of sixty into the first and two thousand nodes under a root."""
+    parent = {"c0": "c1", "c1": "c2", "c2": "c0", "own": "own", "w0": "c1"} | {f"w{i}": f"w{i - 1}" for i in range(1, 60)} | {f"n{i}": "root" for i in range(2000)}
+    nodes = spark.createDataFrame([(n, p, None) for n, p in parent.items()], "node string, parent string, value string")
+    scratch = Scratch(spark)
+    scratch.base = str(tmp_path)
+    rows = trees.climb(nodes, scratch).collect()
+    assert len(rows) == len(parent) and {r.node for r in rows if r.up} == {n for n in parent if n[0] != "n"}
+    assert {r.up for r in rows if r.up} == {"c0", "c1", "c2", "own"}
+    assert len(list(tmp_path.iterdir())) <= 9  # log2 of the longest way, whatever the number of nodes
+
+
+def test_aliases_are_not_sent_through_the_driver(spark):
+    aliases = spark.createDataFrame([("a", "t"), ("b", "a")], "name string, to string")
+    targets = spark.createDataFrame([("t", "page")], "name string, target string")
+    kept = spark.createDataFrame([("page",)], "page string")
+    for rows in (trees.resolve_aliases(aliases, targets), trees.kept_names(kept, aliases, targets)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert rows.count() and "strategy=broadcast" not in plan
+    assert trees.resolve_aliases(aliases, targets)._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 0
+
+
 def test_forks_have_the_same_ids_when_made_again(spark, sf):
     store = R.store(spark, sf)
     once, again = (records.fork_archive(store, "opened", F.lit(1).cast("bigint")).where("sequence = 0") for _ in range(2))
