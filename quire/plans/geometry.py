@@ -177,12 +177,13 @@ def a3_document_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN doc_id % 2 = 1 THEN 100.0::DOUBLE + 6.0::DOUBLE * length(text) ELSE 108.0::DOUBLE END AS y1, 6.0::DOUBLE * length(text) AS width FROM r_lines WHERE text <> ''""")
 def a4_assemble_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glyphs six points wide and eight high; lines of odd documents run downwards."""
-    chars = R.lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(F.split("text", "")).alias("char_no", "ch")).where("ch <> ''")
+    lines = R.lines(spark, sf_dir).select("doc_id", "line_no", F.split("text", "").alias("letters"))
+    chars = lines.select("doc_id", "line_no", F.posexplode("letters").alias("char_no", "ch")).where("ch <> ''").drop("ch")
     chars = chars.withColumn("down", F.expr("doc_id % 2 = 1")).withColumn("dx", F.expr("if(down, 0D, 1D)")).withColumn("dy", F.expr("if(down, 1D, 0D)"))
     chars = chars.withColumn("x", F.expr("40D + 6D * char_no * dx")).withColumn("y", F.expr("100D + 6D * char_no * dy"))
     corner = lambda a, b: f"struct(x + {a} * dx - {b} * dy as x, y + {a} * dy + {b} * dx as y)"
     quad = F.expr(f"array({corner('0D', '0D')}, {corner('6D', '0D')}, {corner('0D', '8D')}, {corner('6D', '8D')})")
-    return op.assemble_lines(chars.withColumn("quad", quad))
+    return op.assemble_lines(lines, chars.withColumn("quad", quad))
 
 
 @query("""SELECT l.doc_id, l.line_no, CASE WHEN doc_id % 10 = 0 AND position('e' IN text) > 0 THEN 1 WHEN line_no % 17 = 5 OR line_no % 19 = 5 THEN 2 WHEN doc_id % 7 = 3 AND position('e' IN text) > 0 THEN 3 WHEN line_no % 13 = 7 OR line_no % 11 = 7 THEN 4 WHEN text LIKE '% -%' THEN 5 WHEN EXISTS (SELECT 1 FROM r_boxes a JOIN r_boxes b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.line_no <> b.line_no AND a.x0 < b.x1 - 0.01::DOUBLE AND a.x1 > b.x0 + 0.01::DOUBLE AND a.y0 < b.y1 - 0.01::DOUBLE AND a.y1 > b.y0 + 0.01::DOUBLE
