@@ -62,6 +62,12 @@ def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELATIONS["r_boxes"] = "SELECT doc_id, page_no, line_no, u AS x0, v - 9 AS y0, end_u AS x1, v + CASE WHEN line_no % 10 = 3 THEN 13.0::DOUBLE ELSE 3.0::DOUBLE END AS y1 FROM r_geo"
 
 
+def line_runs(spark: SparkSession, sf_dir: str, source=lines) -> DataFrame:
+    """The runs of words() as an array in their line's row."""
+    run = lambda word, n: F.struct(n.cast("bigint").alias("run_no"), F.concat(word, F.lit(" ")).alias("text"), (F.length(word) >= 8).alias("bold"))
+    return source(spark, sf_dir).select("doc_id", "line_no", F.transform(F.split("text", " ", -1), run).alias("runs"))
+
+
 def words(spark: SparkSession, sf_dir: str, source=lines) -> DataFrame:
     """Runs of each line: its words with the space that follows, bold when 8 characters or longer."""
     w = source(spark, sf_dir).select("doc_id", "line_no", F.posexplode(F.split("text", " ", -1)).alias("run_no", "text"))

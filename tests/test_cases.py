@@ -287,6 +287,31 @@ def test_aliases_are_not_sent_through_the_driver(spark):
     assert trees.resolve_aliases(aliases, targets)._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 0
 
 
+@pytest.mark.parametrize("name", ["w12_space_inference", "a5_plain_text"])
+def test_characters_and_words_of_a_line_are_not_shuffled(name, spark, sf):
+    import __spark_entry__ as entry
+
+    assert "Exchange" not in entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bounds_of_characters_are_folded_before_they_are_dealt(spark, sf):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["a4_assemble_lines"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "collect_list" not in plan and "SortAggregate" not in plan and plan.count("Generate") == 3
+
+
+def test_references_are_not_dealt_by_a_few_names(spark, sf):
+    import __spark_entry__ as entry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # below the size of the documents
+    try:
+        plan = entry.queries()["t7_replace_font_refs"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_forks_have_the_same_ids_when_made_again(spark, sf):
     store = R.store(spark, sf)
     once, again = (records.fork_archive(store, "opened", F.lit(1).cast("bigint")).where("sequence = 0") for _ in range(2))
