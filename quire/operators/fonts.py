@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.scratch import Scratch
 from quire.operators.spans import in_nfc
 
 
@@ -57,6 +58,10 @@ def catalog_face(declared: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.select("font_id", F.when(~conflict, F.col("face_id")).alias("face_id"), (conflict & F.col("face_id").isNotNull()).alias("conflict"))
 
 
+#: Parts of the files of a kind; see match_font_file.
+CHUNKS = 16
+
+
 def match_font_file(declared: DataFrame, files: DataFrame) -> DataFrame:
     """(font_id, file_id): files whose face is the declared one, all that fit.
 
@@ -64,15 +69,27 @@ def match_font_file(declared: DataFrame, files: DataFrame) -> DataFrame:
     full_name, weight, italic). A file fits if its slant agrees with a declared one and: for a name
     `Family,Style`, family equal, bold iff weight >= 600, italic iff the style says so; else full name equal,
     or family equal with the declared weight (400 if none) and slant (upright if none).
+
+    Fonts that ask for the same and files of the same names, weight and slant are one kind each; kinds meet, then each
+    font meets the files of the kinds that fit, in CHUNKS parts of a kind. So only pairs that fit are formed, each once,
+    and neither a name that many share nor the pairs themselves are dealt to one task.
     """
     d = declared.withColumn("base", F.regexp_extract("name", r"^([^,]*)", 1)).withColumn("style", F.lower(F.regexp_extract("name", r",(.*)$", 1)))
-    names = F.array(F.struct(F.lit(True).alias("family"), F.col("family").alias("base")), F.struct(F.lit(False).alias("family"), F.col("full_name").alias("base")))
-    f = files.select("file_id", F.col("weight").alias("fw"), F.col("italic").alias("fi"), F.explode(names).alias("x")).select("file_id", "fw", "fi", "x.*")
-    rows = with_font_key(d, "base").join(with_font_key(f, "base"), "base")
+    kinds = lambda rows, key, *columns: rows.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("of")).withColumn("kind", F.to_json("of"))
+    fonts = kinds(with_font_key(d, "base"), "font_id", "base", "style", "weight", "italic")
+    own = kinds(with_font_key(with_font_key(files, "family"), "full_name").withColumnsRenamed({"weight": "fw", "italic": "fi"}), "file_id", "family", "full_name", "fw", "fi")
+    names = F.array(F.struct(F.lit(True).alias("family"), F.col("o.family").alias("base")), F.struct(F.lit(False).alias("family"), F.col("o.full_name").alias("base")))
+    asked = fonts.select("kind", "of").distinct().select(F.col("kind").alias("asked"), F.explode("of").alias("o")).select("asked", "o.*")
+    given = own.select("kind", "of").distinct().select("kind", F.explode("of").alias("o")).select("kind", "o.fw", "o.fi", F.explode(names).alias("x")).select("kind", "fw", "fi", "x.*")
+    rows = asked.join(given, "base")
     slant = F.col("italic").isNull() | (F.col("italic") == F.col("fi"))
     by_style = F.col("family") & (F.col("style").contains("bold") == (F.col("fw") >= 600)) & (F.col("style").rlike("italic|oblique") == F.col("fi"))
     by_name = ~F.col("family") | ((F.col("fw") == F.coalesce("weight", F.lit(400))) & (F.col("fi") == F.coalesce("italic", F.lit(False))))
-    return rows.where(slant & F.when(F.col("style") != "", by_style).otherwise(by_name)).select("font_id", "file_id").distinct()
+    fit = Scratch(declared.sparkSession).save(rows.where(slant & F.when(F.col("style") != "", by_style).otherwise(by_name)).select("asked", "kind").distinct(), "fit")
+    chunk = F.pmod(F.xxhash64("file_id"), F.lit(CHUNKS)).cast("int").alias("chunk")
+    chunks = own.select("file_id", "kind", chunk).groupBy("kind", "chunk").agg(F.collect_list("file_id").alias("files"))
+    wanted = fonts.select("font_id", F.col("kind").alias("asked")).join(fit, "asked").select("font_id", "kind", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("chunk"))
+    return wanted.join(chunks, ["kind", "chunk"]).select("font_id", F.explode("files").alias("file_id"))
 
 
 def glyph_coverage(observed: DataFrame) -> DataFrame:

@@ -301,6 +301,16 @@ def test_bounds_of_characters_are_folded_before_they_are_dealt(spark, sf):
     assert "HashAggregate" in plan and "collect_list" not in plan and "SortAggregate" not in plan and plan.count("Generate") == 3
 
 
+def test_only_fonts_and_files_that_fit_meet(spark):
+    """Two thousand of one name: pairs are not compared, and not dealt again to be made distinct."""
+    declared = spark.range(2000).selectExpr("id as font_id", "'Serif' as name", "int(if(id % 2 = 0, 400, 700)) as weight", "false as italic")
+    files = spark.range(2000).selectExpr("id as file_id", "'serif' as family", "'Serif Full' as full_name", "int(if(id = 7, 700, 900)) as weight", "false as italic")
+    rows = fonts.match_font_file(declared.unionByName(declared), files)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Project") or plan.lstrip().startswith("Generate")
+    assert sorted((r.font_id, r.file_id) for r in rows.collect()) == [(i, 7) for i in range(1, 2000, 2)]
+
+
 def test_references_are_not_dealt_by_a_few_names(spark, sf):
     import __spark_entry__ as entry
 
