@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.scratch import Scratch
 from quire.operators.records import first_reason
 
 CONTEXT = 128
@@ -40,8 +41,11 @@ def resolve_anchor(anchors: DataFrame, paragraphs: DataFrame, controls: DataFram
     anchors have a column control_id, the control that it names must be unique in the document and contain the
     range; null names none.
     """
+    # texts are neither dealt nor sorted to be counted; paragraphs of the anchors alone are
+    asked = anchors.select("doc_id", "source_id").distinct()
+    held = paragraphs.join(asked, ["doc_id", "source_id"], "left_semi")
     n = F.count("*").over(Window.partitionBy("doc_id", "source_id"))
-    rows = anchors.join(paragraphs.withColumn("n", n), ["doc_id", "source_id"], "left")
+    rows = anchors.join(held.withColumn("n", n), ["doc_id", "source_id"], "left")
     text, at, length = F.col("text"), F.col("at").cast("int"), F.col("length").cast("int")
     before, after = F.col("before"), F.col("after")
     rules = [
@@ -69,8 +73,13 @@ def rebase_anchors(anchors: DataFrame, paragraphs: DataFrame, edits: DataFrame)
 
     A document is refused as a whole if an anchor is unresolved or two overlap or stand at the same empty
     position. Otherwise the edited paragraph gets the value, later anchors in it shift by the difference in
-    length, and all anchors of the document are captured again.
+    length, and all anchors of the document are captured again. Anchors, and the paragraphs that hold one, are written
+    first: each of the steps below would else find them again.
     """
+    scratch = Scratch(anchors.sparkSession)
+    anchors = scratch.save(anchors, "anchors")
+    asked = anchors.select("doc_id", "source_id").distinct()
+    paragraphs = scratch.save(paragraphs.join(asked, ["doc_id", "source_id"], "left_semi"), "paragraphs")
     state = resolve_anchor(anchors, paragraphs)
     at = Window.partitionBy("doc_id", "source_id").orderBy("at", "length", "anchor_id")
     order = anchors.withColumn("stop", F.col("at") + F.col("length"))

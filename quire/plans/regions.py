@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire import relations as R
+from quire.functions.scratch import Scratch
 from quire.operators import edits, geometry, regions, replay
 from quire.plans.intake import query
 from quire.sources.tables import table
@@ -24,7 +25,8 @@ def places(spark: SparkSession, sf_dir: str, most: int = PASSAGES) -> DataFrame:
     """The passages, a stated query set, against all documents: an equi-join on a passage's first three words and
     every three words in a row of a document, then the whole passage. At most `most` passages of PASSAGE_BYTES are
     broadcast, and documents are read once; with more, documents meet them by their ids and their texts follow. A passage has three
-    words at least."""
+    words at least. What is found is written, so that the documents are searched once, and joined by its own size after: a
+    small one goes to the texts."""
     three = r"(?<!\S)\S++\s++\S++\s++\S++"  # without a way back, so linear in tokens of any length
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).withColumn("head", F.regexp_extract("passage", three, 0))
     # the words in threes from the first, the second and the third word on are all three words in a row
@@ -37,7 +39,8 @@ def places(spark: SparkSession, sf_dir: str, most: int = PASSAGES) -> DataFrame:
     else:
         hits = d.select("doc_id", F.explode(heads).alias("head")).join(b, "head").join(texts, "doc_id")
     hits = hits.where(F.col("text").contains(F.col("passage")))
-    return hits.select(F.col("item_id").alias("anchor_id"), "doc_id", F.expr("bigint(position(passage, text) - 1)").alias("at"), F.expr("bigint(length(passage))").alias("length")).withColumn("source_id", F.col("doc_id"))
+    found = hits.select(F.col("item_id").alias("anchor_id"), "doc_id", F.expr("bigint(position(passage, text) - 1)").alias("at"), F.expr("bigint(length(passage))").alias("length")).withColumn("source_id", F.col("doc_id"))
+    return Scratch(spark).save(found, "places")
 
 
 def paragraphs(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
@@ -67,7 +70,7 @@ g AS (SELECT *, bool_or(bad) OVER (PARTITION BY doc_id) AS refused, first_value(
 SELECT item_id AS anchor_id, doc_id, CASE WHEN at_off > a0 THEN at_off + 5 - n0 ELSE at_off END AS "at", CASE WHEN k = 1 THEN 5 ELSE n END AS length FROM g WHERE NOT refused""")
 def t10_rebase_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first anchor of each document is replaced by five characters."""
-    anchors = regions.capture_anchor(places(spark, sf_dir), paragraphs(spark, sf_dir, 1))
+    anchors = Scratch(spark).save(regions.capture_anchor(places(spark, sf_dir), paragraphs(spark, sf_dir, 1)), "anchors")
     first = anchors.groupBy("doc_id").agg(F.min(F.struct("at", "anchor_id")).alias("m")).select("doc_id", F.col("m.anchor_id").alias("anchor_id"), F.lit("12345").alias("value"))
     return regions.rebase_anchors(anchors, paragraphs(spark, sf_dir, 1), first)[0].select("anchor_id", "doc_id", "at", "length")
 

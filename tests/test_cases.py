@@ -488,3 +488,22 @@ def test_a_cut_stays_in_its_line(spark, sf):
             found = found or [["", style]]
             stops = [sum(len(t) for t, _ in found[: i + 1]) for i in range(len(found))]
             assert got[k] == [(stop - len(t), stop, t, s) for (t, s), stop in zip(found, stops)], cuts[k]
+
+
+def test_documents_are_searched_once_for_anchors(spark, sf):
+    """What t10 returns reads written places and anchors: no step searches the documents again, or deals their texts."""
+    from quire.plans.regions import t10_rebase_anchors
+
+    found = t10_rebase_anchors(spark, sf)
+    assert found.count() > 0 and not [f for f in found.inputFiles() if "documents.parquet" in f]
+    assert "regexp_extract_all" not in plan(found)
+
+
+def test_a_paragraph_of_no_anchor_does_not_change_its_reasons(spark):
+    docs = spark.createDataFrame([(1, 1, "one two three"), (1, 2, "x"), (1, 2, "x"), (2, 1, "a"), (2, 1, "b")], "doc_id long, source_id long, text string")
+    places = spark.createDataFrame([(1, 1, 1, 0, 3), (2, 1, 1, 8, 5), (3, 2, 1, 0, 1)], "anchor_id long, doc_id long, source_id long, at long, length long")
+    anchors = regions.capture_anchor(places, docs.dropDuplicates(["doc_id", "source_id"]))
+    edits_ = spark.createDataFrame([(1, 1, "four"), (2, 3, "c")], "doc_id long, anchor_id long, value string")
+    rebased, refused = regions.rebase_anchors(anchors, docs, edits_)
+    assert sorted((r.anchor_id, r.at, r.length, r.tail, r.before, r.after) for r in rebased.collect()) == [(1, 0, 4, 10, "", " two three"), (2, 9, 5, 0, "four two ", "")]
+    assert [(r.doc_id, r.reason) for r in refused.collect()] == [(2, "unresolved")]
