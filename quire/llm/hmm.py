@@ -12,17 +12,21 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch, kept, most_frequent, text_batches
 
 SEGMENT = 512
+#: Products of forward and backward values below which both are scaled anew.
+LEAST = 1e-30
+#: Tokens that one step of a task runs through the model.
+STEP = 1 << 20
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
 
@@ -53,9 +57,19 @@ class Segments:
         #: rows of the n-th segments that have a next one
         self.chain = [place[np.flatnonzero((number == n) & (number < np.repeat(parts, parts) - 1))] for n in range(int(parts.max()) - 1)]
         steps = np.arange(int(self.length[0]) + 1)
-        #: rows that are still going at each step, and their symbols there
+        #: rows that are still going at each step
         self.alive = np.searchsorted(-self.length, -steps, side="left").tolist()
-        self.symbols = self.flat[np.minimum(self.start[None, :] + steps[:-1, None], len(self.flat) - 1)].astype(np.int32)
+        #: the symbols, step by step, of the rows that are still going; at[t] is where those of step t begin
+        self.at = np.concatenate([[0], np.cumsum(self.alive)]).tolist()
+        width = np.array(self.alive[:-1], dtype=np.int64)
+        row = np.arange(self.at[-1]) - np.repeat(np.array(self.at[: len(width)], dtype=np.int64), width)
+        self.symbols = self.flat[self.start[row] + np.repeat(steps[:-1], width)].astype(np.int64)
+        #: where in symbols the last symbol of each row stands
+        self.ending = np.array(self.at, dtype=np.int64)[self.length - 1] + np.arange(len(doc))
+
+    def take(self, shares: np.ndarray, t: int, rows: int) -> np.ndarray:
+        """What shares (states x symbols) holds for the symbols of the first rows at step t."""
+        return np.take(shares, self.symbols[self.at[t] : self.at[t] + rows], axis=1)
 
 
 @dataclass
@@ -81,123 +95,175 @@ class Hmm:
         mixed = (total * self.emit + added[:, None]) / (total + added.sum())
         return Hmm(self.start, self.move, mixed / mixed.sum(axis=0))
 
-    def _transfers(self, seg: Segments) -> np.ndarray:
-        """For each segment with a next one (those are the longest) its matrix, up to a factor."""
+    def _shares(self) -> np.ndarray:
+        """The emissions (states x symbols), each symbol's largest as 1: rare words in a row would leave nothing
+        between two rescalings, least of all in single precision."""
+        return np.ascontiguousarray((self.emit / self.emit.max(axis=1, keepdims=True)).T)
+
+    def _rescale(self) -> int:
+        """Steps after which values are scaled anew; the least move of a large corpus, as often in a row, stays above zero."""
+        return 4 if self.move.dtype == np.float32 else 16
+
+    def _transfers(self, seg: Segments, shares: np.ndarray) -> np.ndarray:
+        """For each segment with a next one (those are the longest) its matrix, up to a factor; rows come last."""
         rows = int((seg.length == SEGMENT).sum()) if seg.chain else 0
-        s = len(self.start)
-        x = np.broadcast_to(np.eye(s, dtype=self.move.dtype), (rows, s, s)).copy()
+        s, turn, every = len(self.start), np.ascontiguousarray(self.move.T), self._rescale()
+        x = np.broadcast_to(np.eye(s, dtype=self.move.dtype)[:, :, None], (s, s, rows)).copy()
         if rows:
-            # each symbol's largest emission counts as 1, or rare words in a row leave nothing in single precision
-            emit = self.emit / self.emit.max(axis=1, keepdims=True)
+            y = np.empty_like(x)
             for t in range(SEGMENT):
-                x *= emit[seg.symbols[t, :rows]][:, None, :]
-                x = (x.reshape(-1, s) @ self.move).reshape(rows, s, s)
-                if t % 4 == 3:
-                    x /= x.max(axis=(1, 2), keepdims=True)
-            x /= x.max(axis=(1, 2), keepdims=True)
+                np.multiply(x, seg.take(shares, t, rows), out=y)
+                np.matmul(turn, y, out=x)
+                if t % every == every - 1:
+                    x /= x.max(axis=(0, 1))
+            x /= x.max(axis=(0, 1))
         return x
 
     def _entries(self, seg: Segments, transfer: np.ndarray) -> np.ndarray:
-        entry = np.broadcast_to(self.start, (len(seg.doc), len(self.start))).copy()
+        entry = np.repeat(self.start[:, None], len(seg.doc), axis=1)
         for rows in seg.chain:
-            out = np.einsum("ni,nij->nj", entry[rows], transfer[rows])
-            entry[seg.following[rows]] = out / out.sum(axis=1, keepdims=True)
+            out = np.einsum("in,ijn->jn", entry[:, rows], transfer[:, :, rows])
+            entry[:, seg.following[rows]] = out / out.sum(axis=0)
         return entry
 
-    def forward(self, seg: Segments, transfer: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """log10 likelihood of each segment given what stands before it."""
-        state, scale = self._entries(seg, transfer), np.ones(seg.symbols.shape, dtype=self.move.dtype)
-        for t, symbols in enumerate(seg.symbols):
-            n = seg.alive[t]
-            a = state[:n] * self.emit[symbols[:n]]
-            c = scale[t, :n] = a.sum(axis=1)
-            a /= c[:, None]
-            if keep is not None:
-                keep.append(a)
-            state = a @ self.move
-        return np.log10(scale, dtype=np.float64).sum(axis=0)
+    def forward(self, seg: Segments, shares: np.ndarray, transfer: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+        """log10 likelihood of each segment given what stands before it. keep: takes the state after each symbol, up to
+        a factor."""
+        state, turn, every = self._entries(seg, transfer), np.ascontiguousarray(self.move.T), self._rescale()
+        log = np.zeros(len(seg.doc))
+        held = np.empty_like(state)
+        for t, (n, going) in enumerate(zip(seg.alive, seg.alive[1:])):
+            a = held[:, :n] if keep is None else keep[:, seg.at[t] : seg.at[t] + n]
+            np.multiply(state[:, :n], seg.take(shares, t, n), out=a)
+            if going < n:
+                log[going:n] += np.log10(a[:, going:].sum(axis=0), dtype=np.float64)
+            if going:
+                state = np.matmul(turn, a[:, :going], out=state[:, :going])
+                if t % every == every - 1:
+                    c = state.sum(axis=0)
+                    state /= c
+                    log[:going] += np.log10(c, dtype=np.float64)
+        largest = np.log10(self.emit.max(axis=1), dtype=np.float64)
+        row = np.arange(len(seg.symbols)) - np.repeat(seg.at[: len(seg.alive) - 1], seg.alive[:-1])
+        return log + np.bincount(row, weights=largest[seg.symbols], minlength=len(log))
 
     def log10_likelihood(self, sequences: list[np.ndarray]) -> np.ndarray:
         seg = Segments(sequences)
-        return np.bincount(seg.doc, weights=self.forward(seg, self._transfers(seg)), minlength=len(sequences))
+        shares = self._shares()
+        return np.bincount(seg.doc, weights=self.forward(seg, shares, self._transfers(seg, shares)), minlength=len(sequences))
+
+    def _backward(self, seg: Segments, shares: np.ndarray, rows: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The value of each state before the first symbol of the segments `rows`, up to a factor."""
+        length, every = seg.length[rows], self._rescale()
+        value = np.ones((len(self.start), len(rows)), dtype=self.move.dtype)
+        alive = np.searchsorted(-length, -np.arange(int(length[0]) + 1), side="left").tolist()
+        for t in range(len(alive) - 2, -1, -1):
+            n, going = alive[t], alive[t + 1]
+            post = np.ones((len(value), n), dtype=value.dtype)  # rows from going on have their last symbol here
+            np.matmul(self.move, value[:, :going], out=post[:, :going])
+            final = going + np.flatnonzero(~seg.last[rows[going:n]])
+            if len(final):
+                post[:, final] = self.move @ after[:, rows[final]]
+            value = np.multiply(post, shares[:, seg.symbols[seg.at[t] + rows[:n]]], out=post)
+            if t % every == 0:
+                value /= value.sum(axis=0)
+        return value / value.sum(axis=0)
 
     def expect(self, sequences: list[np.ndarray], counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
         """Adds the expected starts, moves and emissions to counts; returns the log10 likelihood."""
         starts, moves, emissions = counts
-        seg, s = Segments(sequences), len(self.start)
-        transfer, alphas = self._transfers(seg), []
-        likelihood = self.forward(seg, transfer, alphas).sum()
-        after = np.ones((len(seg.doc), s), dtype=self.move.dtype)  # value of each state before the next segment's first symbol
-
-        def back(rows: np.ndarray | None) -> np.ndarray:
-            """Backward pass; the value of each state before the first symbol of each segment. Over all
-            segments (rows None) it also adds up the counts."""
-            length = seg.length if rows is None else seg.length[rows]
-            steps = np.arange(int(length[0]) + 1)
-            alive = seg.alive if rows is None else np.searchsorted(-length, -steps, side="left").tolist()
-            value = np.empty((len(length), s), dtype=self.move.dtype)
-            last, entry = (seg.last, after) if rows is None else (seg.last[rows], after[rows])
-            shares = np.empty((int(length.sum()), s), dtype=self.move.dtype)
-            seen, at, turn = np.empty(len(shares), dtype=np.int32), 0, self.move.T.copy()
-            for t in range(len(steps) - 2, -1, -1):
-                n, ended = alive[t], alive[t + 1]  # rows from ended on have their last symbol here
-                value[ended:n] = entry[ended:n]
-                post = value[:n] @ turn
-                final = ended + np.flatnonzero(last[ended:n]) if ended < n else None
-                if final is not None:
-                    post[final] = 1
-                symbols = seg.symbols[t, :n] if rows is None else seg.symbols[t, rows[:n]]
-                if rows is None:
-                    joint = alphas[t] * post
-                    norm = joint.sum(axis=1, keepdims=True)
-                    joint /= norm
-                    before = alphas[t] / norm
-                    if final is not None:
-                        before[final] = 0
-                    moves[...] += self.move * (before.T @ value[:n])
-                    seen[at : at + n], shares[at : at + n] = symbols, joint
-                    at += n
-                    if t == 0:
-                        starts[...] += joint[seg.first[:n]].sum(axis=0)
-                post *= self.emit[symbols]
-                post /= post.sum(axis=1, keepdims=True)
-                value[:n] = post
-            if rows is None:
-                for k in range(s):
-                    emissions[:, k] += np.bincount(seen, weights=shares[:, k], minlength=len(emissions))
-            return value
-
+        seg, s, every = Segments(sequences), len(self.start), self._rescale()
+        shares, state = self._shares(), np.empty((s, len(seg.symbols)), dtype=self.move.dtype)
+        transfer = self._transfers(seg, shares)
+        likelihood = self.forward(seg, shares, transfer, state).sum()
+        after = np.ones((s, len(seg.doc)), dtype=self.move.dtype)  # value of each state before the next segment's first symbol
         if seg.chain:
-            ends = np.flatnonzero(seg.last)
-            value = np.ones((len(seg.doc), s), dtype=self.move.dtype)
-            value[ends] = back(ends)
+            ends = np.flatnonzero(seg.last & ~seg.first)
+            value = np.ones((s, len(seg.doc)), dtype=self.move.dtype)
+            value[:, ends] = self._backward(seg, shares, ends, after)
             for rows in reversed(seg.chain):
-                after[rows] = value[seg.following[rows]]
-                out = np.einsum("nij,nj->ni", transfer[rows], after[rows])
-                value[rows] = out / out.sum(axis=1, keepdims=True)
-        back(None)
+                after[:, rows] = value[:, seg.following[rows]]
+                out = np.einsum("ijn,jn->in", transfer[:, :, rows], after[:, rows])
+                value[:, rows] = out / out.sum(axis=0)
+        # following: value of each state before the next symbol; post: of each state at a symbol, for what comes after it
+        following, post = np.empty_like(state), np.empty_like(state)
+        for t in range(len(seg.alive) - 2, -1, -1):
+            n, going, at, then = seg.alive[t], seg.alive[t + 1], seg.at[t], seg.at[t + 1]
+            x = following[:, at : at + n]
+            if going:
+                np.multiply(post[:, then : then + going], seg.take(shares, t + 1, going), out=x[:, :going])
+                if t % every == 0:
+                    x[:, :going] /= x[:, :going].sum(axis=0)
+            x[:, going:] = after[:, going:n]
+            np.matmul(self.move, x, out=post[:, at : at + n])
+            if going < n:
+                post[:, at + going + np.flatnonzero(seg.last[going:n])] = 1
+        joint = np.multiply(state, post, out=post)
+        norm = joint.sum(axis=0)
+        weak = np.flatnonzero(~(norm > LEAST))
+        if len(weak):  # both sides are small between two rescalings
+            final = np.isin(weak, seg.ending[seg.last])
+            state[:, weak] /= state[:, weak].max(axis=0)
+            following[:, weak] /= following[:, weak].max(axis=0)
+            joint[:, weak] = state[:, weak] * np.where(final, 1, self.move @ following[:, weak])
+            norm[weak] = joint[:, weak].sum(axis=0)
+        joint /= norm
+        state /= norm
+        state[:, seg.ending[seg.last]] = 0
+        moves += self.move * (state @ following.T)
+        starts += joint[:, : seg.alive[0]][:, seg.first].sum(axis=1)
+        for k in range(s):
+            emissions[:, k] += np.bincount(seg.symbols, weights=joint[k], minlength=len(emissions))
         return float(likelihood)
 
 
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, the place in them of each word of the texts, number of words of each text) as tokens() finds
+    them; a null text has none."""
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found = pieces.flatten().dictionary_encode()
+    codes, lengths = found.indices.to_numpy(), pc.fill_null(pc.list_value_length(pieces), 0).to_numpy().astype(np.int64)
+    empty = pc.index(found.dictionary, pa.scalar("", found.dictionary.type)).as_py()
+    if empty < 0:
+        return found.dictionary, codes, lengths
+    # white space at either end of a text leaves an empty piece there
+    word = codes != empty
+    ends = np.concatenate([[0], np.cumsum(word)])[np.concatenate([[0], np.cumsum(lengths)])]
+    codes = codes[word]
+    words = pa.concat_arrays([found.dictionary[:empty], found.dictionary[empty + 1 :]])
+    return words, codes - (codes > empty), np.diff(ends)
+
+
+def listed_bytes(words: pa.Array) -> list[bytes]:
+    """By way of NumPy, as to_pylist() makes a scalar for each word first."""
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, c) over all rows; words are counted within tasks before the shuffle."""
 
     def run(batches):
-        held: Counter = Counter()
+        held, size = [], 0
         for batch in text_batches(batches, text=0):
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                held.update(tokens(text or b""))
-                if len(held) > HELD:
-                    yield _counted(held)
-                    held.clear()
-        yield _counted(held)
+            words, codes, _ = coded(batch.column(0))
+            held.append(pa.table([words.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(words)), pa.int64())], ["word", "c"]))
+            size += len(words)
+            if size > 2 * HELD:
+                held = [_added(held)]
+                size = held[0].num_rows
+                if size > HELD:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from _added(held).to_batches()
 
     rows = docs.select(text_col).mapInArrow(run, "word string, c bigint")
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _counted(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
+def _added(counts: list[pa.Table]) -> pa.Table:
+    found = pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("c", "sum")])
+    return pa.table([found.column("word"), found.column("c_sum")], ["word", "c"])
 
 
 @dataclass
@@ -263,6 +329,9 @@ class Model:
 
     def __init__(self, key: str, lexicon: tuple, hmm: Hmm, counts: DataFrame, scratch: Scratch, likelihoods: list[float]):
         self.key, self.fields, self.hmm, self.counts, self.scratch, self.likelihoods = key, lexicon, hmm, counts, scratch, likelihoods
+        self.lexicon = Lexicon(*lexicon)
+        #: how the symbols of a text are written
+        self.kind = "<u2" if self.lexicon.end < 1 << 16 else "<u4"
 
 
 def learn_lexicon(counts: DataFrame, texts: int, symbols: int, cached: int, classes: int) -> tuple:
@@ -285,63 +354,110 @@ def learn_lexicon(counts: DataFrame, texts: int, symbols: int, cached: int, clas
     return words, sizes, symbols, total + texts, distinct + bool(texts), texts, class_total, class_distinct
 
 
-def train(docs: DataFrame, states: int = 6, symbols: int = 1 << 15, cached: int = 1 << 17, classes: int = 1 << 12, rounds: int = 3, least_gain: float = 1e-4, prior: float = 0.5, text_col: str = "text") -> Model:
-    """Baum-Welch over every row of docs; a null text counts as empty.
-
-    Word counts of the whole corpus stay a table. The `cached` most frequent words go to the tasks, the
-    first `symbols` of them as symbols of the model; all other words, however many, fall into `classes`
-    classes by their hash. So every word takes part in training, and model and broadcast don't grow with the
-    corpus. Texts are encoded once, into a table. In each round every task sums its expected counts; they are
-    added up by a group-by over symbols, and only the sums (symbols x states) reach the driver. Training ends
-    after `rounds`, or before if the last round raised the log10 likelihood of all training texts by less
-    than least_gain for each token. prior: weight of a symbol's share, in counts.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+def _begin(docs: DataFrame, states: int, symbols: int, cached: int, classes: int, text_col: str) -> Model:
+    """A model of the words of docs before its first round."""
+    scratch = Scratch(docs.sparkSession)
     counts = scratch.save(word_counts(docs, text_col), "counts")
-    texts = docs.count()
-    fields = learn_lexicon(counts, texts, symbols, cached, classes)
-    lexicon = Lexicon(*fields)
-    hmm = Hmm.initial(lexicon.share(), states)
-    key = uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast((key, fields))
-    names, size = [f"s{k}" for k in range(states)], lexicon.end + 1
-
-    def encode(batches):
-        lex = _lexicon(shared)
-        for batch in text_batches(batches, text=0, limit=4 << 20):
-            found = [lex.encode(tokens(t or b""))[1].astype(np.int32) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)])
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))], ["symbols"])
+    fields = learn_lexicon(counts, docs.count(), symbols, cached, classes)
+    return Model(uuid.uuid4().hex, fields, Hmm.initial(Lexicon(*fields).share(), states), counts, scratch, [])
+
+
+def _encode(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """The other columns of docs with the symbols of each text, its counts, its base score and what its listed rare
+    words add to the score of their classes, both without the words in `others`, which the lexicon doesn't list."""
+    shared, kind = docs.sparkSession.sparkContext.broadcast((model.key, model.fields)), np.dtype(model.kind)
+    rest = [(c, t) for c, t in docs.dtypes if c != text_col]
 
-    encoded = scratch.save(docs.select(text_col).mapInArrow(encode, "symbols array<int>"), "encoded")
-    likelihoods: list[float] = []
-    for _ in range(rounds if texts else 0):
-        now = spark.sparkContext.broadcast(hmm.single())
+    def run(batches):
+        lex = _lexicon(shared)
+        known_log, class_log = np.log10(lex.counts + 1.0), np.log10(lex.class_total + lex.class_distinct + 1.0)
+        all_log, end_log = np.log10(lex.total + lex.distinct + 1.0), np.log10(lex.texts + 1.0)
+        for batch in text_batches(batches, text=0):
+            words, codes, lengths = coded(batch.column(0))
+            index, symbols = lex.encode(listed_bytes(words))
+            symbols, listed, n = symbols[:-1], index >= 0, batch.num_rows
+            known, rare = np.zeros(len(words)), np.zeros(len(words))
+            known[listed] = known_log[index[listed]]
+            rare[symbols >= lex.symbols] = -class_log[symbols[symbols >= lex.symbols] - lex.symbols]
+            rare[index >= lex.symbols] += known_log[index[index >= lex.symbols]]
+            text = np.repeat(np.arange(n), lengths)
+            base = np.bincount(text, weights=known[codes], minlength=n) + end_log - (lengths + 1.0) * all_log
+            n_known = np.bincount(text[listed[codes]], minlength=n) + (lex.texts > 0)
+            written = np.full(len(codes) + n, lex.end, dtype=kind)
+            written[np.arange(len(codes)) + text] = symbols[codes]
+            ends = np.concatenate([[0], np.cumsum(lengths + 1)]) * kind.itemsize
+            other = ~listed[codes]
+            pairs, times = np.unique(text[other] * np.int64(len(words)) + codes[other], return_counts=True)
+            at, word = np.divmod(pairs, max(len(words), 1))
+            others = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(times, pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[1:], pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(written)]),
+                    pa.array(lengths + 1), pa.array(n_known), pa.array(base), pa.array(np.bincount(text, weights=rare[codes], minlength=n).astype(np.float64)),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(n + 1)), pa.int32()), others),
+                ],
+                [*[c for c, _ in rest], "symbols", "n_tokens", "n_known", "base_score", "rare", "others"],
+            )
+
+    schema = "".join(f"`{c}` {t}, " for c, t in rest) + "symbols binary, n_tokens bigint, n_known bigint, base_score double, rare double, others array<struct<word string, n bigint>>"
+    return docs.select(text_col, *[c for c, _ in rest]).mapInArrow(run, schema)
+
+
+def _sequences(column: pa.Array, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(v, dtype=kind) for v in column.to_pylist()]
+
+
+def _fit(encoded: DataFrame, model: Model, rounds: int, least_gain: float, prior: float) -> None:
+    """Rounds of Baum-Welch over the symbols in encoded."""
+    spark, lexicon, kind, (size, states) = encoded.sparkSession, model.lexicon, model.kind, model.hmm.emit.shape
+    names = [f"s{k}" for k in range(states)]
+    for _ in range(rounds if lexicon.texts else 0):
+        now = spark.sparkContext.broadcast(model.hmm.single())
 
         def run(batches, now=now):
-            model, likelihood = now.value, 0.0
+            hmm, likelihood = now.value, 0.0
             sums = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
-            for batch in text_batches(batches, text=0, limit=4 << 20):
-                column = batch.column(0)
-                values, ends = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_numpy()])
-                likelihood += model.expect([values[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())], sums)
+            for batch in text_batches(batches, text=0, limit=np.dtype(kind).itemsize * STEP):
+                likelihood += hmm.expect(_sequences(batch.column(0), kind), sums)
             # rows below the symbols hold starts, moves and the likelihood
             rows = np.concatenate([sums[2], sums[0][None], sums[1], np.full((1, states), likelihood)])
             at = np.flatnonzero(rows.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(rows[at, k]) for k in range(states))], ["row", *names])
 
-        parts = encoded.mapInArrow(run, "row bigint, " + ", ".join(f"{n} double" for n in names))
+        parts = encoded.select("symbols").mapInArrow(run, "row bigint, " + ", ".join(f"{n} double" for n in names))
         found = parts.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
         rows = np.zeros((size + 2 + states, states))
         rows[found["row"].to_numpy()] = found[names].to_numpy()
         emit = rows[:size] + prior * states * lexicon.share()[:, None]
         start, move = rows[size] + prior, rows[size + 1 : -1] + prior
-        hmm = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-        likelihoods.append(float(rows[-1, 0]))
-        if len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < least_gain * lexicon.total:
+        model.hmm = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        model.likelihoods.append(float(rows[-1, 0]))
+        if len(model.likelihoods) > 1 and model.likelihoods[-1] - model.likelihoods[-2] < least_gain * lexicon.total:
             break
-    return Model(key, fields, hmm, counts, scratch, likelihoods)
+
+
+def train(docs: DataFrame, states: int = 6, symbols: int = 1 << 15, cached: int = 1 << 17, classes: int = 1 << 12, rounds: int = 3, least_gain: float = 1e-4, prior: float = 0.5, text_col: str = "text") -> Model:
+    """Baum-Welch over every row of docs; a null text counts as empty.
+
+    Word counts of the whole corpus stay a table. The `cached` most frequent words go to the tasks, the
+    first `symbols` of them as symbols of the model; all other words, however many, fall into `classes`
+    classes by their hash. So every word takes part in training, and model and broadcast don't grow with the
+    corpus. Texts are encoded once, into a table. In each round every task sums its expected counts; they are
+    added up by a group-by over symbols, and only the sums (symbols x states) reach the driver. Training ends
+    after `rounds`, or before if the last round raised the log10 likelihood of all training texts by less
+    than least_gain for each token. prior: weight of a symbol's share, in counts.
+    """
+    model = _begin(docs, states, symbols, cached, classes, text_col)
+    _fit(model.scratch.save(_encode(docs.select(text_col), model, text_col).select("symbols"), "encoded"), model, rounds, least_gain, prior)
+    return model
+
+
+def train_and_score(docs: DataFrame, learn: Column, states: int = 6, symbols: int = 1 << 15, cached: int = 1 << 17, classes: int = 1 << 12, rounds: int = 3, least_gain: float = 1e-4, prior: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """score(docs, train(docs.where(learn))), but each text is encoded once for both."""
+    model = _begin(docs.where(learn), states, symbols, cached, classes, text_col)
+    marked = _mark(docs.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).alias("text")), model)
+    _fit(marked.where("learn"), model, rounds, least_gain, prior)
+    return _score(marked, model, id_col)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,43 +469,28 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     all counts; a hot word's rows may be split by Spark. Null and empty texts score their end alone.
     Repeated rows repeat. If nothing was learned, every word has count 0.
     """
-    spark, scratch = docs.sparkSession, model.scratch
-    lexicon = Lexicon(*model.fields)
-    shared, hmm = spark.sparkContext.broadcast((model.key, model.fields)), spark.sparkContext.broadcast(model.hmm.smoothed(lexicon.added(), lexicon.total))
-    kind = docs.select(id_col).dtypes[0][1]
+    return _score(_mark(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model), model, id_col)
+
+
+def _mark(rows: DataFrame, model: Model) -> DataFrame:
+    return model.scratch.save(_encode(rows, model, "text").withColumn("row", F.monotonically_increasing_id()), "marked")
+
+
+def _score(marked: DataFrame, model: Model, id_col: str) -> DataFrame:
+    lexicon, symbols = model.lexicon, model.kind
+    hmm = marked.sparkSession.sparkContext.broadcast(model.hmm.smoothed(lexicon.added(), lexicon.total))
+    kind = marked.select("id").dtypes[0][1]
 
     def run(batches):
-        lex = _lexicon(shared)
-        known_log, class_log = np.log10(lex.counts + 1.0), np.log10(lex.class_total + lex.class_distinct + 1.0)
-        all_log, end_log = np.log10(lex.total + lex.distinct + 1.0), np.log10(lex.texts + 1.0)
-        for batch in text_batches(batches, limit=4 << 20):
-            sequences, out, rarer, times, ends = [], [], [], [], [0]
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                words = tokens(text or b"")
-                index, symbols = lex.encode(words)
-                listed = index[index >= 0]
-                others = Counter(words[i] for i in np.flatnonzero(index < 0).tolist())
-                sequences.append(symbols)
-                in_class = symbols[:-1][symbols[:-1] >= lex.symbols] - lex.symbols
-                base = known_log[listed].sum() + end_log - (len(words) + 1) * all_log
-                rare = known_log[listed[listed >= lex.symbols]].sum() - class_log[in_class].sum()
-                out.append((len(words) + 1, len(listed) + (lex.texts > 0), float(base), float(rare)))
-                rarer += others
-                times += others.values()
-                ends.append(len(rarer))
-            total = hmm.value.log10_likelihood(sequences) + np.array([o[3] for o in out])
-            pairs = pa.StructArray.from_arrays([pa.array(rarer, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["word", "n"])
-            columns = [pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(total), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["id", "n_tokens", "n_known", "base_score", "score", "others"])
-
-    schema = f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, others array<struct<word string, n bigint>>"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = scratch.save(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "marked")
+        for batch in text_batches(batches, text=0, limit=np.dtype(symbols).itemsize * STEP):
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(hmm.value.log10_likelihood(_sequences(batch.column(0), symbols)))], names)
+
     words = marked.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.n").join(model.counts, "word")
     found = words.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("gain"))
-    out = marked.drop("others").join(found, "row", "left")
+    names = ["row", "id", "n_tokens", "n_known", "base_score", "rare", "log"]
+    scored = marked.select("symbols", *names[:-1]).mapInArrow(run, f"row bigint, id {kind}, n_tokens bigint, n_known bigint, base_score double, rare double, log double")
     gain = F.coalesce("gain", F.lit(0.0))
-    return out.select(
+    return scored.join(found, "row", "left").select(
         F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(model.fields[3]).cast("bigint").alias("train_tokens"), (F.col("base_score") + gain).alias("base_score"), (F.col("score") + gain).alias("score"),
+        F.lit(lexicon.total).cast("bigint").alias("train_tokens"), (F.col("base_score") + gain).alias("base_score"), (F.col("log") + F.col("rare") + gain).alias("score"),
     )

@@ -61,9 +61,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document by a model of six in seven documents; a null text counts as empty."""
-    docs = documents(spark, sf_dir)
-    model = hmm.train(docs.where(~held_out(F.col("doc_id"), 7)))
-    found = hmm.score(docs, model)
+    found = hmm.train_and_score(documents(spark, sf_dir), ~held_out(F.col("doc_id"), 7))
     return found.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

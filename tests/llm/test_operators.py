@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -17,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, hmm, langid, license_texts, licenses, linededup, secrets, simhash, textmatch, toxicity, vectors
+from quire.llm import bpe, decontaminate, hmm, langid, license_texts, licenses, linededup, queries, secrets, simhash, textmatch, toxicity, vectors
 from quire.llm.common import Scratch, connected_components, held_out, most_frequent
 from quire.llm.queries import QUERIES
 
@@ -823,6 +824,50 @@ def test_rare_words_in_a_row_keep_single_precision_finite():
     assert np.isfinite(likelihood) and all(np.isfinite(c).all() for c in counts) and np.isclose(counts[2].sum(), 1998)
 
 
+def test_moves_that_hardly_occur_keep_single_precision_exact():
+    """Every step needs a move of 1e-9, so products of forward and backward values leave single precision."""
+    move, emit = np.full((2, 2), 1e-9), np.array([[1.0, 1e-12], [1e-12, 1.0]])
+    np.fill_diagonal(move, 1 - 1e-9)
+    model = hmm.Hmm(np.full(2, 0.5), move, emit / emit.sum(axis=0))
+    sequences = [np.arange(n) % 2 for n in (2, 3, 9, 40, 600, 1300)]
+    got, want = ((np.zeros(2), np.zeros((2, 2)), np.zeros((2, 2))) for _ in range(2))
+    likelihood = model.single().expect(sequences, got)
+    assert np.isclose(likelihood, model.expect(sequences, want), rtol=1e-5) and np.isclose(model.log10_likelihood(sequences).sum(), likelihood, rtol=1e-5)
+    assert all(np.allclose(a, b, rtol=1e-3, atol=1e-3) for a, b in zip(got, want)) and np.isclose(got[2].sum(), sum(map(len, sequences)))
+
+
+def test_words_of_a_column_are_those_of_each_text():
+    column = pa.array(["", None, " a B\t\x0bc ", "x", "\n", "\u00c9 \u00e9 \u00e9\x1c\x85\u00a0b", "a\x00b a", "a  a\r\na\f"])
+    for texts in (column, column[2:], column[:2], column[3:4], column[:0], pa.array([None], pa.string())):
+        words, codes, lengths = hmm.coded(texts)
+        plain = [hmm.tokens((t or "").encode()) for t in texts.to_pylist()]
+        assert lengths.tolist() == [len(p) for p in plain]
+        assert [hmm.listed_bytes(words)[c] for c in codes] == [w for p in plain for w in p] and len(words) == len({w for p in plain for w in p})
+
+
+def test_word_counts_of_tasks_that_hold_few(spark, docs, monkeypatch):
+    want = {r.word: r.c for r in hmm.word_counts(docs).collect()}
+    monkeypatch.setattr(hmm, "HELD", 50)
+    assert {r.word: r.c for r in hmm.word_counts(docs.repartition(7)).collect()} == want
+
+
+def test_op8_reads_a_text_once_to_count_and_once_to_encode(spark, docs, monkeypatch):
+    """Before, texts were split into words three times, and a training text encoded twice."""
+    seen, table = spark.sparkContext.accumulator(0), docs.select("doc_id", "text")
+
+    def look(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(queries, "documents", lambda *_: table.withColumn("text", F.udf(look, "string")("text")))
+    got = sorted(map(tuple, queries.op8_hmm(spark, "").collect()))
+    learned = table.where(~held_out(F.col("doc_id"), 7))
+    assert 0 < seen.value <= table.count() + learned.count()
+    apart = hmm.score(table, hmm.train(learned)).withColumn("held_out", held_out(F.col("doc_id"), 7))
+    want = sorted(map(tuple, apart.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()))
+    assert [g[:5] for g in got] == [w[:5] for w in want] and np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-6)
+
+
 def test_rare_words_share_out_their_classes(spark, docs, texts):
     train = docs.where(~held_out(F.col("doc_id"), 7))
     scratch = Scratch(spark)
