@@ -58,8 +58,15 @@ def catalog_face(declared: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.select("font_id", F.when(~conflict, F.col("face_id")).alias("face_id"), (conflict & F.col("face_id").isNotNull()).alias("conflict"))
 
 
-#: Parts of the files of a kind; see match_font_file.
-CHUNKS = 16
+#: Parts of a kind, ids of a list and pairs of a task; see match_font_file.
+PARTS, LIST, PAIRS = 4, 256, 8_000_000
+
+
+def _lists(rows: DataFrame, key: str, part: str, name: str) -> DataFrame:
+    """(kind, part, name): the keys of a kind in lists of LIST at most, dealt into PARTS parts; a null key stays."""
+    every = F.concat(F.array_sort(F.collect_list(key)), F.array_repeat(F.lit(None).cast(rows.schema[key].dataType), (F.count("*") - F.count(key)).cast("int")))
+    parts = rows.groupBy("kind", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int").alias(part)).agg(every.alias("all"))
+    return parts.select("kind", part, F.explode(F.transform(F.sequence(F.lit(1), F.size("all"), F.lit(LIST)), lambda at: F.slice("all", at, LIST))).alias(name))
 
 
 def match_font_file(declared: DataFrame, files: DataFrame) -> DataFrame:
@@ -70,26 +77,34 @@ def match_font_file(declared: DataFrame, files: DataFrame) -> DataFrame:
     `Family,Style`, family equal, bold iff weight >= 600, italic iff the style says so; else full name equal,
     or family equal with the declared weight (400 if none) and slant (upright if none).
 
-    Fonts that ask for the same and files of the same names, weight and slant are one kind each; kinds meet, then each
-    font meets the files of the kinds that fit, in CHUNKS parts of a kind. So only pairs that fit are formed, each once,
-    and neither a name that many share nor the pairs themselves are dealt to one task.
+    Fonts that ask for the same and files of the same names, weight and slant are one kind each; kinds meet, then lists
+    of the fonts meet lists of the files of the kinds that fit, each of PARTS parts with each. So only pairs that fit are
+    formed, each once, and neither a name that many share nor the pairs themselves are dealt to one task.
+
+    The pairs grow with the square of a kind. They leave list by list, a font with each file of a list in turn, and a
+    task has about PAIRS of them, of few kinds: so a columnar file, which keeps a run or a short cycle of known values in
+    a few bits, stores them in a small part of their size.
     """
     d = declared.withColumn("base", F.regexp_extract("name", r"^([^,]*)", 1)).withColumn("style", F.lower(F.regexp_extract("name", r",(.*)$", 1)))
     kinds = lambda rows, key, *columns: rows.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("of")).withColumn("kind", F.to_json("of"))
     fonts = kinds(with_font_key(d, "base"), "font_id", "base", "style", "weight", "italic")
     own = kinds(with_font_key(with_font_key(files, "family"), "full_name").withColumnsRenamed({"weight": "fw", "italic": "fi"}), "file_id", "family", "full_name", "fw", "fi")
     names = F.array(F.struct(F.lit(True).alias("family"), F.col("o.family").alias("base")), F.struct(F.lit(False).alias("family"), F.col("o.full_name").alias("base")))
-    asked = fonts.select("kind", "of").distinct().select(F.col("kind").alias("asked"), F.explode("of").alias("o")).select("asked", "o.*")
-    given = own.select("kind", "of").distinct().select("kind", F.explode("of").alias("o")).select("kind", "o.fw", "o.fi", F.explode(names).alias("x")).select("kind", "fw", "fi", "x.*")
+    asked = fonts.groupBy("kind", "of").agg(F.count("*").alias("fonts")).select(F.col("kind").alias("asked"), "fonts", F.explode("of").alias("o")).select("asked", "fonts", "o.*")
+    given = own.groupBy("kind", "of").agg(F.count("*").alias("files")).select("kind", "files", F.explode("of").alias("o")).select("kind", "files", "o.fw", "o.fi", F.explode(names).alias("x")).select("kind", "files", "fw", "fi", "x.*")
     rows = asked.join(given, "base")
     slant = F.col("italic").isNull() | (F.col("italic") == F.col("fi"))
     by_style = F.col("family") & (F.col("style").contains("bold") == (F.col("fw") >= 600)) & (F.col("style").rlike("italic|oblique") == F.col("fi"))
     by_name = ~F.col("family") | ((F.col("fw") == F.coalesce("weight", F.lit(400))) & (F.col("fi") == F.coalesce("italic", F.lit(False))))
-    fit = Scratch(declared.sparkSession).save(rows.where(slant & F.when(F.col("style") != "", by_style).otherwise(by_name)).select("asked", "kind").distinct(), "fit")
-    chunk = F.pmod(F.xxhash64("file_id"), F.lit(CHUNKS)).cast("int").alias("chunk")
-    chunks = own.select("file_id", "kind", chunk).groupBy("kind", "chunk").agg(F.collect_list("file_id").alias("files"))
-    wanted = fonts.select("font_id", F.col("kind").alias("asked")).join(fit, "asked").select("font_id", "kind", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("chunk"))
-    return wanted.join(chunks, ["kind", "chunk"]).select("font_id", F.explode("files").alias("file_id"))
+    spark = declared.sparkSession
+    fit = Scratch(spark).save(rows.where(slant & F.when(F.col("style") != "", by_style).otherwise(by_name)).select("asked", "kind", (F.col("fonts") * F.col("files")).alias("pairs")).distinct(), "fit")
+    tasks = min(max((fit.agg(F.sum("pairs")).first()[0] or 0) // PAIRS, spark.sparkContext.defaultParallelism), 10_000)
+    each = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    wanted = _lists(fonts, "font_id", "part", "fonts").withColumnRenamed("kind", "asked").join(fit, "asked").select("kind", "part", each.alias("chunk"), "fonts")
+    offered = _lists(own, "file_id", "chunk", "files").select("kind", each.alias("part"), "chunk", "files")
+    cell = ["kind", "part", "chunk"]
+    met = wanted.repartition(tasks, *cell).join(offered.repartition(tasks, *cell), cell)
+    return met.select(F.explode("fonts").alias("font_id"), "files").select("font_id", F.explode("files").alias("file_id"))
 
 
 def glyph_coverage(observed: DataFrame) -> DataFrame:

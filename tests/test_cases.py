@@ -311,6 +311,23 @@ def test_only_fonts_and_files_that_fit_meet(spark):
     assert sorted((r.font_id, r.file_id) for r in rows.collect()) == [(i, 7) for i in range(1, 2000, 2)]
 
 
+def test_pairs_of_fonts_and_files_are_stored_in_a_small_part_of_their_size(spark, tmp_path):
+    """Two million pairs of 128 names, 16 bytes each: a file keeps them in less than two."""
+    declared = spark.range(16000).selectExpr("id * 7919 as font_id", "concat('Serif ', id % 128) as name", "int(null) as weight", "boolean(null) as italic")
+    files = spark.range(16000).selectExpr("id * 104729 as file_id", "concat('serif-', id % 128) as family", "'Full' as full_name", "400 as weight", "false as italic")
+    fonts.match_font_file(declared, files).write.parquet(f"{tmp_path}/pairs")
+    rows = spark.read.parquet(f"{tmp_path}/pairs")
+    assert rows.count() == rows.distinct().count() == 2_000_000 and rows.where("font_id div 7919 % 128 <> file_id div 104729 % 128").isEmpty()
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 4_000_000
+
+
+def test_fonts_and_files_without_an_id_are_matched(spark):
+    declared = spark.createDataFrame([(1, "Serif", None, None), (None, "Serif", None, None)], "font_id long, name string, weight int, italic boolean")
+    files = spark.createDataFrame([(5, "Serif", "Full", 400, False), (None, "Serif", "Full", 400, False), (None, "Sans", "Serif", 700, True)], "file_id long, family string, full_name string, weight int, italic boolean")
+    assert {tuple(r) for r in fonts.match_font_file(declared, files).collect()} == {(1, 5), (1, None), (None, 5), (None, None)}
+    assert fonts.match_font_file(declared.where("false"), files).isEmpty() and fonts.match_font_file(declared, files.where("false")).isEmpty()
+
+
 def test_references_are_not_dealt_by_a_few_names(spark, sf):
     import __spark_entry__ as entry
 
