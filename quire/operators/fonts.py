@@ -58,15 +58,16 @@ def catalog_face(declared: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.select("font_id", F.when(~conflict, F.col("face_id")).alias("face_id"), (conflict & F.col("face_id").isNotNull()).alias("conflict"))
 
 
-#: Parts of a kind, ids of a list and pairs of a task; see match_font_file.
-PARTS, LIST, PAIRS = 4, 256, 8_000_000
+#: Parts of a kind, fonts and files of a list, and pairs of a task; see match_font_file. Spark holds all pairs of a list of
+#: fonts with the files of a part at once, so these lists are short.
+PARTS, FONTS, FILES, PAIRS = 4, 16, 256, 8_000_000
 
 
-def _lists(rows: DataFrame, key: str, part: str, name: str) -> DataFrame:
-    """(kind, part, name): the keys of a kind in lists of LIST at most, dealt into PARTS parts; a null key stays."""
+def _lists(rows: DataFrame, key: str, part: str, name: str, most: int) -> DataFrame:
+    """(kind, part, name): the keys of a kind in lists of `most`, dealt into PARTS parts; a null key stays."""
     every = F.concat(F.array_sort(F.collect_list(key)), F.array_repeat(F.lit(None).cast(rows.schema[key].dataType), (F.count("*") - F.count(key)).cast("int")))
     parts = rows.groupBy("kind", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int").alias(part)).agg(every.alias("all"))
-    return parts.select("kind", part, F.explode(F.transform(F.sequence(F.lit(1), F.size("all"), F.lit(LIST)), lambda at: F.slice("all", at, LIST))).alias(name))
+    return parts.select("kind", part, F.explode(F.transform(F.sequence(F.lit(1), F.size("all"), F.lit(most)), lambda at: F.slice("all", at, most))).alias(name))
 
 
 def match_font_file(declared: DataFrame, files: DataFrame) -> DataFrame:
@@ -100,8 +101,8 @@ def match_font_file(declared: DataFrame, files: DataFrame) -> DataFrame:
     fit = Scratch(spark).save(rows.where(slant & F.when(F.col("style") != "", by_style).otherwise(by_name)).select("asked", "kind", (F.col("fonts") * F.col("files")).alias("pairs")).distinct(), "fit")
     tasks = min(max((fit.agg(F.sum("pairs")).first()[0] or 0) // PAIRS, spark.sparkContext.defaultParallelism), 10_000)
     each = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
-    wanted = _lists(fonts, "font_id", "part", "fonts").withColumnRenamed("kind", "asked").join(fit, "asked").select("kind", "part", each.alias("chunk"), "fonts")
-    offered = _lists(own, "file_id", "chunk", "files").select("kind", each.alias("part"), "chunk", "files")
+    wanted = _lists(fonts, "font_id", "part", "fonts", FONTS).withColumnRenamed("kind", "asked").join(fit, "asked").select("kind", "part", each.alias("chunk"), "fonts")
+    offered = _lists(own, "file_id", "chunk", "files", FILES).select("kind", each.alias("part"), "chunk", "files")
     cell = ["kind", "part", "chunk"]
     met = wanted.repartition(tasks, *cell).join(offered.repartition(tasks, *cell), cell)
     return met.select(F.explode("fonts").alias("font_id"), "files").select("font_id", F.explode("files").alias("file_id"))
